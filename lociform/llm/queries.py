@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lociform.llm import simhash
-from lociform.llm.common import prepare, table
+from lociform.llm import compression, simhash
+from lociform.llm.common import fold, prepare, table
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +17,17 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by compressed sizes."""
+    prepare(spark)
+    documents = table(spark, sf_dir, "documents")
+    model = compression.fit(documents, table(spark, sf_dir, "labels"))
+    scored = compression.score(documents, model, ["doc_id"])
+    return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_compression": op3_compression,
     "op10_simhash": op10_simhash,
 }
 SQL: dict[str, str] = {}
