@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociform.llm import compression, simhash
+from lociform.llm import compression, mixing, simhash
 from lociform.llm.common import fold, prepare, table
 
 
@@ -17,6 +17,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of every document."""
+    prepare(spark)
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op3_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document by compressed sizes."""
     prepare(spark)
@@ -27,6 +34,7 @@ def op3_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op3_compression": op3_compression,
     "op10_simhash": op10_simhash,
 }
