@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociform.llm import chat, compression, mixing, simhash
+from lociform.llm import chat, compression, decontamination, mixing, simhash
 from lociform.llm.common import fold, prepare, table
 
 
@@ -38,6 +38,12 @@ FROM e GROUP BY conv_id
 """
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in which a benchmark item stands, with the item."""
+    prepare(spark)
+    return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     prepare(spark)
@@ -64,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op3_compression": op3_compression,
     "op7_chat": op7_chat,
+    "op9_decontamination": op9_decontamination,
     "op10_simhash": op10_simhash,
 }
 SQL: dict[str, str] = {"op7_chat": OP7_SQL}
