@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociform.llm import chat, compression, decontamination, mixing, simhash
+from lociform.llm import chat, compression, decontamination, licenses, mixing, pii, rules, simhash, toxicity
 from lociform.llm.common import fold, prepare, table
 
 
@@ -66,11 +66,43 @@ def op3_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op2_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licences declared in every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every document and the verdict of the quality rules."""
+    documents = table(spark, sf_dir, "documents")
+    model = rules.fit(documents, table(spark, sf_dir, "labels"))
+    return rules.judge(documents, model, ["doc_id"]).select("doc_id", *rules.BASE, "base_failed", "kept")
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts and digest of base spans, and all spans."""
+    found = pii.detect(table(spark, sf_dir, "documents"), ["doc_id"])
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by character n-grams."""
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.fit(documents, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(documents, model, ["doc_id"])
+    return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_license": op2_license,
     "op3_compression": op3_compression,
+    "op4_rules": op4_rules,
+    "op6_pii": op6_pii,
     "op7_chat": op7_chat,
+    "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_simhash": op10_simhash,
 }
-SQL: dict[str, str] = {"op7_chat": OP7_SQL}
+SQL: dict[str, str] = {"op2_license": licenses.scan_sql(), "op7_chat": OP7_SQL}
