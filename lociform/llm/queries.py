@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociform.llm import chat, compression, decontamination, licenses, mixing, pii, rules, simhash, toxicity
+from lociform.llm import chat, compression, decontamination, licenses, maxent, mixing, pii, rules, simhash, toxicity
 from lociform.llm.common import fold, prepare, table
 
 
@@ -78,6 +78,11 @@ def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(documents, model, ["doc_id"]).select("doc_id", *rules.BASE, "base_failed", "kept")
 
 
+def op5_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under the language model, beside that under token frequencies."""
+    return maxent.score(table(spark, sf_dir, "documents"), fold("doc_id", 5) == 1)
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: counts and digest of base spans, and all spans."""
     found = pii.detect(table(spark, sf_dir, "documents"), ["doc_id"])
@@ -99,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license": op2_license,
     "op3_compression": op3_compression,
     "op4_rules": op4_rules,
+    "op5_maxent": op5_maxent,
     "op6_pii": op6_pii,
     "op7_chat": op7_chat,
     "op8_toxicity": op8_toxicity,
