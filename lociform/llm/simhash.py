@@ -231,3 +231,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.join(named, "root").select("fp", "component_id")
     return docs.join(classes, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
+    """df with one row of each component: that of the smallest id, then of the smallest hash of its text.
+
+    Null ids come last; of rows equal in id and text one stays.
+    """
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))
+    keyed = df.withColumn("_key", key)
+    classes = near_duplicates(keyed.select("_key", text_col), "_key", text_col, width, radius)
+    kept = materialise(classes.where(F.col("_key") == F.col("component_id")).groupBy("_key").count(), "simhash-kept")
+    out = keyed.join(kept.select("_key").hint("shuffle_hash"), "_key", "left_semi")
+    if not kept.where("count > 1").isEmpty():
+        out = out.dropDuplicates(["_key"])
+    return out.select(df.columns)
