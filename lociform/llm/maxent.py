@@ -180,22 +180,25 @@ class Weights:
         return cls(by_class, by_token)
 
 
+_ONES = {n: np.ones((n, 1), np.float32) for n in (CLASSES, WIDTH)}
+
+
 def softmax(scores: np.ndarray) -> np.ndarray:
-    scores -= scores.max(axis=1, keepdims=True)
+    np.clip(scores, -60, 60, out=scores)
     np.exp(scores, out=scores)
-    scores /= scores.sum(axis=1, keepdims=True)
+    scores /= scores @ _ONES[scores.shape[1]]
     return scores
 
 
 def factors(w: Weights, codes: np.ndarray, context: np.ndarray, classes: np.ndarray, in_head: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Class and token distributions at each position (tokens only at in_head)."""
-    s = w.by_class[context[:, 0]]
+    s = np.take(w.by_class, context[:, 0], axis=0)
     for k in range(1, context.shape[1]):
-        s += w.by_class[context[:, k]]
+        s += np.take(w.by_class, context[:, k], axis=0)
     s += w.by_class[-1]
-    t = w.by_token[inner[:, 0]]
+    t = np.take(w.by_token, inner[:, 0], axis=0)
     for k in range(1, inner.shape[1]):
-        t += w.by_token[inner[:, k]]
+        t += np.take(w.by_token, inner[:, k], axis=0)
     return softmax(s), softmax(t)
 
 
@@ -209,14 +212,30 @@ def prepared(text_codes: list[np.ndarray]) -> tuple[np.ndarray, ...]:
     return codes, context, classes, in_head, own[in_head]
 
 
+def summed_by(rows: np.ndarray, gradient: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of rows (n, k) and for each the sum of its positions' gradients (n, width)."""
+    flat = rows.astype(np.int16).ravel(order="F")
+    at = np.argsort(flat, kind="stable")
+    which = flat[at]
+    at %= len(rows)
+    starts = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
+    ends = np.append(starts[1:], len(which))
+    sums = np.take(gradient, at[starts], axis=0)
+    # the second positions of all rows together, then the third ones; what is longer is summed row by row
+    live = np.flatnonzero(ends - starts > 1)
+    for k in range(1, 16):
+        if not len(live):
+            break
+        sums[live] += np.take(gradient, at[starts[live] + k], axis=0)
+        live = live[ends[live] - starts[live] > k + 1]
+    for j in live.tolist():
+        sums[j] += np.take(gradient, at[starts[j] + 16 : ends[j]], axis=0).sum(axis=0)
+    return which[starts].astype(np.int64), sums
+
+
 def add_rows(total: np.ndarray, squares: np.ndarray, rows: np.ndarray, gradient: np.ndarray, rate: float) -> None:
     """An Adagrad step of the weight rows that rows (n, k) name, each by the sum of its positions' gradients."""
-    flat = rows.ravel(order="F")
-    at = np.argsort(flat, kind="stable")
-    ordered = flat[at]
-    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    sums = np.add.reduceat(gradient[at % len(rows)], starts, axis=0)
-    which = ordered[starts]
+    which, sums = summed_by(rows, gradient)
     squares[which] += np.einsum("ij,ij->i", sums, sums) / sums.shape[1]
     total[which] -= rate * sums / np.sqrt(squares[which] + 1.0)[:, None]
 
