@@ -1,8 +1,8 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 Features are the distinct character n-grams of a whole lower-cased text, hashed into 2**bits buckets.
-Over all labelled documents of the training folds Spark counts in how many documents of either class a
-bucket occurs.  Its log ratio r, smoothed, scales the feature; buckets in fewer than ``least``
+Over at most ``counted`` labelled documents of either class, spread by a hash of the id over the training
+folds, Spark counts in how many a bucket occurs.  Its log ratio r, smoothed, scales the feature; buckets in fewer than ``least``
 documents, or whose ratio is within ``sigmas`` of chance, get weight zero.  A logistic regression over
 the scaled features, fitted on a bounded sample, gives weights and a calibrated score.
 
@@ -128,14 +128,17 @@ def logistic(x: list[np.ndarray], scale: np.ndarray, y: np.ndarray, weight: np.n
     return w, float(b)
 
 
-def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 3000, bits: int = BITS, least: int = 5, sigmas: float = 5.0, most: int = 4000) -> Linear:
-    """Counts over all labelled rows outside the left-out fold; weights from a bounded sample of them."""
+def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", counted: int = 20_000, per_class: int = 3000, bits: int = BITS, least: int = 5, sigmas: float = 5.0, most: int = 4000) -> Linear:
+    """Counts over at most counted, weights from at most per_class documents of either class outside the left-out fold.
+
+    Only the ids of the samples are broadcast (2 * counted rows); no text is shuffled.
+    """
     prepare(documents.sparkSession)
     empty = np.zeros(1 << bits, np.float64)
-    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (fold("doc_id", 4) != 2))
-    known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
-    counts, docs = class_counts(documents.select("doc_id", "text").join(known, "doc_id"), bits)
-    share = float((docs[1] + 0.5) / (docs.sum() + 1))
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (fold("doc_id", 4) != 2))
+    n, ones = known.agg(F.count("*"), F.sum(F.col(label).cast("long"))).first()
+    share = ((ones or 0) + 0.5) / (n + 1)
+    counts, docs = class_counts(labelled_sample(documents, labels, label, counted), bits)
     if not docs.all():
         return Linear(empty, float(np.log(share / (1 - share))), bits)
     r = ratios(counts, docs, least, sigmas, most)
