@@ -1,7 +1,8 @@
 r"""Personal data by weak supervision: labelers vote on candidate spans, EM weighs the labelers.
 
 Candidates are the matches of strict patterns (base spans: e-mail, IP, card, phone) and of wider ones
-(spelled-out e-mail, IPv6, 15-digit or dotted cards, national phone numbers) that overlap no base span.
+(spelled-out e-mail, IPv6, cards and phone numbers that a longer run of digits hides from the strict
+patterns, 15-digit or dotted cards, national phone numbers) that overlap no base span.
 Five labelers vote 1, -1 or 0 on each: pattern, checksum or shape, gazetteer (top-level domains, address
 ranges, issuer prefixes, dialling codes), words of the context, and the characters at the borders.
 Expectation-maximisation over the counts of vote patterns estimates each labeler's reliability; its
@@ -40,8 +41,8 @@ BASE = {
 WIDE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: ?\(at\) ?| ?\[at\] ?| at )[A-Za-z0-9-]++(?:(?: ?\(dot\) ?| ?\[dot\] ?| dot )[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Za-z:])",
-    "card": r"(?<![0-9.])[0-9]{4}(?:\.[0-9]{4}){3}(?![0-9.])|(?<![0-9])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])",
+    "card": r"(?<![0-9])[0-9]{16}(?![0-9])|(?<![0-9.])[0-9]{4}(?:\.[0-9]{4}){3}(?![0-9.])|(?<![0-9])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9])",
+    "phone": r"(?<![0-9A-Za-z+(])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])",
 }
 #: Gazetteers.
 TLDS = "com org net edu gov mil int info biz io dev app de fr es uk us eu ch at it nl be pl pt se no dk fi ie ca au nz jp cn in br mx ru".split()
@@ -143,8 +144,12 @@ def candidates(df: DataFrame, text_col: str = "text") -> DataFrame:
     # one-argument functions: a second one would get the position
     strict = F.concat(*(F.transform(F.filter(f"_b_{k}", partial(valid, k)), partial(spans, True, k)) for k in KINDS))
     df = df.withColumn("_strict", strict).drop(*(f"_b_{k}" for k in KINDS))
-    free = lambda x: ~F.exists("_strict", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    wide = F.concat(*(F.transform(F.filter(f"_w_{k}", free), partial(spans, False, k)) for k in KINDS))
+
+    def free(k: str, x: Column) -> Column:
+        good = F.when(F.length(digits(x)).between(13, 19), luhn(digits(x))).otherwise(False) if k == "card" else F.lit(True)
+        return good & ~F.exists("_strict", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+
+    wide = F.concat(*(F.transform(F.filter(f"_w_{k}", partial(free, k)), partial(spans, False, k)) for k in KINDS))
     return df.withColumn("_spans", F.concat("_strict", wide)).drop("_strict", *(f"_w_{k}" for k in KINDS))
 
 
