@@ -4,7 +4,8 @@ A text is cut into lines and into paragraphs (lines without a blank line between
 lower-cased, what is neither letter nor digit becomes a space, and its distinct word bigrams are
 compared with those of each template: dice = 2 |a & b| / (|a| + |b|).  As |a & b| is at most the smaller
 of both, a passage of n bigrams can only reach the threshold t at templates of t n / (2 - t) to
-(2 - t) n / t bigrams; all others are pruned before any comparison.  Passages whose bigrams, repeats
+(2 - t) n / t bigrams; all others are pruned before any comparison.  So are passages, and documents, that
+have none of the words without which no template's share of bigrams can be met.  Passages whose bigrams, repeats
 included, exceed the largest template's bound are pruned before their bigrams are even made.
 
 The templates are a short fixed list that travels inside the plan; there is no join and no shuffle but
@@ -17,6 +18,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -46,6 +48,26 @@ def bigrams_of(text: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:])))
 
 
+#: Words too common to tell a licence by.
+COMMON = frozenset("a an and any as at be by can for has if in is it may no not of on one or that the this to under use was with without you".split())
+
+
+def telling_words(own: list[str], threshold: float) -> set[str]:
+    """Words of which a passage that reaches the threshold has at least one, longest first.
+
+    Such a passage has at least t / (2 - t) of the template's bigrams.  Without any of these words it
+    would lack more than the rest.
+    """
+    spare = len(own) - math.ceil(len(own) * threshold / (2 - threshold) - 1e-9)
+    found: set[str] = set()
+    words = sorted({w for b in own for w in b.split()}, key=lambda w: (w in COMMON, -len(w), w))
+    for w in words:
+        if sum(any(x in found for x in b.split()) for b in own) > spare:
+            break
+        found.add(w)
+    return found
+
+
 def bigrams(passage: Column) -> Column:
     """Distinct word bigrams of a passage, all letters and digits kept."""
     words = F.filter(F.split(F.regexp_replace(F.lower(passage), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
@@ -59,8 +81,10 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
     sizes = [len(b) for _, b in known if b]
     low, high = min(sizes) * threshold / (2 - threshold), max(sizes) * (2 - threshold) / threshold
     lines, paragraphs = F.split(text_col, "\n"), F.split(text_col, r"\n[ \t\r]*\n")
-    passages = df.select(F.col(id_col).alias(id_col), F.explode(F.array_distinct(F.concat(lines, paragraphs))).alias("passage"))
-    near = passages.where(F.length("passage") >= 2 * low).withColumn("n_words", F.regexp_count("passage", F.lit(r"[\p{L}\p{N}]+")))
+    words = sorted(set().union(*(telling_words(b, threshold) for _, b in known if b)))
+    telling = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(map(re.escape, words))})(?![\p{{L}}\p{{N}}])"
+    passages = df.where(F.lower(text_col).rlike(telling)).select(F.col(id_col).alias(id_col), F.explode(F.array_distinct(F.concat(lines, paragraphs))).alias("passage"))
+    near = passages.where(F.lower("passage").rlike(telling)).withColumn("n_words", F.regexp_count("passage", F.lit(r"[\p{L}\p{N}]+")))
     near = near.where((F.col("n_words") - 1).between(low, high)).withColumn("bigrams", bigrams(F.col("passage"))).withColumn("n", F.size("bigrams"))
     near = near.drop("passage")
     compared = []
