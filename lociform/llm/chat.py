@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -133,8 +134,7 @@ def canonical_turns(record: Column, mappings: tuple[Mapping, ...] = MAPPINGS) ->
             continue
         read = F.from_json(record, json_schema(m))
         if m.items:
-            listed, role, text = m.items
-            turns = F.transform(read[listed], lambda x, r=role, t=text, m=m: _turn(_renamed(x[r], m), x[t]))
+            turns = F.transform(read[m.items[0]], partial(_item, m))
         else:
             texts = []
             for role, path in m.turns:
@@ -156,6 +156,11 @@ def _renamed(role: Column, m: Mapping) -> Column:
     return role
 
 
+def _item(m: Mapping, x: Column) -> Column:
+    _, role, text = m.items
+    return _turn(_renamed(x[role], m), x[text])
+
+
 def _turn(role: Column, text: Column) -> Column:
     return F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 

@@ -123,14 +123,14 @@ def hash_order(doc_id: int) -> int:
     return (int(doc_id) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
 
 
-def score(documents: DataFrame, model: Compressors, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns named in keep and score, the calibrated probability of label 1."""
+def score(documents: DataFrame, model: Compressors, keep: list[str], text_col: str = "text", out_col: str = "score") -> DataFrame:
+    """The columns named in keep and out_col, the calibrated probability of label 1."""
     prepare(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             values = pa.array(model.scores(b.column(len(keep)).cast(pa.binary()).to_pylist()))
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(keep))), values], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(keep))), values], [*keep, out_col])
 
-    schema = StructType([*(documents.schema[c] for c in keep), StructField("score", DoubleType())])
+    schema = StructType([*(documents.schema[c] for c in keep), StructField(out_col, DoubleType())])
     return documents.select(*keep, F.col(text_col).alias("_scored")).mapInArrow(run, schema)
