@@ -53,3 +53,27 @@ def dataset_by_locus(variants: DataFrame, loci: DataFrame) -> DataFrame:
 def best_dataset(by_dataset: DataFrame) -> DataFrame:
     """The dataset with the strongest lead in each locus; ties by number."""
     return by_dataset.groupBy("locus").agg(F.min_by(F.struct("ds", "z"), F.struct((-F.col("z")).alias("s"), F.col("ds"))).alias("b"), F.count("*").alias("n_datasets")).select("locus", F.col("b.ds").alias("ds"), F.col("b.z").alias("z"), "n_datasets")
+
+
+def shared_pairs(members: DataFrame, item: str, group: str, k: int, least: int = 2) -> DataFrame:
+    """The k pairs of items that share most groups (a top-k report): (a, b, n), ties by a, then b.
+
+    An item's groups (numbers from 0 to 62) are a bit set.  Items of equal bit sets form classes, of
+    which only the first k + 1 items can be in the report; and only pairs of classes that share as many
+    groups as the k-th pair does are joined.  So pairs within a group are never all made.
+    """
+    sets = members.select(F.col(item).alias("item"), F.col(group).alias("g")).distinct().groupBy("item").agg(F.sum(F.expr("shiftleft(1L, cast(g as int))")).alias("mask"))
+    classes = sets.groupBy("mask").agg(F.count("*").alias("c"))
+    x, y = classes.select(F.col("mask").alias("ma"), F.col("c").alias("ca")), classes.select(F.col("mask").alias("mb"), F.col("c").alias("cb"))
+    both = x.join(y, F.col("ma") <= F.col("mb")).withColumn("n", F.bit_count(F.col("ma").bitwiseAND(F.col("mb")))).where(F.col("n") >= least)
+    made = F.when(F.col("ma") == F.col("mb"), F.col("ca") * (F.col("ca") - 1) / 2).otherwise(F.col("ca").cast("double") * F.col("cb"))
+    level, seen = least, 0.0
+    for r in both.groupBy("n").agg(F.sum(made).alias("pairs")).orderBy(F.desc("n")).collect():  # as many rows as groups
+        level, seen = r.n, seen + r.pairs
+        if seen >= k:
+            break
+    first = sets.withColumn("r", F.row_number().over(Window.partitionBy("mask").orderBy("item"))).where(F.col("r") <= k + 1).drop("r")
+    wanted = both.where(F.col("n") >= level).select("ma", "mb", "n")
+    pairs = first.withColumnsRenamed({"item": "x", "mask": "ma"}).join(wanted, "ma").join(first.withColumnsRenamed({"item": "y", "mask": "mb"}), "mb")
+    pairs = pairs.where((F.col("ma") != F.col("mb")) | (F.col("x") < F.col("y")))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.col("n").cast("long").alias("n")).orderBy(F.desc("n"), "a", "b").limit(k)

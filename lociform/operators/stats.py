@@ -22,12 +22,12 @@ def one_way_anova(df: DataFrame, keys: list[str], group: str, value: str) -> Dat
     Null f with fewer than two groups or no more values than groups.
     """
     v = F.col(value)
-    per = df.where(v.isNotNull()).groupBy(*keys, group).agg(F.count("*").alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q"))
-    out = per.groupBy(*keys).agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"))
-    between, inside = F.col("b") - F.col("s") * F.col("s") / F.col("n"), F.greatest(F.lit(0.0), F.col("q") - F.col("b"))
-    enough = (F.col("k") >= 2) & (F.col("n") > F.col("k"))
-    f = F.when(inside > 0, between / (F.col("k") - 1) / (inside / (F.col("n") - F.col("k")))).when(between > 0, F.lit(float("inf"))).otherwise(F.lit(0.0))
-    return out.select(*keys, F.col("k").alias("n_groups"), "n", F.when(enough, f).alias("f"))
+    per = df.where(v.isNotNull()).groupBy(*keys, group).agg(F.count("*").alias("_n"), F.sum(v).alias("_s"), F.sum(v * v).alias("_q"))
+    out = per.groupBy(*keys).agg(F.count("*").alias("n_groups"), F.sum("_n").alias("n"), F.sum("_s").alias("_s"), F.sum("_q").alias("_q"), F.sum(F.col("_s") * F.col("_s") / F.col("_n")).alias("_b"))
+    k, n = F.col("n_groups"), F.col("n")
+    between, inside = F.col("_b") - F.col("_s") * F.col("_s") / n, F.greatest(F.lit(0.0), F.col("_q") - F.col("_b"))
+    f = F.when(inside > 0, between / (k - 1) / (inside / (n - k))).when(between > 0, F.lit(float("inf"))).otherwise(F.lit(0.0))
+    return out.select(*keys, "n_groups", "n", F.when((k >= 2) & (n > k), f).alias("f"))
 
 
 def average_rank(partition: list[str], value: Column) -> Column:

@@ -298,14 +298,8 @@ def a12(spark: SparkSession, d: str) -> DataFrame:
 @query("a14_shared_genes", """, s AS (SELECT DISTINCT v.ds, g.gid FROM v JOIN g ON v.chr = g.chr AND v.pos BETWEEN g."start" AND g."end" WHERE v.z > 4.0556e0)
   SELECT a.gid AS gid_a, b.gid AS gid_b, count(*) AS n FROM s a JOIN s b ON a.ds = b.ds AND a.gid < b.gid GROUP BY 1, 2 HAVING count(*) >= 2 ORDER BY n DESC, gid_a, gid_b LIMIT 150""", "v g")
 def a14(spark: SparkSession, d: str) -> DataFrame:
-    """The 150 pairs of genes significant together in most datasets (a top-k report).
-
-    Genes of one dataset meet in pairs, as the report asks; datasets are few and their genes hundreds.
-    """
     found = ranges.points_in(variants(spark, d).where(F.col("z") > loci.SUGGESTIVE), genes(spark, d).select("gid", "chr", "start", "end"))
-    s = found.select("ds", "gid").distinct()
-    pairs = s.alias("a").join(s.alias("b"), "ds").where("a.gid < b.gid").groupBy(F.col("a.gid").alias("gid_a"), F.col("b.gid").alias("gid_b")).agg(F.count("*").alias("n"))
-    return pairs.where("n >= 2").orderBy(F.desc("n"), "gid_a", "gid_b").limit(150)
+    return loci.shared_pairs(found, "gid", "ds", 150).withColumnsRenamed({"a": "gid_a", "b": "gid_b"})
 
 
 @query("a16_mann_whitney", """, t AS (SELECT ds, maf, count(*) AS t, count(*) FILTER (z > 4.0556e0) AS a FROM v GROUP BY 1, 2),
