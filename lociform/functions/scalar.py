@@ -130,3 +130,18 @@ def round4(v: Column) -> Column:
 
 def file_safe(c: Column) -> Column:
     return F.regexp_replace(c, "[^A-Za-z0-9._-]", "_")
+
+
+def fisher_two_sided(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """Exact two-sided p of a 2x2 table: all tables of the margins no likelier than the observed one.
+
+    The sequence runs over the first cell, so its length is that of the smaller margin.
+    """
+    rows, column, total = a + b, a + c, a + b + c + d
+    fact = lambda x: log_gamma(x.cast("double") + 1)
+    weight = lambda x: -(fact(x) + fact(rows - x) + fact(column - x) + fact(total - rows - column + x))
+    cells = F.sequence(F.greatest(F.lit(0).cast("long"), rows + column - total), F.least(rows, column))
+    logs = F.transform(cells, weight)
+    top = F.array_max(logs)
+    mass = lambda keep: F.aggregate(F.filter(logs, keep), F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
+    return mass(lambda x: x <= weight(a) + 1e-9) / mass(lambda x: F.lit(True))

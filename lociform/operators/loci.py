@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -77,3 +78,42 @@ def shared_pairs(members: DataFrame, item: str, group: str, k: int, least: int =
     pairs = first.withColumnsRenamed({"item": "x", "mask": "ma"}).join(wanted, "ma").join(first.withColumnsRenamed({"item": "y", "mask": "mb"}), "mb")
     pairs = pairs.where((F.col("ma") != F.col("mb")) | (F.col("x") < F.col("y")))
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.col("n").cast("long").alias("n")).orderBy(F.desc("n"), "a", "b").limit(k)
+
+
+def distance_pruned(positions: DataFrame, gap: int) -> DataFrame:
+    """Positions of each chromosome kept in order, each at least gap after the last one kept.
+
+    The choice runs along a chromosome; what meets in one task is its distinct positions, bounded by its
+    length, not by the number of rows.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        kept, last = [], None
+        for x in pdf["pos"].sort_values():
+            if last is None or x >= last + gap:
+                kept.append(x)
+                last = x
+        return pd.DataFrame({"chr": pdf["chr"].iloc[0], "pos": kept})
+
+    kind = positions.schema["chr"].dataType.simpleString()
+    return positions.select("chr", F.col("pos").cast("long")).distinct().groupBy("chr").applyInPandas(run, f"chr {kind}, pos long")
+
+
+def clumped(best: DataFrame, reach: int) -> DataFrame:
+    """(chr, pos, lead): strongest first, each lead claims the unclaimed positions within reach of it.
+
+    Positions further apart than reach never meet, so islands of positions are the groups.
+    """
+    rows = islands(best.select("chr", F.col("pos").alias("start"), F.col("pos").alias("end"), F.round("z", 9).alias("z")), reach)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pos, order = pdf["start"].to_numpy(), pdf.sort_values(["z", "start"], ascending=[False, True]).index
+        lead = pd.Series(-1, index=pdf.index)
+        for k in order:
+            if lead[k] < 0:
+                near = (abs(pos - pdf["start"][k]) <= reach) & (lead.to_numpy() < 0)
+                lead[near] = pdf["start"][k]
+        return pd.DataFrame({"chr": pdf["chr"], "pos": pdf["start"], "lead": lead})
+
+    kind = best.schema["chr"].dataType.simpleString()
+    return rows.groupBy("chr", "island").applyInPandas(run, f"chr {kind}, pos long, lead long")

@@ -40,7 +40,7 @@ def query(name: str, sql: str = "", views: str = "") -> Callable:
         if sql:
             heads = ",\n".join(VIEW[k] for k in views.split())
             # text that opens with a comma goes on with the list of common table expressions
-            SQL[name] = f"WITH {heads}{sql}" if heads and sql[0] == "," else f"WITH {heads}\n{sql}" if heads else sql.replace(", ", "WITH ", 1) if sql[0] == "," else sql
+            SQL[name] = f"WITH RECURSIVE {heads}{sql}" if heads and sql[0] == "," else f"WITH {heads}\n{sql}" if heads else sql.replace(", ", "WITH ", 1) if sql[0] == "," else sql
         return f
 
     return add
@@ -429,3 +429,175 @@ def p05(spark: SparkSession, d: str) -> DataFrame:
 @query("u04_uncatalogued_positions", "SELECT gid FROM g WHERE 'rs' || gid NOT IN (SELECT rsid FROM c)", "g c")
 def u04(spark: SparkSession, d: str) -> DataFrame:
     return genes(spark, d).withColumn("rsid", F.concat(F.lit("rs"), F.col("gid").cast("string"))).join(catalog(spark, d).select("rsid").distinct(), "rsid", "left_anti").select("gid")
+
+
+# ---- more joins, windows and programs ---------------------------------------------------------
+
+
+@query("j10_nearest_peak", """SELECT chr, pos, min(greatest(0, k."start" - s.pos, s.pos - k."end")) AS distance FROM (SELECT DISTINCT chr, pos FROM v WHERE z > 5.4513e0) s JOIN k USING (chr) WHERE k.eid = 2 GROUP BY chr, pos""", "v k")
+def j10(spark: SparkSession, d: str) -> DataFrame:
+    v = variants(spark, d).where(F.col("z") > loci.GENOME_WIDE).select("chr", "pos").distinct()
+    return ranges.nearest(v, peaks(spark, d).where("eid = 2"), "peak").where("distance is not null").select("chr", "pos", "distance")
+
+
+@query("j18_rsid_matches", """, db AS (SELECT DISTINCT chr, pos, ea AS ref, nea AS alt, 'rs' || pos AS rsid FROM v WHERE ds = 0)
+  SELECT reason, count(*) AS n FROM (SELECT v.vid, CASE WHEN db.rsid IS NULL THEN 'no_pos' WHEN v.nea = ref AND v.ea = alt THEN 'forward' WHEN v.ea = ref AND v.nea = alt THEN 'reverse' ELSE 'pos_only_allele_mismatch' END AS reason
+  FROM v LEFT JOIN db ON db.chr = v.chr AND db.pos = v.pos WHERE v.ds = 3) GROUP BY reason""", "v")
+def j18(spark: SparkSession, d: str) -> DataFrame:
+    v = variants(spark, d)
+    db = v.where("ds = 0").select("chr", "pos", F.col("ea").alias("ref"), F.col("nea").alias("alt"), F.concat(F.lit("rs"), F.col("pos").cast("string")).alias("rsid")).distinct()
+    m = v.where("ds = 3").join(db, ["chr", "pos"], "left")
+    reason = F.when(F.col("rsid").isNull(), "no_pos").when((F.col("nea") == F.col("ref")) & (F.col("ea") == F.col("alt")), "forward").when((F.col("ea") == F.col("ref")) & (F.col("nea") == F.col("alt")), "reverse").otherwise("pos_only_allele_mismatch")
+    return m.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("j19_first_known_id", "SELECT chr, pos, arg_min(vid, (ds, vid)) AS vid, min(ds) AS ds FROM v WHERE ds > 0 AND NOT EXISTS (SELECT 1 FROM v o WHERE o.ds = 0 AND o.chr = v.chr AND o.pos = v.pos) GROUP BY chr, pos", "v")
+def j19(spark: SparkSession, d: str) -> DataFrame:
+    v = variants(spark, d)
+    left = v.where("ds > 0").join(v.where("ds = 0").select("chr", "pos").distinct(), ["chr", "pos"], "left_anti")
+    return left.groupBy("chr", "pos").agg(F.min_by("vid", F.struct("ds", "vid")).alias("vid"), F.min("ds").alias("ds"))
+
+
+@query("j21_nearest_within", """, s AS (SELECT DISTINCT chr, pos FROM v WHERE ds = 1 AND z > 4.0556e0), l AS (SELECT DISTINCT chr, pos FROM v WHERE ds = 2 AND z > 2.807e0)
+  SELECT s.chr, s.pos, min(abs(s.pos - l.pos)) AS distance FROM s JOIN l ON l.chr = s.chr AND abs(s.pos - l.pos) <= 100000 GROUP BY s.chr, s.pos""", "v")
+def j21(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest annotated position within 100 kb."""
+    v = variants(spark, d)
+    s = v.where((F.col("ds") == 1) & (F.col("z") > loci.SUGGESTIVE)).select("chr", "pos").distinct()
+    marks = v.where((F.col("ds") == 2) & (F.col("z") > 2.807)).select("chr", F.col("pos").alias("start"), F.col("pos").alias("end")).distinct().withColumn("at", F.col("start"))
+    return ranges.nearest(s, marks, "at").where("distance <= 100000").select("chr", "pos", "distance")
+
+
+@query("j26_overlapping_hits", """, x AS (SELECT locus, chr, "start", "end" FROM loci) SELECT a.locus, count(DISTINCT v.ds) AS n_ds, count(*) AS n FROM x a JOIN v ON v.chr = a.chr AND v.pos BETWEEN a."start" - 50000 AND a."end" + 50000 WHERE v.z > 4.0556e0 GROUP BY a.locus""", "v loci")
+def j26(spark: SparkSession, d: str) -> DataFrame:
+    v = variants(spark, d)
+    wide = loci.seed_loci(v).select("locus", "chr", (F.col("start") - 50_000).alias("start"), (F.col("end") + 50_000).alias("end"))
+    return ranges.points_in(v.where(F.col("z") > loci.SUGGESTIVE), wide).groupBy("locus").agg(F.count_distinct("ds").alias("n_ds"), F.count("*").alias("n"))
+
+
+@query("j27_shared_positions", ", s AS (SELECT DISTINCT ds, chr, pos FROM v WHERE z > 4.0556e0) SELECT a.ds AS a, b.ds AS b, count(*) AS n FROM s a JOIN s b ON a.chr = b.chr AND a.pos = b.pos AND a.ds < b.ds GROUP BY 1, 2", "v")
+def j27(spark: SparkSession, d: str) -> DataFrame:
+    s = variants(spark, d).where(F.col("z") > loci.SUGGESTIVE).select("ds", "chr", "pos").distinct()
+    return s.alias("a").join(s.alias("b"), ["chr", "pos"]).where("a.ds < b.ds").groupBy(F.col("a.ds").alias("a"), F.col("b.ds").alias("b")).agg(F.count("*").alias("n"))
+
+
+@query("a10_attenuation", "SELECT ds, round(CASE WHEN m = 1 THEN NULL ELSE (1.02e0 - 1) / (m - 1) END, 6) AS ratio FROM (SELECT ds, avg(z * z) AS m FROM v GROUP BY ds)", "v")
+def a10(spark: SparkSession, d: str) -> DataFrame:
+    """(intercept - 1) / (mean chi-square - 1) at an intercept of 1.02; null where undefined."""
+    m = variants(spark, d).groupBy("ds").agg(F.avg(F.col("z") * F.col("z")).alias("m"))
+    return m.select("ds", F.round(F.when(F.col("m") != 1, F.lit(1.02 - 1) / (F.col("m") - 1)), 6).alias("ratio"))
+
+
+@query("a15_category_counts", """, i AS (SELECT DISTINCT g.gid, g.biotype FROM g JOIN v ON v.chr = g.chr AND v.pos BETWEEN g."start" AND g."end" WHERE v.z > 5.4513e0)
+  SELECT g.biotype, count(*) AS n_all, count(i.gid) AS n_loci FROM g LEFT JOIN i ON i.gid = g.gid GROUP BY g.biotype""", "v g")
+def a15(spark: SparkSession, d: str) -> DataFrame:
+    """Genes at significant variants by category; the background holds the foreground, as in the report."""
+    g = genes(spark, d)
+    hit = ranges.points_in(variants(spark, d).where(F.col("z") > loci.GENOME_WIDE), g.select("gid", "chr", "start", "end")).select("gid").distinct().withColumn("hit", F.lit(1))
+    return g.join(hit, "gid", "left").groupBy("biotype").agg(F.count("*").alias("n_all"), F.count("hit").alias("n_loci"))
+
+
+@query("a18_tertiles", ", s AS (SELECT ds, list_sort(list(se)) AS l FROM v GROUP BY ds) SELECT ds, round(l[CAST(len(l) // 3 + 1 AS INT)], 6) AS low, round(l[CAST(2 * len(l) // 3 + 1 AS INT)], 6) AS high FROM s", "v")
+def a18(spark: SparkSession, d: str) -> DataFrame:
+    """The values at n/3 and 2n/3 of each dataset in order, from counts of distinct values."""
+    c = variants(spark, d).groupBy("ds", "se").agg(F.count("*").alias("c"))
+    w = Window.partitionBy("ds").orderBy("se").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    c = c.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy("ds")))
+    at = lambda k: F.min(F.when(F.col("upto") > F.floor(F.col("n") * k / 3), F.col("se")))
+    return c.groupBy("ds").agg(F.round(at(1), 6).alias("low"), F.round(at(2), 6).alias("high"))
+
+
+@query("a21_block_sums", """, o AS (SELECT ds, z * z AS y, maf * 100 AS x, (row_number() OVER (PARTITION BY ds ORDER BY chr, pos, vid) - 1) * 200 // count(*) OVER (PARTITION BY ds) AS block FROM v)
+  SELECT ds, block, count(*) AS n, round(sum(x), 4) AS sx, round(sum(y), 4) AS sy, round(sum(x * x), 4) AS sxx, round(sum(x * y), 4) AS sxy FROM o GROUP BY ds, block""", "v")
+def a21(spark: SparkSession, d: str) -> DataFrame:
+    """Sufficient statistics of a weighted regression in 200 blocks of genome order.
+
+    A row's place in its dataset is its place in its chromosome plus the sizes of those before, so the
+    windows over rows are by dataset and chromosome.
+    """
+    v = variants(spark, d)
+    sizes = v.groupBy("ds", "chr").agg(F.count("*").alias("c"))
+    by = Window.partitionBy("ds").orderBy("chr")
+    before = sizes.select("ds", "chr", (F.sum("c").over(by) - F.col("c")).alias("before"), F.sum("c").over(Window.partitionBy("ds")).alias("n"))
+    place = F.row_number().over(Window.partitionBy("ds", "chr").orderBy("pos", "vid")) - 1 + F.col("before")
+    o = v.join(F.broadcast(before), ["ds", "chr"]).withColumn("block", F.floor(place * 200 / F.col("n")).cast("long"))
+    x, y = F.col("maf") * 100, F.col("z") * F.col("z")
+    return o.groupBy("ds", "block").agg(F.count("*").alias("n"), *(F.round(F.sum(c), 4).alias(k) for k, c in (("sx", x), ("sy", y), ("sxx", x * x), ("sxy", x * y))))
+
+
+@query("a22_implied_sizes", "SELECT ds, round(quantile_cont(1e0 / (se * se * 2e0 * maf * (1e0 - maf)), 0.5), 4) AS median_n FROM v WHERE maf >= 0.05e0 GROUP BY ds", "v")
+def a22(spark: SparkSession, d: str) -> DataFrame:
+    implied = F.lit(1.0) / (F.col("se") * F.col("se") * 2.0 * F.col("maf") * (F.lit(1.0) - F.col("maf")))
+    return variants(spark, d).where("maf >= 0.05").groupBy("ds").agg(F.round(F.percentile(implied, 0.5), 4).alias("median_n"))
+
+
+@query("a25_replication", """, b AS (SELECT chr, pos, ds, max(z) AS z FROM v GROUP BY 1, 2, 3) SELECT chr, pos, round(avg(CASE WHEN z > 2.807e0 THEN 1e0 ELSE 0e0 END), 6) AS share, count(*) AS n FROM b GROUP BY chr, pos HAVING max(z) > 5.4513e0""", "v")
+def a25(spark: SparkSession, d: str) -> DataFrame:
+    b = variants(spark, d).groupBy("chr", "pos", "ds").agg(F.max("z").alias("z"))
+    return b.groupBy("chr", "pos").agg(F.round(F.avg((F.col("z") > 2.807).cast("double")), 6).alias("share"), F.count("*").alias("n"), F.max("z").alias("m")).where(F.col("m") > loci.GENOME_WIDE).drop("m")
+
+
+@query("a28_latest_runs", "SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS latest, max(ts) AS at, count(*) AS n FROM events GROUP BY user_id, event_type")
+def a28(spark: SparkSession, d: str) -> DataFrame:
+    """The latest run of each tool (event type) at each locus (user)."""
+    return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("latest"), F.max("ts").alias("at"), F.count("*").alias("n"))
+
+
+@query("w01_downsampled", ", k AS (SELECT ds, vid, z > 3.8906e0 AS s, row_number() OVER (PARTITION BY ds ORDER BY (z > 3.8906e0) DESC, vid * 7919 % 10007, vid) AS r FROM v) SELECT ds, count(*) AS n, count(*) FILTER (s) AS n_significant, CAST(sum(vid % 1000) AS BIGINT) AS mix FROM k WHERE s OR r <= 5000 GROUP BY ds", "v")
+def w01(spark: SparkSession, d: str) -> DataFrame:
+    """All rows below 1e-4 and others in a fixed pseudo-random order up to 5000 (a sampling operator)."""
+    s = F.col("z") > 3.8906
+    w = Window.partitionBy("ds").orderBy(s.desc(), F.col("vid") * 7919 % 10_007, "vid")
+    kept = variants(spark, d).withColumn("s", s).withColumn("r", F.row_number().over(w)).where(F.col("s") | (F.col("r") <= 5000))
+    return kept.groupBy("ds").agg(F.count("*").alias("n"), F.count_if("s").alias("n_significant"), F.sum(F.col("vid") % 1000).alias("mix"))
+
+
+@query("w03_distance_pruned", """, p AS (SELECT DISTINCT chr, pos FROM v), k AS (SELECT chr, min(pos) AS pos FROM p GROUP BY chr
+  UNION ALL SELECT k.chr, (SELECT min(p.pos) FROM p WHERE p.chr = k.chr AND p.pos >= k.pos + 250000) FROM k WHERE k.pos IS NOT NULL) SELECT chr, pos FROM k WHERE pos IS NOT NULL""", "v")
+def w03(spark: SparkSession, d: str) -> DataFrame:
+    """Positions kept greedily, each at least 250 kb after the last kept one."""
+    return loci.distance_pruned(variants(spark, d).select("chr", "pos"), 250_000)
+
+
+@query("w07_lead_windows", """, p AS (SELECT chr, pos, max(z) AS z FROM v GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY chr ORDER BY pos) AS r FROM p), l AS (SELECT chr, arg_min(r, (-round(z, 9), pos)) AS lead FROM r GROUP BY chr)
+  SELECT r.chr, r.pos, r.r - l.lead AS step FROM r JOIN l ON r.chr = l.chr WHERE abs(r.r - l.lead) <= 10""", "v")
+def w07(spark: SparkSession, d: str) -> DataFrame:
+    """The ten positions on either side of each chromosome's lead."""
+    r = loci.best_by_position(variants(spark, d)).withColumn("r", F.row_number().over(Window.partitionBy("chr").orderBy("pos")).cast("long"))
+    lead = r.groupBy("chr").agg(F.min_by("r", F.struct(-F.round("z", 9), "pos")).alias("lead"))
+    return r.join(F.broadcast(lead), "chr").where(F.abs(F.col("r") - F.col("lead")) <= 10).select("chr", "pos", (F.col("r") - F.col("lead")).alias("step"))
+
+
+@query("w15_softmax_scores", """, s AS (SELECT locus, ds, 0.3e0 * z + 0.1e0 * n_suggestive AS s FROM dl) SELECT locus, ds, round(exp(s - max(s) OVER (PARTITION BY locus)) / sum(exp(s - m)) OVER (PARTITION BY locus), 6) AS share FROM (SELECT *, max(s) OVER (PARTITION BY locus) AS m FROM s)""", "v loci dl")
+def w15(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of a linear model as shares within their locus."""
+    v = variants(spark, d)
+    s = loci.dataset_by_locus(v, loci.seed_loci(v)).select("locus", "ds", (F.lit(0.3) * F.col("z") + F.lit(0.1) * F.col("n_suggestive")).alias("lbf"))
+    return finemap.posterior(s, ["locus"]).select("locus", "ds", F.round("pip", 6).alias("share"))
+
+
+@query("p12_meta_analysis", """, b AS (SELECT chr, pos, ds, arg_min(beta, vid) AS beta, arg_min(se, vid) AS se FROM v GROUP BY 1, 2, 3) SELECT chr, pos, count(*) AS n, round(sum(beta / (se * se)) / sum(1 / (se * se)), 6) AS beta, round(sqrt(1 / sum(1 / (se * se))), 6) AS se FROM b GROUP BY chr, pos""", "v")
+def p12(spark: SparkSession, d: str) -> DataFrame:
+    """Inverse-variance weighted meta-analysis over datasets."""
+    b = variants(spark, d).groupBy("chr", "pos", "ds").agg(F.min_by("beta", "vid").alias("beta"), F.min_by("se", "vid").alias("se"))
+    w = F.lit(1.0) / (F.col("se") * F.col("se"))
+    return b.groupBy("chr", "pos").agg(F.count("*").alias("n"), F.round(F.sum(F.col("beta") * w) / F.sum(w), 6).alias("beta"), F.round(F.sqrt(F.lit(1.0) / F.sum(w)), 6).alias("se"))
+
+
+@query("p21_search", "SELECT gid, gene, chr FROM g WHERE contains(lower(gene), '1') AND size > 45", "g")
+def p21(spark: SparkSession, d: str) -> DataFrame:
+    return genes(spark, d).where(F.contains(F.lower("gene"), F.lit("1")) & (F.col("size") > 45)).select("gid", "gene", "chr")
+
+
+@query("p06_clumps")
+def p06(spark: SparkSession, d: str) -> DataFrame:
+    """Greedy clumps: each position at 5e-8 joins the strongest unclaimed one within 250 kb."""
+    best = loci.best_by_position(variants(spark, d).where(F.col("z") > loci.GENOME_WIDE))
+    return loci.clumped(best, 250_000).groupBy("chr", "lead").agg(F.count("*").alias("n"), F.min("pos").alias("start"), F.max("pos").alias("end"))
+
+
+@query("m06_fisher_enrichment")
+def m06(spark: SparkSession, d: str) -> DataFrame:
+    """Two-sided exact p of each mark's 2x2 table."""
+    t = a17(spark, d)
+    return t.select("mark", F.round(S.fisher_two_sided(*(F.col(x) for x in "abcd")), 9).alias("p"))
