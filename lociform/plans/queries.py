@@ -8,14 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lociform.functions import scalar as S
-from lociform.operators import finemap, loci, ranges, stats
+from lociform.operators import finemap, loci, programs, ranges, stats
 from lociform.sources.tables import SQL as VIEW
-from lociform.sources.tables import catalog, genes, peaks, table, variants
+from lociform.sources.tables import catalog, dosages, genes, peaks, table, variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -601,3 +602,99 @@ def m06(spark: SparkSession, d: str) -> DataFrame:
     """Two-sided exact p of each mark's 2x2 table."""
     t = a17(spark, d)
     return t.select("mark", F.round(S.fisher_two_sided(*(F.col(x) for x in "abcd")), 9).alias("p"))
+
+
+_DOSE = """w AS (SELECT a.vec_id AS i, list_transform(range(1, 65), lambda x: CAST(a.embedding[x] AS DOUBLE) + CAST(b.embedding[x] AS DOUBLE) + CAST(c.embedding[x] AS DOUBLE) + CAST(e.embedding[x] AS DOUBLE)) AS d
+  FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 JOIN embeddings c ON c.vec_id = a.vec_id + 2 JOIN embeddings e ON e.vec_id = a.vec_id + 3),
+cen AS (SELECT i, list_transform(d, lambda x: x - list_avg(d)) AS d FROM w), nor AS (SELECT i, list_transform(d, lambda x: x / sqrt(list_dot_product(d, d))) AS d FROM cen),
+ld AS (SELECT a.i, b.i AS j, list_dot_product(a.d, b.d) AS r FROM nor a JOIN nor b ON b.i > a.i AND b.i <= a.i + 3)"""
+VIEW["ld"] = _DOSE
+
+
+@query("p02_linkage", "SELECT i, j, round(r, 6) AS r FROM ld WHERE abs(r) > 0.3", "ld")
+def p02(spark: SparkSession, d: str) -> DataFrame:
+    """Correlations of simulated dosages with the next three variants."""
+    return programs.linkage(dosages(spark, d), "i", "d", 3).where(F.abs("r") > 0.3).select("i", "j", F.round("r", 6).alias("r"))
+
+
+@query("p05b_linkage_check", """, both_ AS (SELECT i, j, r FROM ld UNION ALL SELECT j, i, r FROM ld), n AS (SELECT * FROM both_ WHERE abs(r) > 0.5e0 AND abs(r) < 0.99e0), b AS (SELECT i, arg_max(j, (round(abs(r), 9), -j)) AS j FROM n GROUP BY i),
+  z AS (SELECT vec_id AS i, (vec_id * 37 % 101 - 50) / 20e0 AS z FROM embeddings), t AS (SELECT b.i, b.j, (x.z - n.r * y.z) * (x.z - n.r * y.z) / (1 - n.r * n.r) AS t FROM b JOIN n ON n.i = b.i AND n.j = b.j JOIN z x ON x.i = b.i JOIN z y ON y.i = b.j)
+  SELECT i, j, round(t, 5) AS residual, t > 10.83e0 AS flagged, t > 15.14e0 AS severe FROM t""", "ld")
+def p05b(spark: SparkSession, d: str) -> DataFrame:
+    z = table(spark, d, "embeddings").select(F.col("vec_id").alias("i"), ((F.col("vec_id") * 37 % 101 - 50) / 20.0).alias("z"))
+    return programs.linkage_check(programs.linkage(dosages(spark, d), "i", "d", 3), z).withColumn("residual", F.round("residual", 5))
+
+
+@query("p08_single_effects")
+def p08(spark: SparkSession, d: str) -> DataFrame:
+    """Inclusion probabilities of simulated variants in windows of fifty; every seventeenth has an effect."""
+    x = dosages(spark, d).select(F.floor(F.col("i") / 50).alias("locus"), F.col("i").alias("variant"), F.when(F.col("i") % 17 == 0, 6.0).otherwise((F.col("i") * 37 % 41 - 20) / 20.0).alias("z"), F.col("d").alias("dosages"))
+    return programs.fine_mapped(x, "locus", 10_000).withColumn("pip", F.round("pip", 6))
+
+
+@query("p15_score_regression")
+def p15(spark: SparkSession, d: str) -> DataFrame:
+    """Slope, intercept and jackknife errors for each dataset from its 200 blocks of sums."""
+    b = a21(spark, d)
+    blocks: dict[int, list] = {}
+    for r in b.orderBy("ds", "block").collect():  # 200 rows for each dataset
+        blocks.setdefault(r.ds, []).append((r.n, r.sx, r.sy, r.sxx, r.sxy))
+    rows = [(ds, *(round(x, 6) for x in programs.score_regression(s, 1e6, 1e5))) for ds, s in sorted(blocks.items())]
+    return spark.createDataFrame(rows, "ds int, h2 double, h2_error double, intercept double, intercept_error double")
+
+
+@query("p18_ranked_variants", """, s AS (SELECT locus, ds, (0.8e0 * ((z - 5) / 2)) + 0.3e0 * ((n_suggestive - 1) / 1e0) + 0.1e0 * ((n_rows - 10) / 5e0) AS s FROM dl)
+  SELECT locus, ds, round(s, 6) AS score, row_number() OVER (PARTITION BY locus ORDER BY round(s, 6) DESC, ds) AS rank FROM s""", "v loci dl")
+def p18(spark: SparkSession, d: str) -> DataFrame:
+    v = variants(spark, d)
+    f = loci.dataset_by_locus(v, loci.seed_loci(v))
+    score = programs.linear_scores(f, ["locus"], [("z", 5.0, 2.0, 0.8), ("n_suggestive", 1.0, 1.0, 0.3), ("n_rows", 10.0, 5.0, 0.1)])
+    scored = f.select("locus", "ds", F.round(score, 6).alias("score"))
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("locus").orderBy(F.desc("score"), "ds")).cast("long"))
+
+
+@query("w16_reasons")
+def w16(spark: SparkSession, d: str) -> DataFrame:
+    v = variants(spark, d)
+    f = loci.dataset_by_locus(v, loci.seed_loci(v)).select("locus", "ds", "z", F.col("n_suggestive").cast("double").alias("n_suggestive"), F.col("n_rows").cast("double").alias("n_rows"))
+    return programs.reasons(f, "locus", "ds", [("z", 5.0, 2.0, 0.8), ("n_suggestive", 1.0, 1.0, 0.3), ("n_rows", 10.0, 5.0, 0.1)]).withColumn("gain", F.round("gain", 6))
+
+
+@query("m05_anova_p")
+def m05(spark: SparkSession, d: str) -> DataFrame:
+    a = stats.one_way_anova(variants(spark, d), ["chr"], "ds", "z")
+    return a.select("chr", F.round("f", 6).alias("f"), F.round(programs.f_upper("f", (F.col("n_groups") - 1).cast("double"), (F.col("n") - F.col("n_groups")).cast("double")), 6).alias("p"))
+
+
+@query("p19_dataset_clusters")
+def p19(spark: SparkSession, d: str) -> DataFrame:
+    """Merge heights of the datasets by average linkage of their cosine distances."""
+    pairs = a19(spark, d).collect()  # a row for each two datasets
+    names = sorted({x for r in pairs for x in (r.a, r.b)})
+    m = np.zeros((len(names), len(names)))
+    for r in pairs:
+        m[names.index(r.a), names.index(r.b)] = m[names.index(r.b), names.index(r.a)] = r.distance
+    return spark.createDataFrame([(k, a, b, round(h, 6)) for k, (a, b, h) in enumerate(programs.average_linkage(m))], "step int, a int, b int, height double")
+
+
+@query("j23_trait_orientation", """, x AS (SELECT chr, pos, ea, nea, arg_min(beta, vid) AS beta FROM v WHERE ds = 0 GROUP BY 1, 2, 3, 4), y AS (SELECT chr, pos, nea AS ea, ea AS nea, arg_min(beta, vid) AS beta FROM v WHERE ds = 1 GROUP BY 1, 2, 3, 4)
+  SELECT x.chr, x.pos, round(x.beta, 9) + 0e0 AS beta1, round(CASE WHEN x.ea = y.ea THEN y.beta ELSE -y.beta END, 9) + 0e0 AS beta2 FROM x JOIN y ON x.chr = y.chr AND x.pos = y.pos AND ((x.ea = y.ea AND x.nea = y.nea) OR (x.ea = y.nea AND x.nea = y.ea))""", "v")
+def j23(spark: SparkSession, d: str) -> DataFrame:
+    """Effects of two traits at shared positions, the second turned to the first's allele; others are dropped."""
+    per = variants(spark, d).groupBy("ds", "chr", "pos", "ea", "nea").agg(F.min_by("beta", "vid").alias("beta"))
+    y = per.where("ds = 1").select("chr", "pos", F.col("nea").alias("ea2"), F.col("ea").alias("nea2"), F.col("beta").alias("b2"))
+    kind = S.match_class(F.col("ea2"), F.col("nea2"), F.col("ea"), F.col("nea"))
+    both = per.where("ds = 0").join(y, ["chr", "pos"]).withColumn("kind", kind).where(F.col("kind").isin("FORWARD", "REVERSE"))
+    return both.select("chr", "pos", (F.round("beta", 9) + F.lit(0.0)).alias("beta1"), (F.round(F.when(F.col("kind") == "FORWARD", F.col("b2")).otherwise(-F.col("b2")), 9) + F.lit(0.0)).alias("beta2"))
+
+
+@query("a24_gene_scores", """SELECT g.gid, round(sum(v.z * k.signal), 4) AS score, round(max(k.signal), 6) AS top, count(*) AS n FROM v JOIN k ON k.chr = v.chr AND v.pos BETWEEN k."start" AND k."end" JOIN g ON g.chr = v.chr AND v.pos BETWEEN g."start" AND g."end"
+  WHERE v.z > 4.0556e0 AND k.eid = 3 GROUP BY g.gid""", "v k g")
+def a24(spark: SparkSession, d: str) -> DataFrame:
+    hits = ranges.points_in(variants(spark, d).where(F.col("z") > loci.SUGGESTIVE), peaks(spark, d).where("eid = 3").select("chr", "start", "end", "signal")).drop("start", "end")
+    return ranges.points_in(hits, genes(spark, d).select("gid", "chr", "start", "end")).groupBy("gid").agg(F.round(F.sum(F.col("z") * F.col("signal")), 4).alias("score"), F.round(F.max("signal"), 6).alias("top"), F.count("*").alias("n"))
+
+
+@query("p23_merged_edit", """SELECT chr, "start", "end", row_number() OVER (ORDER BY chr, "start", "end") AS locus FROM (SELECT chr, "start", "end" FROM loci WHERE locus NOT IN (1, 2) UNION ALL SELECT chr, min("start"), max("end") FROM loci WHERE locus IN (1, 2) GROUP BY chr)""", "v loci")
+def p23(spark: SparkSession, d: str) -> DataFrame:
+    return programs.merged(loci.seed_loci(variants(spark, d)), [1, 2])

@@ -60,6 +60,15 @@ def catalog(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def dosages(spark: SparkSession, folder: str) -> DataFrame:
+    """i and d: simulated dosages of 64 people, the sum of four consecutive vectors, so that neighbours are linked."""
+    e = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    out = e.select(F.col("vec_id").alias("i"), F.col("e").alias("d"))
+    for k in (1, 2, 3):
+        out = out.join(e.select((F.col("vec_id") - k).alias("i"), "e"), "i").select("i", F.zip_with("d", "e", lambda a, b: a + b).alias("d"))
+    return out
+
+
 #: The same views for another engine; literals with an exponent are doubles there.
 SQL = {
     "v": """v AS (SELECT *, abs(beta / se) AS z FROM (SELECT CAST((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey % 1000000 AS BIGINT) AS vid, CAST(l_suppkey % 6 AS INT) AS ds,
