@@ -698,3 +698,120 @@ def a24(spark: SparkSession, d: str) -> DataFrame:
 @query("p23_merged_edit", """SELECT chr, "start", "end", row_number() OVER (ORDER BY chr, "start", "end") AS locus FROM (SELECT chr, "start", "end" FROM loci WHERE locus NOT IN (1, 2) UNION ALL SELECT chr, min("start"), max("end") FROM loci WHERE locus IN (1, 2) GROUP BY chr)""", "v loci")
 def p23(spark: SparkSession, d: str) -> DataFrame:
     return programs.merged(loci.seed_loci(variants(spark, d)), [1, 2])
+
+
+# ---- reports ----------------------------------------------------------------------------------
+
+
+@query("f18_disease_groups", "SELECT CASE WHEN trim(p_brand) = '' THEN 'ungrouped' ELSE lower(split_part(p_brand, '#', 1)) END AS disease, count(*) AS n FROM part GROUP BY 1")
+def f18(spark: SparkSession, d: str) -> DataFrame:
+    """Groups by the part of a name before its first mark."""
+    name = F.when(F.trim("brand") == "", "ungrouped").otherwise(F.lower(F.substring_index("brand", "#", 1)))
+    return genes(spark, d).groupBy(name.alias("disease")).agg(F.count("*").alias("n"))
+
+
+@query("j06_nearest_start", """, t AS (SELECT gid, chr, CASE WHEN strand = '+' THEN "start" ELSE "end" END AS tss FROM g), s AS (SELECT vid, chr, pos FROM v WHERE z > 5.4513e0)
+  SELECT s.vid, min(abs(t.tss - s.pos)) AS distance, round(min(log10(1 + abs(t.tss - s.pos))), 6) AS log_distance FROM s JOIN t ON t.chr = s.chr AND abs(t.tss - s.pos) <= 1000000 GROUP BY s.vid""", "v g")
+def j06(spark: SparkSession, d: str) -> DataFrame:
+    """Distance to the nearest strand-aware gene start within 1 Mb."""
+    tss = F.when(F.col("strand") == "+", F.col("start")).otherwise(F.col("end"))
+    t = genes(spark, d).select("gid", "chr", tss.alias("start"), tss.alias("end"))
+    near = ranges.nearest(variants(spark, d).where(F.col("z") > loci.GENOME_WIDE).select("vid", "chr", "pos"), t, "gid").where("distance <= 1000000")
+    return near.select("vid", "distance", F.round(F.log10(F.lit(1) + F.col("distance")), 6).alias("log_distance"))
+
+
+@query("j07_membership_flags", """SELECT v.vid, CAST(EXISTS (SELECT 1 FROM g WHERE g.chr = v.chr AND v.pos BETWEEN g."start" AND g."end") AS INT) AS in_gene,
+  CAST(EXISTS (SELECT 1 FROM k WHERE k.eid = 4 AND k.chr = v.chr AND v.pos BETWEEN k."start" AND k."end") AS INT) AS in_peak FROM v WHERE v.z > 4.0556e0""", "v g k")
+def j07(spark: SparkSession, d: str) -> DataFrame:
+    v = variants(spark, d).where(F.col("z") > loci.SUGGESTIVE).select("vid", "chr", "pos")
+    flag = lambda i, name: ranges.points_in(v, i.select("chr", "start", "end"), "left_semi").select("vid", F.lit(1).alias(name))
+    return v.join(flag(genes(spark, d), "in_gene"), "vid", "left").join(flag(peaks(spark, d).where("eid = 4"), "in_peak"), "vid", "left").select("vid", F.coalesce("in_gene", F.lit(0)).alias("in_gene"), F.coalesce("in_peak", F.lit(0)).alias("in_peak"))
+
+
+@query("j12_best_target", """SELECT l.locus, k.mark, arg_max(k.peak, (k.signal, -k.peak)) AS peak, round(max(k.signal), 6) AS signal FROM loci l JOIN k ON k.chr = l.chr AND k."end" > l."start" - 1 AND k."start" < l."end" WHERE k.eid = 0 GROUP BY 1, 2""", "v loci k")
+def j12(spark: SparkSession, d: str) -> DataFrame:
+    """The strongest element of each mark in each locus; elements are half-open (start, end]."""
+    k = peaks(spark, d).where("eid = 0").select("peak", "mark", "signal", "chr", (F.col("start") + 1).alias("start"), "end")
+    found = ranges.overlapping(loci.seed_loci(variants(spark, d)).select("locus", "chr", "start", "end"), k)
+    return found.groupBy("locus", F.col("mark_b").alias("mark")).agg(F.max_by("peak_b", F.struct("signal_b", -F.col("peak_b"))).alias("peak"), F.round(F.max("signal_b"), 6).alias("signal"))
+
+
+@query("j22_either_order", """, s AS (SELECT DISTINCT chr, pos, nea AS a, ea AS b, pos % 40 / 2e0 AS score FROM v WHERE ds = 4), t AS (SELECT vid, chr, pos, ea, nea FROM v WHERE ds = 5)
+  SELECT t.vid, coalesce(x.score, y.score, 2e0) AS score FROM t LEFT JOIN s x ON x.chr = t.chr AND x.pos = t.pos AND x.a = t.ea AND x.b = t.nea LEFT JOIN s y ON y.chr = t.chr AND y.pos = t.pos AND y.a = t.nea AND y.b = t.ea""", "v")
+def j22(spark: SparkSession, d: str) -> DataFrame:
+    """Annotation scores by position and alleles in either order, one join on the sorted pair; 2 where there is none."""
+    v = variants(spark, d)
+    key = lambda: (F.least("ea", "nea").alias("a"), F.greatest("ea", "nea").alias("b"))
+    s = v.where("ds = 4").select("chr", "pos", *key(), (F.col("pos") % 40 / 2.0).alias("score")).distinct()
+    t = v.where("ds = 5").select("vid", "chr", "pos", *key())
+    return t.join(s, ["chr", "pos", "a", "b"], "left").select("vid", F.coalesce("score", F.lit(2.0)).alias("score"))
+
+
+@query("j24_latest_result", """, r AS (SELECT l_orderkey AS k, arg_max(l_extendedprice, (l_shipdate, l_linenumber, l_extendedprice)) AS value FROM lineitem GROUP BY 1) SELECT c.cid, r.value FROM c LEFT JOIN r ON r.k = c.cid WHERE c.mlogp > 35""", "c")
+def j24(spark: SparkSession, d: str) -> DataFrame:
+    """The latest result of each key, beside every exported row."""
+    r = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("cid")).agg(F.max_by("l_extendedprice", F.struct("l_shipdate", "l_linenumber", "l_extendedprice")).alias("value"))
+    return catalog(spark, d).where("mlogp > 35").select("cid").join(r, "cid", "left")
+
+
+@query("a13_region_anova", """, per AS (SELECT locus, ds, count(*) AS n, sum(z) AS s, sum(z * z) AS q FROM inl GROUP BY 1, 2), tot AS (SELECT locus, count(*) AS k, sum(n) AS n, sum(s) AS s, sum(q) AS q, sum(s * s / n) AS b FROM per GROUP BY locus)
+  SELECT locus, k AS n_groups, CAST(n AS BIGINT) AS n, round(((b - s * s / n) / (k - 1)) / ((q - b) / (n - k)), 4) AS f FROM tot WHERE k >= 2 AND n > k + 3""", "v loci dl")
+def a13(spark: SparkSession, d: str) -> DataFrame:
+    v = variants(spark, d)
+    inside = ranges.points_in(v, loci.seed_loci(v).select("locus", "chr", "start", "end"))
+    return stats.one_way_anova(inside, ["locus"], "ds", "z").where("n_groups >= 2 and n > n_groups + 3").withColumn("f", F.round("f", 4))
+
+
+@query("a23_local_sums", "SELECT locus, round(sum(beta * beta), 6) AS h2, round(sqrt(sum(se * se)), 6) AS error FROM inl GROUP BY locus", "v loci dl")
+def a23(spark: SparkSession, d: str) -> DataFrame:
+    v = variants(spark, d)
+    inside = ranges.points_in(v, loci.seed_loci(v).select("locus", "chr", "start", "end"))
+    return inside.groupBy("locus").agg(F.round(F.sum(F.col("beta") * F.col("beta")), 6).alias("h2"), F.round(F.sqrt(F.sum(F.col("se") * F.col("se"))), 6).alias("error"))
+
+
+@query("a33_failures_after_success", """, e AS (SELECT user_id, event_type, event_type = 'error' AS bad, ts, event_id FROM events), l AS (SELECT user_id, max(ts) FILTER (NOT bad) AS ok, max(ts) FILTER (bad) AS failed FROM e GROUP BY user_id)
+  SELECT user_id, failed FROM l WHERE failed IS NOT NULL AND (ok IS NULL OR failed > ok)""")
+def a33(spark: SparkSession, d: str) -> DataFrame:
+    """Failures that are newer than the last success."""
+    bad = F.col("event_type") == "error"
+    last = table(spark, d, "events").groupBy("user_id").agg(F.max(F.when(~bad, F.col("ts"))).alias("ok"), F.max(F.when(bad, F.col("ts"))).alias("failed"))
+    return last.where(F.col("failed").isNotNull() & (F.col("ok").isNull() | (F.col("failed") > F.col("ok")))).select("user_id", "failed")
+
+
+@query("a37_inventory", "SELECT r_name AS region, n_name AS nation, count(c_custkey) AS n, round(coalesce(sum(c_acctbal), 0), 2) AS balance FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2")
+def a37(spark: SparkSession, d: str) -> DataFrame:
+    """A row for each project (nation) with its counts."""
+    n, r, c = (table(spark, d, x) for x in ("nation", "region", "customer"))
+    per = c.groupBy("c_nationkey").agg(F.count("*").alias("n"), F.sum("c_acctbal").alias("balance"))
+    every = n.join(r, n.n_regionkey == r.r_regionkey).join(per, n.n_nationkey == per.c_nationkey, "left")
+    return every.select(F.col("r_name").alias("region"), F.col("n_name").alias("nation"), F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.round(F.coalesce("balance", F.lit(0.0)), 2).alias("balance"))
+
+
+@query("p28_panel_frequencies", "SELECT i, round(list_sum(list_transform(d, lambda x: abs(x))) / (2 * len(d)), 6) AS freq FROM w", "ld")
+def p28(spark: SparkSession, d: str) -> DataFrame:
+    """Allele frequency of each variant: the sum of its dosages over twice the people."""
+    total = F.aggregate(F.transform("d", lambda x: F.abs(x)), F.lit(0.0), lambda a, x: a + x)
+    return dosages(spark, d).select("i", F.round(total / (F.size("d") * 2), 6).alias("freq"))
+
+
+@query("p09b_artifact_rules", """SELECT vid, CASE WHEN abs(3e0 * beta) > 5e0 * abs(beta - 0.02e0) THEN 'inflated' WHEN beta * (beta - 0.02e0) < 0 AND z < 2.5758e0 THEN 'sign flip' ELSE 'ok' END AS flag FROM v WHERE ds = 2 AND maf > 0.2e0""", "v")
+def p09b(spark: SparkSession, d: str) -> DataFrame:
+    """Flags of joint effects (here three times the marginal) that blow up or turn round."""
+    joint, marginal = F.col("beta"), F.col("beta") - F.lit(0.02)
+    flag = F.when(F.abs(F.lit(3.0) * joint) > F.lit(5.0) * F.abs(marginal), "inflated").when((joint * marginal < 0) & (F.col("z") < 2.5758), "sign flip").otherwise("ok")
+    return variants(spark, d).where("ds = 2 and maf > 0.2").select("vid", flag.alias("flag"))
+
+
+@query("x03_displayed_p", "SELECT cid, CASE WHEN mlogp > 30 THEN '<1e-' || CAST(floor(mlogp) AS INT) ELSE '1e-' || CAST(floor(mlogp) AS INT) END AS p FROM c", "c")
+def x03(spark: SparkSession, d: str) -> DataFrame:
+    whole = F.floor("mlogp").cast("int").cast("string")
+    return catalog(spark, d).select("cid", F.concat(F.when(F.col("mlogp") > 30, "<1e-").otherwise("1e-"), whole).alias("p"))
+
+
+@query("w09_thinned", """, p AS (SELECT chr, pos, row_number() OVER (PARTITION BY chr ORDER BY pos) - 1 AS r, count(*) OVER (PARTITION BY chr) AS n FROM (SELECT DISTINCT chr, pos FROM v)) SELECT p.chr, p.pos FROM p WHERE n <= 20 OR EXISTS (SELECT 1 FROM range(20) t(k) WHERE r = (2 * t.k * (n - 1) + 19) // 38)""", "v")
+def w09(spark: SparkSession, d: str) -> DataFrame:
+    """Twenty positions of each chromosome, evenly by rank, first and last included (a sampling operator)."""
+    w = Window.partitionBy("chr")
+    p = variants(spark, d).select("chr", "pos").distinct().withColumn("r", F.row_number().over(w.orderBy("pos")) - 1).withColumn("n", F.count("*").over(w))
+    wanted = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda k: F.floor((F.lit(2) * k * (F.col("n") - 1) + 19) / 38).cast("int"))
+    return p.where((F.col("n") <= 20) | F.array_contains(wanted, F.col("r"))).select("chr", "pos")
