@@ -1 +1,3 @@
+"""Fixed queries; importing the package registers them all in ``queries.QUERIES``."""
 
+from lociform.plans import queries, regions  # noqa: F401
