@@ -6,7 +6,7 @@ by a window; programs over datasets (tens of them) run on the driver from one sm
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
@@ -19,13 +19,18 @@ from pyspark.sql.window import Window
 # ---- linkage ----------------------------------------------------------------------------------
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once: inlined into a lambda it would be computed for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def centred(df: DataFrame, dosages: str) -> DataFrame:
     """df with its dosage array centred and scaled to length 1; null where it does not vary."""
-    d = F.col(dosages).cast("array<double>")
-    df = df.withColumn("_m", F.aggregate(d, F.lit(0.0), lambda a, x: a + x) / F.size(d))
-    df = df.withColumn("_c", F.transform(d, lambda x: x - F.col("_m")))
-    df = df.withColumn("_l", F.sqrt(F.aggregate("_c", F.lit(0.0), lambda a, x: a + x * x)))
-    return df.withColumn(dosages, F.when(F.col("_l") > 0, F.transform("_c", lambda x: x / F.col("_l")))).drop("_m", "_c", "_l")
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    length = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
+    less_mean = lambda d: bound(total(d) / F.size(d), lambda m: F.transform(d, lambda x: x - m))
+    unit = lambda c: bound(length(c), lambda n: F.when(n > 0, F.transform(c, lambda x: x / n)))
+    return df.withColumn(dosages, bound(F.col(dosages).cast("array<double>"), lambda d: bound(less_mean(d), unit)))
 
 
 def linkage(df: DataFrame, place: str, dosages: str, reach: int) -> DataFrame:
