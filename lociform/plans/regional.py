@@ -47,7 +47,7 @@ def j31b(spark: SparkSession, d: str) -> DataFrame:
 # ---- matched null sets ------------------------------------------------------------------------
 
 
-@query("p20_matched_null", """, l AS (SELECT chr * 100000000 + pos AS id, chr, pos FROM (SELECT DISTINCT chr, pos FROM v WHERE z > 5.4513e0)), u AS (SELECT DISTINCT chr, "start" AS pos FROM g),
+@query("p20_matched_null", """, l AS (SELECT CAST(chr AS BIGINT) * 100000000 + pos AS id, chr, pos FROM (SELECT DISTINCT chr, pos FROM v WHERE z > 5.4513e0)), u AS (SELECT DISTINCT chr, "start" AS pos FROM g),
   t AS (SELECT row_number() OVER (ORDER BY chr, pos) - 1 AS number, chr, pos FROM u), nt AS (SELECT count(*) AS n FROM t),
   o AS (SELECT id, arg_min(l.pos - t.pos, (abs(l.pos - t.pos), t.pos)) AS off FROM l JOIN t USING (chr) GROUP BY id),
   q AS (SELECT id, s, t.chr, t.pos + off AS pos FROM o, range(1, 101) r(s), nt, t WHERE t.number = (id % 1000003 * 7919 + s * 104729 + id % 9973 * s) % nt.n),
