@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lociform.operators.loci import islands
 from lociform.operators.ranges import nearest, points_in
 
 
@@ -21,15 +22,16 @@ def numbered(places: DataFrame) -> DataFrame:
 
 
 def within(points: DataFrame, key: list[str], elements: DataFrame, limits: dict[str, int]) -> DataFrame:
-    """Distinct (key, limit) of points (key, chr, pos) that have an element no further than the limit."""
-    found = []
+    """(key, limit) of points (key, chr, pos) that have an element no further than the limit.
+
+    Widened elements are merged first, so a point meets at most one for each limit.
+    """
+    merged = None
     for name, reach in limits.items():
         wide = elements.select("chr", (F.col("start") - reach).alias("start"), (F.col("end") + reach).alias("end"))
-        found.append(points_in(points.select(*key, "chr", "pos"), wide, "left_semi").select(*key, F.lit(name).alias("limit")))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+        own = islands(wide, 0).groupBy("chr", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("chr", "start", "end", F.lit(name).alias("limit"))
+        merged = own if merged is None else merged.unionByName(own)
+    return points_in(points.select(*key, "chr", "pos"), merged).select(*key, "limit")
 
 
 def matched_null(points: DataFrame, key: str, starts: DataFrame, elements: DataFrame, limits: dict[str, int], sets: int = 1000, draw: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
@@ -47,11 +49,13 @@ def matched_null(points: DataFrame, key: str, starts: DataFrame, elements: DataF
     drawn = at.crossJoin(F.broadcast(n)).select(key, "_off", "_n", F.explode(F.sequence(F.lit(1), F.lit(sets))).alias("set"))
     drawn = drawn.withColumn("number", draw(F.col(key), F.col("set"), F.col("_n")).cast("long"))
     placed = drawn.join(own, "number").select(key, "set", "chr", (F.col("pos") + F.col("_off")).alias("pos"))
-    counts = within(placed, ["set", key], elements, limits).groupBy("set", "limit").agg(F.count("*").alias("c"))
-    seen = within(points.select(key, "chr", "pos"), [key], elements, limits).groupBy("limit").agg(F.count("*").alias("observed"))
+    every = placed.unionByName(points.select(key, F.lit(0).alias("set"), "chr", "pos"))  # set 0 is what was observed
+    counts = within(every, ["set", key], elements, limits).groupBy("limit", "set").agg(F.count("*").alias("c"))
+    # a number for each set
+    by = counts.groupBy("limit").agg(F.coalesce(F.max(F.when(F.col("set") == 0, F.col("c"))), F.lit(0)).alias("observed"), F.collect_list(F.when(F.col("set") > 0, F.col("c"))).alias("_c"))
     names = points.sparkSession.createDataFrame([(x,) for x in limits], "limit string")
-    observed = names.join(seen, "limit", "left").na.fill(0, ["observed"])
-    joined = observed.join(counts, "limit", "left").groupBy("limit", "observed").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("_sum"), F.count_if(F.col("c") >= F.col("observed")).alias("_ge"))
-    # sets without any position near an element have no row: they are as large only where nothing was observed
-    ge = F.when(F.col("observed") == 0, F.lit(sets)).otherwise(F.col("_ge"))
-    return joined.select("limit", "observed", (F.col("_sum") / F.lit(float(sets))).alias("expected"), ((ge + 1) / F.lit(sets + 1.0)).alias("p"))
+    whole = names.join(by, "limit", "left").select("limit", F.coalesce("observed", F.lit(0).cast("long")).alias("observed"), F.coalesce("_c", F.array().cast("array<long>")).alias("_c"))
+    # sets without any position near an element have no number: they are as large only where nothing was observed
+    ge = F.when(F.col("observed") == 0, F.lit(sets)).otherwise(F.size(F.filter("_c", lambda c: c >= F.col("observed"))))
+    total = F.aggregate("_c", F.lit(0).cast("long"), lambda t, c: t + c)
+    return whole.select("limit", "observed", (total / F.lit(float(sets))).alias("expected"), ((ge + 1) / F.lit(sets + 1.0)).alias("p"))

@@ -54,7 +54,7 @@ def j31b(spark: SparkSession, d: str) -> DataFrame:
   m AS (SELECT * FROM (VALUES ('inside', 0), ('kb1', 1000), ('kb10', 10000)) x("limit", reach)), ks AS (SELECT chr, "start", "end" FROM k WHERE eid = 1),
   c AS (SELECT "limit", s, count(*) AS c FROM q, m WHERE EXISTS (SELECT 1 FROM ks WHERE ks.chr = q.chr AND q.pos BETWEEN ks."start" - reach AND ks."end" + reach) GROUP BY 1, 2),
   ob AS (SELECT "limit", count(*) AS observed FROM l, m WHERE EXISTS (SELECT 1 FROM ks WHERE ks.chr = l.chr AND l.pos BETWEEN ks."start" - reach AND ks."end" + reach) GROUP BY 1)
-  SELECT ob."limit", observed, round(sum(c) / 100e0, 6) AS expected, round((1 + count(*) FILTER (c >= observed)) / 101e0, 6) AS p FROM ob JOIN c USING ("limit") GROUP BY 1, 2""", "v g k")
+  SELECT m."limit", coalesce(observed, 0) AS observed, round(coalesce(sum(c), 0) / 100e0, 6) AS expected, round((1 + CASE WHEN coalesce(observed, 0) = 0 THEN 100 ELSE count(*) FILTER (c >= observed) END) / 101e0, 6) AS p FROM m LEFT JOIN ob USING ("limit") LEFT JOIN c USING ("limit") GROUP BY 1, 2""", "v g k")
 def p20(spark: SparkSession, d: str) -> DataFrame:
     """Significant positions near elements of one cell type against a hundred sets matched by distance to gene starts."""
     points = variants(spark, d).where(F.col("z") > loci.GENOME_WIDE).select("chr", "pos").distinct().withColumn("id", F.col("chr").cast("long") * 100_000_000 + F.col("pos"))
