@@ -153,3 +153,70 @@ def u03(spark: SparkSession, d: str) -> DataFrame:
     top = inside.withColumn("k", F.row_number().over(Window.partitionBy("locus", "ds").orderBy(F.desc("z"), "pos"))).where("k <= 3").select("locus", "pos", "ds")
     pairs = top.withColumnRenamed("ds", "ds_a").join(top.withColumnRenamed("ds", "ds_b"), ["locus", "pos"]).where("ds_a < ds_b")
     return pairs.groupBy("locus", "ds_a", "ds_b").agg(F.count("*").alias("n_shared"))
+
+
+# ---- clumps, regression, selections and reports ----------------------------------------------
+
+
+@query("p06b_linked_clumps")
+def p06b(spark: SparkSession, d: str) -> DataFrame:
+    """Clumps by linkage in regions of a hundred variants."""
+    return regional.linked_clumps(simulated(spark, d, 100), "locus", 25, least_r2=0.3)
+
+
+@query("p15b_two_step_regression")
+def p15b(spark: SparkSession, d: str) -> DataFrame:
+    """Two-step weighted regression of each dataset; blocks are stretches of a twentieth of a chromosome here."""
+    v = variants(spark, d).select("ds", (F.col("chr") * 20 + F.floor(F.col("pos") / 500_001)).alias("block"), (F.col("maf") * 100).alias("l2"), (F.col("z") * F.col("z")).alias("chi2"))
+    rows = regional.two_step_regression(v, "ds", "block", "l2", "chi2", 1e6, 1e5)
+    return spark.createDataFrame([(r[0], *(round(x, 6) for x in r[1:])) for r in rows], "ds int, h2 double, h2_error double, intercept double, intercept_error double")
+
+
+@query("p16_joint_selection", """, s AS (SELECT locus, ds, n_significant, z FROM dl WHERE n_significant > 0), n AS (SELECT locus, count(*) AS n FROM s GROUP BY locus HAVING count(*) >= 2)
+  SELECT s.locus, arg_min(ds, (-n_significant, -z, ds)) AS anchor, max(n) AS n_datasets, CASE WHEN count(DISTINCT ds % 2) = 1 THEN 'within' ELSE 'cross' END AS mode FROM s JOIN n USING (locus) GROUP BY s.locus""", "v loci dl")
+def p16(spark: SparkSession, d: str) -> DataFrame:
+    """Loci fit for a joint run: two significant datasets or more, the best supported as anchor, of one category or across."""
+    v = variants(spark, d)
+    s = loci.dataset_by_locus(v, loci.seed_loci(v)).where("n_significant > 0")
+    order = F.struct((-F.col("n_significant")).alias("a"), (-F.col("z")).alias("b"), F.col("ds"))
+    by = s.groupBy("locus").agg(F.min_by("ds", order).alias("anchor"), F.count("*").alias("n_datasets"), F.when(F.count_distinct(F.col("ds") % 2) == 1, "within").otherwise("cross").alias("mode"))
+    return by.where("n_datasets >= 2")
+
+
+@query("p26_identifier_chain", """, db AS (SELECT DISTINCT chr, pos, least(ea, nea) AS lo, greatest(ea, nea) AS hi FROM v WHERE ds = 0), q AS (SELECT DISTINCT chr, pos, least(ea, nea) AS lo, greatest(ea, nea) AS hi FROM v WHERE ds = 3),
+  o AS (SELECT chr, pos, least(ea, nea) AS lo, greatest(ea, nea) AS hi, min(ds) AS ds FROM v WHERE ds IN (1, 2) GROUP BY 1, 2, 3, 4)
+  SELECT CASE WHEN db.chr IS NOT NULL THEN 'local' WHEN o.chr IS NOT NULL THEN 'other file' ELSE 'missing' END AS step, o.ds, count(*) AS n FROM (SELECT q.*, db.chr IS NOT NULL AS hit FROM q LEFT JOIN db USING (chr, pos, lo, hi)) q LEFT JOIN db USING (chr, pos, lo, hi) LEFT JOIN o ON NOT q.hit AND o.chr = q.chr AND o.pos = q.pos AND o.lo = q.lo AND o.hi = q.hi GROUP BY 1, 2""", "v")
+def p26(spark: SparkSession, d: str) -> DataFrame:
+    """Identifiers from the local list, then from the first other file that has them; the rest is missing."""
+    v = variants(spark, d).select("ds", "chr", "pos", F.least("ea", "nea").alias("lo"), F.greatest("ea", "nea").alias("hi"))
+    key = ["chr", "pos", "lo", "hi"]
+    asked = v.where("ds = 3").select(*key).distinct()
+    known = v.where("ds = 0").select(*key).distinct().withColumn("local", F.lit(True))
+    others = v.where("ds in (1, 2)").groupBy(*key).agg(F.min("ds").alias("other"))
+    m = asked.join(known, key, "left").join(others, key, "left")
+    step = F.when(F.col("local"), "local").when(F.col("other").isNotNull(), "other file").otherwise("missing")
+    return m.groupBy(step.alias("step"), F.when(F.col("local").isNull(), F.col("other")).alias("ds")).agg(F.count("*").alias("n"))
+
+
+@query("j25_linkage_by_position", """, l AS (SELECT i // 50 AS region, min(i) AS lead FROM nor GROUP BY 1), r AS (SELECT CAST(b.i % 22 + 1 AS INT) AS chr, b.i * 4999 % 10000000 + 1 AS pos, round(list_dot_product(a.d, b.d) * list_dot_product(a.d, b.d), 6) AS r2 FROM l JOIN nor a ON a.i = l.lead JOIN nor b ON b.i // 50 = l.region)
+  SELECT v.vid, r.r2 FROM v LEFT JOIN r ON r.chr = v.chr AND r.pos = v.pos WHERE v.z > 4.0556e0""", "ld v")
+def j25(spark: SparkSession, d: str) -> DataFrame:
+    """Linkage with a region's lead joined to variants by position; null where the panel lacks them."""
+    i = F.col("variant")
+    linked = p01(spark, d).select((i % 22 + 1).cast("int").alias("chr"), (i * 4999 % 10_000_000 + 1).alias("pos"), "r2")
+    return variants(spark, d).where(F.col("z") > loci.SUGGESTIVE).select("vid", "chr", "pos").join(linked, ["chr", "pos"], "left").select("vid", "r2")
+
+
+@query("s28_matrix_sheet", "SELECT locus, " + ", ".join(f"max(z) FILTER (ds = {k}) AS ds{k}" for k in range(6)) + " FROM dl GROUP BY locus", "v loci dl")
+def s28(spark: SparkSession, d: str) -> DataFrame:
+    """The locus matrix with a column for each dataset, as a sheet has it."""
+    v = variants(spark, d)
+    wide = loci.dataset_by_locus(v, loci.seed_loci(v)).groupBy("locus").pivot("ds", list(range(6))).agg(F.max("z"))
+    return wide.withColumnsRenamed({str(k): f"ds{k}" for k in range(6)})
+
+
+@query("p25_rederived_genes", """, o AS (SELECT l.locus, g.gid FROM loci l JOIN g ON l.chr = g.chr AND l."start" <= g."end" AND l."end" >= g."start") SELECT locus, count(*) AS n_genes, min(gid) AS first_gene FROM o GROUP BY locus""", "v loci g")
+def p25(spark: SparkSession, d: str) -> DataFrame:
+    """The genes of every stored locus, found anew."""
+    found = ranges.overlapping(spans(spark, d), genes(spark, d).select("gid", "chr", "start", "end"))
+    return found.groupBy("locus").agg(F.count("*").alias("n_genes"), F.min("gid_b").alias("first_gene"))

@@ -175,3 +175,27 @@ def test_call_text_scores_and_links(spark, tmp_path):
     assert (a.start_b, a.end_b, a.tss_b) == (130, 232, 526)
     back = genotypes.encoded_links(links).orderBy("start").collect()
     assert [(r.d38, r.dtss38, r.dlen38) for r in back] == [(None, None, None), (30, -4, 2)]
+
+
+def test_linked_clumps(spark):
+    base = [float(x) for x in np.random.default_rng(4).normal(size=50)]
+    other = [float(x) for x in np.random.default_rng(9).normal(size=50)]
+    rows = [(1, 10, 9.0, base), (1, 12, 4.0, base), (1, 13, 6.0, other), (1, 90, 5.0, base), (1, 14, 1.0, base), (2, 1, 4.0, base)]
+    df = spark.createDataFrame(rows, "locus int, variant long, z double, dosages array<double>")
+    assert sorted(map(tuple, regional.linked_clumps(df, "locus", 25).collect())) == [(1, 10, 10), (1, 12, 10), (1, 13, 13)]
+
+
+def test_two_step_regression_recovers(spark):
+    rng = np.random.default_rng(8)
+    size, m, n = 100_000, 1e6, 1e5
+    l2 = rng.gamma(2.0, 40.0, size) + 1
+    rows = []
+    for g, (h2, a) in enumerate([(0.25, 1.0), (0.05, 1.08)]):
+        chi2 = (a + h2 * n / m * l2) * rng.normal(size=size) ** 2
+        rows += [(g, k * 200 // size, float(x), float(y)) for k, (x, y) in enumerate(zip(l2, chi2))]
+    df = spark.createDataFrame(rows, "g int, block int, l2 double, chi2 double")
+    got = regional.two_step_regression(df, "g", "block", "l2", "chi2", m, n, ceiling=1e9)
+    for (_, h2, se, a, ase), (want, intercept) in zip(got, [(0.25, 1.0), (0.05, 1.08)]):
+        assert abs(h2 - want) < 4 * se and 0 < se < 0.05
+        assert abs(a - intercept) < 4 * ase and 0 < ase < 0.1
+    assert regional.two_step_regression(df.limit(0), "g", "block", "l2", "chi2", m, n) == []
