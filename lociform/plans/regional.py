@@ -220,3 +220,43 @@ def p25(spark: SparkSession, d: str) -> DataFrame:
     """The genes of every stored locus, found anew."""
     found = ranges.overlapping(spans(spark, d), genes(spark, d).select("gid", "chr", "start", "end"))
     return found.groupBy("locus").agg(F.count("*").alias("n_genes"), F.min("gid_b").alias("first_gene"))
+
+
+@query("a29_summary_sheet", "SELECT ds, count(*) AS n_rows, count(DISTINCT chr || ':' || pos) AS n_positions, count(*) FILTER (z >= 2.8070337e0) AS n_tier1, count(*) FILTER (z >= 4.0557e0) AS n_tier2, count(*) FILTER (z >= 5.45131e0) AS n_tier3 FROM v GROUP BY ds", "v")
+def a29(spark: SparkSession, d: str) -> DataFrame:
+    """Rows, positions and rows of p <= 5e-3, 5e-5 and 5e-8 of each dataset."""
+    over = lambda least, name: F.count_if(F.col("z") >= least).alias(name)
+    by = variants(spark, d).groupBy("ds")
+    return by.agg(F.count("*").alias("n_rows"), F.count_distinct("chr", "pos").alias("n_positions"), over(2.8070337, "n_tier1"), over(4.0557, "n_tier2"), over(5.45131, "n_tier3"))
+
+
+@query("j02_rows_in_loci", """SELECT l.locus, v.ds, count(*) AS n, min(v.pos) AS first, max(v.pos) AS last FROM v JOIN loci l ON v.chr = l.chr AND v.pos BETWEEN l."start" AND l."end" GROUP BY 1, 2""", "v loci")
+def j02(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of each dataset within the loci as they are, without padding; chromosome labels are made equal first."""
+    label = lambda df: df.withColumn("chr", S.normal_chr(F.col("chr").cast("string")))
+    marked = variants(spark, d).withColumn("chr", F.concat(F.lit("chr"), F.col("chr").cast("string")))
+    inside = ranges.points_in(label(marked).select("chr", "pos", "ds"), label(spans(spark, d)))
+    return inside.groupBy("locus", "ds").agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+
+
+@query("u01_best_of_union", "SELECT chr, pos, arg_min(vid, (-round(z, 9), vid)) AS vid, count(DISTINCT ds) AS n_datasets FROM v WHERE ds IN (0, 1, 4) GROUP BY chr, pos", "v")
+def u01(spark: SparkSession, d: str) -> DataFrame:
+    """Datasets put together, the best row of each position kept."""
+    v = variants(spark, d)
+    together = v.where("ds = 0").unionByName(v.where("ds = 1")).unionByName(v.where("ds = 4"))
+    return together.groupBy("chr", "pos").agg(F.min_by("vid", F.struct((-F.round("z", 9)).alias("s"), F.col("vid"))).alias("vid"), F.count_distinct("ds").alias("n_datasets"))
+
+
+@query("w06_locus_distances", """SELECT locus, CASE WHEN lag("end") OVER w IS NULL THEN 'start' ELSE CAST(greatest(0, "start" - lag("end") OVER w) AS VARCHAR) END AS distance FROM loci WINDOW w AS (PARTITION BY chr ORDER BY "start")""", "v loci")
+def w06(spark: SparkSession, d: str) -> DataFrame:
+    """Distance to the locus before on the chromosome; its first says start."""
+    before = F.lag("end").over(Window.partitionBy("chr").orderBy("start"))
+    return spans(spark, d).select("locus", F.when(before.isNull(), "start").otherwise(F.greatest(F.lit(0).cast("long"), F.col("start") - before).cast("string")).alias("distance"))
+
+
+@query("w13_model_ranks", "SELECT locus, ds, row_number() OVER (PARTITION BY locus ORDER BY n_significant DESC, z DESC, ds) AS rank FROM dl", "v loci dl")
+def w13(spark: SparkSession, d: str) -> DataFrame:
+    """Ranks in a locus by score, then by significance."""
+    v = variants(spark, d)
+    w = Window.partitionBy("locus").orderBy(F.desc("n_significant"), F.desc("z"), "ds")
+    return loci.dataset_by_locus(v, loci.seed_loci(v)).select("locus", "ds", F.row_number().over(w).cast("long").alias("rank"))

@@ -199,3 +199,8 @@ def test_two_step_regression_recovers(spark):
         assert abs(h2 - want) < 4 * se and 0 < se < 0.05
         assert abs(a - intercept) < 4 * ase and 0 < ase < 0.1
     assert regional.two_step_regression(df.limit(0), "g", "block", "l2", "chi2", m, n) == []
+
+
+def test_liability():
+    # half of both: the threshold is 0, where the density is 1 / sqrt(2 pi)
+    assert regional.liability(0.2, 0.5, 0.5) == pytest.approx(0.2 * 0.25 * 2 * math.pi)
