@@ -6,8 +6,10 @@ Two normalised sizes come out: the difference of the compressed sizes for each b
 smaller of them for each byte (repetition).  A logistic curve over these, fitted on labelled rows that
 trained neither dictionary and weighted to the labels' shares, gives the calibrated score.
 
-The model is fitted on at most ``per_class`` labelled texts of either class and ``sample_bytes`` of
-each; everything else reads whole texts of all rows.
+The model is fitted on a bounded sample of at most ``per_class`` labelled documents of either class.  Half of
+them train the dictionaries: of their pieces, whole texts through, a hash picks as many as make about
+``pieces`` of either class.  The sizes of the other half, of whole texts, are computed where the texts lie
+and fit the curve: two numbers a document reach the driver.  Scores read whole texts of all rows.
 
 Edge cases: null and empty texts have normalised sizes 0 and get the curve's value there; without labels of
 both classes every score is the share of label 1 among the labels (0.5 without any); repeated rows each
@@ -22,12 +24,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lociform.llm.common import fold, labelled_sample, prepare
+from lociform.llm.common import label_share, labelled_sample, prepare
 
 LEVEL = 3
 
@@ -83,44 +86,58 @@ def logistic_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: floa
     return tuple(map(float, slopes)), float(w[-1] - slopes @ mean)
 
 
-def train_dictionary(texts: list[bytes], size: int, piece: int) -> bytes:
-    """A dictionary with entropy tables; of few texts, which zstandard refuses, the texts themselves."""
-    pieces = [t[a : a + piece] for t in texts for a in range(0, len(t), piece)]
+def train_dictionary(pieces: list[bytes], size: int) -> bytes:
+    """A dictionary with entropy tables; of few pieces, which zstandard refuses, the pieces themselves."""
     try:
         return zstandard.train_dictionary(size, pieces, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
         return b"".join(pieces)[:size]
 
 
-def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 3000, sample_bytes: int = 8000, dictionary_bytes: int = 1 << 16, piece: int = 1024) -> Compressors:
-    """Half of the sample trains the dictionaries, the other half the curve.
+def sampled_pieces(rows: DataFrame, label: int, piece: int, share: float) -> list[bytes]:
+    """A share of the pieces of all texts of a label, chosen and ordered by a hash of their place."""
 
-    The driver gets at most 2 * per_class texts of sample_bytes: 48 MB at the defaults.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
+                for at in range(0, len(text), piece):
+                    h = xxhash.xxh64_intdigest(f"{doc_id}:{at}")
+                    if h < share * 2.0**64:
+                        found.append((h >> 1, text[at : at + piece]))
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.int64()), pa.array([t for _, t in found], pa.binary())], ["h", "piece"])
+
+    got = rows.where(F.col("label") == label).select("doc_id", "text").mapInArrow(run, "h long, piece binary").toArrow()
+    return [t for _, t in sorted(zip(got.column("h").to_pylist(), got.column("piece").to_pylist()))]
+
+
+def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 3000, pieces: int = 16_000, dictionary_bytes: int = 1 << 16, piece: int = 1024) -> Compressors:
+    """Half of the sampled documents train the dictionaries, the other half the curve.
+
+    The driver gets about 2 * pieces pieces (32 MB at the defaults) and 2 * per_class pairs of numbers.
     """
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (fold("doc_id", 4) != 2))
-    share = known.agg(F.avg(F.col(label).cast("double"))).first()[0]
+    prepare(documents.sparkSession)
+    share = label_share(labels, label)
     share = 0.5 if share is None else share
-    rows = labelled_sample(documents, labels, label, per_class)
-    # of a very long text the sample has a stretch from its middle
-    chars = sample_bytes // 4
-    from_start = F.greatest(F.lit(1), ((F.length("text") - chars) / 2).cast("int"))
-    stretch = F.when(F.octet_length("text") > sample_bytes, F.col("text").substr(from_start, F.lit(chars))).otherwise(F.col("text"))
-    got = [(r.doc_id, r.label, r.text.encode()) for r in rows.select("doc_id", "label", stretch.alias("text")).collect() if r.text]
-    got.sort(key=lambda r: (hash_order(r[0]), r[2]))
+    rows = labelled_sample(documents, labels, label, per_class).where("text <> ''").withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2)))
     model = Compressors(b"", b"", piece, intercept=math.log((share + 1e-3) / (1 - share + 1e-3)))
-    halves = {y: ([t for _, z, t in got if z == y][0::2], [t for _, z, t in got if z == y][1::2]) for y in (0, 1)}
-    if all(len(half) for pair in halves.values() for half in pair):
-        model.good = train_dictionary(halves[1][0], dictionary_bytes, piece)
-        model.bad = train_dictionary(halves[0][0], dictionary_bytes, piece)
-        y = np.repeat([0.0, 1.0], [len(halves[0][1]), len(halves[1][1])])
-        weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
-        model.slopes, model.intercept = logistic_curve(model.sizes(halves[0][1] + halves[1][1]), y, weight)
-    return model
-
+    size = F.sum(F.ceil(F.octet_length("text") / piece))
+    there = {(r.label, r.half): r.n for r in rows.groupBy("label", "half").agg(size.alias("n")).collect()}
+    if len(there) < 4:
+        return model
+    model.good, model.bad = (train_dictionary(sampled_pieces(rows.where("half = 0"), y, piece, pieces / there[y, 0]), dictionary_bytes) for y in (1, 0))
 
-def hash_order(doc_id: int) -> int:
-    """A fixed order that has nothing to do with that of the ids."""
-    return (int(doc_id) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = model.sizes(b.column(2).cast(pa.binary()).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x[:, 0]), pa.array(x[:, 1])], ["doc_id", "label", "gap", "size"])
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    got = sorted(map(tuple, rows.where("half = 1").select("doc_id", "label", "text").mapInArrow(run, f"doc_id {kind}, label int, gap double, size double").collect()))
+    y = np.array([r[1] for r in got], np.float64)
+    weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
+    model.slopes, model.intercept = logistic_curve(np.array([r[2:] for r in got]), y, weight)
+    return model
 
 
 def score(documents: DataFrame, model: Compressors, keep: list[str], text_col: str = "text", out_col: str = "score") -> DataFrame:
