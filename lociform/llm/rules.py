@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from lociform.llm.common import labelled_sample, prepare
+from lociform.llm.common import label_share, labelled_sample, prepare
 
 WINDOW = 8
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
@@ -206,7 +206,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", per_cla
     y = np.array([r[1] for r in got], np.float64)
     if not len(got) or y.min() == y.max():
         return None
-    known = labels.where(F.col(label).isin(0, 1)).agg(F.avg(F.col(label).cast("double"))).first()[0]
+    known = label_share(labels, label)
     weight = np.where(y == 1, known / y.mean(), (1 - known) / (1 - y.mean()))
     x = np.array([r[2:] for r in got], np.float64)
     return grow(x, y, weight, np.array([m for _, m in FEATURES]), **grown)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lociform.llm.common import fold, labelled_sample, prepare
+from lociform.llm.common import label_share, labelled_sample, prepare
 
 ORDERS = (3, 4, 5)
 BITS = 18
@@ -135,9 +135,8 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", counted:
     """
     prepare(documents.sparkSession)
     empty = np.zeros(1 << bits, np.float64)
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (fold("doc_id", 4) != 2))
-    n, ones = known.agg(F.count("*"), F.sum(F.col(label).cast("long"))).first()
-    share = ((ones or 0) + 0.5) / (n + 1)
+    share = label_share(labels, label)
+    share = 0.5 if share is None else min(max(share, 1e-6), 1 - 1e-6)
     counts, docs = class_counts(labelled_sample(documents, labels, label, counted), bits)
     if not docs.all():
         return Linear(empty, float(np.log(share / (1 - share))), bits)
@@ -150,15 +149,16 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", counted:
             found = [picked.chosen(t).astype(np.int32) for t in texts_of(b, 1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "label", "found"])
 
-    got = sorted((x.doc_id, x.label, x.found) for x in rows.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, found array<int>").collect())
+    # Arrow keeps the lists as one flat array
+    got = rows.select("doc_id", "text", "label").mapInArrow(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, label int, found array<int>").toArrow().sort_by("doc_id").combine_chunks()
     at = np.flatnonzero(r)
     place = np.zeros(1 << bits, np.int64)
     place[at] = np.arange(len(at))
-    y = np.array([x[1] for x in got], np.float64)
+    y = got.column("label").to_numpy().astype(np.float64)
     if not len(y) or y.min() == y.max():
         return Linear(empty, float(np.log(share / (1 - share))), bits)
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-    slopes, intercept = logistic([place[np.array(x[2], np.int64)] for x in got], r[at], y, weight, float(np.log(share / (1 - share))))
+    slopes, intercept = logistic([place[x.values.to_numpy()] for x in got.column("found")], r[at], y, weight, float(np.log(share / (1 - share))))
     empty[at] = r[at] * slopes
     return Linear(empty, intercept, bits)
 
