@@ -10,11 +10,12 @@ posteriors are the soft targets of a logistic span classifier over votes, kind a
 spans always stay; a wider candidate stays where the classifier says so.
 
 Everything that touches rows is DataFrame functions.  What the driver sees are the counts of distinct
-(kind, votes, separator) patterns, at most 4 * 3**5 * 2 rows whatever the corpus.
+(kind, votes, separator) patterns, at most 4 * 3**5 * 2 rows whatever the corpus.  Within a text no
+step compares hits with hits: offsets and overlaps come from running sums and maxima.
 
 Offsets are code points, end exclusive.  Edge cases: null and empty texts have no spans; repeated rows
 each get a row; without candidates the classifier rejects nothing and finds nothing; an empty table
-gives an empty result.  Repetitions in patterns are possessive, so that very long runs neither recurse
+gives an empty result; other columns may have any name.  Repetitions in patterns are possessive, so that very long runs neither recurse
 nor backtrack.
 """
 
@@ -26,7 +27,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociform.llm.common import materialise
+from lociform.llm.common import between, materialise, running, utf32
 
 KINDS = ("email", "ip", "card", "phone")
 #: The strict patterns, leftmost matches without overlap.  \G and the lookbehinds only
@@ -56,21 +57,36 @@ FOR = {
 }
 AGAINST = r"(?i)\b(?:version|release|isbn|issn|doi|token|password|hash|serial|order|invoice|build|section|chapter)\b"
 LABELERS = ("v_pattern", "v_shape", "v_gazetteer", "v_context", "v_border")
-_LOCATED = "array<struct<start:int,end:int,hit:string,before:string,after:string>>"
+#: Texts without any of these have no candidates.
+WORTH_A_LOOK = r"[0-9@]|\(dot\)|\[dot\]| dot |(?:[A-Fa-f]{1,4}:){7}"
 
 
-def located(pieces: Column, hits: Column) -> Column:
-    """(start, end, hit, 24 characters before, 1 after) of each hit, from the text split at the hits."""
-    rows = F.arrays_zip(pieces.alias("p"), hits.alias("h"), F.slice(pieces, F.lit(2), F.greatest(F.size(pieces), F.lit(1))).alias("n"))
+def located(df: DataFrame, patterns: dict[str, str], text: str = "text") -> DataFrame:
+    """df with a column for each pattern: (start, end, hit, 24 characters before, 1 after) of each of its hits in the text."""
+    df = df.withColumns({f"{n}_p": F.split(text, rx, -1) for n, rx in patterns.items()} | {f"{n}_h": F.regexp_extract_all(text, F.lit(rx), F.lit(0)) for n, rx in patterns.items()})
+    df = running(df, {n: F.zip_with(F.slice(f"{n}_p", F.lit(1), F.size(f"{n}_h")), f"{n}_h", lambda p, h: F.length(p) + F.length(h)) for n in patterns})
 
-    def step(acc: Column, x: Column) -> Column:
-        start = (acc["at"] + F.length(x["p"])).cast("int")
-        end = (start + F.length(x["h"])).cast("int")
-        one = F.struct(start.alias("start"), end.alias("end"), x["h"].alias("hit"), F.right(x["p"], F.lit(24)).alias("before"), F.left(x["n"], F.lit(1)).alias("after"))
-        return F.struct(F.coalesce(end, acc["at"]).alias("at"), F.concat(acc["out"], F.when(x["h"].isNotNull(), F.array(one)).otherwise(F.array().cast(_LOCATED))).alias("out"))
+    def one(x: Column) -> Column:
+        start = (x["at"] + F.length(x["p"])).cast("int")
+        return F.struct(start.alias("start"), (start + F.length(x["h"])).cast("int").alias("end"), x["h"].alias("hit"), F.right(x["p"], F.lit(24)).alias("before"), F.left(x["n"], F.lit(1)).alias("after"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_LOCATED).alias("out"))
-    return F.aggregate(rows, zero, step)["out"]
+    def rows(n: str) -> Column:
+        pieces, hits = F.col(f"{n}_p"), F.col(f"{n}_h")
+        return F.arrays_zip(F.slice(pieces, F.lit(1), F.size(hits)).alias("p"), hits.alias("h"), F.slice(pieces, F.lit(2), F.size(hits)).alias("n"), F.col(n).alias("at"))
+
+    return df.withColumns({n: F.transform(rows(n), one) for n in patterns}).drop(*(f"{n}_{x}" for n in patterns for x in "ph"))
+
+
+def apart(df: DataFrame) -> DataFrame:
+    """df with wide left with those spans that overlap none in strict; both by start, seen from either side."""
+    marked = lambda spans, base: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(base).alias("base"), s.alias("span")))
+    both = F.when((F.size("strict") > 0) & (F.size("wide") > 0), F.array_sort(F.concat(marked(F.col("strict"), True), marked(F.col("wide"), False))))
+    df = df.withColumn("both", both)
+    none = F.lit(-1)
+    df = running(df, {"ends": F.transform("both", lambda x: F.when(x["base"], x["end"]).otherwise(none)), "starts": F.transform(F.reverse("both"), lambda x: F.when(x["base"], -x["start"]).otherwise(-2147483647))}, greatest=True)
+    rows = F.arrays_zip(F.col("both").alias("x"), F.col("ends").alias("end"), F.reverse("starts").alias("start"))
+    free = F.filter(rows, lambda r: ~r["x"]["base"] & (r["end"] <= r["x"]["start"]) & (-r["start"] >= r["x"]["end"]))
+    return df.withColumn("wide", F.when(F.col("both").isNull(), F.col("wide")).otherwise(F.transform(free, lambda r: r["x"]["span"]))).drop("both", "ends", "starts")
 
 
 def digits(x: Column) -> Column:
@@ -129,28 +145,22 @@ def votes(kind: str, x: Column, strict: bool) -> list[Column]:
     return [F.lit(1 if strict else 0), shape, known, context, border]
 
 
-def candidates(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """df with _spans: an array of (kind, start, end, base, the votes, sep), by kind, base first."""
-    text = F.when(F.col(text_col).rlike(r"[0-9@]|\(dot\)|\[dot\]| dot "), F.col(text_col)).otherwise("")
-    df = df.withColumn("_text", text)
-    patterns = {("b", k): BASE[k] for k in KINDS} | {("w", k): WIDE[k] for k in KINDS}
-    df = df.withColumns({f"_{a}p_{k}": F.split("_text", rx, -1) for (a, k), rx in patterns.items()} | {f"_{a}h_{k}": F.regexp_extract_all("_text", F.lit(rx), F.lit(0)) for (a, k), rx in patterns.items()})
-    df = df.withColumns({f"_{a}_{k}": located(F.col(f"_{a}p_{k}"), F.col(f"_{a}h_{k}")) for a, k in patterns}).drop(*(f"_{a}{x}_{k}" for a, k in patterns for x in "ph"), "_text")
+def candidates(df: DataFrame, text: Column, keep: Column) -> DataFrame:
+    """(row, spans): keep, and an array of (kind, start, end, base, the votes, sep), by kind, base first."""
+    df = df.select(keep.alias("row"), F.when(text.rlike(WORTH_A_LOOK), text).otherwise("").alias("text"))
+    df = located(df, {f"b_{k}": BASE[k] for k in KINDS} | {f"w_{k}": WIDE[k] for k in KINDS}).drop("text")
 
     def spans(strict: bool, k: str, x: Column) -> Column:
         sep = x["hit"].rlike("[ ().-]").cast("int")
         return F.struct(F.lit(KINDS.index(k)).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lit(strict).alias("base"), *(v.alias(name) for v, name in zip(votes(k, x, strict), LABELERS)), sep.alias("sep"))
 
-    # one-argument functions: a second one would get the position
-    strict = F.concat(*(F.transform(F.filter(f"_b_{k}", partial(valid, k)), partial(spans, True, k)) for k in KINDS))
-    df = df.withColumn("_strict", strict).drop(*(f"_b_{k}" for k in KINDS))
-
-    def free(k: str, x: Column) -> Column:
-        good = F.when(F.length(digits(x)).between(13, 19), luhn(digits(x))).otherwise(False) if k == "card" else F.lit(True)
-        return good & ~F.exists("_strict", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    def possible(k: str, x: Column) -> Column:
+        return F.when(F.length(digits(x)).between(13, 19), luhn(digits(x))).otherwise(False) if k == "card" else F.lit(True)
 
-    wide = F.concat(*(F.transform(F.filter(f"_w_{k}", partial(free, k)), partial(spans, False, k)) for k in KINDS))
-    return df.withColumn("_spans", F.concat("_strict", wide)).drop("_strict", *(f"_w_{k}" for k in KINDS))
+    # one-argument functions: a second one would get the position
+    strict = F.concat(*(F.transform(F.filter(f"b_{k}", partial(valid, k)), partial(spans, True, k)) for k in KINDS))
+    wide = F.concat(*(F.transform(F.filter(f"w_{k}", partial(possible, k)), partial(spans, False, k)) for k in KINDS))
+    return apart(df.select("row", strict.alias("strict"), wide.alias("wide"))).select("row", F.concat("strict", "wide").alias("spans"))
 
 
 # ---- weak supervision -------------------------------------------------------------------------
@@ -206,8 +216,8 @@ def span_classifier(rows: list[tuple], targets: list[float], rounds: int = 150,
 
 
 def train(found: DataFrame) -> list[float]:
-    """Weights of the span classifier, from the vote patterns of all spans in column _spans."""
-    flat = found.select(F.explode("_spans").alias("s")).groupBy(*(F.col(f"s.{c}").alias(c) for c in ("kind", *LABELERS, "sep"))).agg(F.count("*").alias("n"))
+    """Weights of the span classifier, from the vote patterns of all spans in column spans."""
+    flat = found.select(F.explode("spans").alias("s")).groupBy(*(F.col(f"s.{c}").alias(c) for c in ("kind", *LABELERS, "sep"))).agg(F.count("*").alias("n"))
     got = sorted((r.kind, *(r[c] for c in LABELERS), r.n, r.sep) for r in flat.collect())
     return span_classifier(got, posteriors(got)[0])
 
@@ -235,10 +245,9 @@ def listed(spans: Column) -> Column:
 
 def detect(df: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns in keep with base (array of strict spans) and spans (all), both as (kind, start, end)."""
-    found = candidates(df.select(*keep, F.col(text_col).alias("_whole")), "_whole").drop("_whole")
-    found = materialise(found, "pii")
+    found = materialise(candidates(df, F.col(text_col), F.struct(*keep)), "pii")
     weights = train(found)
-    return found.select(*keep, ordered(F.filter("_spans", lambda s: s["base"])).alias("base"), ordered(F.filter("_spans", lambda s: accepted(weights, s))).alias("spans"))
+    return found.select("row.*", ordered(F.filter("spans", lambda s: s["base"])).alias("base"), ordered(F.filter("spans", lambda s: accepted(weights, s))).alias("spans"))
 
 
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -246,17 +255,15 @@ def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
 
     Two passes over the texts: one trains, one writes.  Overlapping spans become one, of the first kind.
     """
-    weights = train(materialise(candidates(df.select(F.col(text_col).alias("_whole")), "_whole").select("_spans"), "pii"))
+    weights = train(materialise(candidates(df, F.col(text_col), F.lit(0)).select("spans"), "pii"))
     names = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
-    found = candidates(df, text_col).withColumn("_spans", F.filter("_spans", lambda s: accepted(weights, s)))
-    by_start = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-
-    def step(acc: Column, s: Column) -> Column:
-        inside = s["start"] < acc["at"]
-        gap = F.substr(F.col(text_col), acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], gap, F.get(names, s["kind"]))).alias("out"))
-
-    built = F.aggregate(by_start, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    found = found.withColumn("_built", F.when(F.size("_spans") > 0, built))
-    rest = F.concat(F.col("_built.out"), F.substr(F.col(text_col), F.col("_built.at") + 1, F.length(text_col)))
-    return found.withColumn(text_col, F.coalesce(rest, F.col(text_col))).select(df.columns)
+    found = candidates(df, F.col(text_col), F.struct("*"))
+    by_start = F.array_sort(F.transform(F.filter("spans", lambda s: accepted(weights, s)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    # a span that starts before the end of those before it is part of them
+    found = running(found.select("row", by_start.alias("spans")), {"ends": F.transform("spans", lambda s: s["end"])}, greatest=True)
+    merged = F.filter(F.arrays_zip(F.col("spans").alias("s"), F.transform("ends", lambda e: F.greatest(e, F.lit(0))).cast("array<int>").alias("from")), lambda x: x["s"]["start"] >= x["from"])
+    text = F.col("row").getField(text_col)
+    found = found.select("row", merged.alias("pieces"), F.array_max(F.transform("spans", lambda s: s["end"])).alias("last"), F.when(F.size("spans") > 0, utf32(text)).alias("whole"))
+    parts = F.transform("pieces", lambda x: F.concat(between(F.col("whole"), x["from"], x["s"]["start"]), F.get(names, x["s"]["kind"])))
+    clean = F.when(F.size("pieces") > 0, F.concat(F.array_join(parts, ""), between(F.col("whole"), F.col("last"), F.length(text)))).otherwise(text)
+    return found.select(*((clean if c == text_col else F.col("row").getField(c)).alias(c) for c in df.columns))
