@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
+from lociform.llm.common import between, running, utf32
+
 START, END = "<|im_start|>", "<|im_end|>\n"
 #: Strings that texts must not contain unescaped.
 CONTROL = ("<|im_start|>", "<|im_end|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -165,20 +167,25 @@ def _turn(role: Column, text: Column) -> Column:
     return F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
 
+#: What a layout's fingerprint is made from: field paths that some mapping names.
+KNOWN_PATHS = frozenset(p for m in MAPPINGS for p in m.paths)
+BY_FINGERPRINT = {fingerprint(m.paths): m for m in MAPPINGS}
+
+
 def turn_rows(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn") -> DataFrame:
-    """(conv_col, turns) of a table whose rows are turns; the mapping is found by the schema's fingerprint.
+    """(conv_col, turns) of a table whose rows are turns; the fingerprint of its schema selects the mapping.
 
-    Other columns do not hinder it: those that no mapping of row layouts names are left out first.
+    Columns that no mapping names are no part of the fingerprint.  Where columns of other layouts stand beside
+    those of turn rows, so that nothing has the fingerprint, the table is still read as turn rows.
     """
-    for m in MAPPINGS:
-        if m.items and not m.items[0]:
-            have = [p for p in paths_of(df.schema) if p in m.paths]
-            if fingerprint(have) == fingerprint(m.paths):
-                _, role, text = m.items
-                row = F.struct(F.col(turn_col), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
-                rows = df.groupBy(conv_col).agg(F.sort_array(F.collect_list(row)).alias("rows"))
-                return rows.select(conv_col, F.transform("rows", lambda r: F.struct(r["role"], r["text"])).alias("turns"))
-    raise ValueError("no mapping has this schema's fingerprint")
+    have = [p for p in paths_of(df.schema) if p in KNOWN_PATHS]
+    m = BY_FINGERPRINT.get(fingerprint(have)) or next((m for m in MAPPINGS if m.items and not m.items[0] and set(m.paths) <= set(have)), None)
+    if m is None or not m.items or m.items[0]:
+        raise ValueError("the fingerprint of this schema selects no mapping of turn rows")
+    _, role, text = m.items
+    row = F.struct(F.col(turn_col), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+    rows = df.groupBy(conv_col).agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    return rows.select(conv_col, F.transform("rows", lambda r: F.struct(r["role"], r["text"])).alias("turns"))
 
 
 # ---- formatting -------------------------------------------------------------------------------
@@ -189,53 +196,35 @@ def formatted(turns: Column) -> Column:
     return F.array_join(F.transform(turns, one), "")
 
 
-def loss_mask(turns: Column) -> Column:
-    """Code point ranges [start, end) of the formatted text that the loss covers: the assistant's texts."""
-    size = lambda t: F.length(F.concat(F.replace(escape(t["role"]), F.lit("\n"), F.lit("\\n")), escape(t["text"]))) + (len(START) + 1 + len(END))
-    step = lambda acc, t: F.struct(
-        (acc["at"] + size(t)).cast("long").alias("at"),
-        F.when(
-            t["role"] == "assistant",
-            F.concat(acc["mask"], F.array(F.struct((acc["at"] + size(t) - len(END) - F.length(escape(t["text"]))).cast("long").alias("start"), (acc["at"] + size(t) - len(END)).cast("long").alias("end")))),
-        ).otherwise(acc["mask"]).alias("mask"),
-    )
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("mask"))
-    return F.aggregate(turns, zero, step)["mask"]
-
-
 def format_chats(df: DataFrame, turns_col: str = "turns") -> DataFrame:
-    """df with formatted and loss_mask in place of its turns."""
-    return df.withColumn("formatted", formatted(F.col(turns_col))).withColumn("loss_mask", loss_mask(F.col(turns_col))).drop(turns_col)
+    """df with formatted and loss_mask in place of its turns.
+
+    loss_mask: code point ranges [start, end) of the formatted text that the loss covers, the assistant's texts.
+    Columns of those two names give way.
+    """
+    turns = F.col(turns_col)
+    role = lambda t: F.length(F.replace(escape(t["role"]), F.lit("\n"), F.lit("\\n")))
+    sizes = F.transform(turns, lambda t: F.struct((role(t) + (len(START) + 1)).alias("lead"), F.length(escape(t["text"])).alias("chars"), (t["role"] == "assistant").alias("own")))
+    packed = df.select(F.struct("*").alias("row"), formatted(turns).alias("formatted"), sizes.alias("sizes"))
+    packed = running(packed, {"at": F.transform("sizes", lambda x: x["lead"] + x["chars"] + len(END))})
+    own = F.filter(F.arrays_zip(F.col("sizes").alias("x"), F.col("at").alias("at")), lambda r: r["x"]["own"])
+    mask = F.transform(own, lambda r: F.struct((r["at"] + r["x"]["lead"]).alias("start"), (r["at"] + r["x"]["lead"] + r["x"]["chars"]).alias("end")))
+    kept = [c for c in df.columns if c not in (turns_col, "formatted", "loss_mask")]
+    return packed.select(*(F.col("row").getField(c).alias(c) for c in kept), "formatted", mask.alias("loss_mask"))
 
 
 def read_back(text: Column) -> Column:
-    """The turns of a formatted text: its role and text unescaped, and where its escaped text lies."""
+    """The turns (role, text) of a formatted text."""
     parts = F.filter(F.split(text, re.escape(END)), lambda p: p != "")
     body = F.transform(parts, lambda p: F.substring(p, len(START) + 1, 2147483647))
     split = F.transform(body, lambda b: F.struct(F.substring_index(b, "\n", 1).alias("role"), b.alias("all")))
-    held = F.transform(split, lambda s: F.struct(s["role"].alias("role"), F.substring(s["all"], F.length(s["role"]) + 2, F.lit(2147483647)).alias("text")))
-    return F.transform(held, lambda h: F.struct(unescape(h["role"]).alias("role"), unescape(h["text"]).alias("text"), F.length(h["text"]).cast("long").alias("chars"), (F.length(h["role"]) + len(START) + 1).cast("long").alias("lead")))
+    return F.transform(split, lambda s: F.struct(unescape(s["role"]).alias("role"), unescape(F.substring(s["all"], F.length(s["role"]) + 2, F.lit(2147483647))).alias("text")))
 
 
 def digests(df: DataFrame, conv_col: str = "conv_id") -> DataFrame:
     """What a reader of (conv_col, formatted, loss_mask) finds: counts and digests of turns and of text under the mask."""
-    turns = df.withColumn("read", read_back(F.col("formatted")))
-    # mask and turns are both in order: a turn's text is under the loss where the next range is its own
-    def step(acc: Column, t: Column) -> Column:
-        start = acc["at"] + t["lead"]
-        mine = F.get("loss_mask", acc["k"])
-        under = F.coalesce((mine["start"] == start) & (mine["end"] == start + t["chars"]), F.lit(False))
-        loss = F.when(under, F.array_append(acc["loss"], t["text"])).otherwise(acc["loss"])
-        return F.struct((start + t["chars"] + len(END)).alias("at"), (acc["k"] + under.cast("int")).alias("k"), loss.alias("loss"))
-
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).alias("k"), F.array().cast("array<string>").alias("loss"))
-    loss = F.array_join(F.aggregate("read", zero, step)["loss"], "")
+    read = df.select(conv_col, "formatted", "loss_mask", read_back(F.col("formatted")).alias("read"), utf32(F.col("formatted")).alias("whole"))
+    loss = F.array_join(F.transform("loss_mask", lambda r: unescape(between(F.col("whole"), r["start"], r["end"]))), "")
     whole = F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return turns.select(
-        conv_col,
-        F.size("read").cast("long").alias("n_turns"),
-        F.sha2(whole, 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss, 256).alias("loss_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"),
-    )
+    counted = read.select(conv_col, F.size("read").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return counted.select(conv_col, "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")

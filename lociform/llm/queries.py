@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,10 +14,12 @@ from lociform.llm.common import fold, prepare, table
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of what a reader finds in the formatted conversations, and of the text under the loss mask."""
-    extra = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    rows = rows.unionByName(spark.createDataFrame(extra, "conv_id long, turn long, role string, text string"))
-    return chat.digests(chat.format_chats(chat.turn_rows(rows)))
+    said = "</s>[INST] ok [/INST]"
+    record = json.dumps({"messages": [{"role": role, "content": said} for role in ("user", "assistant")]})
+    rows = chat.turn_rows(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    told = spark.createDataFrame([(-1, record)], "conv_id long, record string")
+    turns = rows.unionByName(told.select("conv_id", chat.canonical_turns(F.col("record")).alias("turns")))
+    return chat.digests(chat.format_chats(turns))
 
 
 OP7_SQL = r"""
