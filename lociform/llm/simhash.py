@@ -15,7 +15,7 @@ row; an empty table gives an empty result; other columns are not touched.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociform.llm.common import forget, materialise, prepare
+from lociform.llm.common import forget, joined, materialise, prepare
 
 SEED = 42
 
@@ -200,23 +200,33 @@ def links(distinct: DataFrame, radius: int = 4, chunk: int = 16384) -> DataFrame
 def components(edges: DataFrame) -> DataFrame:
     """Node and root (its component's smallest node) for each node of the edges (a, b), a > b.
 
-    Alternates large and small stars until nothing moves; each round is a written table.
+    Alternates large and small stars until nothing moves; each round is a written table.  Nodes of very many
+    neighbours, the roots of large components, meet them by broadcast.
     """
     now = materialise(edges.where("a > b").select("a", "b").distinct(), "cc")
-    mark = None
+    mark, rows = None, now.count()
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
+        least = materialise(both.groupBy("a").agg(F.min("b").alias("m"), F.sum(F.when(F.col("b") > F.col("a"), 1).otherwise(0)).alias("n")).select("a", F.least("a", "m").alias("m"), "n"), "cc-least")
+        large = joined(both.where("b > a"), least, "a", rows).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lower, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b")
         after = materialise(small.unionByName(lower.select("a", F.col("m").alias("b"))).distinct(), "cc")
-        seen = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        rows, *seen = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         forget(now)
+        forget(least)
         now = after
-        if seen == mark:
+        if [rows, *seen] == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        mark = seen
+        mark = [rows, *seen]
+
+
+def named(reps: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """(key, component_id, n): the least of each component for each row (key, least, n) of reps, written."""
+    rooted = reps.join(roots, F.col(key) == roots.node, "left").select(key, "least", F.col("n").alias("rows"), F.coalesce("root", key).alias("root"))
+    rooted = materialise(rooted, "component-roots")
+    names = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "component-names")
+    return materialise(joined(rooted, names, "root", rooted.count()).select(key, "component_id", F.col("rows").alias("n")), "components")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
@@ -224,25 +234,29 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     A null id gets a row like any other, but never names a component unless all ids in it are null.
     """
-    docs = materialise(fingerprints(df, id_col, text_col, width), "simhash-fp")
-    reps = docs.groupBy("fp").agg(F.min(id_col).alias("least"))
-    roots = components(links(reps.select("fp"), radius))
-    rooted = reps.join(roots, reps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(named, "root").select("fp", "component_id")
-    return docs.join(classes, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    docs = materialise(fingerprints(df, id_col, text_col, width).toDF("id", "fp"), "simhash-fp")
+    reps = materialise(docs.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "simhash-reps")
+    classes = named(reps, components(links(reps.select("fp"), radius)), "fp")
+    out = joined(docs, classes, "fp", docs.count())
+    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
+def one_of_each(df: DataFrame, id_col: str, text_col: str, grouping: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """df with one row of each component: that of the smallest id, then of the smallest hash of its text.
 
-    Null ids come last; of rows equal in id and text one stays.
+    grouping makes (key, component_id) of (key, text).  Null ids come last; of rows equal in id and text one stays.
+    Rows are carried as one struct, so that columns may have any name.
     """
     key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))
-    keyed = df.withColumn("_key", key)
-    classes = near_duplicates(keyed.select("_key", text_col), "_key", text_col, width, radius)
-    kept = materialise(classes.where(F.col("_key") == F.col("component_id")).groupBy("_key").count(), "simhash-kept")
-    out = keyed.join(kept.select("_key").hint("shuffle_hash"), "_key", "left_semi")
+    packed = df.select(F.struct("*").alias("row"), key.alias("key"), F.col(text_col).alias("text"))
+    classes = grouping(packed.select("key", "text"))
+    kept = materialise(classes.where(F.col("key") == F.col("component_id")).groupBy("key").count(), "kept")
+    out = packed.select("row", "key").join(kept.select("key").hint("shuffle_hash"), "key", "left_semi")
     if not kept.where("count > 1").isEmpty():
-        out = out.dropDuplicates(["_key"])
-    return out.select(df.columns)
+        out = out.dropDuplicates(["key"])
+    return out.select(*(F.col("row").getField(c).alias(c) for c in df.columns))
+
+
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
+    """df with one row of each component, as one_of_each() chooses it."""
+    return one_of_each(df, id_col, text_col, lambda keyed: near_duplicates(keyed, "key", "text", width, radius))
