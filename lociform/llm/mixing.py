@@ -16,7 +16,8 @@ hash of the id.
 
 All sums that decide anything are over integers (rates in units of 2**-30), so reruns agree whatever
 the order of tasks.  A source of W words has at most sqrt(2 W) distinct sizes, which bounds every
-window here; documents of one size are spread over salted cells.
+window here; documents of one size are spread over cells salted by a hash of id and text, as many as
+keep a cell at PART rows however many documents share a size.
 
 Edge cases: a null text has size 0, a null source is a source of its own, last in order; documents
 of size 0 are taken once and give no words; repeated rows count and are taken like others; an empty
@@ -32,7 +33,8 @@ from pyspark.sql.window import Window
 from lociform.llm.common import WORD, forget, materialise
 
 UNIT = 1 << 30
-SALTS = 64
+#: Rows of one (source, size) are dealt by a hash to so many parts at least, and as many more as keep a part near PART rows.
+SALTS, PART = 64, 100_000
 ROUNDS = 80
 
 
@@ -159,7 +161,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_
 
     weights repeat over the sources in order of code points.
     """
-    salt = F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")
+    salts = max(SALTS, -(-df.count() // PART))
+    salt = F.pmod(F.xxhash64(id_col, text_col), F.lit(salts)).cast("int")
     docs = materialise(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), sizes(df, text_col).alias("size"), salt.alias("salt")), "mix-sizes")
     salted = materialise(docs.groupBy("source", "size", "salt").agg(F.count("*").alias("k")), "mix-cells")
     cells = materialise(salted.groupBy("source", "size").agg(F.sum("k").alias("n")), "mix-cells")
