@@ -13,7 +13,7 @@ Training: counts of all training tokens by one Spark aggregation; then ``rounds`
 see every training document once.  In a round each task starts from the broadcast weights, makes
 Adagrad steps over small batches of its documents and hands its change of each weight row to a Spark
 sum, weighted by tokens.  Scoring works on numpy batches; the counts of tokens outside the ``known``
-most frequent ones reach the documents by a join on a 64-bit hash of the token.
+most frequent ones reach the documents by a join on the token.
 
 Broadcast and held by the driver: the ``known`` tokens with counts, and weights of fixed size.
 
@@ -31,7 +31,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, LongType, StructField, StructType
@@ -51,10 +50,6 @@ def tokens(text: bytes | None) -> list[bytes]:
     return words
 
 
-def hashed(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word) - (1 << 63)
-
-
 def rare_class(word: bytes) -> int:
     """Of RARE classes, by the last two bytes."""
     return (word[-1] * 31 + word[-2:][0] * 17) % RARE
@@ -104,13 +99,13 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 
 
 def encoded(documents: DataFrame, keep: list[str], text_col: str, vocab: Vocabulary) -> DataFrame:
-    """keep, codes (int16 bytes of all tokens), n_tokens, n_known and base (over known tokens), tail (hashes of others).
+    """keep, codes (int16 bytes of all tokens), n_tokens, n_known and base (over known tokens), tail (the others).
 
     base sums log10(count + 1/2); rare_base the same over known tokens outside the head.
     """
     prepare(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast((vocab.numbers, vocab.counts, vocab.codes))
-    schema = StructType([*(documents.schema[c] for c in keep), StructField("codes", BinaryType()), StructField("n_tokens", LongType()), StructField("n_known", LongType()), StructField("base", DoubleType()), StructField("rare_base", DoubleType()), StructField("tail", ArrayType(LongType()))])
+    schema = StructType([*(documents.schema[c] for c in keep), StructField("codes", BinaryType()), StructField("n_tokens", LongType()), StructField("n_known", LongType()), StructField("base", DoubleType()), StructField("rare_base", DoubleType()), StructField("tail", ArrayType(BinaryType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, counts, codes = shared.value
@@ -129,9 +124,9 @@ def encoded(documents: DataFrame, keep: list[str], text_col: str, vocab: Vocabul
                 code = extended[ids]
                 if others:
                     code[ids == missing] = [HEAD + (w[-1] * 31 + w[-2:][0] * 17) % RARE for w in others]
-                rows.append((code.tobytes(), len(words), len(words) - len(others), float(logs[ids].sum()), float(rare_logs[ids].sum()), list(map(hashed, others))))
+                rows.append((code.tobytes(), len(words), len(words) - len(others), float(logs[ids].sum()), float(rare_logs[ids].sum()), others))
             data = list(zip(*rows)) if rows else [()] * 6
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(keep))), *(pa.array(data[k], kind) for k, kind in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()))))], schema.names)
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(keep))), *(pa.array(data[k], kind) for k, kind in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()))))], schema.names)
 
     return documents.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, schema)
 
@@ -422,11 +417,10 @@ def score(documents: DataFrame, held_out: Column, id_col: str = "doc_id", text_c
     start = Weights.start(head, np.concatenate([head.reshape(-1, WIDTH).sum(axis=1), mass]))
     w = trained(start, coded.where(~F.col("held_out")), place, rounds)
 
-    # counts of the tokens outside the known ones, by a join on their hashes
-    tail = coded.select("row", F.explode("tail").alias("h"))
+    # counts of the tokens outside the known ones
+    tail = coded.select("row", F.explode("tail").alias("word"))
     unknown = counts.join(F.broadcast(counts.orderBy(F.desc("n"), "word").limit(KNOWN).select("word")), "word", "left_anti")
-    hashes = unknown.select(F.col("word"), "n").mapInArrow(_hash_words, "h long, n long")
-    added = tail.join(hashes, "h").groupBy("row").agg(F.sum(F.log10(F.col("n") + 0.5) - math.log10(0.5)).alias("more"), F.count("*").alias("seen"))
+    added = tail.join(unknown, "word").groupBy("row").agg(F.sum(F.log10(F.col("n") + 0.5) - math.log10(0.5)).alias("more"), F.count("*").alias("seen"))
     scored = model_scores(coded, ["id", "held_out", "row", "n_tokens", "n_known", "base", "rare_base"], w, place, class_norm)
     out = scored.join(added, "row", "left")
     missing = F.col("n_tokens") - F.col("n_known")
@@ -437,7 +431,3 @@ def score(documents: DataFrame, held_out: Column, id_col: str = "doc_id", text_c
         (F.col("base") + more - F.col("n_tokens") * F.lit(norm)).alias("base_score"), (F.col("model") + F.col("rare_base") + more).alias("score"),
     )
 
-
-def _hash_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(list(map(hashed, b.column(0).to_pylist())), pa.int64()), b.column(1)], ["h", "n"])
