@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,12 +14,26 @@ GENOME_WIDE = 5.4513
 SUGGESTIVE = 4.0556
 
 
+#: Width of the bins of a chromosome in which intervals are merged before they are across bins.
+BIN = 1_000_000
+
+
 def islands(rows: DataFrame, gap: int, start: str = "start", end: str = "end") -> DataFrame:
-    """rows with island: intervals of a chromosome no more than gap beyond the furthest end before share one."""
-    w = Window.partitionBy("chr").orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.when(reach.isNull() | (F.col(start) > reach + gap), 1).otherwise(0)
-    return rows.withColumn("_new", fresh).withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_new")
+    """rows with island: intervals of a chromosome no more than gap beyond the furthest end before share one.
+
+    Rows are merged within bins of their starts; only the merged spans of the bins meet by chromosome.
+    """
+
+    def grouped(df: DataFrame, keys: list[str], a: str, b: str, name: str) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(a, b)
+        reach = F.max(b).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        fresh = F.when(reach.isNull() | (F.col(a) > reach + gap), 1).otherwise(0)
+        return df.withColumn("_new", fresh).withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_new")
+
+    own = grouped(rows.withColumn("_bin", F.floor(F.col(start) / BIN)), ["chr", "_bin"], start, end, "_own")
+    spans = own.groupBy("chr", "_bin", "_own").agg(F.min(start).alias("_a"), F.max(end).alias("_b"))
+    met = grouped(spans, ["chr"], "_a", "_b", "island").select("chr", "_bin", "_own", "island")
+    return own.join(met, ["chr", "_bin", "_own"]).drop("_bin", "_own").select(*rows.columns, "island")
 
 
 def best_by_position(variants: DataFrame) -> DataFrame:
@@ -59,14 +74,14 @@ def best_dataset(by_dataset: DataFrame) -> DataFrame:
 def shared_pairs(members: DataFrame, item: str, group: str, k: int, least: int = 2) -> DataFrame:
     """The k pairs of items that share most groups (a top-k report): (a, b, n), ties by a, then b.
 
-    An item's groups (numbers from 0 to 62) are a bit set.  Items of equal bit sets form classes, of
-    which only the first k + 1 items can be in the report; and only pairs of classes that share as many
-    groups as the k-th pair does are joined.  So pairs within a group are never all made.
+    Items of equal sets of groups form classes, of which only the first k + 1 items can be in the report.
+    Classes meet on the groups that they share, and only pairs of classes that share as many groups as the
+    k-th pair does are joined to their items.  So pairs of items within a group are never all made.
     """
-    sets = members.select(F.col(item).alias("item"), F.col(group).alias("g")).distinct().groupBy("item").agg(F.sum(F.expr("shiftleft(1L, cast(g as int))")).alias("mask"))
-    classes = sets.groupBy("mask").agg(F.count("*").alias("c"))
-    x, y = classes.select(F.col("mask").alias("ma"), F.col("c").alias("ca")), classes.select(F.col("mask").alias("mb"), F.col("c").alias("cb"))
-    both = x.join(y, F.col("ma") <= F.col("mb")).withColumn("n", F.bit_count(F.col("ma").bitwiseAND(F.col("mb")))).where(F.col("n") >= least)
+    sets = members.select(F.col(item).alias("item"), F.col(group).alias("g")).groupBy("item").agg(F.array_sort(F.collect_set("g")).alias("mask"))
+    classes = sets.groupBy("mask").agg(F.count("*").alias("c")).select("mask", "c", F.explode("mask").alias("g"))
+    x, y = classes.select("g", F.col("mask").alias("ma"), F.col("c").alias("ca")), classes.select("g", F.col("mask").alias("mb"), F.col("c").alias("cb"))
+    both = x.join(y, "g").where(F.col("ma") <= F.col("mb")).groupBy("ma", "mb").agg(F.count("*").alias("n"), F.first("ca").alias("ca"), F.first("cb").alias("cb")).where(F.col("n") >= least)
     made = F.when(F.col("ma") == F.col("mb"), F.col("ca") * (F.col("ca") - 1) / 2).otherwise(F.col("ca").cast("double") * F.col("cb"))
     level, seen = least, 0.0
     for r in both.groupBy("n").agg(F.sum(made).alias("pairs")).orderBy(F.desc("n")).collect():  # as many rows as groups
@@ -107,13 +122,16 @@ def clumped(best: DataFrame, reach: int) -> DataFrame:
     rows = islands(best.select("chr", F.col("pos").alias("start"), F.col("pos").alias("end"), F.round("z", 9).alias("z")), reach)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pos, order = pdf["start"].to_numpy(), pdf.sort_values(["z", "start"], ascending=[False, True]).index
-        lead = pd.Series(-1, index=pdf.index)
-        for k in order:
+        pdf = pdf.sort_values("start").reset_index(drop=True)
+        pos = pdf["start"].to_numpy()
+        lead = np.full(len(pos), -1, np.int64)
+        # what a lead may claim is a slice of the positions in order
+        first, end = np.searchsorted(pos, pos - reach, "left"), np.searchsorted(pos, pos + reach, "right")
+        for k in np.lexsort((pos, -pdf["z"].to_numpy())):
             if lead[k] < 0:
-                near = (abs(pos - pdf["start"][k]) <= reach) & (lead.to_numpy() < 0)
-                lead[near] = pdf["start"][k]
-        return pd.DataFrame({"chr": pdf["chr"], "pos": pdf["start"], "lead": lead})
+                near = lead[first[k] : end[k]]
+                near[near < 0] = pos[k]
+        return pd.DataFrame({"chr": pdf["chr"], "pos": pos, "lead": lead})
 
     kind = best.schema["chr"].dataType.simpleString()
     return rows.groupBy("chr", "island").applyInPandas(run, f"chr {kind}, pos long, lead long")

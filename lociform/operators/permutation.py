@@ -8,17 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lociform.operators.loci import islands
+from lociform.operators.loci import BIN, islands
 from lociform.operators.ranges import nearest, points_in
+from lociform.operators.stats import placed
 
 
 def numbered(places: DataFrame) -> DataFrame:
     """places (chr, pos) numbered from 0 by chromosome and position: numbers within chromosomes, then the counts before each."""
-    w = Window.partitionBy("chr").orderBy("pos")
-    own = places.select("chr", "pos").distinct().withColumn("_k", F.row_number().over(w) - 1)
+    own = placed(places.select("chr", "pos").distinct(), ["chr"], F.floor(F.col("pos") / BIN), ["pos"])
     # a row for each chromosome
-    sizes = own.groupBy("chr").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("chr").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return own.join(F.broadcast(sizes), "chr").select((F.col("_k") + F.col("_before")).cast("long").alias("number"), "chr", "pos")
+    sizes = own.groupBy("chr").agg(F.max("total").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("chr").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return own.join(F.broadcast(sizes), "chr").select((F.col("place") - 1 + F.col("_before")).cast("long").alias("number"), "chr", "pos")
 
 
 def within(points: DataFrame, key: list[str], elements: DataFrame, limits: dict[str, int]) -> DataFrame:

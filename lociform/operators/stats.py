@@ -9,10 +9,57 @@ from pyspark.sql.window import Window
 from lociform.functions.scalar import MEDIAN_CHI2
 
 
+def values_at(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column], bins: int = 4096) -> DataFrame:
+    """keys, n and for each name the value at that rank (from 0, an expression of n) among each key's values in order.
+
+    Exact, and no task sees all values of a key: counts in equal bins between the smallest and largest value
+    tell in which bin a rank lies, and only the distinct values of those bins are counted one by one.  Nulls do
+    not count.
+    """
+    v = F.col(value).cast("double")
+    own = df.where(v.isNotNull()).select(*keys, v.alias("_v"))
+    ends = own.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    share = F.when(F.col("_hi") > F.col("_lo"), (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
+    binned = own.join(ends, keys).select(*keys, "_v", F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int").alias("_bin"))
+    counts = binned.groupBy(*keys, "_bin").agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_bin"))  # at most `bins` rows for each key
+    edges = counts.select(*keys, "_bin", (upto - F.col("_c")).alias("_before"), upto.alias("_upto"))
+    asked = ends.select(*keys, "n", F.explode(F.array(*(F.struct(F.lit(k).alias("name"), r.cast("long").alias("rank")) for k, r in ranks.items()))).alias("_q"))
+    wanted = asked.join(edges, keys).where((F.col("_q.rank") >= F.col("_before")) & (F.col("_q.rank") < F.col("_upto"))).select(*keys, "n", "_bin", "_before", "_q")
+    near = binned.join(wanted.select(*keys, "_bin").distinct(), [*keys, "_bin"], "left_semi").groupBy(*keys, "_bin", "_v").agg(F.count("*").alias("_c"))
+    inside = F.sum("_c").over(Window.partitionBy(*keys, "_bin").orderBy("_v"))
+    placed = near.select(*keys, "_bin", "_v", (inside - F.col("_c")).alias("_from"), inside.alias("_to"))
+    rank = F.col("_q.rank") - F.col("_before")
+    found = placed.join(wanted, [*keys, "_bin"]).where((rank >= F.col("_from")) & (rank < F.col("_to")))
+    return found.groupBy(*keys, "n").agg(*(F.max(F.when(F.col("_q.name") == k, F.col("_v"))).alias(k) for k in ranks))
+
+
+def medians(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, n and the exact median of each key's values."""
+    n = F.col("n")
+    both = values_at(df, keys, value, {"_low": F.floor((n - 1) / 2), "_high": F.ceil((n - 1) / 2)})
+    return both.select(*keys, "n", ((F.col("_low") + F.col("_high")) / 2).alias("median"))
+
+
+def placed(df: DataFrame, keys: list[str], bin: Column, order: list) -> DataFrame:
+    """df with place, its number from 1 within its key in order, and total, the rows of its key.
+
+    bin rises with the order.  One task sees one bin of one key; what comes before it is told by a table of
+    the bins' counts.  Keys are not null.
+    """
+    binned = df.withColumn("_bin", bin)
+    counts = binned.groupBy(*keys, "_bin").agg(F.count("*").alias("_c"))
+    by = Window.partitionBy(*keys)
+    before = counts.select(*keys, "_bin", (F.sum("_c").over(by.orderBy("_bin")) - F.col("_c")).alias("_before"), F.sum("_c").over(by).alias("total"))
+    own = binned.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "_bin").orderBy(*order)))
+    return own.join(before, [*keys, "_bin"]).withColumn("place", (F.col("_k") + F.col("_before")).cast("long")).drop("_k", "_before", "_bin")
+
+
 def genomic_inflation(df: DataFrame, keys: list[str], z_col: str = "z") -> DataFrame:
     """n, mean chi-square, lambda (exact median over the null's median) and whether it exceeds 1.1."""
-    chi2 = F.col(z_col) * F.col(z_col)
-    out = df.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(chi2).alias("mean_chi2"), (F.percentile(chi2, 0.5) / MEDIAN_CHI2).alias("lambda_gc"))
+    chi2 = df.withColumn("_chi2", F.col(z_col) * F.col(z_col)).where(F.col("_chi2").isNotNull())
+    mean = chi2.groupBy(*keys).agg(F.avg("_chi2").alias("mean_chi2"))
+    out = medians(chi2, keys, "_chi2").join(mean, keys).select(*keys, "n", "mean_chi2", (F.col("median") / MEDIAN_CHI2).alias("lambda_gc"))
     return out.withColumn("inflated", F.col("lambda_gc") > 1.1)
 
 
@@ -30,10 +77,12 @@ def one_way_anova(df: DataFrame, keys: list[str], group: str, value: str) -> Dat
     return out.select(*keys, "n_groups", "n", F.when((k >= 2) & (n > k), f).alias("f"))
 
 
-def average_rank(partition: list[str], value: Column) -> Column:
-    """Rank with ties sharing their mean."""
-    w = Window.partitionBy(*partition).orderBy(value)
-    return F.rank().over(w) + (F.count("*").over(Window.partitionBy(*partition, value)) - 1) / 2.0
+def average_ranks(df: DataFrame, keys: list[str], value: str, name: str = "avg_rank") -> DataFrame:
+    """df with the rank of value within its key, ties sharing their mean; ranks come from counts of distinct values."""
+    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranks = counts.select(*keys, value, (upto - (F.col("_c") - 1) / 2.0).alias(name))
+    return df.join(ranks, [*keys, value])
 
 
 def mann_whitney(df: DataFrame, keys: list[str], value: str, first: Column) -> DataFrame:
@@ -54,12 +103,22 @@ def mann_whitney(df: DataFrame, keys: list[str], value: str, first: Column) -> D
 
 
 def benjamini_hochberg(df: DataFrame, keys: list[str], p: str) -> DataFrame:
-    """df with q: p * m / rank, made monotone from the largest p down."""
-    m = F.count("*").over(Window.partitionBy(*keys))
-    upto = F.count("*").over(Window.partitionBy(*keys).orderBy(p).rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    raw = df.withColumn("_q", F.col(p) * m / upto)
-    down = Window.partitionBy(*keys).orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return raw.withColumn("q", F.least(F.lit(1.0), F.min("_q").over(down))).drop("_q")
+    """df with q: p * m / rank, made monotone from the largest p down; ties have the rank of their last.
+
+    Ranks and minima are taken within bins of log p, and between them from a table of the bins.
+    """
+    bin = F.when(F.col(p) > 0, F.floor(F.log(F.col(p)) * 50)).otherwise(F.lit(-1_000_000)).cast("long")
+    binned = df.withColumn("_bin", bin)
+    bins, inner = Window.partitionBy(*keys), Window.partitionBy(*keys, "_bin")
+    counts = binned.groupBy(*keys, "_bin").agg(F.count("*").alias("_c"))
+    before = counts.select(*keys, "_bin", (F.sum("_c").over(bins.orderBy("_bin")) - F.col("_c")).alias("_before"), F.sum("_c").over(bins).alias("_m"))
+    upto = F.count("*").over(inner.orderBy(p).rangeBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("_before")
+    raw = binned.join(before, [*keys, "_bin"]).withColumn("_q", F.col(p) * F.col("_m") / upto)
+    after = raw.groupBy(*keys, "_bin").agg(F.min("_q").alias("_least"))
+    after = after.select(*keys, "_bin", F.min("_least").over(bins.orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)).alias("_after"))
+    down = F.min("_q").over(inner.orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    out = raw.join(after, [*keys, "_bin"]).withColumn("q", F.least(F.lit(1.0), down, F.col("_after")))
+    return out.drop("_bin", "_before", "_m", "_q", "_after")
 
 
 def pair_correlation(df: DataFrame, key: str, group: str, value: str, least: int = 2) -> DataFrame:

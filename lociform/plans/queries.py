@@ -405,12 +405,12 @@ def w11(spark: SparkSession, d: str) -> DataFrame:
 
 @query("w12_average_ranks", "SELECT gid, rank() OVER (PARTITION BY brand ORDER BY size) + (count(*) OVER (PARTITION BY brand, size) - 1) / 2e0 AS avg_rank FROM g", "g")
 def w12(spark: SparkSession, d: str) -> DataFrame:
-    return genes(spark, d).select("gid", stats.average_rank(["brand"], F.col("size")).alias("avg_rank"))
+    return stats.average_ranks(genes(spark, d), ["brand"], "size").select("gid", "avg_rank")
 
 
 @query("w04_renumbered_genes", 'SELECT gid, row_number() OVER (PARTITION BY chr ORDER BY "start", gid) AS k FROM g', "g")
 def w04(spark: SparkSession, d: str) -> DataFrame:
-    return genes(spark, d).select("gid", F.row_number().over(Window.partitionBy("chr").orderBy("start", "gid")).cast("long").alias("k"))
+    return stats.placed(genes(spark, d), ["chr"], F.floor(F.col("start") / loci.BIN), ["start", "gid"]).select("gid", F.col("place").alias("k"))
 
 
 @query("p05_ld_consistency", """, e AS (SELECT vec_id AS i, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS d FROM embeddings),
@@ -500,28 +500,17 @@ def a15(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a18_tertiles", ", s AS (SELECT ds, list_sort(list(se)) AS l FROM v GROUP BY ds) SELECT ds, round(l[CAST(len(l) // 3 + 1 AS INT)], 6) AS low, round(l[CAST(2 * len(l) // 3 + 1 AS INT)], 6) AS high FROM s", "v")
 def a18(spark: SparkSession, d: str) -> DataFrame:
-    """The values at n/3 and 2n/3 of each dataset in order, from counts of distinct values."""
-    c = variants(spark, d).groupBy("ds", "se").agg(F.count("*").alias("c"))
-    w = Window.partitionBy("ds").orderBy("se").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    c = c.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy("ds")))
-    at = lambda k: F.min(F.when(F.col("upto") > F.floor(F.col("n") * k / 3), F.col("se")))
-    return c.groupBy("ds").agg(F.round(at(1), 6).alias("low"), F.round(at(2), 6).alias("high"))
+    """The values at n/3 and 2n/3 of each dataset in order."""
+    t = stats.values_at(variants(spark, d), ["ds"], "se", {"low": F.floor(F.col("n") / 3), "high": F.floor(F.col("n") * 2 / 3)})
+    return t.select("ds", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 @query("a21_block_sums", """, o AS (SELECT ds, z * z AS y, maf * 100 AS x, (row_number() OVER (PARTITION BY ds ORDER BY chr, pos, vid) - 1) * 200 // count(*) OVER (PARTITION BY ds) AS block FROM v)
   SELECT ds, block, count(*) AS n, round(sum(x), 4) AS sx, round(sum(y), 4) AS sy, round(sum(x * x), 4) AS sxx, round(sum(x * y), 4) AS sxy FROM o GROUP BY ds, block""", "v")
 def a21(spark: SparkSession, d: str) -> DataFrame:
-    """Sufficient statistics of a weighted regression in 200 blocks of genome order.
-
-    A row's place in its dataset is its place in its chromosome plus the sizes of those before, so the
-    windows over rows are by dataset and chromosome.
-    """
-    v = variants(spark, d)
-    sizes = v.groupBy("ds", "chr").agg(F.count("*").alias("c"))
-    by = Window.partitionBy("ds").orderBy("chr")
-    before = sizes.select("ds", "chr", (F.sum("c").over(by) - F.col("c")).alias("before"), F.sum("c").over(Window.partitionBy("ds")).alias("n"))
-    place = F.row_number().over(Window.partitionBy("ds", "chr").orderBy("pos", "vid")) - 1 + F.col("before")
-    o = v.join(F.broadcast(before), ["ds", "chr"]).withColumn("block", F.floor(place * 200 / F.col("n")).cast("long"))
+    """Sufficient statistics of a weighted regression in 200 blocks of genome order."""
+    v = stats.placed(variants(spark, d), ["ds"], F.col("chr") * 1_000_000 + F.floor(F.col("pos") / 100_000), ["pos", "vid"])
+    o = v.withColumn("block", F.floor((F.col("place") - 1) * 200 / F.col("total")).cast("long"))
     x, y = F.col("maf") * 100, F.col("z") * F.col("z")
     return o.groupBy("ds", "block").agg(F.count("*").alias("n"), *(F.round(F.sum(c), 4).alias(k) for k, c in (("sx", x), ("sy", y), ("sxx", x * x), ("sxy", x * y))))
 
@@ -529,7 +518,7 @@ def a21(spark: SparkSession, d: str) -> DataFrame:
 @query("a22_implied_sizes", "SELECT ds, round(quantile_cont(1e0 / (se * se * 2e0 * maf * (1e0 - maf)), 0.5), 4) AS median_n FROM v WHERE maf >= 0.05e0 GROUP BY ds", "v")
 def a22(spark: SparkSession, d: str) -> DataFrame:
     implied = F.lit(1.0) / (F.col("se") * F.col("se") * 2.0 * F.col("maf") * (F.lit(1.0) - F.col("maf")))
-    return variants(spark, d).where("maf >= 0.05").groupBy("ds").agg(F.round(F.percentile(implied, 0.5), 4).alias("median_n"))
+    return stats.medians(variants(spark, d).where("maf >= 0.05").withColumn("implied", implied), ["ds"], "implied").select("ds", F.round("median", 4).alias("median_n"))
 
 
 @query("a25_replication", """, b AS (SELECT chr, pos, ds, max(z) AS z FROM v GROUP BY 1, 2, 3) SELECT chr, pos, round(avg(CASE WHEN z > 2.807e0 THEN 1e0 ELSE 0e0 END), 6) AS share, count(*) AS n FROM b GROUP BY chr, pos HAVING max(z) > 5.4513e0""", "v")
@@ -547,9 +536,15 @@ def a28(spark: SparkSession, d: str) -> DataFrame:
 @query("w01_downsampled", ", k AS (SELECT ds, vid, z > 3.8906e0 AS s, row_number() OVER (PARTITION BY ds ORDER BY (z > 3.8906e0) DESC, vid * 7919 % 10007, vid) AS r FROM v) SELECT ds, count(*) AS n, count(*) FILTER (s) AS n_significant, CAST(sum(vid % 1000) AS BIGINT) AS mix FROM k WHERE s OR r <= 5000 GROUP BY ds", "v")
 def w01(spark: SparkSession, d: str) -> DataFrame:
     """All rows below 1e-4 and others in a fixed pseudo-random order up to 5000 (a sampling operator)."""
-    s = F.col("z") > 3.8906
-    w = Window.partitionBy("ds").orderBy(s.desc(), F.col("vid") * 7919 % 10_007, "vid")
-    kept = variants(spark, d).withColumn("s", s).withColumn("r", F.row_number().over(w)).where(F.col("s") | (F.col("r") <= 5000))
+    s, hashed = F.col("z") > 3.8906, F.col("vid") * 7919 % 10_007
+    v = variants(spark, d).select("ds", "vid", s.alias("s"), hashed.alias("h"))
+    # of each part of a dataset no more than 5000 others can be wanted, and those are ranked again
+    parts = Window.partitionBy("ds", "s", F.pmod(F.xxhash64("vid"), F.lit(64))).orderBy("h", "vid")
+    few = v.where(~F.col("s")).withColumn("r", F.row_number().over(parts)).where("r <= 5000")
+    few = few.withColumn("r", F.row_number().over(Window.partitionBy("ds").orderBy("h", "vid"))).where("r <= 5000")
+    taken = v.where("s").groupBy("ds").agg(F.count("*").alias("n_s"))
+    rest = few.join(taken, "ds", "left").where(F.col("r") + F.coalesce("n_s", F.lit(0)) <= 5000)
+    kept = v.where("s").select("ds", "vid", "s").unionByName(rest.select("ds", "vid", "s"))
     return kept.groupBy("ds").agg(F.count("*").alias("n"), F.count_if("s").alias("n_significant"), F.sum(F.col("vid") % 1000).alias("mix"))
 
 
@@ -564,7 +559,7 @@ def w03(spark: SparkSession, d: str) -> DataFrame:
   SELECT r.chr, r.pos, r.r - l.lead AS step FROM r JOIN l ON r.chr = l.chr WHERE abs(r.r - l.lead) <= 10""", "v")
 def w07(spark: SparkSession, d: str) -> DataFrame:
     """The ten positions on either side of each chromosome's lead."""
-    r = loci.best_by_position(variants(spark, d)).withColumn("r", F.row_number().over(Window.partitionBy("chr").orderBy("pos")).cast("long"))
+    r = stats.placed(loci.best_by_position(variants(spark, d)), ["chr"], F.floor(F.col("pos") / loci.BIN), ["pos"]).withColumnRenamed("place", "r")
     lead = r.groupBy("chr").agg(F.min_by("r", F.struct(-F.round("z", 9), "pos")).alias("lead"))
     return r.join(F.broadcast(lead), "chr").where(F.abs(F.col("r") - F.col("lead")) <= 10).select("chr", "pos", (F.col("r") - F.col("lead")).alias("step"))
 
@@ -811,7 +806,7 @@ def x03(spark: SparkSession, d: str) -> DataFrame:
 @query("w09_thinned", """, p AS (SELECT chr, pos, row_number() OVER (PARTITION BY chr ORDER BY pos) - 1 AS r, count(*) OVER (PARTITION BY chr) AS n FROM (SELECT DISTINCT chr, pos FROM v)) SELECT p.chr, p.pos FROM p WHERE n <= 20 OR EXISTS (SELECT 1 FROM range(20) t(k) WHERE r = (2 * t.k * (n - 1) + 19) // 38)""", "v")
 def w09(spark: SparkSession, d: str) -> DataFrame:
     """Twenty positions of each chromosome, evenly by rank, first and last included (a sampling operator)."""
-    w = Window.partitionBy("chr")
-    p = variants(spark, d).select("chr", "pos").distinct().withColumn("r", F.row_number().over(w.orderBy("pos")) - 1).withColumn("n", F.count("*").over(w))
-    wanted = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda k: F.floor((F.lit(2) * k * (F.col("n") - 1) + 19) / 38).cast("int"))
+    p = stats.placed(variants(spark, d).select("chr", "pos").distinct(), ["chr"], F.floor(F.col("pos") / loci.BIN), ["pos"])
+    p = p.select("chr", "pos", (F.col("place") - 1).alias("r"), F.col("total").alias("n"))
+    wanted = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda k: F.floor((F.lit(2) * k * (F.col("n") - 1) + 19) / 38))
     return p.where((F.col("n") <= 20) | F.array_contains(wanted, F.col("r"))).select("chr", "pos")
