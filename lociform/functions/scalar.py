@@ -103,6 +103,11 @@ def match_class(ea: Column, nea: Column, a1: Column, a2: Column) -> Column:
     )
 
 
+def effect_value(beta: Column, odds: Column) -> Column:
+    """The effect on the linear scale: beta, else the logarithm of a positive odds ratio, else null."""
+    return F.when(beta.isNotNull() & ~F.isnan(beta), beta).when(odds > 0, F.log(odds))
+
+
 def tier(z: Column) -> Column:
     """Significance tier of an absolute z score: p below 5e-8, 5e-5, 5e-3."""
     return F.when(z > 5.4513, 3).when(z > 4.0556, 2).when(z > 2.8070, 1).otherwise(0)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lociform.functions import scalar as S
-from lociform.operators import finemap, loci, programs, ranges, stats
+from lociform.operators import finemap, harmonise, loci, programs, ranges, stats
 from lociform.sources.tables import SQL as VIEW
 from lociform.sources.tables import catalog, dosages, genes, peaks, table, variants
 
@@ -205,8 +205,8 @@ def j14(spark: SparkSession, d: str) -> DataFrame:
     return catalog(spark, d).join(wanted, "rsid", "left_semi").groupBy("rsid").agg(F.count("*").alias("n"), F.count_distinct("trait").alias("traits"))
 
 
-_PANEL = """p AS (SELECT DISTINCT chr, pos, ea AS a1, nea AS a2 FROM v WHERE ds = 0),
-t AS (SELECT vid, chr, pos, beta, CASE ds % 3 WHEN 1 THEN nea WHEN 2 THEN translate(ea, 'ACGT', 'TGCA') ELSE ea END AS ea, CASE ds % 3 WHEN 1 THEN ea WHEN 2 THEN translate(nea, 'ACGT', 'TGCA') ELSE nea END AS nea FROM v WHERE ds > 0),
+_PANEL = """p AS (SELECT DISTINCT chr, pos, ea AS a1, nea AS a2, maf AS a1_freq FROM v WHERE ds = 0),
+t AS (SELECT vid, chr, pos, beta, exp(beta) AS odds, CASE ds % 3 WHEN 1 THEN 1e0 - maf ELSE maf END AS eaf, CASE ds % 3 WHEN 1 THEN nea WHEN 2 THEN translate(ea, 'ACGT', 'TGCA') ELSE ea END AS ea, CASE ds % 3 WHEN 1 THEN ea WHEN 2 THEN translate(nea, 'ACGT', 'TGCA') ELSE nea END AS nea FROM v WHERE ds > 0),
 m AS (SELECT *, CASE WHEN ea = a1 AND nea = a2 THEN 'FORWARD' WHEN ea = a2 AND nea = a1 THEN 'REVERSE' WHEN translate(ea, 'ACGT', 'TGCA') = a1 AND translate(nea, 'ACGT', 'TGCA') = a2 THEN 'COMPLEMENT'
   WHEN translate(ea, 'ACGT', 'TGCA') = a2 AND translate(nea, 'ACGT', 'TGCA') = a1 THEN 'REVERSE_COMPLEMENT' ELSE 'NONE' END AS class FROM t JOIN p USING (chr, pos))"""
 VIEW["panel"] = _PANEL
@@ -214,11 +214,12 @@ VIEW["panel"] = _PANEL
 
 def panel_matches(spark: SparkSession, d: str) -> DataFrame:
     v = variants(spark, d)
-    panel = v.where("ds = 0").select("chr", "pos", F.col("ea").alias("a1"), F.col("nea").alias("a2")).distinct()
+    panel = v.where("ds = 0").select("chr", "pos", F.col("ea").alias("a1"), F.col("nea").alias("a2"), F.col("maf").alias("a1_freq")).distinct()
     kind = F.col("ds") % 3
     ea = F.when(kind == 1, F.col("nea")).when(kind == 2, S.complement(F.col("ea"))).otherwise(F.col("ea"))
     nea = F.when(kind == 1, F.col("ea")).when(kind == 2, S.complement(F.col("nea"))).otherwise(F.col("nea"))
-    t = v.where("ds > 0").select("vid", "chr", "pos", "beta", ea.alias("ea"), nea.alias("nea"))
+    eaf = F.when(kind == 1, F.lit(1.0) - F.col("maf")).otherwise(F.col("maf"))
+    t = v.where("ds > 0").select("vid", "chr", "pos", "beta", F.exp("beta").alias("odds"), eaf.alias("eaf"), ea.alias("ea"), nea.alias("nea"))
     return t.join(panel, ["chr", "pos"]).withColumn("class", S.match_class(F.col("ea"), F.col("nea"), F.col("a1"), F.col("a2")))
 
 
@@ -227,10 +228,25 @@ def j16(spark: SparkSession, d: str) -> DataFrame:
     return panel_matches(spark, d).groupBy("class").agg(F.count("*").alias("n"))
 
 
-@query("j17_harmonised", "SELECT vid, a1 AS ea, round(CASE WHEN class IN ('REVERSE', 'REVERSE_COMPLEMENT') THEN -beta ELSE beta END, 9) + 0e0 AS beta FROM m WHERE class <> 'NONE' AND (a1 || a2) NOT IN ('AT','TA','CG','GC')", "v panel")
+@query("j17_harmonised", """, h AS (SELECT *, CASE WHEN (ea || nea) NOT IN ('AT', 'TA', 'CG', 'GC') OR class NOT IN ('FORWARD', 'REVERSE') THEN class
+    WHEN abs(a1_freq - 0.5e0) < 0.05e0 OR abs(eaf - 0.5e0) < 0.05e0 OR a1_freq <= 0 OR a1_freq >= 1 OR eaf <= 0 OR eaf >= 1 THEN 'UNCLEAR' WHEN abs(eaf - a1_freq) + 0.1e0 < abs(eaf - (1e0 - a1_freq)) THEN 'FORWARD'
+    WHEN abs(eaf - (1e0 - a1_freq)) + 0.1e0 < abs(eaf - a1_freq) THEN 'REVERSE' ELSE 'UNCLEAR' END AS k FROM m),
+  o AS (SELECT *, CASE WHEN k LIKE '%COMPLEMENT' THEN translate(ea, 'ACGT', 'TGCA') ELSE ea END AS x, CASE WHEN k LIKE '%COMPLEMENT' THEN translate(nea, 'ACGT', 'TGCA') ELSE nea END AS y FROM h)
+  SELECT vid, CASE k WHEN 'NONE' THEN 'dropped' WHEN 'UNCLEAR' THEN 'dropped_palindromic' WHEN 'FORWARD' THEN 'kept' WHEN 'REVERSE' THEN 'flipped' WHEN 'COMPLEMENT' THEN 'complemented' ELSE 'complement_flipped' END AS action,
+    CASE WHEN k LIKE 'REVERSE%' THEN y ELSE x END AS ea, CASE WHEN k LIKE 'REVERSE%' THEN x ELSE y END AS nea,
+    round(CASE WHEN k LIKE 'REVERSE%' THEN -beta ELSE beta END, 9) + 0e0 AS beta, round(CASE WHEN k LIKE 'REVERSE%' THEN 1e0 / odds ELSE odds END, 9) AS odds FROM o""", "v panel")
 def j17(spark: SparkSession, d: str) -> DataFrame:
-    m = panel_matches(spark, d).where((F.col("class") != "NONE") & ~S.palindromic(F.col("a1"), F.col("a2")))
-    return m.select("vid", F.col("a1").alias("ea"), (F.round(F.when(F.col("class").isin("REVERSE", "REVERSE_COMPLEMENT"), -F.col("beta")).otherwise(F.col("beta")), 9) + F.lit(0.0)).alias("beta"))
+    """Rows turned to the panel's first allele: effects change sign, odds ratios are inverted, palindromic alleles go by frequency."""
+    m = harmonise.harmonised(panel_matches(spark, d))
+    return m.select("vid", "action", "ea", "nea", (F.round("beta", 9) + F.lit(0.0)).alias("beta"), F.round("odds", 9).alias("odds"))
+
+
+@query("f16_effects", "SELECT vid, round(CASE WHEN vid % 3 = 0 THEN beta WHEN vid % 3 = 1 THEN ln(exp(beta)) END, 9) + 0e0 AS effect FROM v", "v")
+def f16(spark: SparkSession, d: str) -> DataFrame:
+    """Effects of rows of which a third has a beta, a third an odds ratio and a third an impossible odds ratio."""
+    kind = F.col("vid") % 3
+    v = variants(spark, d).select("vid", F.when(kind == 0, F.col("beta")).alias("beta"), F.when(kind == 1, F.exp("beta")).when(kind == 2, 0.0).alias("odds"))
+    return v.select("vid", (F.round(S.effect_value(F.col("beta"), F.col("odds")), 9) + F.lit(0.0)).alias("effect"))
 
 
 @query("j29_neighbouring_loci", """SELECT locus, lag(locus) OVER (ORDER BY chr, "start") AS prev, lead(locus) OVER (ORDER BY chr, "start") AS next, "start" - lag("end") OVER (PARTITION BY chr ORDER BY "start") AS gap FROM loci""", "v loci")
@@ -296,6 +312,15 @@ def a12(spark: SparkSession, d: str) -> DataFrame:
     return stats.one_way_anova(variants(spark, d), ["chr"], "ds", "z").withColumn("f", F.round("f", 6))
 
 
+@query("a12b_anova_within", """, per AS (SELECT chr, ds % 2 AS disease, ds, count(*) AS n, sum(z) AS s, sum(z * z) AS q FROM v GROUP BY 1, 2, 3),
+  tot AS (SELECT chr, disease, count(*) AS k, sum(n) AS n, sum(s) AS s, sum(q) AS q, sum(s * s / n) AS b FROM per GROUP BY chr, disease)
+  SELECT chr, disease, k AS n_groups, CAST(n AS BIGINT) AS n, round(((b - s * s / n) / (k - 1)) / ((q - b) / (n - k)), 6) AS f FROM tot""", "v")
+def a12b(spark: SparkSession, d: str) -> DataFrame:
+    """Within each disease: whether its datasets differ."""
+    v = variants(spark, d).withColumn("disease", F.col("ds") % 2)
+    return stats.one_way_anova(v, ["chr", "disease"], "ds", "z").withColumn("f", F.round("f", 6))
+
+
 @query("a14_shared_genes", """, s AS (SELECT DISTINCT v.ds, g.gid FROM v JOIN g ON v.chr = g.chr AND v.pos BETWEEN g."start" AND g."end" WHERE v.z > 4.0556e0)
   SELECT a.gid AS gid_a, b.gid AS gid_b, count(*) AS n FROM s a JOIN s b ON a.ds = b.ds AND a.gid < b.gid GROUP BY 1, 2 HAVING count(*) >= 2 ORDER BY n DESC, gid_a, gid_b LIMIT 150""", "v g")
 def a14(spark: SparkSession, d: str) -> DataFrame:
@@ -435,10 +460,35 @@ def u04(spark: SparkSession, d: str) -> DataFrame:
 # ---- more joins, windows and programs ---------------------------------------------------------
 
 
-@query("j10_nearest_peak", """SELECT chr, pos, min(greatest(0, k."start" - s.pos, s.pos - k."end")) AS distance FROM (SELECT DISTINCT chr, pos FROM v WHERE z > 5.4513e0) s JOIN k USING (chr) WHERE k.eid = 2 GROUP BY chr, pos""", "v k")
+@query("j10_nearest_peak", """SELECT chr, pos, eid, min(greatest(0, k."start" - s.pos, s.pos - k."end")) AS distance FROM (SELECT DISTINCT chr, pos FROM v WHERE z > 5.4513e0) s JOIN k USING (chr) GROUP BY chr, pos, eid""", "v k")
 def j10(spark: SparkSession, d: str) -> DataFrame:
+    """The distance to the nearest element of every cell type: cell types are told apart as chromosomes are."""
+    own = lambda eid: (F.col("chr") * 100 + eid).alias("chr")
+    k = peaks(spark, d)
     v = variants(spark, d).where(F.col("z") > loci.GENOME_WIDE).select("chr", "pos").distinct()
-    return ranges.nearest(v, peaks(spark, d).where("eid = 2"), "peak").where("distance is not null").select("chr", "pos", "distance")
+    kinds = k.select("eid").distinct()  # a row for each cell type
+    v = v.crossJoin(F.broadcast(kinds)).select(own(F.col("eid")), "pos")
+    near = ranges.nearest(v, k.select(own(F.col("eid")), "start", "end", "peak"), "peak").where("distance is not null")
+    return near.select(F.floor(F.col("chr") / 100).cast("int").alias("chr"), "pos", (F.col("chr") % 100).cast("int").alias("eid"), "distance")
+
+
+@query("t06_top_targets", """, i AS (SELECT l.locus, g.gid, g.size FROM loci l JOIN g ON g.chr = l.chr AND g."start" <= l."end" + 100000 AND g."end" >= l."start" - 100000),
+  r AS (SELECT *, row_number() OVER (PARTITION BY locus ORDER BY size DESC, gid) AS k FROM i) SELECT locus, k, gid FROM r WHERE k <= 5""", "v g loci")
+def t06(spark: SparkSession, d: str) -> DataFrame:
+    """The five best scored genes within 100 kb of each locus (a top-k report)."""
+    near = loci.seed_loci(variants(spark, d)).select("locus", "chr", (F.col("start") - 100_000).alias("start"), (F.col("end") + 100_000).alias("end"))
+    met = ranges.overlapping(near, genes(spark, d).select("gid", "size", "chr", "start", "end")).select("locus", F.col("gid_b").alias("gid"), F.col("size_b").alias("size"))
+    best = met.withColumn("k", F.row_number().over(Window.partitionBy("locus").orderBy(F.desc("size"), "gid")).cast("long"))
+    return best.where("k <= 5").select("locus", "k", "gid")
+
+
+@query("t07_genes_in_order", """, b AS (SELECT g.gid, max(round(v.z, 9)) AS z FROM g JOIN v ON v.chr = g.chr AND v.pos BETWEEN g."start" AND g."end" GROUP BY g.gid) SELECT row_number() OVER (ORDER BY z DESC, gid) AS place, gid, z FROM b""", "v g")
+def t07(spark: SparkSession, d: str) -> DataFrame:
+    """Genes by their strongest variant, strongest first, numbered."""
+    best = ranges.points_in(variants(spark, d), genes(spark, d).select("gid", "chr", "start", "end")).groupBy("gid").agg(F.max(F.round("z", 9)).alias("z"))
+    # bins of falling z; the key is the same for all
+    ordered = stats.placed(best.withColumn("all", F.lit(1)), ["all"], -F.ceil(F.col("z") * 100), [F.desc("z"), "gid"])
+    return ordered.select("place", "gid", "z").orderBy("place")
 
 
 @query("j18_rsid_matches", """, db AS (SELECT DISTINCT chr, pos, ea AS ref, nea AS alt, 'rs' || pos AS rsid FROM v WHERE ds = 0)
@@ -482,11 +532,12 @@ def j27(spark: SparkSession, d: str) -> DataFrame:
     return s.alias("a").join(s.alias("b"), ["chr", "pos"]).where("a.ds < b.ds").groupBy(F.col("a.ds").alias("a"), F.col("b.ds").alias("b")).agg(F.count("*").alias("n"))
 
 
-@query("a10_attenuation", "SELECT ds, round(CASE WHEN m = 1 THEN NULL ELSE (1.02e0 - 1) / (m - 1) END, 6) AS ratio FROM (SELECT ds, avg(z * z) AS m FROM v GROUP BY ds)", "v")
+@query("a10_attenuation", "SELECT ds, round(CASE WHEN m = 1 THEN NULL ELSE (i - 1) / (m - 1) END, 6) AS ratio FROM (SELECT ds, avg(z * z) AS m, regr_intercept(z * z, maf * 100) AS i FROM v GROUP BY ds)", "v")
 def a10(spark: SparkSession, d: str) -> DataFrame:
-    """(intercept - 1) / (mean chi-square - 1) at an intercept of 1.02; null where undefined."""
-    m = variants(spark, d).groupBy("ds").agg(F.avg(F.col("z") * F.col("z")).alias("m"))
-    return m.select("ds", F.round(F.when(F.col("m") != 1, F.lit(1.02 - 1) / (F.col("m") - 1)), 6).alias("ratio"))
+    """(intercept - 1) / (mean chi-square - 1), the intercept being that of chi-square on linkage score; null where undefined."""
+    chi2 = F.col("z") * F.col("z")
+    m = variants(spark, d).groupBy("ds").agg(F.avg(chi2).alias("m"), F.regr_intercept(chi2, F.col("maf") * 100).alias("i"))
+    return m.select("ds", F.round(F.when(F.col("m") != 1, (F.col("i") - 1) / (F.col("m") - 1)), 6).alias("ratio"))
 
 
 @query("a15_category_counts", """, i AS (SELECT DISTINCT g.gid, g.biotype FROM g JOIN v ON v.chr = g.chr AND v.pos BETWEEN g."start" AND g."end" WHERE v.z > 5.4513e0)

@@ -169,7 +169,7 @@ def p15b(spark: SparkSession, d: str) -> DataFrame:
     """Two-step weighted regression of each dataset; blocks are stretches of a twentieth of a chromosome here."""
     v = variants(spark, d).select("ds", (F.col("chr") * 20 + F.floor(F.col("pos") / 500_001)).alias("block"), (F.col("maf") * 100).alias("l2"), (F.col("z") * F.col("z")).alias("chi2"))
     rows = regional.two_step_regression(v, "ds", "block", "l2", "chi2", 1e6, 1e5)
-    return spark.createDataFrame([(r[0], *(round(x, 6) for x in r[1:])) for r in rows], "ds int, h2 double, h2_error double, intercept double, intercept_error double")
+    return spark.createDataFrame([(r[0], *(round(x, 6) for x in r[1:])) for r in rows], "ds int, h2 double, h2_error double, intercept double, intercept_error double, ratio double, ratio_error double")
 
 
 @query("p16_joint_selection", """, s AS (SELECT locus, ds, n_significant, z FROM dl WHERE n_significant > 0), n AS (SELECT locus, count(*) AS n FROM s GROUP BY locus HAVING count(*) >= 2)

@@ -174,7 +174,13 @@ def a08(spark: SparkSession, d: str) -> DataFrame:
     return merged.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n_seeds"), F.count("*").alias("n_members"), F.count_distinct("ds").alias("n_datasets"), F.round(F.max("z"), 6).alias("top")).drop("island")
 
 
-@query("a20_consistent_loci")
+@query("a20_consistent_loci", """, h AS (SELECT locus, ds % 2 AS category, count(*) AS a FROM dl WHERE n_suggestive > 0 GROUP BY 1, 2), z AS (SELECT ds % 2 AS category, count(DISTINCT ds) AS size FROM v GROUP BY 1),
+  t AS (SELECT locus, category, a, size - a AS b, sum(a) OVER (PARTITION BY locus) - a AS c, (SELECT sum(size) FROM z) - size - sum(a) OVER (PARTITION BY locus) + a AS d FROM h JOIN z USING (category)),
+  s AS (SELECT locus, category, a, CAST(b AS BIGINT) AS b, CAST(c AS BIGINT) AS c, CAST(d AS BIGINT) AS d FROM t WHERE a >= 2 AND a >= b AND a * (c + d) > c * (a + b)),
+  w AS (SELECT *, list_transform(range(greatest(0, a - d), least(a + b, a + c) + 1), lambda x: -(lgamma(x + 1e0) + lgamma(a + b - x + 1e0) + lgamma(a + c - x + 1e0) + lgamma(d - a + x + 1e0))) AS logs,
+    -(lgamma(a + 1e0) + lgamma(b + 1e0) + lgamma(c + 1e0) + lgamma(d + 1e0)) AS own FROM s),
+  p AS (SELECT locus, category, a, b, c, d, round(list_sum(list_transform(list_filter(logs, lambda x: x <= own + 1e-9), lambda x: exp(x - own))) / list_sum(list_transform(logs, lambda x: exp(x - own))), 6) AS p FROM w)
+  SELECT *, p < 0.05e0 AS significant FROM p ORDER BY p, category, locus LIMIT 25""", "v loci dl")
 def a20(spark: SparkSession, d: str) -> DataFrame:
     """Loci that a category of datasets shares: at least two of it, half of it, more than outside, exact p < .05; 25 at most."""
     v = variants(spark, d)
@@ -185,7 +191,7 @@ def a20(spark: SparkSession, d: str) -> DataFrame:
     t = own.join(total, "locus").join(F.broadcast(sizes), "category").join(F.broadcast(sizes.agg(F.sum("size").alias("all"))))
     t = t.select("locus", "category", "a", (F.col("size") - F.col("a")).alias("b"), (F.col("hits") - F.col("a")).alias("c"), (F.col("all") - F.col("size") - F.col("hits") + F.col("a")).alias("d"))
     shared = t.where((F.col("a") >= 2) & (F.col("a") >= F.col("b")) & (F.col("a") * (F.col("c") + F.col("d")) > F.col("c") * (F.col("a") + F.col("b"))))
-    p = F.round(S.fisher_two_sided(*(F.col(x) for x in "abcd")), 9)
+    p = F.round(S.fisher_two_sided(*(F.col(x) for x in "abcd")), 6)
     return shared.withColumn("p", p).withColumn("significant", F.col("p") < 0.05).orderBy("p", "category", "locus").limit(25)
 
 

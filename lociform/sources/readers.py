@@ -32,6 +32,27 @@ def _find(columns: list[str], name: str) -> str:
     raise ValueError(f"column {name} is not there; the file has {', '.join(columns)}")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether anything is at a path or pattern, in the store that the path names."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(there))
+
+
+def read_overrides(spark: SparkSession, path: str) -> DataFrame:
+    """(locus, snp) of a file of two columns that names the top variant of loci; comments are left out, the last line of a locus counts, no file is no rows."""
+    found = spark.read.text(path) if _exists(spark, path) else spark.createDataFrame([], "value string")
+    part = F.split(F.trim("value"), "\t")
+    rows = found.where(~F.col("value").startswith("#")).select(F.trim(part[0]).try_cast("int").alias("locus"), F.trim(F.get(part, F.lit(1))).alias("snp"), F.monotonically_increasing_id().alias("row"))
+    return rows.where("locus is not null and snp is not null").groupBy("locus").agg(F.max_by("snp", "row").alias("snp"))
+
+
+def sniffed_separator(spark: SparkSession, path: str) -> str:
+    """The separator that the first line has most often: tab, comma, semicolon, or any white space."""
+    line = (spark.read.text(path).limit(1).collect() or [("",)])[0][0]
+    best = max("\t,;", key=line.count)
+    return best if line.count(best) else r"\s+"
+
+
 def read_text_table(spark: SparkSession, path: str, sep: str = "\t", header: bool = True) -> DataFrame:
     return spark.read.csv(path, sep=sep, header=header, quote='"', escape='"', mode="PERMISSIVE")
 
@@ -90,9 +111,10 @@ def read_panel(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_peaks(spark: SparkSession, path: str) -> DataFrame:
-    """(chr, start, end, signal) of peak files of at least seven columns; compressed files as they are."""
+    """(chr, start, end, signal) of peak files of at least seven columns; compressed files as they are, no file as no rows."""
     part = F.split("value", "\t")
-    return spark.read.text(path).where(F.size(part) >= 7).select(normal_chr(part[0]).alias("chr"), part[1].try_cast("long").alias("start"), part[2].try_cast("long").alias("end"), part[6].try_cast("double").alias("signal")).where("start is not null and end is not null")
+    found = spark.read.text(path) if _exists(spark, path) else spark.createDataFrame([], "value string")
+    return found.where(F.size(part) >= 7).select(normal_chr(part[0]).alias("chr"), part[1].try_cast("long").alias("start"), part[2].try_cast("long").alias("end"), part[6].try_cast("double").alias("signal")).where("start is not null and end is not null")
 
 
 def read_catalog(spark: SparkSession, path: str, chr_col: str = "CHR_ID", pos_col: str = "CHR_POS", id_col: str = "SNPS", trait_col: str = "DISEASE/TRAIT", mlogp_col: str = "PVALUE_MLOG") -> DataFrame:

@@ -66,3 +66,13 @@ def test_fisher(spark):
     long = lambda *x: [F.lit(v).cast("long") for v in x]
     r = spark.range(1).select(scalar.fisher_two_sided(*long(3, 1, 1, 3)).alias("a"), scalar.fisher_two_sided(*long(4, 0, 0, 4)).alias("b"), scalar.fisher_two_sided(*long(2, 2, 2, 2)).alias("c")).first()
     assert tuple(r) == (pytest.approx(17 / 35), pytest.approx(1 / 35), pytest.approx(1.0))
+
+
+def test_overrides_missing_files_and_separators(spark, tmp_path):
+    (tmp_path / "top.tsv").write_text("# a comment\n1\trs1\n\n2\trs2\n1\trs9\nodd\trs3\n4\n")
+    assert {tuple(r) for r in readers.read_overrides(spark, f"file://{tmp_path}/top.tsv").collect()} == {(1, "rs9"), (2, "rs2")}
+    assert readers.read_overrides(spark, f"file://{tmp_path}/none.tsv").count() == 0
+    assert readers.read_peaks(spark, f"file://{tmp_path}/none.gz").count() == 0
+    for text, sep in (("a\tb c\td", "\t"), ("a,b,c", ","), ("a;b", ";"), ("a b  c", r"\s+"), ("", r"\s+")):
+        (tmp_path / "one.txt").write_text(text)
+        assert readers.sniffed_separator(spark, f"file://{tmp_path}/one.txt") == sep

@@ -195,9 +195,10 @@ def test_two_step_regression_recovers(spark):
         rows += [(g, k * 200 // size, float(x), float(y)) for k, (x, y) in enumerate(zip(l2, chi2))]
     df = spark.createDataFrame(rows, "g int, block int, l2 double, chi2 double")
     got = regional.two_step_regression(df, "g", "block", "l2", "chi2", m, n, ceiling=1e9)
-    for (_, h2, se, a, ase), (want, intercept) in zip(got, [(0.25, 1.0), (0.05, 1.08)]):
+    for (_, h2, se, a, ase, ratio, _), (want, intercept) in zip(got, [(0.25, 1.0), (0.05, 1.08)]):
         assert abs(h2 - want) < 4 * se and 0 < se < 0.05
         assert abs(a - intercept) < 4 * ase and 0 < ase < 0.1
+        assert ratio == pytest.approx((a - 1) / (np.mean([r[3] for r in rows if r[0] == (want == 0.05)]) - 1), abs=0.02)
     assert regional.two_step_regression(df.limit(0), "g", "block", "l2", "chi2", m, n) == []
 
 
