@@ -34,14 +34,17 @@ def centred(df: DataFrame, dosages: str) -> DataFrame:
 
 
 def linkage(df: DataFrame, place: str, dosages: str, reach: int) -> DataFrame:
-    """(i, j, r) for variants at most reach places apart, i < j, by equality on the place.
+    """(i, j, r) for variants at most reach places apart, i < j, by equality on blocks of reach places.
 
-    Each variant makes reach rows, whatever the size of its region.
+    What follows a variant lies in its own block or the next one, so each variant makes two rows,
+    whatever the size of its region.
     """
     c = centred(df.select(F.col(place).alias("i"), F.col(dosages).alias("d")), "d")
-    after = c.select(F.explode(F.sequence(F.col("i") - reach, F.col("i") - 1)).alias("i"), F.col("i").alias("j"), F.col("d").alias("e"))
+    block = F.floor(F.col("i") / reach)
+    after = c.select(F.explode(F.array(block - 1, block)).alias("block"), F.col("i").alias("j"), F.col("d").alias("e"))
+    pairs = c.withColumn("block", block).join(after, "block").where((F.col("j") > F.col("i")) & (F.col("j") <= F.col("i") + reach))
     r = F.aggregate(F.zip_with("d", "e", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return c.join(after, "i").select("i", "j", r.alias("r"))
+    return pairs.select("i", "j", r.alias("r"))
 
 
 def linkage_check(pairs: DataFrame, z: DataFrame) -> DataFrame:

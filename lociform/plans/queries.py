@@ -54,6 +54,22 @@ def erfc_sql(x: str) -> str:
     return f"((1e0 / (1e0 + 0.5e0 * {x})) * exp(-({x}) * ({x}) + {poly}))"
 
 
+def qnorm_sql(x: str) -> str:
+    """The normal quantile's three pieces; x must be cheap, it is repeated."""
+
+    def horner(y: str, coefficients: tuple[float, ...]) -> str:
+        out = f"({coefficients[0]!r}e0)"
+        for c in coefficients[1:]:
+            out = f"({out} * {y} + ({c!r}e0))"
+        return out.replace("e-03e0", "e-03").replace("e00e0", "e00").replace("e01e0", "e01").replace("e02e0", "e02")
+
+    q = f"({x} - 0.5e0)"
+    tail = lambda y: f"{horner(f'sqrt(-2e0 * ln({y}))', S.QNORM_C)} / {horner(f'sqrt(-2e0 * ln({y}))', S.QNORM_D)}"
+    central = f"{horner(f'({q} * {q})', S.QNORM_A)} * {q} / {horner(f'({q} * {q})', S.QNORM_B)}"
+    low = f"CASE WHEN {x} > 0e0 AND {x} < 0.02425e0 THEN {tail(x)} WHEN {x} >= 0.02425e0 AND {x} <= 1e0 - 0.02425e0 THEN {central}"
+    return f"{low} WHEN {x} > 1e0 - 0.02425e0 AND {x} < 1e0 THEN -({tail(f'(1e0 - {x})')}) END"
+
+
 # ---- filters and scalar expressions -----------------------------------------------------------
 
 
@@ -103,11 +119,11 @@ def f15(spark: SparkSession, d: str) -> DataFrame:
     return variants(spark, d).where(F.col("z") > loci.SUGGESTIVE).groupBy("ds", (F.col("beta") > 0).alias("risk")).agg(F.count("*").alias("n"))
 
 
-@query("f17_odds_ratios", "SELECT vid, round(exp(beta), 6) AS odds_ratio, round(exp(beta - 1.959964e0 * se), 6) AS low, round(exp(beta + 1.959964e0 * se), 6) AS high FROM v WHERE z > 5.4513e0", "v")
+@query("f17_odds_ratios", "SELECT vid, round(exp(beta), 6) AS odds_ratio, round(exp(beta - 1.959964e0 * se), 6) AS low, round(exp(beta + 1.959964e0 * se), 6) AS high FROM v", "v")
 def f17(spark: SparkSession, d: str) -> DataFrame:
     half = F.lit(1.959964) * F.col("se")
     bound = lambda x: F.round(F.exp(x), 6)
-    return variants(spark, d).where(F.col("z") > loci.GENOME_WIDE).select("vid", bound(F.col("beta")).alias("odds_ratio"), bound(F.col("beta") - half).alias("low"), bound(F.col("beta") + half).alias("high"))
+    return variants(spark, d).select("vid", bound(F.col("beta")).alias("odds_ratio"), bound(F.col("beta") - half).alias("low"), bound(F.col("beta") + half).alias("high"))
 
 
 @query("f20_common_variants", "SELECT ds, count(*) AS n, round(avg(1e0 / (se * se * 2e0 * maf * (1e0 - maf))), 4) AS mean_n FROM v WHERE maf >= 0.05e0 AND NOT (chr = 6 AND pos > 2500000 AND pos < 3400000) GROUP BY ds", "v")
@@ -122,9 +138,9 @@ def f22(spark: SparkSession, d: str) -> DataFrame:
     return catalog(spark, d).where(F.contains(F.lower("trait"), F.lit("urg")) & (F.col("mlogp") >= 30)).select("cid", "rsid", "trait")
 
 
-@query("m02_p_values", f"SELECT vid, round(-log10({erfc_sql('(z / sqrt(2e0))')}), 6) AS neglog10p FROM v WHERE z > 2.807e0", "v")
+@query("m02_p_values", f"SELECT vid, round(-log10({erfc_sql('(z / sqrt(2e0))')}), 6) + 0e0 AS neglog10p FROM v", "v")
 def m02(spark: SparkSession, d: str) -> DataFrame:
-    return variants(spark, d).where(F.col("z") > 2.807).select("vid", F.round(S.neglog10(S.z_to_p(F.col("z"))), 6).alias("neglog10p"))
+    return variants(spark, d).select("vid", (F.round(S.neglog10(S.z_to_p(F.col("z"))), 6) + 0.0).alias("neglog10p"))
 
 
 @query("m03_log_gamma", "SELECT p_partkey AS gid, round(lgamma(p_size + 0.5e0), 6) AS lg FROM part")
@@ -132,7 +148,8 @@ def m03(spark: SparkSession, d: str) -> DataFrame:
     return genes(spark, d).select("gid", F.round(S.log_gamma(F.col("size") + F.lit(0.5)), 6).alias("lg"))
 
 
-@query("m01_normal_quantile")
+@query("m01_normal_quantile", f""", m AS (SELECT DISTINCT maf FROM v), q AS (SELECT maf, {qnorm_sql("(maf + 0.001e0)")} AS q FROM m)
+  SELECT maf, round(q, 6) AS q, round({erfc_sql("(abs(q) / sqrt(2e0))")}, 5) AS two_sided FROM q""", "v")
 def m01(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("maf") + 0.001
     return variants(spark, d).select("maf").distinct().select("maf", F.round(S.qnorm(p), 6).alias("q"), F.round(S.z_to_p(S.qnorm(p)), 5).alias("two_sided"))
@@ -178,10 +195,15 @@ def j05(spark: SparkSession, d: str) -> DataFrame:
     return ranges.nearest(v, genes(spark, d), "gid").select("vid", "distance")
 
 
-@query("j08_variants_in_peaks", 'SELECT count(*) AS n, count(DISTINCT chr || \':\' || pos) AS n_pos FROM v WHERE EXISTS (SELECT 1 FROM k WHERE k.chr = v.chr AND v.pos BETWEEN k."start" AND k."end" AND k.eid = 1)', "v k")
+@query("j08_variants_in_peaks", """SELECT e.eid, count(*) AS n, count(DISTINCT v.chr || ':' || v.pos) AS n_pos FROM v, (SELECT DISTINCT eid FROM k) e WHERE EXISTS (SELECT 1 FROM k WHERE k.chr = v.chr AND v.pos BETWEEN k."start" AND k."end" AND k.eid = e.eid) GROUP BY 1""", "v k")
 def j08(spark: SparkSession, d: str) -> DataFrame:
-    found = ranges.points_in(variants(spark, d), peaks(spark, d).where("eid = 1").select("chr", "start", "end"), "left_semi")
-    return found.agg(F.count("*").alias("n"), F.count_distinct("chr", "pos").alias("n_pos"))
+    """Rows and positions inside the elements of each cell type.
+
+    Rows are counted by position first, so that the range join sees a position once.
+    """
+    places = variants(spark, d).groupBy("chr", "pos").agg(F.count("*").alias("rows"))
+    found = ranges.points_in(places, peaks(spark, d).select("eid", "chr", "start", "end")).select("eid", "chr", "pos", "rows").distinct()
+    return found.groupBy("eid").agg(F.sum("rows").alias("n"), F.count("*").alias("n_pos"))
 
 
 @query("j09_peaks_by_locus", 'SELECT l.locus, k.mark, count(*) AS n, round(max(k.signal), 6) AS signal FROM loci l JOIN k ON l.chr = k.chr AND l."start" <= k."end" AND l."end" >= k."start" GROUP BY 1, 2', "v loci k")
@@ -199,9 +221,9 @@ def j13(spark: SparkSession, d: str) -> DataFrame:
     return hits.groupBy("locus").agg(F.count("*").alias("n_hits"), F.min_by("cid", F.when(F.col("k") <= 200, F.struct((-F.col("mlogp")).alias("m"), "cid"))).alias("best"))
 
 
-@query("j14_catalog_by_rsid", "SELECT rsid, count(*) AS n, count(DISTINCT trait) AS traits FROM c WHERE rsid IN (SELECT 'rs' || p_partkey FROM part WHERE p_size > 40) GROUP BY rsid", "c")
+@query("j14_catalog_by_rsid", "SELECT rsid, count(*) AS n, count(DISTINCT trait) AS traits FROM c WHERE rsid IN (SELECT 'rs' || p_partkey FROM part) GROUP BY rsid", "c")
 def j14(spark: SparkSession, d: str) -> DataFrame:
-    wanted = genes(spark, d).where("size > 40").select(F.concat(F.lit("rs"), F.col("gid").cast("string")).alias("rsid")).distinct()
+    wanted = genes(spark, d).select(F.concat(F.lit("rs"), F.col("gid").cast("string")).alias("rsid")).distinct()
     return catalog(spark, d).join(wanted, "rsid", "left_semi").groupBy("rsid").agg(F.count("*").alias("n"), F.count_distinct("trait").alias("traits"))
 
 
@@ -336,20 +358,20 @@ def a16(spark: SparkSession, d: str) -> DataFrame:
     return stats.mann_whitney(variants(spark, d), ["ds"], "maf", F.col("z") > loci.SUGGESTIVE).withColumn("z", F.round("z", 6))
 
 
-@query("a17_peak_enrichment", """, b AS (SELECT chr, pos, max(z) AS z FROM v GROUP BY 1, 2), marks AS (SELECT DISTINCT mark FROM k),
-  i AS (SELECT m.mark, b.z > 5.4513e0 AS fg, EXISTS (SELECT 1 FROM k WHERE k.mark = m.mark AND k.eid = 1 AND k.chr = b.chr AND b.pos BETWEEN k."start" AND k."end") AS inside FROM b, marks m),
-  n AS (SELECT mark, count(*) FILTER (fg AND inside) AS a, count(*) FILTER (fg AND NOT inside) AS b, count(*) FILTER (NOT fg AND inside) AS c, count(*) FILTER (NOT fg AND NOT inside) AS d FROM i GROUP BY mark)
-  SELECT mark, a, b, c, d, round((a + h) * (d + h) / ((b + h) * (c + h)), 6) AS odds_ratio FROM (SELECT *, CASE WHEN a = 0 OR b = 0 OR c = 0 OR d = 0 THEN 0.5e0 ELSE 0e0 END AS h FROM n)""", "v k")
+@query("a17_peak_enrichment", """, b AS (SELECT chr, pos, max(z) AS z FROM v GROUP BY 1, 2), marks AS (SELECT DISTINCT eid, mark FROM k),
+  i AS (SELECT m.eid, m.mark, b.z > 5.4513e0 AS fg, EXISTS (SELECT 1 FROM k WHERE k.mark = m.mark AND k.eid = m.eid AND k.chr = b.chr AND b.pos BETWEEN k."start" AND k."end") AS inside FROM b, marks m),
+  n AS (SELECT eid, mark, count(*) FILTER (fg AND inside) AS a, count(*) FILTER (fg AND NOT inside) AS b, count(*) FILTER (NOT fg AND inside) AS c, count(*) FILTER (NOT fg AND NOT inside) AS d FROM i GROUP BY 1, 2)
+  SELECT eid, mark, a, b, c, d, round((a + h) * (d + h) / ((b + h) * (c + h)), 6) AS odds_ratio FROM (SELECT *, CASE WHEN a = 0 OR b = 0 OR c = 0 OR d = 0 THEN 0.5e0 ELSE 0e0 END AS h FROM n)""", "v k")
 def a17(spark: SparkSession, d: str) -> DataFrame:
-    """Odds of lying in a peak of each mark, significant positions against all others."""
+    """Odds of lying in a peak of each cell type and mark, significant positions against all others."""
     best = loci.best_by_position(variants(spark, d)).withColumn("fg", F.col("z") > loci.GENOME_WIDE)
     k = peaks(spark, d)
-    inside = ranges.points_in(best, k.where("eid = 1").select("chr", "start", "end", "mark")).select("chr", "pos", "fg", "mark").distinct()
-    counts = inside.groupBy("mark").agg(F.count_if("fg").alias("a"), F.count_if(~F.col("fg")).alias("c"))
+    inside = ranges.points_in(best, k.select("chr", "start", "end", "eid", "mark")).select("chr", "pos", "fg", "eid", "mark").distinct()
+    counts = inside.groupBy("eid", "mark").agg(F.count_if("fg").alias("a"), F.count_if(~F.col("fg")).alias("c"))
     totals = best.agg(F.count_if("fg").alias("fgs"), F.count_if(~F.col("fg")).alias("bgs"))
-    # totals are one row, marks the distinct marks
-    every = k.select("mark").distinct().join(counts, "mark", "left").na.fill(0, ["a", "c"]).join(F.broadcast(totals))
-    t = every.select("mark", "a", (F.col("fgs") - F.col("a")).alias("b"), "c", (F.col("bgs") - F.col("c")).alias("d"))
+    # totals are one row, kinds the distinct marks of cell types
+    every = k.select("eid", "mark").distinct().join(counts, ["eid", "mark"], "left").na.fill(0, ["a", "c"]).join(F.broadcast(totals))
+    t = every.select("eid", "mark", "a", (F.col("fgs") - F.col("a")).alias("b"), "c", (F.col("bgs") - F.col("c")).alias("d"))
     return t.withColumn("odds_ratio", F.round(S.haldane_odds_ratio(*(F.col(x) for x in "abcd")), 6))
 
 
@@ -388,23 +410,26 @@ def w02(spark: SparkSession, d: str) -> DataFrame:
     return loci.seed_loci(variants(spark, d)).withColumn("top_z", F.round("top_z", 9))
 
 
-@query("w05_merged_peaks", """, o AS (SELECT *, max("end") OVER (PARTITION BY chr ORDER BY "start", "end", peak ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM k WHERE eid = 1),
-  i AS (SELECT *, sum(CASE WHEN reach IS NULL OR "start" > reach THEN 1 ELSE 0 END) OVER (PARTITION BY chr ORDER BY "start", "end", peak) AS isl FROM o)
-  SELECT chr, min("start") AS "start", max("end") AS "end", count(*) AS n FROM i GROUP BY chr, isl""", "k")
+@query("w05_merged_peaks", """, o AS (SELECT *, max("end") OVER (PARTITION BY eid, chr ORDER BY "start", "end", peak ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM k),
+  i AS (SELECT *, sum(CASE WHEN reach IS NULL OR "start" >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY eid, chr ORDER BY "start", "end", peak) AS isl FROM o)
+  SELECT eid, chr, min("start") AS "start", max("end") AS "end", count(*) AS n FROM i GROUP BY eid, chr, isl""", "k")
 def w05(spark: SparkSession, d: str) -> DataFrame:
-    k = peaks(spark, d).where("eid = 1")
-    return loci.islands(k, 0).groupBy("chr", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n")).drop("island")
+    """Elements of each cell type merged where they overlap; those that only touch stay apart."""
+    k = peaks(spark, d).withColumn("chr", F.col("chr") * 100 + F.col("eid"))  # a cell type's chromosome is its own
+    merged = loci.islands(k, -1).groupBy("chr", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"))
+    return merged.select((F.col("chr") % 100).cast("int").alias("eid"), F.floor(F.col("chr") / 100).cast("int").alias("chr"), "start", "end", "n")
 
 
-@query("w10_credible_sets", """, inl AS (SELECT l.locus, v.vid, v.beta, v.se FROM v JOIN loci l ON v.chr = l.chr AND v.pos BETWEEN l."start" AND l."end" WHERE v.ds = 0),
-  b AS (SELECT *, 0.5e0 * ln(se * se / (se * se + 0.04e0)) + beta * beta / (se * se) * 0.04e0 / (2e0 * (se * se + 0.04e0)) AS lbf FROM inl), e AS (SELECT *, exp(lbf - max(lbf) OVER (PARTITION BY locus)) AS e FROM b),
-  p AS (SELECT *, e / sum(e) OVER (PARTITION BY locus) AS pip FROM e), c AS (SELECT *, sum(pip) OVER (PARTITION BY locus ORDER BY round(lbf, 9) DESC, vid) AS cum, row_number() OVER (PARTITION BY locus ORDER BY round(lbf, 9) DESC, vid) AS rank FROM p)
-  SELECT locus, vid, rank, round(pip, 6) AS pip FROM c WHERE round(cum - pip, 9) < 0.95e0""", "v loci")
+@query("w10_credible_sets", """, inl AS (SELECT l.locus, v.ds, v.vid, v.beta, v.se FROM v JOIN loci l ON v.chr = l.chr AND v.pos BETWEEN l."start" AND l."end"),
+  b AS (SELECT *, 0.5e0 * ln(se * se / (se * se + 0.04e0)) + beta * beta / (se * se) * 0.04e0 / (2e0 * (se * se + 0.04e0)) AS lbf FROM inl), e AS (SELECT *, exp(lbf - max(lbf) OVER (PARTITION BY ds, locus)) AS e FROM b),
+  p AS (SELECT *, e / sum(e) OVER (PARTITION BY ds, locus) AS pip FROM e), c AS (SELECT *, sum(pip) OVER (PARTITION BY ds, locus ORDER BY round(lbf, 9) DESC, vid) AS cum, row_number() OVER (PARTITION BY ds, locus ORDER BY round(lbf, 9) DESC, vid) AS rank FROM p)
+  SELECT locus, ds, vid, rank, round(pip, 6) AS pip FROM c WHERE round(cum - pip, 9) < 0.95e0""", "v loci")
 def w10(spark: SparkSession, d: str) -> DataFrame:
+    """Credible sets of each dataset in each locus."""
     v = variants(spark, d)
-    inside = ranges.points_in(v.where("ds = 0"), loci.seed_loci(v).select("locus", "chr", "start", "end")).withColumn("lbf", finemap.log_bayes_factor(F.col("beta"), F.col("se")))
-    sets = finemap.credible_set(finemap.posterior(inside, ["locus"]), ["locus"], [F.desc(F.round("lbf", 9)), F.col("vid")])
-    return sets.select("locus", "vid", "rank", F.round("pip", 6).alias("pip"))
+    inside = ranges.points_in(v, loci.seed_loci(v).select("locus", "chr", "start", "end")).withColumn("lbf", finemap.log_bayes_factor(F.col("beta"), F.col("se")))
+    sets = finemap.credible_set(finemap.posterior(inside, ["ds", "locus"]), ["ds", "locus"], [F.desc(F.round("lbf", 9)), F.col("vid")])
+    return sets.select("locus", "ds", "vid", "rank", F.round("pip", 6).alias("pip"))
 
 
 @query("p11_colocalisation", """, b AS (SELECT ds, chr, pos, arg_min(beta, vid) AS beta, arg_min(se, vid) AS se FROM v WHERE ds IN (0, 1) GROUP BY 1, 2, 3),
@@ -607,12 +632,12 @@ def w03(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("w07_lead_windows", """, p AS (SELECT chr, pos, max(z) AS z FROM v GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY chr ORDER BY pos) AS r FROM p), l AS (SELECT chr, arg_min(r, (-round(z, 9), pos)) AS lead FROM r GROUP BY chr)
-  SELECT r.chr, r.pos, r.r - l.lead AS step FROM r JOIN l ON r.chr = l.chr WHERE abs(r.r - l.lead) <= 10""", "v")
+  SELECT r.chr, r.pos, r.r - l.lead AS step FROM r JOIN l ON r.chr = l.chr WHERE abs(r.r - l.lead) <= 100""", "v")
 def w07(spark: SparkSession, d: str) -> DataFrame:
-    """The ten positions on either side of each chromosome's lead."""
+    """The hundred positions on either side of each chromosome's lead."""
     r = stats.placed(loci.best_by_position(variants(spark, d)), ["chr"], F.floor(F.col("pos") / loci.BIN), ["pos"]).withColumnRenamed("place", "r")
     lead = r.groupBy("chr").agg(F.min_by("r", F.struct(-F.round("z", 9), "pos")).alias("lead"))
-    return r.join(F.broadcast(lead), "chr").where(F.abs(F.col("r") - F.col("lead")) <= 10).select("chr", "pos", (F.col("r") - F.col("lead")).alias("step"))
+    return r.join(F.broadcast(lead), "chr").where(F.abs(F.col("r") - F.col("lead")) <= 100).select("chr", "pos", (F.col("r") - F.col("lead")).alias("step"))
 
 
 @query("w15_softmax_scores", """, s AS (SELECT locus, ds, 0.3e0 * z + 0.1e0 * n_suggestive AS s FROM dl) SELECT locus, ds, round(exp(s - max(s) OVER (PARTITION BY locus)) / sum(exp(s - m)) OVER (PARTITION BY locus), 6) AS share FROM (SELECT *, max(s) OVER (PARTITION BY locus) AS m FROM s)""", "v loci dl")
@@ -631,9 +656,9 @@ def p12(spark: SparkSession, d: str) -> DataFrame:
     return b.groupBy("chr", "pos").agg(F.count("*").alias("n"), F.round(F.sum(F.col("beta") * w) / F.sum(w), 6).alias("beta"), F.round(F.sqrt(F.lit(1.0) / F.sum(w)), 6).alias("se"))
 
 
-@query("p21_search", "SELECT gid, gene, chr FROM g WHERE contains(lower(gene), '1') AND size > 45", "g")
+@query("p21_search", "SELECT gid, gene, chr FROM g WHERE contains(lower(gene), '1')", "g")
 def p21(spark: SparkSession, d: str) -> DataFrame:
-    return genes(spark, d).where(F.contains(F.lower("gene"), F.lit("1")) & (F.col("size") > 45)).select("gid", "gene", "chr")
+    return genes(spark, d).where(F.contains(F.lower("gene"), F.lit("1"))).select("gid", "gene", "chr")
 
 
 @query("p06_clumps")
@@ -657,10 +682,10 @@ ld AS (SELECT a.i, b.i AS j, list_dot_product(a.d, b.d) AS r FROM nor a JOIN nor
 VIEW["ld"] = _DOSE
 
 
-@query("p02_linkage", "SELECT i, j, round(r, 6) AS r FROM ld WHERE abs(r) > 0.3", "ld")
+@query("p02_linkage", "SELECT a.i, b.i AS j, round(list_dot_product(a.d, b.d), 6) AS r FROM nor a JOIN nor b ON b.i > a.i AND b.i <= a.i + 49", "ld")
 def p02(spark: SparkSession, d: str) -> DataFrame:
-    """Correlations of simulated dosages with the next three variants."""
-    return programs.linkage(dosages(spark, d), "i", "d", 3).where(F.abs("r") > 0.3).select("i", "j", F.round("r", 6).alias("r"))
+    """Correlations of simulated dosages within windows of fifty variants: the upper half of each window's matrix."""
+    return programs.linkage(dosages(spark, d), "i", "d", 49).select("i", "j", F.round("r", 6).alias("r"))
 
 
 @query("p05b_linkage_check", """, both_ AS (SELECT i, j, r FROM ld UNION ALL SELECT j, i, r FROM ld), n AS (SELECT * FROM both_ WHERE abs(r) > 0.5e0 AND abs(r) < 0.99e0), b AS (SELECT i, arg_max(j, (round(abs(r), 9), -j)) AS j FROM n GROUP BY i),
@@ -734,11 +759,12 @@ def j23(spark: SparkSession, d: str) -> DataFrame:
     return both.select("chr", "pos", (F.round("beta", 9) + F.lit(0.0)).alias("beta1"), (F.round(F.when(F.col("kind") == "FORWARD", F.col("b2")).otherwise(-F.col("b2")), 9) + F.lit(0.0)).alias("beta2"))
 
 
-@query("a24_gene_scores", """SELECT g.gid, round(sum(v.z * k.signal), 4) AS score, round(max(k.signal), 6) AS top, count(*) AS n FROM v JOIN k ON k.chr = v.chr AND v.pos BETWEEN k."start" AND k."end" JOIN g ON g.chr = v.chr AND v.pos BETWEEN g."start" AND g."end"
-  WHERE v.z > 4.0556e0 AND k.eid = 3 GROUP BY g.gid""", "v k g")
+@query("a24_gene_scores", """SELECT g.gid, k.eid, round(sum(v.z * k.signal), 4) AS score, round(max(k.signal), 6) AS top, count(*) AS n FROM v JOIN k ON k.chr = v.chr AND v.pos BETWEEN k."start" AND k."end" JOIN g ON g.chr = v.chr AND v.pos BETWEEN g."start" AND g."end"
+  WHERE v.z > 4.0556e0 GROUP BY 1, 2""", "v k g")
 def a24(spark: SparkSession, d: str) -> DataFrame:
-    hits = ranges.points_in(variants(spark, d).where(F.col("z") > loci.SUGGESTIVE), peaks(spark, d).where("eid = 3").select("chr", "start", "end", "signal")).drop("start", "end")
-    return ranges.points_in(hits, genes(spark, d).select("gid", "chr", "start", "end")).groupBy("gid").agg(F.round(F.sum(F.col("z") * F.col("signal")), 4).alias("score"), F.round(F.max("signal"), 6).alias("top"), F.count("*").alias("n"))
+    """Scores of genes in each cell type over its elements that hold suggestive rows."""
+    hits = ranges.points_in(variants(spark, d).where(F.col("z") > loci.SUGGESTIVE), peaks(spark, d).select("eid", "chr", "start", "end", "signal")).drop("start", "end")
+    return ranges.points_in(hits, genes(spark, d).select("gid", "chr", "start", "end")).groupBy("gid", "eid").agg(F.round(F.sum(F.col("z") * F.col("signal")), 4).alias("score"), F.round(F.max("signal"), 6).alias("top"), F.count("*").alias("n"))
 
 
 @query("p23_merged_edit", """SELECT chr, "start", "end", row_number() OVER (ORDER BY chr, "start", "end") AS locus FROM (SELECT chr, "start", "end" FROM loci WHERE locus NOT IN (1, 2) UNION ALL SELECT chr, min("start"), max("end") FROM loci WHERE locus IN (1, 2) GROUP BY chr)""", "v loci")
@@ -766,18 +792,21 @@ def j06(spark: SparkSession, d: str) -> DataFrame:
     return near.select("vid", "distance", F.round(F.log10(F.lit(1) + F.col("distance")), 6).alias("log_distance"))
 
 
-@query("j07_membership_flags", """SELECT v.vid, CAST(EXISTS (SELECT 1 FROM g WHERE g.chr = v.chr AND v.pos BETWEEN g."start" AND g."end") AS INT) AS in_gene,
-  CAST(EXISTS (SELECT 1 FROM k WHERE k.eid = 4 AND k.chr = v.chr AND v.pos BETWEEN k."start" AND k."end") AS INT) AS in_peak FROM v WHERE v.z > 4.0556e0""", "v g k")
+@query("j07_membership_flags", """, p AS (SELECT DISTINCT chr, pos FROM v), f AS (SELECT chr, pos, CAST(EXISTS (SELECT 1 FROM g WHERE g.chr = p.chr AND p.pos BETWEEN g."start" AND g."end") AS INT) AS in_gene,
+  CAST(EXISTS (SELECT 1 FROM k WHERE k.chr = p.chr AND p.pos BETWEEN k."start" AND k."end") AS INT) AS in_peak FROM p) SELECT vid, in_gene, in_peak FROM v JOIN f USING (chr, pos)""", "v g k")
 def j07(spark: SparkSession, d: str) -> DataFrame:
-    v = variants(spark, d).where(F.col("z") > loci.SUGGESTIVE).select("vid", "chr", "pos")
-    flag = lambda i, name: ranges.points_in(v, i.select("chr", "start", "end"), "left_semi").select("vid", F.lit(1).alias(name))
-    return v.join(flag(genes(spark, d), "in_gene"), "vid", "left").join(flag(peaks(spark, d).where("eid = 4"), "in_peak"), "vid", "left").select("vid", F.coalesce("in_gene", F.lit(0)).alias("in_gene"), F.coalesce("in_peak", F.lit(0)).alias("in_peak"))
+    """Whether each row lies in a gene and in an element; positions are looked up once each."""
+    v = variants(spark, d).select("vid", "chr", "pos")
+    places = v.select("chr", "pos").distinct()
+    flag = lambda i, name: ranges.points_in(places, i.select("chr", "start", "end"), "left_semi").select("chr", "pos", F.lit(1).alias(name))
+    both = flag(genes(spark, d), "in_gene").join(flag(peaks(spark, d), "in_peak"), ["chr", "pos"], "full")
+    return v.join(both, ["chr", "pos"], "left").select("vid", F.coalesce("in_gene", F.lit(0)).alias("in_gene"), F.coalesce("in_peak", F.lit(0)).alias("in_peak"))
 
 
-@query("j12_best_target", """SELECT l.locus, k.mark, arg_max(k.peak, (k.signal, -k.peak)) AS peak, round(max(k.signal), 6) AS signal FROM loci l JOIN k ON k.chr = l.chr AND k."end" > l."start" - 1 AND k."start" < l."end" WHERE k.eid = 0 GROUP BY 1, 2""", "v loci k")
+@query("j12_best_target", """SELECT l.locus, k.mark, arg_max(k.peak, (k.signal, -k.peak)) AS peak, round(max(k.signal), 6) AS signal FROM loci l JOIN k ON k.chr = l.chr AND k."end" > l."start" - 1 AND k."start" < l."end" GROUP BY 1, 2""", "v loci k")
 def j12(spark: SparkSession, d: str) -> DataFrame:
     """The strongest element of each mark in each locus; elements are half-open (start, end]."""
-    k = peaks(spark, d).where("eid = 0").select("peak", "mark", "signal", "chr", (F.col("start") + 1).alias("start"), "end")
+    k = peaks(spark, d).select("peak", "mark", "signal", "chr", (F.col("start") + 1).alias("start"), "end")
     found = ranges.overlapping(loci.seed_loci(variants(spark, d)).select("locus", "chr", "start", "end"), k)
     return found.groupBy("locus", F.col("mark_b").alias("mark")).agg(F.max_by("peak_b", F.struct("signal_b", -F.col("peak_b"))).alias("peak"), F.round(F.max("signal_b"), 6).alias("signal"))
 
@@ -793,11 +822,11 @@ def j22(spark: SparkSession, d: str) -> DataFrame:
     return t.join(s, ["chr", "pos", "a", "b"], "left").select("vid", F.coalesce("score", F.lit(2.0)).alias("score"))
 
 
-@query("j24_latest_result", """, r AS (SELECT l_orderkey AS k, arg_max(l_extendedprice, (l_shipdate, l_linenumber, l_extendedprice)) AS value FROM lineitem GROUP BY 1) SELECT c.cid, r.value FROM c LEFT JOIN r ON r.k = c.cid WHERE c.mlogp > 35""", "c")
+@query("j24_latest_result", """, r AS (SELECT l_orderkey AS k, arg_max(l_extendedprice, (l_shipdate, l_linenumber, l_extendedprice)) AS value FROM lineitem GROUP BY 1) SELECT c.cid, r.value FROM c LEFT JOIN r ON r.k = c.cid""", "c")
 def j24(spark: SparkSession, d: str) -> DataFrame:
     """The latest result of each key, beside every exported row."""
     r = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("cid")).agg(F.max_by("l_extendedprice", F.struct("l_shipdate", "l_linenumber", "l_extendedprice")).alias("value"))
-    return catalog(spark, d).where("mlogp > 35").select("cid").join(r, "cid", "left")
+    return catalog(spark, d).select("cid").join(r, "cid", "left")
 
 
 @query("a13_region_anova", """, per AS (SELECT locus, ds, count(*) AS n, sum(z) AS s, sum(z * z) AS q FROM inl GROUP BY 1, 2), tot AS (SELECT locus, count(*) AS k, sum(n) AS n, sum(s) AS s, sum(q) AS q, sum(s * s / n) AS b FROM per GROUP BY locus)
@@ -840,12 +869,17 @@ def p28(spark: SparkSession, d: str) -> DataFrame:
     return dosages(spark, d).select("i", F.round(total / (F.size("d") * 2), 6).alias("freq"))
 
 
-@query("p09b_artifact_rules", """SELECT vid, CASE WHEN abs(3e0 * beta) > 5e0 * abs(beta - 0.02e0) THEN 'inflated' WHEN beta * (beta - 0.02e0) < 0 AND z < 2.5758e0 THEN 'sign flip' ELSE 'ok' END AS flag FROM v WHERE ds = 2 AND maf > 0.2e0""", "v")
+@query("p09b_artifact_rules", """, m AS (SELECT chr, pos, arg_min(beta, vid) AS bm, arg_min(z, vid) AS zm FROM v WHERE ds = 0 GROUP BY 1, 2), j AS (SELECT v.vid, v.beta AS bj, v.z AS zj, m.bm, m.zm FROM v JOIN m USING (chr, pos) WHERE v.ds > 0)
+  SELECT vid, CASE WHEN abs(bj) > 5e0 * abs(bm) THEN 'inflated' WHEN bj * bm < 0 AND zm < 2.575829e0 THEN 'sign flip' WHEN zm < 3.290527e0 AND zj > 9.336297e0 THEN 'p jump' ELSE 'ok' END AS flag FROM j""", "v")
 def p09b(spark: SparkSession, d: str) -> DataFrame:
-    """Flags of joint effects (here three times the marginal) that blow up or turn round."""
-    joint, marginal = F.col("beta"), F.col("beta") - F.lit(0.02)
-    flag = F.when(F.abs(F.lit(3.0) * joint) > F.lit(5.0) * F.abs(marginal), "inflated").when((joint * marginal < 0) & (F.col("z") < 2.5758), "sign flip").otherwise("ok")
-    return variants(spark, d).where("ds = 2 and maf > 0.2").select("vid", flag.alias("flag"))
+    """Joint effects that blow up, turn round or become significant from nothing; the first dataset has the marginal ones, the others the joint."""
+    v = variants(spark, d)
+    marginal = v.where("ds = 0").groupBy("chr", "pos").agg(F.min_by("beta", "vid").alias("bm"), F.min_by("z", "vid").alias("zm"))
+    j = v.where("ds > 0").select("chr", "pos", "vid", F.col("beta").alias("bj"), F.col("z").alias("zj")).join(marginal, ["chr", "pos"])
+    bj, bm = F.col("bj"), F.col("bm")
+    # p above 0.01; p above 0.001 and then below 1e-20
+    flag = F.when(F.abs(bj) > F.lit(5.0) * F.abs(bm), "inflated").when((bj * bm < 0) & (F.col("zm") < 2.575829), "sign flip").when((F.col("zm") < 3.290527) & (F.col("zj") > 9.336297), "p jump")
+    return j.select("vid", F.coalesce(flag, F.lit("ok")).alias("flag"))
 
 
 @query("x03_displayed_p", "SELECT cid, CASE WHEN mlogp > 30 THEN '<1e-' || CAST(floor(mlogp) AS INT) ELSE '1e-' || CAST(floor(mlogp) AS INT) END AS p FROM c", "c")

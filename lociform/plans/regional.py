@@ -50,17 +50,17 @@ def j31b(spark: SparkSession, d: str) -> DataFrame:
 @query("p20_matched_null", """, l AS (SELECT CAST(chr AS BIGINT) * 100000000 + pos AS id, chr, pos FROM (SELECT DISTINCT chr, pos FROM v WHERE z > 5.4513e0)), u AS (SELECT DISTINCT chr, "start" AS pos FROM g),
   t AS (SELECT row_number() OVER (ORDER BY chr, pos) - 1 AS number, chr, pos FROM u), nt AS (SELECT count(*) AS n FROM t),
   o AS (SELECT id, arg_min(l.pos - t.pos, (abs(l.pos - t.pos), t.pos)) AS off FROM l JOIN t USING (chr) GROUP BY id),
-  q AS (SELECT id, s, t.chr, t.pos + off AS pos FROM o, range(1, 101) r(s), nt, t WHERE t.number = (id % 1000003 * 7919 + s * 104729 + id % 9973 * s) % nt.n),
+  q AS (SELECT id, s, t.chr, t.pos + off AS pos FROM o, range(1, 1001) r(s), nt, t WHERE t.number = (id % 1000003 * 7919 + s * 104729 + id % 9973 * s) % nt.n),
   m AS (SELECT * FROM (VALUES ('inside', 0), ('kb1', 1000), ('kb10', 10000)) x("limit", reach)), ks AS (SELECT chr, "start", "end" FROM k WHERE eid = 1),
   c AS (SELECT "limit", s, count(*) AS c FROM q, m WHERE EXISTS (SELECT 1 FROM ks WHERE ks.chr = q.chr AND q.pos BETWEEN ks."start" - reach AND ks."end" + reach) GROUP BY 1, 2),
   ob AS (SELECT "limit", count(*) AS observed FROM l, m WHERE EXISTS (SELECT 1 FROM ks WHERE ks.chr = l.chr AND l.pos BETWEEN ks."start" - reach AND ks."end" + reach) GROUP BY 1)
-  SELECT m."limit", coalesce(observed, 0) AS observed, round(coalesce(sum(c), 0) / 100e0, 6) AS expected, round((1 + CASE WHEN coalesce(observed, 0) = 0 THEN 100 ELSE count(*) FILTER (c >= observed) END) / 101e0, 6) AS p FROM m LEFT JOIN ob USING ("limit") LEFT JOIN c USING ("limit") GROUP BY 1, 2""", "v g k")
+  SELECT m."limit", coalesce(observed, 0) AS observed, round(coalesce(sum(c), 0) / 1000e0, 6) AS expected, round((1 + CASE WHEN coalesce(observed, 0) = 0 THEN 1000 ELSE count(*) FILTER (c >= observed) END) / 1001e0, 6) AS p FROM m LEFT JOIN ob USING ("limit") LEFT JOIN c USING ("limit") GROUP BY 1, 2""", "v g k")
 def p20(spark: SparkSession, d: str) -> DataFrame:
-    """Significant positions near elements of one cell type against a hundred sets matched by distance to gene starts."""
+    """Significant positions near elements of one cell type against a thousand sets matched by distance to gene starts."""
     points = variants(spark, d).where(F.col("z") > loci.GENOME_WIDE).select("chr", "pos").distinct().withColumn("id", F.col("chr").cast("long") * 100_000_000 + F.col("pos"))
     draw = lambda k, s, n: (k % 1_000_003 * 7919 + s * 104_729 + k % 9973 * s) % n  # noqa: E731 - what both engines compute alike
     starts, elements = genes(spark, d).select("chr", F.col("start").alias("pos")), peaks(spark, d).where("eid = 1").select("chr", "start", "end")
-    out = permutation.matched_null(points, "id", starts, elements, {"inside": 0, "kb1": 1000, "kb10": 10_000}, 100, draw)
+    out = permutation.matched_null(points, "id", starts, elements, {"inside": 0, "kb1": 1000, "kb10": 10_000}, 1000, draw)
     return out.withColumn("expected", F.round("expected", 6)).withColumn("p", F.round("p", 6))
 
 
@@ -76,12 +76,12 @@ def p01(spark: SparkSession, d: str) -> DataFrame:
     return c.join(lead, "region").select("region", F.col("l.i").alias("lead"), F.col("i").alias("variant"), F.round(r * r, 6).alias("r2"))
 
 
-@query("p03_region_triangle", """, x AS (SELECT i, (i * 37 % 101) AS s FROM nor), k AS (SELECT *, row_number() OVER (PARTITION BY i // 50 ORDER BY s DESC, i) AS k FROM x), n AS (SELECT i, i // 50 AS region, row_number() OVER (PARTITION BY i // 50 ORDER BY i) AS number FROM k WHERE k <= 20)
+@query("p03_region_triangle", """, x AS (SELECT i, (i * 37 % 101) AS s FROM nor), k AS (SELECT *, row_number() OVER (PARTITION BY i // 50 ORDER BY s DESC, i) AS k FROM x), n AS (SELECT i, i // 50 AS region, row_number() OVER (PARTITION BY i // 50 ORDER BY i) AS number FROM k WHERE k <= 300)
   SELECT a.region, a.number AS row_a, b.number AS row_b, round(list_dot_product(x.d, y.d), 6) AS r FROM n a JOIN n b ON a.region = b.region AND a.number < b.number JOIN nor x ON x.i = a.i JOIN nor y ON y.i = b.i""", "ld")
 def p03(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of the twenty strongest variants of each region, numbered by place (the drawn triangle's limit)."""
+    """Pairs of the 300 strongest variants of each region, numbered by place (the drawn triangle's limit)."""
     c = programs.centred(dosages(spark, d), "d").where("d is not null").select("i", "d", F.floor(F.col("i") / 50).cast("long").alias("region"), (F.col("i") * 37 % 101).alias("s"))
-    t = regional.thinned_places(c, ["region"], "i", [F.desc("s"), F.col("i")], 20)
+    t = regional.thinned_places(c, ["region"], "i", [F.desc("s"), F.col("i")], 300)
     a, b = t.select("region", F.col("number").alias("row_a"), "d"), t.select("region", F.col("number").alias("row_b"), F.col("d").alias("e"))
     r = F.aggregate(F.zip_with("d", "e", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     return a.join(b, "region").where("row_a < row_b").select("region", "row_a", "row_b", F.round(r, 6).alias("r"))
@@ -140,7 +140,7 @@ def u02(spark: SparkSession, d: str) -> DataFrame:
     """Datasets kept together, the strongest first, and their order."""
     v = variants(spark, d)
     order = [r.ds for r in v.groupBy("ds").agg(F.round(F.max("z"), 9).alias("z")).orderBy(F.desc("z"), "ds").collect()]  # a row for each dataset
-    kept = regional.shared_datasets(v.where(F.col("z") > 0.5), "ds", ["chr", "pos"], order, 100)
+    kept = regional.shared_datasets(v, "ds", ["chr", "pos"], order)
     return spark.createDataFrame([(k + 1, ds) for k, ds in enumerate(kept)], "step int, ds int")
 
 

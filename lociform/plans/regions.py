@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from lociform.functions import scalar as S
 from lociform.operators import loci, ranges
-from lociform.plans.queries import VIEW, erfc_sql, query
+from lociform.plans.queries import VIEW, erfc_sql, qnorm_sql, query
 from lociform.sources.tables import catalog, genes, peaks, table, variants
 
 SPANS = ("locus", "chr", "start", "end")
@@ -34,22 +34,26 @@ def f06(spark: SparkSession, d: str) -> DataFrame:
     return variants(spark, d).groupBy("ds").agg(F.count_if(valid).alias("n_valid"), F.count_if(~valid).alias("n_invalid"))
 
 
-@query("f07_derived_effects", "SELECT vid, round(beta, 6) AS beta, round(se, 5) AS se FROM v WHERE z BETWEEN 0.5e0 AND 7e0", "v")
+@query("f07_derived_effects", f""", q AS (SELECT *, {erfc_sql("(z / sqrt(2e0))")} / 2e0 AS h FROM v), r AS (SELECT *, {qnorm_sql("h")} AS t FROM q)
+  SELECT vid, round(CASE WHEN vid % 5 = 0 THEN ln(exp(beta)) ELSE beta END, 6) + 0e0 AS beta, round(CASE WHEN vid % 5 = 0 THEN abs(ln(exp(beta)) / nullif(t, 0e0)) ELSE se END, 5) AS se FROM r""", "v")
 def f07(spark: SparkSession, d: str) -> DataFrame:
-    """Effect and error from odds ratio and p where either is missing (every fifth row)."""
-    v = variants(spark, d).where(F.col("z").between(0.5, 7))
-    beta, derived = F.when(F.col("vid") % 5 != 0, F.col("beta")), F.ln(F.exp("beta"))
+    """Effect and error from odds ratio and p where either is missing (every fifth row); no error where p is one."""
+    missing, derived = F.col("vid") % 5 == 0, F.ln(F.exp("beta"))
     # the tail is bound to a variable: inlined, the quantile would repeat it past what can be compiled
     quantile = F.transform(F.array(S.z_to_p(F.col("z")) / 2), S.qnorm)[0]
-    return v.select("vid", F.round(F.coalesce(beta, derived), 6).alias("beta"), F.round(F.when(beta.isNull(), F.abs(derived / quantile)).otherwise(F.col("se")), 5).alias("se"))
+    return variants(spark, d).select(
+        "vid", (F.round(F.when(missing, derived).otherwise(F.col("beta")), 6) + 0.0).alias("beta"),
+        F.round(F.when(missing, F.abs(F.try_divide(derived, quantile))).otherwise(F.col("se")), 5).alias("se"),
+    )
 
 
-@query("f08_recomputed_p", f"SELECT vid, round(-log10({erfc_sql('(z / sqrt(2e0))')}), 6) AS neglog10p FROM v WHERE vid % 7 = 0 AND z > 1e0", "v")
+@query("f08_recomputed_p", f"SELECT vid, round(-log10(CASE WHEN vid % 7 < 2 THEN {erfc_sql('(z / sqrt(2e0))')} ELSE (vid % 97 + 1) / 100e0 END), 6) + 0e0 AS neglog10p FROM v", "v")
 def f08(spark: SparkSession, d: str) -> DataFrame:
-    """A p that is zero or not finite (here every seventh) is computed again from |z|."""
-    p = F.when(F.col("vid") % 7 == 0, F.lit(0.0))
-    v = variants(spark, d).where(F.col("z") > 1).withColumn("p", p).where("p is not null")
-    return v.select("vid", F.round(S.neglog10(F.when(F.col("p") > 0, F.col("p")).otherwise(S.z_to_p(F.col("z")))), 6).alias("neglog10p"))
+    """A p that is zero or not finite (here two of seven rows) is computed again from |z|; every other is kept."""
+    p = F.when(F.col("vid") % 7 == 0, F.lit(0.0)).when(F.col("vid") % 7 == 1, F.lit(float("nan"))).otherwise((F.col("vid") % 97 + 1) / 100.0)
+    v = variants(spark, d).withColumn("p", p)
+    valid = ~F.isnan("p") & (F.col("p") > 0) & (F.col("p") < float("inf"))
+    return v.select("vid", (F.round(S.neglog10(F.when(valid, F.col("p")).otherwise(S.z_to_p(F.col("z")))), 6) + 0.0).alias("neglog10p"))
 
 
 @query("f11_index_windows", """, b AS (SELECT chr, arg_min(pos, (-round(z, 9), pos)) AS lead FROM v GROUP BY chr)
@@ -126,11 +130,11 @@ def j28(spark: SparkSession, d: str) -> DataFrame:
     return pairs.groupBy("ds_a", "ds_b").agg(F.sum("k").alias("n"))
 
 
-@query("j30_search_by_build", """, q AS (SELECT gid, chr, "start" AS pos FROM g WHERE gid % 50 = 0), b AS (SELECT ds, CASE WHEN ds % 3 = 2 THEN 38 ELSE 37 END AS build FROM (SELECT DISTINCT ds FROM v))
+@query("j30_search_by_build", """, q AS (SELECT gid, chr, "start" AS pos FROM g), b AS (SELECT ds, CASE WHEN ds % 3 = 2 THEN 38 ELSE 37 END AS build FROM (SELECT DISTINCT ds FROM v))
   SELECT q.gid, b.ds, b.build, CASE WHEN b.build = 37 THEN 'compared' ELSE 'not compared' END AS state, count(v.vid) AS n FROM q CROSS JOIN b LEFT JOIN v ON b.build = 37 AND v.ds = b.ds AND v.chr = q.chr AND v.pos BETWEEN q.pos - 100000 AND q.pos + 100000 GROUP BY ALL""", "v g")
 def j30(spark: SparkSession, d: str) -> DataFrame:
     """Rows near the positions asked for, in datasets of their genome build; the others are listed as not compared."""
-    asked = genes(spark, d).where("gid % 50 = 0").select("gid", "chr", (F.col("start") - 100_000).alias("start"), (F.col("start") + 100_000).alias("end"))
+    asked = genes(spark, d).select("gid", "chr", (F.col("start") - 100_000).alias("start"), (F.col("start") + 100_000).alias("end"))
     v = variants(spark, d)
     build = F.when(F.col("ds") % 3 == 2, 38).otherwise(37)
     known = v.select("ds", build.alias("build")).distinct()
@@ -285,11 +289,10 @@ def u05(spark: SparkSession, d: str) -> DataFrame:
 # ---- scalar expressions -----------------------------------------------------------------------
 
 
-@query("m09_residual_p", f"SELECT vid, round(-log10({erfc_sql('sqrt(z * z / 2e0)')}), 6) AS neglog10p FROM v WHERE z > 3.3e0", "v")
+@query("m09_residual_p", f"SELECT vid, round(-log10({erfc_sql('sqrt(z * z / 2e0)')}), 6) + 0e0 AS neglog10p FROM v", "v")
 def m09(spark: SparkSession, d: str) -> DataFrame:
     """The upper tail of chi-square with one degree of freedom, exact."""
-    v = variants(spark, d).where(F.col("z") > 3.3)
-    return v.select("vid", F.round(S.neglog10(S.erfc(F.sqrt(F.col("z") * F.col("z") / 2))), 6).alias("neglog10p"))
+    return variants(spark, d).select("vid", (F.round(S.neglog10(S.erfc(F.sqrt(F.col("z") * F.col("z") / 2))), 6) + 0.0).alias("neglog10p"))
 
 
 @query("m12_feature_defaults", "SELECT gid, round(ln(1e0 + coalesce(CASE WHEN gid % 3 > 0 THEN size END, 30)), 6) AS log_score, coalesce(CASE WHEN gid % 4 > 0 THEN size / 10e0 END, 2e0) AS deleteriousness, coalesce(CASE WHEN gid % 5 > 0 THEN 1e0 END, 0.5e0) AS direction FROM g", "g")
@@ -320,10 +323,10 @@ def x08(spark: SparkSession, d: str) -> DataFrame:
 # ---- coordinates and reports ------------------------------------------------------------------
 
 
-@query("s22_offset_coordinates", """SELECT peak, "start" + 1000 + chr AS start_b, "end" + 1000 + chr - peak % 3 AS end_b FROM k WHERE eid = 3""", "k")
+@query("s22_offset_coordinates", """SELECT peak, "start" + 1000 + chr AS start_b, "end" + 1000 + chr - peak % 3 AS end_b FROM k""", "k")
 def s22(spark: SparkSession, d: str) -> DataFrame:
     """A second build's coordinates, held as differences and read back (S13 is the reading half)."""
-    k = peaks(spark, d).where("eid = 3").withColumn("start_b", F.col("start") + 1000 + F.col("chr")).withColumn("end_b", F.col("end") + 1000 + F.col("chr") - F.col("peak") % 3)
+    k = peaks(spark, d).withColumn("start_b", F.col("start") + 1000 + F.col("chr")).withColumn("end_b", F.col("end") + 1000 + F.col("chr") - F.col("peak") % 3)
     held = k.select("peak", "start", "end", (F.col("start_b") - F.col("start")).alias("d"), ((F.col("end_b") - F.col("start_b")) - (F.col("end") - F.col("start"))).alias("dlen"))
     first = F.col("start") + F.col("d")
     return held.select("peak", first.alias("start_b"), (first + F.col("end") - F.col("start") + F.col("dlen")).alias("end_b"))
