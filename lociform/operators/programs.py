@@ -174,7 +174,7 @@ def reasons(df: DataFrame, key: str, row: str, model: list[tuple[str, float, flo
     w = Window.partitionBy(key)
     terms = [F.coalesce((F.col(n) - m) / s, F.lit(0.0)) * c for n, m, s, c in model]
     wide = df.select(key, row, *((t - F.avg(t).over(w)).alias(n) for (n, *_), t in zip(model, terms)))
-    gains = wide.unpivot([key, row], [n for n, *_ in model], "feature", "gain").where("gain > 0")
+    gains = wide.unpivot([key, row], [n for n, *_ in model], "feature", "gain").where(F.round("gain", 9) > 0)
     rank = F.row_number().over(Window.partitionBy(key, row).orderBy(F.desc(F.round("gain", 9)), "feature")).cast("long")
     return gains.withColumn("rank", rank).where(F.col("rank") <= top)
 
@@ -219,6 +219,21 @@ def silhouette(distance: np.ndarray, labels: np.ndarray) -> float:
     return float(np.mean(out))
 
 
+def best_cut(distance: np.ndarray, most: int | None = None) -> tuple[np.ndarray, float] | None:
+    """Labels and mean silhouette of the number of clusters with the best one, the fewest at ties; nothing below three rows.
+
+    most: the largest number tried, by default half the rows.  Silhouettes no more than 1e-9 apart are ties.
+    """
+    n = len(distance)
+    if n < 3:
+        return None
+    merges = average_linkage(distance)
+    cuts = [cut(merges, n, k) for k in range(2, min(most or max(2, n // 2), n - 1) + 1)]
+    scores = [silhouette(distance, c) for c in cuts]
+    at = next(k for k, x in enumerate(scores) if x >= max(scores) - 1e-9)
+    return cuts[at], scores[at]
+
+
 def adjusted_rand(a: np.ndarray, b: np.ndarray) -> float:
     table = pd.crosstab(np.asarray(a), np.asarray(b)).to_numpy().astype(float)
     pairs = lambda x: (x * (x - 1) / 2).sum()
@@ -276,3 +291,37 @@ def resized(loci: DataFrame, locus: int, start: int, end: int) -> DataFrame:
 
 def deleted(loci: DataFrame, locus: int) -> DataFrame:
     return renumbered(loci.where(F.col("locus") != locus))
+
+
+def created(loci: DataFrame, chr: int, start: int, end: int) -> DataFrame:
+    """One more locus; an end before the start is an error."""
+    if start > end:
+        raise ValueError("start is after end")
+    one = loci.sparkSession.createDataFrame([(chr, start, end)], "chr int, start long, end long")
+    return renumbered(loci.select("chr", "start", "end").unionByName(one))
+
+
+def extended(loci: DataFrame, locus: int, before: int, after: int) -> DataFrame:
+    """A locus longer by so many bases on either side, not below the first base."""
+    hit = F.col("locus") == locus
+    first = F.when(hit, F.greatest(F.lit(1), F.col("start") - before)).otherwise(F.col("start"))
+    return renumbered(loci.select("locus", "chr", first.cast("long").alias("start"), F.when(hit, F.col("end") + after).otherwise(F.col("end")).cast("long").alias("end")))
+
+
+#: How many versions can be gone back.
+UNDO = 20
+
+
+def undone(versions: list[DataFrame], steps: int = 1) -> DataFrame:
+    """The loci as they were so many edits before the last; UNDO edits at most, else an error."""
+    if not 0 <= steps <= min(UNDO, len(versions) - 1):
+        raise ValueError(f"{steps} edits cannot be undone")
+    return versions[len(versions) - 1 - steps]
+
+
+def split_checks(parts: DataFrame, key: str, gap: int = 250_000) -> DataFrame:
+    """(key, parts, least_gap, overlaps, valid) of the proposed parts (key, start, end) of each locus: valid if none ends before it starts and all are gap apart."""
+    before = F.lag("end").over(Window.partitionBy(key).orderBy("start", "end"))
+    w = parts.withColumn("_gap", F.col("start") - before).withColumn("_over", F.col("start") < before)
+    ok = F.bool_and(F.col("start") <= F.col("end")) & F.coalesce(F.min("_gap") >= gap, F.lit(True))
+    return w.groupBy(key).agg(F.count("*").alias("parts"), F.min("_gap").alias("least_gap"), F.coalesce(F.bool_or("_over"), F.lit(False)).alias("overlaps"), ok.alias("valid"))

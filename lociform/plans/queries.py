@@ -597,10 +597,41 @@ def a22(spark: SparkSession, d: str) -> DataFrame:
     return stats.medians(variants(spark, d).where("maf >= 0.05").withColumn("implied", implied), ["ds"], "implied").select("ds", F.round("median", 4).alias("median_n"))
 
 
-@query("a25_replication", """, b AS (SELECT chr, pos, ds, max(z) AS z FROM v GROUP BY 1, 2, 3) SELECT chr, pos, round(avg(CASE WHEN z > 2.807e0 THEN 1e0 ELSE 0e0 END), 6) AS share, count(*) AS n FROM b GROUP BY chr, pos HAVING max(z) > 5.4513e0""", "v")
+@query("a25_replication", """, inl AS (SELECT l.locus, v.* FROM v JOIN loci l ON v.chr = l.chr AND v.pos BETWEEN l."start" AND l."end"),
+  f AS (SELECT *, 0.5e0 * ln(se * se / (se * se + 0.04e0)) + beta * beta / (se * se) * 0.04e0 / (2e0 * (se * se + 0.04e0)) AS lbf FROM inl), e AS (SELECT *, exp(lbf - max(lbf) OVER (PARTITION BY ds, locus)) AS e FROM f),
+  p AS (SELECT *, e / sum(e) OVER (PARTITION BY ds, locus) AS pip FROM e), c AS (SELECT *, sum(pip) OVER (PARTITION BY ds, locus ORDER BY round(lbf, 9) DESC, vid) AS cum, row_number() OVER (PARTITION BY ds, locus, pos ORDER BY round(lbf, 9) DESC, vid) AS k FROM p),
+  r AS (SELECT *, round(cum - pip, 9) < 0.95e0 AS cs FROM c WHERE k = 1), l AS (SELECT locus, ds, arg_min(pos, (-round(lbf, 9), pos)) AS lead FROM r GROUP BY 1, 2), n AS (SELECT locus, count(*) - 1 AS n FROM l GROUP BY 1),
+  o AS (SELECT a.vid, a.locus, a.ds, a.pos, b.pip, b.cs, l.lead = b.pos AS lead, b.z > 5.4513e0 AS sig, CASE WHEN a.ea = b.ea AND a.nea = b.nea THEN 1 WHEN a.ea = b.nea AND a.nea = b.ea THEN -1 ELSE 0 END * sign(a.beta) * sign(b.beta) AS agrees
+    FROM r a LEFT JOIN r b ON a.locus = b.locus AND a.pos = b.pos AND a.ds <> b.ds LEFT JOIN l ON l.locus = b.locus AND l.ds = b.ds)
+  SELECT vid, ds, o.locus, round(count(*) FILTER (cs) / greatest(n, 1), 6) AS in_sets, round(coalesce(sum(pip), 0e0) / greatest(n, 1), 6) AS pip, round(count(*) FILTER (lead) / greatest(n, 1), 6) AS leads, round(count(*) FILTER (sig) / greatest(n, 1), 6) AS significant,
+    CASE WHEN count(*) FILTER (agrees <> 0) = 0 THEN 0.5e0 ELSE round(count(*) FILTER (agrees > 0) / count(*) FILTER (agrees <> 0), 6) END AS same_direction, CAST(n > 0 AS INT) AS compared FROM o JOIN n USING (locus) GROUP BY vid, ds, o.locus, n""", "v loci")
 def a25(spark: SparkSession, d: str) -> DataFrame:
-    b = variants(spark, d).groupBy("chr", "pos", "ds").agg(F.max("z").alias("z"))
-    return b.groupBy("chr", "pos").agg(F.round(F.avg((F.col("z") > 2.807).cast("double")), 6).alias("share"), F.count("*").alias("n"), F.max("z").alias("m")).where(F.col("m") > loci.GENOME_WIDE).drop("m")
+    """How the other datasets of a locus see each position of a dataset: six features.
+
+    Sums over all datasets less the own row, so no two datasets meet in pairs.
+    """
+    v = variants(spark, d)
+    inside = ranges.points_in(v, loci.seed_loci(v).select("locus", "chr", "start", "end")).drop("start", "end").withColumn("lbf", finemap.log_bayes_factor(F.col("beta"), F.col("se")))
+    own, order = ["ds", "locus"], [F.desc(F.round("lbf", 9)), F.col("vid")]
+    p = finemap.posterior(inside, own).withColumn("cum", F.sum("pip").over(Window.partitionBy(*own).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    r = p.withColumn("k", F.row_number().over(Window.partitionBy(*own, "pos").orderBy(*order))).where("k = 1")
+    lead = F.first("pos").over(Window.partitionBy(*own).orderBy(order[0], "pos")) == F.col("pos")
+    # +1, -1 or 0 for the effect of the allele that is first in the alphabet
+    direction = F.signum("beta") * F.when(F.col("ea") < F.col("nea"), 1).otherwise(-1)
+    flags = {"cs": F.round(F.col("cum") - F.col("pip"), 9) < 0.95, "lead": lead, "sig": F.col("z") > loci.GENOME_WIDE, "up": direction > 0, "down": direction < 0}
+    r = r.select("vid", *own, "pos", F.least("ea", "nea").alias("a1"), F.greatest("ea", "nea").alias("a2"), "pip", *(c.cast("int").alias(n) for n, c in flags.items()))
+    here, alleles = Window.partitionBy("locus", "pos"), Window.partitionBy("locus", "pos", "a1", "a2")
+    others = lambda c, w=here: F.sum(c).over(w) - F.col(c)
+    # a row for each locus
+    counts = r.groupBy("locus").agg((F.count_distinct("ds") - 1).alias("n"))
+    wide = r.select("vid", *own, "up", "down", others("cs").alias("cs"), others("pip").alias("pip"), others("lead").alias("lead"), others("sig").alias("sig"), others("up", alleles).alias("ups"), others("down", alleles).alias("downs")).join(counts, "locus")
+    share = lambda c: F.round(F.col(c) / F.greatest("n", F.lit(1)), 6)
+    told = F.when(F.col("up") + F.col("down") > 0, F.col("ups") + F.col("downs")).otherwise(0)
+    agrees = F.when(F.col("up") > 0, F.col("ups")).otherwise(F.col("downs"))
+    return wide.select(
+        "vid", *own, share("cs").alias("in_sets"), F.round(F.greatest("pip", F.lit(0.0)) / F.greatest("n", F.lit(1)), 6).alias("pip"), share("lead").alias("leads"), share("sig").alias("significant"),
+        F.when(told == 0, 0.5).otherwise(F.round(F.try_divide(agrees, told), 6)).alias("same_direction"), (F.col("n") > 0).cast("int").alias("compared"),
+    )
 
 
 @query("a28_latest_runs", "SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS latest, max(ts) AS at, count(*) AS n FROM events GROUP BY user_id, event_type")
@@ -656,9 +687,19 @@ def p12(spark: SparkSession, d: str) -> DataFrame:
     return b.groupBy("chr", "pos").agg(F.count("*").alias("n"), F.round(F.sum(F.col("beta") * w) / F.sum(w), 6).alias("beta"), F.round(F.sqrt(F.lit(1.0) / F.sum(w)), 6).alias("se"))
 
 
-@query("p21_search", "SELECT gid, gene, chr FROM g WHERE contains(lower(gene), '1')", "g")
+@query("p21_search", """, s AS (SELECT l.locus, v.vid, v.chr, v.pos, round(v.z, 9) AS z FROM v JOIN loci l ON v.chr = l.chr AND v.pos BETWEEN l."start" AND l."end" WHERE v.z > 5.4513e0),
+  i AS (SELECT g.gid, s.vid, 'contains' AS match, s.z FROM s JOIN g ON g.chr = s.chr AND s.pos BETWEEN g."start" AND g."end"),
+  near AS (SELECT locus, gid, row_number() OVER (PARTITION BY locus ORDER BY distance, gid) AS k FROM (SELECT l.locus, g.gid, greatest(0, g."start" - (l."start" + l."end") // 2, (l."start" + l."end") // 2 - g."end") AS distance FROM loci l JOIN g ON l.chr = g.chr AND l."start" <= g."end" AND l."end" >= g."start"))
+  SELECT gid, vid, match, round(z, 6) AS z FROM i UNION ALL SELECT near.gid, s.vid, 'nearest', round(s.z, 6) FROM s JOIN near ON near.locus = s.locus AND near.k <= 2 WHERE s.vid NOT IN (SELECT vid FROM i)""", "v loci g")
 def p21(spark: SparkSession, d: str) -> DataFrame:
-    return genes(spark, d).where(F.contains(F.lower("gene"), F.lit("1"))).select("gid", "gene", "chr")
+    """The search index of genes: significant rows inside each gene, or else under the two genes nearest to their locus; the strongest first."""
+    v = variants(spark, d)
+    found = loci.seed_loci(v).select("locus", "chr", "start", "end")
+    hits = ranges.points_in(v.where(F.col("z") > loci.GENOME_WIDE).select("vid", "chr", "pos", F.round("z", 9).alias("z")), found).drop("start", "end")
+    inside = ranges.points_in(hits, genes(spark, d).select("gid", "chr", "start", "end")).select("gid", "vid", F.lit("contains").alias("match"), "z")
+    rest = hits.join(inside.select("vid").distinct(), "vid", "left_anti")
+    near = rest.join(j04(spark, d).select("locus", "gid"), "locus").select("gid", "vid", F.lit("nearest").alias("match"), "z")
+    return inside.unionByName(near).withColumn("z", F.round("z", 6)).orderBy("gid", F.desc("z"), "vid")
 
 
 @query("p06_clumps")
@@ -724,7 +765,9 @@ def p18(spark: SparkSession, d: str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("locus").orderBy(F.desc("score"), "ds")).cast("long"))
 
 
-@query("w16_reasons")
+@query("w16_reasons", """, t AS (SELECT locus, ds, 'z' AS feature, 0.8e0 * ((z - 5) / 2) AS t FROM dl UNION ALL SELECT locus, ds, 'n_suggestive', 0.3e0 * (n_suggestive - 1) FROM dl UNION ALL SELECT locus, ds, 'n_rows', 0.1e0 * ((n_rows - 10) / 5e0) FROM dl),
+  g AS (SELECT locus, ds, feature, t - avg(t) OVER (PARTITION BY locus, feature) AS gain FROM t), k AS (SELECT *, row_number() OVER (PARTITION BY locus, ds ORDER BY round(gain, 9) DESC, feature) AS rank FROM g WHERE round(gain, 9) > 0)
+  SELECT locus, ds, feature, round(gain, 6) AS gain, rank FROM k WHERE rank <= 3""", "v loci dl")
 def w16(spark: SparkSession, d: str) -> DataFrame:
     v = variants(spark, d)
     f = loci.dataset_by_locus(v, loci.seed_loci(v)).select("locus", "ds", "z", F.col("n_suggestive").cast("double").alias("n_suggestive"), F.col("n_rows").cast("double").alias("n_rows"))
@@ -737,17 +780,39 @@ def m05(spark: SparkSession, d: str) -> DataFrame:
     return a.select("chr", F.round("f", 6).alias("f"), F.round(programs.f_upper("f", (F.col("n_groups") - 1).cast("double"), (F.col("n") - F.col("n_groups")).cast("double")), 6).alias("p"))
 
 
-@query("p19_dataset_clusters")
-def p19(spark: SparkSession, d: str) -> DataFrame:
-    """Merge heights of the datasets by average linkage of their cosine distances."""
-    pairs = a19(spark, d).collect()  # a row for each two datasets
+def _dataset_distances(spark: SparkSession, d: str) -> tuple[list[int], np.ndarray]:
+    """Datasets and the matrix of their distances: a cell for each two datasets, whatever their rows."""
+    pairs = a19(spark, d).collect()
     names = sorted({x for r in pairs for x in (r.a, r.b)})
     m = np.zeros((len(names), len(names)))
     for r in pairs:
         m[names.index(r.a), names.index(r.b)] = m[names.index(r.b), names.index(r.a)] = r.distance
+    return names, m
+
+
+@query("p19_dataset_clusters")
+def p19(spark: SparkSession, d: str) -> DataFrame:
+    """Merge heights of the datasets by average linkage of their cosine distances."""
+    _, m = _dataset_distances(spark, d)
     return spark.createDataFrame([(k, a, b, round(h, 6)) for k, (a, b, h) in enumerate(programs.average_linkage(m))], "step int, a int, b int, height double")
 
 
+@query("p19b_cluster_report")
+def p19b(spark: SparkSession, d: str) -> DataFrame:
+    """Each dataset's cluster under the number of clusters of best silhouette, and how well categories explain the distances."""
+    names, m = _dataset_distances(spark, d)
+    schema = "ds int, category int, cluster int, clusters int, silhouette double, adjusted_rand double, f double, share double, p double"
+    chosen = programs.best_cut(m)
+    if chosen is None:
+        return spark.createDataFrame([], schema)
+    labels, score = chosen
+    category = np.array([x % 2 for x in names])
+    rand = programs.adjusted_rand(labels, category)
+    f, share, p = programs.permanova(m, category) if 1 < len(set(category.tolist())) < len(names) else (None, None, None)
+    tell = [None if x is None else round(float(x), 6) for x in (score, rand, f, share, p)]
+    return spark.createDataFrame([(x, int(c), int(k), int(labels.max()) + 1, *tell) for x, c, k in zip(names, category, labels)], schema)
+
+
 @query("j23_trait_orientation", """, x AS (SELECT chr, pos, ea, nea, arg_min(beta, vid) AS beta FROM v WHERE ds = 0 GROUP BY 1, 2, 3, 4), y AS (SELECT chr, pos, nea AS ea, ea AS nea, arg_min(beta, vid) AS beta FROM v WHERE ds = 1 GROUP BY 1, 2, 3, 4)
   SELECT x.chr, x.pos, round(x.beta, 9) + 0e0 AS beta1, round(CASE WHEN x.ea = y.ea THEN y.beta ELSE -y.beta END, 9) + 0e0 AS beta2 FROM x JOIN y ON x.chr = y.chr AND x.pos = y.pos AND ((x.ea = y.ea AND x.nea = y.nea) OR (x.ea = y.nea AND x.nea = y.ea))""", "v")
 def j23(spark: SparkSession, d: str) -> DataFrame:
@@ -772,6 +837,34 @@ def p23(spark: SparkSession, d: str) -> DataFrame:
     return programs.merged(loci.seed_loci(variants(spark, d)), [1, 2])
 
 
+@query("p23b_edit_history", """, l AS (SELECT locus, chr, "start", "end" FROM loci), e1 AS (SELECT chr, "start", CASE WHEN locus = 2 THEN "end" + 50000 ELSE "end" END AS "end" FROM l), n1 AS (SELECT row_number() OVER (ORDER BY chr, "start", "end") AS locus, * FROM e1),
+  n2 AS (SELECT row_number() OVER (ORDER BY chr, "start", "end") AS locus, chr, "start", "end" FROM n1 WHERE locus <> 1), e3 AS (SELECT chr, "start", "end" FROM n2 UNION ALL SELECT 23, 1000, 2000), n3 AS (SELECT row_number() OVER (ORDER BY chr, "start", "end") AS locus, * FROM e3)
+  SELECT 0 AS version, * FROM l UNION ALL SELECT 1, * FROM n1 UNION ALL SELECT 2, * FROM n2 UNION ALL SELECT 3, * FROM n3 UNION ALL SELECT 4, * FROM n2""", "v loci")
+def p23b(spark: SparkSession, d: str) -> DataFrame:
+    """Versions of the loci: as found, one made longer, one deleted, one created, and that undone."""
+    v0 = loci.seed_loci(variants(spark, d)).select("locus", "chr", "start", "end")
+    v1 = programs.extended(v0, 2, 0, 50_000)
+    v2 = programs.deleted(v1, 1)
+    v3 = programs.created(v2, 23, 1000, 2000)
+    shown = [x.select(F.lit(k).alias("version"), "locus", "chr", "start", "end") for k, x in enumerate((v0, v1, v2, v3, programs.undone([v0, v1, v2, v3])))]
+    out = shown[0]
+    for x in shown[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+@query("p22_split_checks", """, l AS (SELECT locus, chr, "start", "end", ("start" + "end") // 2 AS m FROM loci WHERE "end" > "start"),
+  x AS (SELECT locus, part, CASE WHEN part = 0 THEN "start" ELSE m + locus % 3 * 150000 END AS "start", CASE WHEN part = 0 THEN m ELSE "end" + 300000 END AS "end" FROM l, (VALUES (0), (1)) q(part)),
+  w AS (SELECT *, lag("end") OVER (PARTITION BY locus ORDER BY "start", "end") AS before FROM x)
+  SELECT locus, count(*) AS parts, min("start" - before) AS least_gap, bool_or("start" < before) AS overlaps, bool_and("start" <= "end") AND min("start" - before) >= 250000 AS valid FROM w GROUP BY locus""", "v loci")
+def p22(spark: SparkSession, d: str) -> DataFrame:
+    """Proposed splits of each locus in the middle, with no gap, one too small and one wide enough."""
+    middle = F.floor((F.col("start") + F.col("end")) / 2)
+    l = loci.seed_loci(variants(spark, d)).where(F.col("end") > F.col("start")).withColumn("m", middle)
+    parts = F.array(F.struct("start", F.col("m").alias("end")), F.struct((F.col("m") + F.col("locus") % 3 * 150_000).alias("start"), (F.col("end") + 300_000).alias("end")))
+    return programs.split_checks(l.select("locus", F.explode(parts).alias("p")).select("locus", "p.start", "p.end"), "locus")
+
+
 # ---- reports ----------------------------------------------------------------------------------
 
 

@@ -106,3 +106,30 @@ def test_fine_mapping_by_locus(spark):
     df = spark.createDataFrame(pd.DataFrame({"locus": np.repeat([1, 2], 10), "variant": np.arange(20), "z": [8.0] + [0.1] * 19, "dosages": d.tolist()}))
     got = {r.variant: r.pip for r in programs.fine_mapped(df, "locus", 1000).select("variant", F.col("pip")).collect()}
     assert len(got) == 20 and got[0] > 0.95 and max(got[k] for k in range(10, 20)) == 0
+
+
+def test_edits_and_split_checks(spark):
+    base = spark.createDataFrame([(1, 1, 10, 20), (2, 1, 400_000, 500_000), (3, 2, 5, 9)], "locus long, chr int, start long, end long")
+    rows = lambda df: sorted((r.locus, r.chr, r.start, r.end) for r in df.collect())
+    longer = programs.extended(base, 3, 100, 1)
+    assert rows(longer) == [(1, 1, 10, 20), (2, 1, 400_000, 500_000), (3, 2, 1, 10)]
+    more = programs.created(longer, 1, 30, 40)
+    assert rows(more) == [(1, 1, 10, 20), (2, 1, 30, 40), (3, 1, 400_000, 500_000), (4, 2, 1, 10)]
+    assert rows(programs.undone([base, longer, more], 2)) == rows(base)
+    for bad in (lambda: programs.undone([base, longer], 2), lambda: programs.undone([base] * 30, 21), lambda: programs.created(base, 1, 5, 4)):
+        with pytest.raises(ValueError):
+            bad()
+    parts = spark.createDataFrame([(1, 0, 10), (1, 250_010, 250_020), (2, 0, 10), (2, 5, 9), (3, 0, 10), (3, 250_009, 250_010), (4, 7, 6), (5, 1, 2)], "k int, start long, end long")
+    got = {r.k: (r.parts, r.least_gap, r.overlaps, r.valid) for r in programs.split_checks(parts, "k").collect()}
+    assert got == {1: (2, 250_000, False, True), 2: (2, -5, True, False), 3: (2, 249_999, False, False), 4: (1, None, False, False), 5: (1, None, False, True)}
+
+
+def test_best_cut():
+    m = np.full((6, 6), 0.9)
+    for g in (slice(0, 2), slice(2, 4), slice(4, 6)):
+        m[g, g] = 0.1
+    np.fill_diagonal(m, 0)
+    labels, score = programs.best_cut(m)
+    assert labels.tolist() == [0, 0, 1, 1, 2, 2] and score == pytest.approx((0.9 - 0.1) / 0.9)
+    assert programs.best_cut(np.ones((4, 4)) - np.eye(4))[0].max() == 1  # ties: the fewest
+    assert programs.best_cut(np.zeros((2, 2))) is None
