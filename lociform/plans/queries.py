@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from lociform.functions import scalar as S
 from lociform.operators import finemap, harmonise, loci, programs, ranges, stats
+from lociform.sources import exports
 from lociform.sources.tables import SQL as VIEW
 from lociform.sources.tables import catalog, dosages, genes, peaks, table, variants
 
@@ -988,3 +989,21 @@ def w09(spark: SparkSession, d: str) -> DataFrame:
     p = p.select("chr", "pos", (F.col("place") - 1).alias("r"), F.col("total").alias("n"))
     wanted = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda k: F.floor((F.lit(2) * k * (F.col("n") - 1) + 19) / 38))
     return p.where((F.col("n") <= 20) | F.array_contains(wanted, F.col("r"))).select("chr", "pos")
+
+
+@query("s26_variant_export", f""", l AS (SELECT locus, ds, arg_min(vid, (-round(z, 9), pos, vid)) AS lead, arg_min(pos, (-round(z, 9), pos, vid)) AS lead_pos FROM (SELECT l.locus, v.* FROM v JOIN loci l ON v.chr = l.chr AND v.pos BETWEEN l."start" AND l."end") GROUP BY 1, 2)
+  SELECT l.locus AS locus_index, 'Locus ' || l.locus AS locus_name, CAST(x.chr AS VARCHAR) AS locus_chr, x."start" AS locus_start, x."end" AS locus_end, CAST(v.chr AS VARCHAR) AS chr, v.pos, v.ea, v.nea, round(-log10({erfc_sql("(v.z / sqrt(2e0))")}), 6) + 0e0 AS neglog,
+    round(v.beta, 6) + 0e0 AS beta, round(exp(v.beta), 6) AS "or", round(v.se, 6) AS se, v.maf, v.vid = l.lead AS is_lead, v.pos - l.lead_pos AS dist_lead FROM v JOIN loci x ON v.chr = x.chr AND v.pos BETWEEN x."start" AND x."end" JOIN l ON l.locus = x.locus AND l.ds = v.ds""", "v loci")
+def s26(spark: SparkSession, d: str) -> DataFrame:
+    """The exported table of the variants in loci, with the lead of their dataset there."""
+    v = variants(spark, d)
+    found = loci.seed_loci(v).select("locus", "chr", "start", "end")
+    inside = ranges.points_in(v, found)
+    order = F.struct((-F.round("z", 9)).alias("s"), F.col("pos"), F.col("vid"))
+    lead = inside.groupBy("locus", "ds").agg(F.min_by(F.struct("vid", "pos"), order).alias("lead"))
+    rows = inside.join(lead, ["locus", "ds"]).select(
+        F.col("locus").alias("locus_index"), F.concat(F.lit("Locus "), F.col("locus").cast("string")).alias("locus_name"), F.col("chr").alias("locus_chr"), F.col("start").alias("locus_start"), F.col("end").alias("locus_end"),
+        "chr", "pos", "ea", "nea", (F.round(S.neglog10(S.z_to_p(F.col("z"))), 6) + 0.0).alias("neglog"), (F.round("beta", 6) + 0.0).alias("beta"), F.round(F.exp("beta"), 6).alias("or"), F.round("se", 6).alias("se"), "maf",
+        (F.col("vid") == F.col("lead.vid")).alias("is_lead"), (F.col("pos") - F.col("lead.pos")).alias("dist_lead"), "ds",
+    )
+    return exports.exported(rows, headers=False)

@@ -104,10 +104,48 @@ def genes_with_transcripts(features: DataFrame) -> DataFrame:
     return genes.join(best, genes.id == best.gene_id, "left").drop("gene_id")
 
 
-def read_panel(spark: SparkSession, path: str) -> DataFrame:
-    """(chr, pos, id, a1, a2) of a reference panel's variant list, split at any white space."""
+def read_panel(spark: SparkSession, path: str, first: bool = False) -> DataFrame:
+    """(chr, pos, id, a1, a2) of a reference panel's variant list, split at any white space.
+
+    first: only the first line of each place counts, by file name and then by place in the file.
+    """
     part = F.split(F.trim("value"), r"\s+")
-    return spark.read.text(path).where("trim(value) <> ''").select(normal_chr(part[0]).alias("chr"), part[3].try_cast("long").alias("pos"), part[1].alias("id"), F.upper(part[4]).alias("a1"), F.upper(part[5]).alias("a2")).where("pos is not null")
+    at = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")]
+    lines = spark.read.text(path).select("value", F.struct(*at).alias("at")).where("trim(value) <> ''")
+    rows = lines.select(normal_chr(part[0]).alias("chr"), part[3].try_cast("long").alias("pos"), part[1].alias("id"), F.upper(part[4]).alias("a1"), F.upper(part[5]).alias("a2"), "at").where("pos is not null")
+    if first:
+        rows = rows.groupBy("chr", "pos").agg(F.min_by(F.struct("id", "a1", "a2"), "at").alias("x")).select("chr", "pos", "x.*", F.lit(None).alias("at"))
+    return rows.drop("at")
+
+
+# Headers of a column of gene symbols, the first that is there counts.
+GENE_HEADERS = ("gene", "gene_symbol", "symbol", "gene_name")
+
+
+def read_evidence(spark: SparkSession, path: str, gene_col: str | None = None) -> DataFrame:
+    """An uploaded table by gene: its columns trimmed, those of numbers only as doubles, the gene's named gene.
+
+    The first line that is not blank is the header: a tab in it means tabs, else commas.  The gene's
+    column is gene_col or found by its name, either without regard to case; none is an error.  Blank lines
+    and quotes are allowed, missing values are empty strings in text and null among numbers.
+    """
+    head = spark.read.text(path).where("trim(value) <> ''").limit(1).collect()
+    if not head:
+        raise ValueError("the file has no header")
+    sep = "\t" if "\t" in head[0][0] else ","
+    raw = spark.read.csv(path, sep=sep, header=True, quote='"', escape='"', mode="PERMISSIVE", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    raw = raw.toDF(*(c.strip() for c in raw.columns))
+    by_name = {c.lower(): c for c in reversed(raw.columns)}
+    gene = next((by_name[c] for c in ([gene_col.strip().lower()] if gene_col else GENE_HEADERS) if c in by_name), None)
+    if gene is None:
+        raise ValueError(f"no column of gene symbols among {', '.join(raw.columns)}")
+    others = [c for c in raw.columns if c != gene]
+    text = raw.select(*(F.coalesce(F.trim(F.col(f"`{c}`")), F.lit("")).alias(c) for c in raw.columns))
+    text = text.where(F.length(F.concat(*(F.col(f"`{c}`") for c in raw.columns))) > 0)
+    # one pass: does any value of a column say something other than a number
+    words = text.agg(*(F.coalesce(F.max((F.col(f"`{c}`") != "") & F.col(f"`{c}`").try_cast("double").isNull()), F.lit(False)).alias(str(k)) for k, c in enumerate(others))).first() if others else ()
+    rest = [F.col(f"`{c}`") if odd else F.col(f"`{c}`").try_cast("double").alias(c) for c, odd in zip(others, words)]
+    return text.select(F.col(f"`{gene}`").alias("gene"), *rest)
 
 
 def read_peaks(spark: SparkSession, path: str) -> DataFrame:

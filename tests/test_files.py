@@ -6,7 +6,7 @@ import os
 import pytest
 
 from lociform.functions import scalar
-from lociform.sources import readers
+from lociform.sources import exports, readers
 
 
 def put(tmp_path, name, text):
@@ -76,3 +76,30 @@ def test_overrides_missing_files_and_separators(spark, tmp_path):
     for text, sep in (("a\tb c\td", "\t"), ("a,b,c", ","), ("a;b", ";"), ("a b  c", r"\s+"), ("", r"\s+")):
         (tmp_path / "one.txt").write_text(text)
         assert readers.sniffed_separator(spark, f"file://{tmp_path}/one.txt") == sep
+
+
+def test_first_line_of_a_place(spark, tmp_path):
+    path = put(tmp_path, "p.bim", "1 rs1 0 100 a g\nchr1 rs2 0 100 c t\n\n2\trs3\t0\t100\tA\tG\n1 rs4 0 x A G\n")
+    assert sorted(r.id for r in readers.read_panel(spark, path).collect()) == ["rs1", "rs2", "rs3"]
+    assert sorted(tuple(r) for r in readers.read_panel(spark, path, first=True).collect()) == [("1", 100, "rs1", "A", "G"), ("2", 100, "rs3", "A", "G")]
+
+
+def test_evidence(spark, tmp_path):
+    path = put(tmp_path, "e.csv", '\nSymbol, score,note\nA1,1.5,"x, y"\n\n B2 ,,z\nC3,2e3,\n')
+    df = readers.read_evidence(spark, path)
+    assert df.columns == ["gene", "score", "note"] and dict(df.dtypes)["score"] == "double"
+    assert sorted(tuple(r) for r in df.collect()) == [("A1", 1.5, "x, y"), ("B2", None, "z"), ("C3", 2000.0, "")]
+    tabs = readers.read_evidence(spark, put(tmp_path, "e.tsv", "id,x\tGENE_NAME\n1,2\tQ\n"), gene_col="gene_name")
+    assert [tuple(r) for r in tabs.collect()] == [("Q", "1,2")]
+    for text, col in (("a,b\n1,2\n", None), ("gene,b\n1,2\n", "c"), ("\n \n", None)):
+        with pytest.raises(ValueError):
+            readers.read_evidence(spark, put(tmp_path, f"bad{len(text)}.csv", text), col)
+
+
+def test_exported_columns(spark):
+    df = spark.createDataFrame([("7", 1, "x", 0.5)], "pos string, chr int, odd string, beta double")
+    assert exports.exported(df).columns == ["Chr", "Position", "Beta"]
+    assert [tuple(r) for r in exports.exported(df, wanted=["beta", "pos"], headers=False).collect()] == [(7, 0.5)]
+    assert exports.exported(df, exports.LOCUS).columns == ["Chr"]
+    with pytest.raises(ValueError):
+        exports.exported(df, wanted=["odd"])
