@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociform.llm import chat, compression, decontamination, licenses, maxent, mixing, pii, rules, simhash, toxicity
+from lociform.llm import chat, compression, decontamination, divergence, licenses, maxent, minhash, mixing, negatives, pii, rules, simhash, toxicity
 from lociform.llm.common import fold, prepare, table
 
 
@@ -102,6 +102,40 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language lie apart, and the terms that tell each from its language."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, some labels moved by one."""
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of the shingle set and near-duplicate component of every document, at a similarity of 0.85."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k : k + 4], ' ')))) END AS s FROM w),
+-- equal sets are one from here on
+e AS (SELECT min(doc_id) AS rep, s, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s),
+x AS (SELECT rep, n, unnest(s) AS g FROM e),
+l AS (SELECT a.rep AS a, b.rep AS b FROM x a JOIN x b ON a.g = b.g AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT rep, rep AS c FROM e UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.rep AND r.c < u.b),
+m AS (SELECT rep, min(c) AS c FROM r GROUP BY rep)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(m.c, s.doc_id) AS component_id, coalesce(m.c, s.doc_id) = s.doc_id AS kept
+FROM s LEFT JOIN e ON e.s = s.s LEFT JOIN m ON m.rep = e.rep
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_license": op2_license,
@@ -113,5 +147,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_simhash": op10_simhash,
+    "op11_divergence": op11_divergence,
+    "op12_negatives": op12_negatives,
+    "op13_minhash": op13_minhash,
+}
+SQL: dict[str, str] = {
+    "op2_license": licenses.scan_sql(),
+    "op7_chat": OP7_SQL,
+    "op11_divergence": divergence.audit_sql(),
+    "op12_negatives": negatives.NEGATIVES_SQL,
+    "op13_minhash": OP13_SQL,
 }
-SQL: dict[str, str] = {"op2_license": licenses.scan_sql(), "op7_chat": OP7_SQL}
