@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lociform.llm import nearcopies
+from lociform.llm import minhash, nearcopies
 from tests.llm.test_operators import frame, prose
 
 
@@ -66,13 +66,34 @@ def test_components_against_all_pairs(spark, chunk):
     assert [r.component_id for r in got] == label
 
 
+def test_chain_of_a_thousand(spark):
+    """Each text is 0.5 like the next: shared keys chain them into one candidate component, no two are linked."""
+    rng = random.Random(25)
+    lines = [prose(rng, 30) for _ in range(1001)]
+    texts = [(k, lines[k] + " " + lines[k + 1]) for k in range(1000)]
+    texts += [(2000, edited(rng, texts[500][1], 1)), (2001, edited(rng, texts[7][1], 1))]
+    near = {2000: 500, 2001: 7}
+    assert all(jaccard(dict(texts)[a], dict(texts)[b]) >= 0.8 for a, b in near.items())
+    got = nearcopies.near_copies(frame(spark, texts), chunk=20_000).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: near.get(k, k) for k, _ in texts}
+
+
+def test_many_equal_rows(spark):
+    """Rows equal in id and text are one before texts meet."""
+    rng = random.Random(26)
+    text = prose(rng, 80)
+    rows = frame(spark, [(5, text)] * 3000 + [(7, edited(rng, text, 1)), (8, prose(rng, 80))])
+    got = nearcopies.near_copies(rows).groupBy("doc_id", "component_id").count().orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == [(5, 5, 3000), (7, 5, 1), (8, 8, 1)]
+
+
 def test_linked_sets_against_all_pairs():
     rng = random.Random(23)
     sets = []
     for _ in range(200):
         own = set(rng.sample(range(60), rng.randint(1, 40))) if not sets or rng.random() < 0.3 else {*rng.choice(sets).tolist(), rng.randint(0, 60)}
         sets.append(np.array(sorted(own), np.uint64))
-    a, b = nearcopies.linked(sets, 0.8)
+    a, b = minhash.linked(sets, 80)
     root = list(range(200))
     for i, j in zip(a.tolist(), b.tolist()):
         root = [min(root[i], root[j]) if x in (root[i], root[j]) else x for x in root]
