@@ -9,36 +9,53 @@ from pyspark.sql.window import Window
 from lociform.functions.scalar import MEDIAN_CHI2
 
 
-def values_at(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column], bins: int = 4096) -> DataFrame:
-    """keys, n and for each name the value at that rank (from 0, an expression of n) among each key's values in order.
+#: Bins for a factor of e: values of a bin are within a four-thousandth of each other.
+FINE = 4096
 
-    Exact, and no task sees all values of a key: counts in equal bins between the smallest and largest value
-    tell in which bin a rank lies, and only the distinct values of those bins are counted one by one.  Nulls do
-    not count.
+
+def order_bin(v: Column) -> Column:
+    """A whole number that rises with v: the logarithm of its size in steps of 1 / FINE, signed, so that no outlier widens other bins."""
+    step = F.floor(F.log(F.abs(v)) * FINE) + 800 * FINE
+    return F.when(v > 0, step).when(v < 0, -step).otherwise(F.lit(0)).cast("long")
+
+
+def cumulated(counts: DataFrame, keys: list[str], value: str, count: str, name: str) -> DataFrame:
+    """counts (a row for each key and value) with the sum of count up to the value, itself included.
+
+    One task sees the values of one bin of one key, and a table of the bins tells what comes before; a null value has no row.
+    """
+    binned = counts.withColumn("_bin", order_bin(F.col(value).cast("double")))
+    sums = binned.groupBy(*keys, "_bin").agg(F.sum(count).alias("_s"))
+    before = sums.select(*keys, "_bin", (F.sum("_s").over(Window.partitionBy(*keys).orderBy("_bin")) - F.col("_s")).alias("_before"))
+    inside = F.sum(count).over(Window.partitionBy(*keys, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return binned.withColumn("_inside", inside).join(before, [*keys, "_bin"]).withColumn(name, F.col("_inside") + F.col("_before")).drop("_bin", "_inside", "_before")
+
+
+def values_at(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+    """keys, n, mean and for each name the value at that rank (from 0, an expression of n) among each key's values in order.
+
+    Exact, in two scans: counts by order_bin() tell in which bin a rank lies, and only the distinct values of
+    those bins are counted one by one.  Nulls and NaN do not count.
     """
     v = F.col(value).cast("double")
-    own = df.where(v.isNotNull()).select(*keys, v.alias("_v"))
-    ends = own.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    share = F.when(F.col("_hi") > F.col("_lo"), (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
-    binned = own.join(ends, keys).select(*keys, "_v", F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int").alias("_bin"))
-    counts = binned.groupBy(*keys, "_bin").agg(F.count("*").alias("_c"))
-    upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_bin"))  # at most `bins` rows for each key
-    edges = counts.select(*keys, "_bin", (upto - F.col("_c")).alias("_before"), upto.alias("_upto"))
-    asked = ends.select(*keys, "n", F.explode(F.array(*(F.struct(F.lit(k).alias("name"), r.cast("long").alias("rank")) for k, r in ranks.items()))).alias("_q"))
-    wanted = asked.join(edges, keys).where((F.col("_q.rank") >= F.col("_before")) & (F.col("_q.rank") < F.col("_upto"))).select(*keys, "n", "_bin", "_before", "_q")
-    near = binned.join(wanted.select(*keys, "_bin").distinct(), [*keys, "_bin"], "left_semi").groupBy(*keys, "_bin", "_v").agg(F.count("*").alias("_c"))
-    inside = F.sum("_c").over(Window.partitionBy(*keys, "_bin").orderBy("_v"))
-    placed = near.select(*keys, "_bin", "_v", (inside - F.col("_c")).alias("_from"), inside.alias("_to"))
-    rank = F.col("_q.rank") - F.col("_before")
-    found = placed.join(wanted, [*keys, "_bin"]).where((rank >= F.col("_from")) & (rank < F.col("_to")))
-    return found.groupBy(*keys, "n").agg(*(F.max(F.when(F.col("_q.name") == k, F.col("_v"))).alias(k) for k in ranks))
+    own = df.where(v.isNotNull() & ~F.isnan(v)).select(*keys, v.alias("_v")).withColumn("_bin", order_bin(F.col("_v")))
+    counts = own.groupBy(*keys, "_bin").agg(F.count("*").alias("_c"), F.sum("_v").alias("_s"))
+    whole = Window.partitionBy(*keys)
+    upto = F.sum("_c").over(whole.orderBy("_bin"))
+    edges = counts.select(*keys, "_bin", (upto - F.col("_c")).alias("_before"), upto.alias("_upto"), F.sum("_c").over(whole).alias("n"), (F.sum("_s").over(whole) / F.sum("_c").over(whole)).alias("mean"))
+    asked = edges.select("*", F.explode(F.array(*(F.struct(F.lit(k).alias("name"), r.cast("long").alias("rank")) for k, r in ranks.items()))).alias("_q"))
+    wanted = asked.where((F.col("_q.rank") >= F.col("_before")) & (F.col("_q.rank") < F.col("_upto"))).select(*keys, "n", "mean", "_bin", F.col("_q.name").alias("_name"), (F.col("_q.rank") - F.col("_before")).alias("_rank"))
+    near = own.join(wanted, [*keys, "_bin"]).groupBy(*keys, "n", "mean", "_name", "_rank", "_v").agg(F.count("*").alias("_c"))
+    inside = F.sum("_c").over(Window.partitionBy(*keys, "_name").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = near.withColumn("_to", inside).where((F.col("_rank") < F.col("_to")) & (F.col("_rank") >= F.col("_to") - F.col("_c")))
+    return found.groupBy(*keys, "n", "mean").agg(*(F.max(F.when(F.col("_name") == k, F.col("_v"))).alias(k) for k in ranks))
 
 
 def medians(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """keys, n and the exact median of each key's values."""
+    """keys, n, mean and the exact median of each key's values."""
     n = F.col("n")
     both = values_at(df, keys, value, {"_low": F.floor((n - 1) / 2), "_high": F.ceil((n - 1) / 2)})
-    return both.select(*keys, "n", ((F.col("_low") + F.col("_high")) / 2).alias("median"))
+    return both.select(*keys, "n", "mean", ((F.col("_low") + F.col("_high")) / 2).alias("median"))
 
 
 def placed(df: DataFrame, keys: list[str], bin: Column, order: list) -> DataFrame:
@@ -57,9 +74,7 @@ def placed(df: DataFrame, keys: list[str], bin: Column, order: list) -> DataFram
 
 def genomic_inflation(df: DataFrame, keys: list[str], z_col: str = "z") -> DataFrame:
     """n, mean chi-square, lambda (exact median over the null's median) and whether it exceeds 1.1."""
-    chi2 = df.withColumn("_chi2", F.col(z_col) * F.col(z_col)).where(F.col("_chi2").isNotNull())
-    mean = chi2.groupBy(*keys).agg(F.avg("_chi2").alias("mean_chi2"))
-    out = medians(chi2, keys, "_chi2").join(mean, keys).select(*keys, "n", "mean_chi2", (F.col("median") / MEDIAN_CHI2).alias("lambda_gc"))
+    out = medians(df.withColumn("_chi2", F.col(z_col) * F.col(z_col)), keys, "_chi2").select(*keys, "n", F.col("mean").alias("mean_chi2"), (F.col("median") / MEDIAN_CHI2).alias("lambda_gc"))
     return out.withColumn("inflated", F.col("lambda_gc") > 1.1)
 
 
@@ -79,9 +94,8 @@ def one_way_anova(df: DataFrame, keys: list[str], group: str, value: str) -> Dat
 
 def average_ranks(df: DataFrame, keys: list[str], value: str, name: str = "avg_rank") -> DataFrame:
     """df with the rank of value within its key, ties sharing their mean; ranks come from counts of distinct values."""
-    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranks = counts.select(*keys, value, (upto - (F.col("_c") - 1) / 2.0).alias(name))
+    counts = cumulated(df.groupBy(*keys, value).agg(F.count("*").alias("_c")), keys, value, "_c", "_upto")
+    ranks = counts.select(*keys, value, (F.col("_upto") - (F.col("_c") - 1) / 2.0).alias(name))
     return df.join(ranks, [*keys, value])
 
 
@@ -91,8 +105,7 @@ def mann_whitney(df: DataFrame, keys: list[str], value: str, first: Column) -> D
     Ranks come from counts of distinct values, so equal values never meet in one task as rows.
     """
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("t"), F.count_if(first).alias("a"))
-    w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.withColumn("r", F.sum("t").over(w) - (F.col("t") - 1) / 2.0)
+    ranked = cumulated(counts, keys, value, "t", "_upto").withColumn("r", F.col("_upto") - (F.col("t") - 1) / 2.0)
     t = F.col("t").cast("double")
     out = ranked.groupBy(*keys).agg(F.sum("a").alias("n1"), F.sum(F.col("t") - F.col("a")).alias("n2"), F.sum(F.col("r") * F.col("a")).alias("r1"), F.sum(t * t * t - t).alias("ties"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")

@@ -710,11 +710,15 @@ def p06(spark: SparkSession, d: str) -> DataFrame:
     return loci.clumped(best, 250_000).groupBy("chr", "lead").agg(F.count("*").alias("n"), F.min("pos").alias("start"), F.max("pos").alias("end"))
 
 
-@query("m06_fisher_enrichment")
+@query("m06_fisher_enrichment", """, b AS (SELECT chr, pos, max(z) AS z FROM v GROUP BY 1, 2), marks AS (SELECT DISTINCT eid, mark FROM k),
+  i AS (SELECT m.eid, m.mark, b.z > 5.4513e0 AS fg, EXISTS (SELECT 1 FROM k WHERE k.mark = m.mark AND k.eid = m.eid AND k.chr = b.chr AND b.pos BETWEEN k."start" AND k."end") AS inside FROM b, marks m),
+  n AS (SELECT eid, mark, count(*) FILTER (fg AND inside) AS a, count(*) FILTER (fg AND NOT inside) AS b, count(*) FILTER (NOT fg AND inside) AS c, count(*) FILTER (NOT fg AND NOT inside) AS d FROM i GROUP BY 1, 2),
+  w AS (SELECT *, list_transform(range(greatest(0, a - d), least(a + b, a + c) + 1), lambda x: -(lgamma(x + 1e0) + lgamma(a + b - x + 1e0) + lgamma(a + c - x + 1e0) + lgamma(d - a + x + 1e0))) AS logs, -(lgamma(a + 1e0) + lgamma(b + 1e0) + lgamma(c + 1e0) + lgamma(d + 1e0)) AS own FROM n)
+  SELECT eid, mark, round(list_sum(list_transform(list_filter(logs, lambda x: x <= own + 1e-9), lambda x: exp(x - list_max(logs)))) / list_sum(list_transform(logs, lambda x: exp(x - list_max(logs)))), 6) AS p FROM w""", "v k")
 def m06(spark: SparkSession, d: str) -> DataFrame:
-    """Two-sided exact p of each mark's 2x2 table."""
+    """Two-sided exact p of the 2x2 table of each cell type's marks."""
     t = a17(spark, d)
-    return t.select("mark", F.round(S.fisher_two_sided(*(F.col(x) for x in "abcd")), 9).alias("p"))
+    return t.select("eid", "mark", F.round(S.fisher_two_sided(*(F.col(x) for x in "abcd")), 6).alias("p"))
 
 
 _DOSE = """w AS (SELECT a.vec_id AS i, list_transform(range(1, 65), lambda x: CAST(a.embedding[x] AS DOUBLE) + CAST(b.embedding[x] AS DOUBLE) + CAST(c.embedding[x] AS DOUBLE) + CAST(e.embedding[x] AS DOUBLE)) AS d

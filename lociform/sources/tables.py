@@ -69,6 +69,34 @@ def dosages(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
+#: People of a simulated panel, width of its blocks of linked variants, weight of a block, and the steps of its frequencies.
+PEOPLE, LINKED, WEIGHT, STEP = 32, 50_000, 1.5, 0.05
+
+
+def panel(spark: SparkSession, folder: str, population: int = 0) -> DataFrame:
+    """chr, pos, a1, a2, freq and dosages (0 to 2 of a1 in each of 32 people) of the positions of variants.
+
+    Haplotypes are the signs of a vector of the variant and one that its block of 50 kb shares, so that
+    neighbours are linked; populations share neither.  Every fifth variant has its alleles the other way round.
+    """
+    e = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    n = e.agg(F.count("*").alias("n_vectors"))  # one row
+    part, pos = F.col("p_partkey"), F.col("p_partkey") * 4999 % 10_000_000 + 1
+    rows = table(spark, folder, "part").select(part.alias("part"), (part % 22 + 1).cast("int").alias("chr"), pos.alias("pos")).join(F.broadcast(n))
+    own = F.pmod(F.col("part") + 17 * population, F.col("n_vectors")).alias("own")
+    block = F.pmod(F.col("chr") * 131 + F.floor(F.col("pos") / LINKED) + 7 * population, F.col("n_vectors")).alias("block")
+    rows = rows.select("part", "chr", "pos", own, block)
+    rows = rows.join(e.select(F.col("vec_id").alias("own"), F.col("e").alias("x")), "own").join(e.select(F.col("vec_id").alias("block"), F.col("e").alias("y")), "block")
+    over = ((F.col("part") + population) % 7 - 3) * STEP
+    sides = F.transform(F.zip_with("x", "y", lambda x, y: x + y * WEIGHT), lambda v: (v > over).cast("int"))
+    dosage = F.transform(F.sequence(F.lit(1), F.lit(PEOPLE)), lambda k: F.element_at("side", k) + F.element_at("side", k + PEOPLE))
+    ea, nea = _letter(F.col("part") % 4), _letter((F.col("part") + 1 + F.floor(F.col("part") / 4) % 3) % 4)
+    turned = F.col("part") % 5 == 0
+    out = rows.select("part", "chr", "pos", F.when(turned, nea).otherwise(ea).alias("a1"), F.when(turned, ea).otherwise(nea).alias("a2"), sides.alias("side"))
+    out = out.select("chr", "pos", "a1", "a2", dosage.alias("dosages"))
+    return out.select("chr", "pos", "a1", "a2", (F.aggregate("dosages", F.lit(0), lambda a, x: a + x) / (2.0 * PEOPLE)).alias("freq"), "dosages")
+
+
 #: The same views for another engine; literals with an exponent are doubles there.
 SQL = {
     "v": """v AS (SELECT *, abs(beta / se) AS z FROM (SELECT CAST((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey % 1000000 AS BIGINT) AS vid, CAST(l_suppkey % 6 AS INT) AS ds,
@@ -80,6 +108,12 @@ SQL = {
   CASE WHEN p_partkey % 2 = 0 THEN '+' ELSE '-' END AS strand, p_size AS size FROM part)""",
     "k": """k AS (SELECT event_id AS peak, event_type AS mark, CAST(user_id % 5 AS INT) AS eid, CAST(event_id % 22 + 1 AS INT) AS chr, event_id * 3571 % 10000000 AS "start",
   event_id * 3571 % 10000000 + 2000 + CAST(floor(value * 400) AS BIGINT) AS "end", value AS signal FROM events)""",
+    "pn": f"""pn AS (SELECT chr, pos, a1, a2, list_sum(dosages) / {2.0 * PEOPLE}e0 AS freq, dosages FROM (SELECT chr, pos, CASE WHEN part % 5 = 0 THEN nea ELSE ea END AS a1, CASE WHEN part % 5 = 0 THEN ea ELSE nea END AS a2,
+    list_transform(range(1, {PEOPLE + 1}), lambda k: CAST(side[k] > (part % 7 - 3) * {STEP}e0 AS INT) + CAST(side[k + {PEOPLE}] > (part % 7 - 3) * {STEP}e0 AS INT)) AS dosages
+  FROM (SELECT q.*, ['A','C','G','T'][CAST(part % 4 + 1 AS INT)] AS ea, ['A','C','G','T'][CAST((part + 1 + (part // 4) % 3) % 4 + 1 AS INT)] AS nea,
+      list_transform(list_zip(o.embedding, b.embedding), lambda x: CAST(x[1] AS DOUBLE) + CAST(x[2] AS DOUBLE) * {WEIGHT}e0) AS side
+    FROM (SELECT p_partkey AS part, CAST(p_partkey % 22 + 1 AS INT) AS chr, p_partkey * 4999 % 10000000 + 1 AS pos, n FROM part, (SELECT count(*) AS n FROM embeddings)) q
+    JOIN embeddings o ON o.vec_id = part % n JOIN embeddings b ON b.vec_id = (chr * 131 + (pos - pos % {LINKED}) // {LINKED}) % n)))""",
     "c": """c AS (SELECT o_orderkey AS cid, 'rs' || (o_orderkey % 5000) AS rsid, CAST(o_custkey % 22 + 1 AS INT) AS chr, o_orderkey * 7907 % 10000000 + 1 AS pos,
   o_orderpriority AS trait, (o_orderkey * 31 % 400) / 10.0e0 + 1 AS mlogp FROM orders)""",
 }
