@@ -9,7 +9,7 @@
 4. In a part, a tree of balls is built once and queries stream through it.  An inner product with the points
    of a ball lies between q.c - |q| r and q.c + |q| r: a node is left out where that interval misses
    the query's window, where the upper bound is strictly beneath the current k-th score, or where its labels
-   cannot be wanted.  Leaves are visited from the highest upper bound down.
+   cannot be wanted.  Leaves are visited from the highest upper bound down, each by all queries of a batch that want it.
 
 Bounds: at most PARTS centres, which are what the driver holds and each task gets, with as many balls again.
 A part holds about points / PARTS points, or LEAST_ROWS.  Where more than QUERIES queries want a part, it gets
@@ -34,9 +34,9 @@ from pyspark.sql.window import Window
 
 from lociform.llm.common import materialise, prepare
 
-PARTS, LEAST_ROWS, LEAF = 4096, 1024, 32
+PARTS, LEAST_ROWS, LEAF = 4096, 1024, 128
 QUERIES = 100_000
-AT_ONCE = 256
+AT_ONCE = 512
 SCALE = 256
 LAST = np.iinfo(np.int64).max
 POINT = "part long, id long, label int, v array<int>, far double"
@@ -210,29 +210,37 @@ def descend(tree: Tree, q: Asked, k: int, exact: bool) -> tuple[np.ndarray, np.n
             alive[:, tree.left[inner] + side] = alive[:, inner]
         level = np.concatenate([tree.left[inner], tree.left[inner] + 1])
     leaves = np.flatnonzero(tree.left < 0)
-    upper = np.where(alive[:, leaves], upper[:, leaves], -np.inf)
-    order = np.argsort(-upper, axis=1, kind="stable")
     points = tree.v if exact else tree.v.astype(np.int64)
     asked = q.v if exact else q.v.astype(np.int64)
-    left = np.arange(n)
-    for turn in range(len(leaves)):
-        # the k-th score so far; what is strictly beneath it is of no use
-        beneath = np.maximum(low[left], np.where(found[left] >= k, score[left, k - 1], low[left]))
-        left = left[upper[left, order[left, turn]] >= beneath]
-        left = left[upper[left, order[left, turn]] > -np.inf]
-        if not len(left):
-            break
-        at = leaves[order[left, turn]]
-        for node in np.unique(at):
-            who, part = left[at == node], slice(tree.start[node], tree.end[node])
-            s = (asked[who] @ points[part].T).astype(np.int64)
-            label = tree.label[part]
-            fit = (s >= low[who, None]) & (s <= q.high[who, None]) & ((label == q.label[who, None]) == q.same[who, None]) & (tree.id[part] != q.but[who, None])
-            s = np.concatenate([score[who], np.where(fit, s, -LAST)], axis=1)
-            i = np.concatenate([id[who], np.broadcast_to(np.where(fit, tree.id[part], LAST), fit.shape)], axis=1)
-            best = np.lexsort((i, -s), axis=1)[:, :k]
-            score[who], id[who] = np.take_along_axis(s, best, 1), np.take_along_axis(i, best, 1)
-            found[who] = np.minimum(found[who] + fit.sum(axis=1), k)
+    # leaves from the highest upper bound down, each against all queries that still want it
+    reach = np.where(alive[:, leaves], upper[:, leaves], -np.inf)
+    for at in np.argsort(-reach.max(axis=0, initial=-np.inf), kind="stable"):
+        # what is strictly beneath the k-th score so far is of no use
+        beneath = np.where(found >= k, np.maximum(low, score[:, -1]), low)
+        who = np.flatnonzero((reach[:, at] >= beneath) & (reach[:, at] > -np.inf))
+        if not len(who):
+            continue
+        part = slice(tree.start[leaves[at]], tree.end[leaves[at]])
+        s = (asked[who] @ points[part].T).astype(np.int64)
+        label = tree.label[part]
+        fit = (s >= beneath[who, None]) & (s <= q.high[who, None]) & ((label == q.label[who, None]) == q.same[who, None]) & (tree.id[part] != q.but[who, None])
+        row, column = np.nonzero(fit)
+        if not len(row):
+            continue
+        # what is found so far and now, in order: the first k of each query stay
+        some = np.unique(row)
+        old = np.arange(k) < found[who[some], None]
+        rows = np.concatenate([np.broadcast_to(some[:, None], old.shape)[old], row])
+        scores = np.concatenate([score[who[some]][old], s[row, column]])
+        ids = np.concatenate([id[who[some]][old], tree.id[part][column]])
+        order = np.lexsort((ids, -scores, rows))
+        rows, scores, ids = rows[order], scores[order], ids[order]
+        start = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        nth = np.arange(len(rows)) - np.repeat(start, np.diff(np.append(start, len(rows))))
+        first = nth < k
+        at_query = who[rows[first]]
+        score[at_query, nth[first]], id[at_query, nth[first]] = scores[first], ids[first]
+        found[who[some]] = np.minimum(np.diff(np.append(start, len(rows))), k)
     return score, id, found
 
 
