@@ -16,8 +16,8 @@ hash of the id.
 
 All sums that decide anything are over integers (rates in units of 2**-30), so reruns agree whatever
 the order of tasks.  A source of W words has at most sqrt(2 W) distinct sizes, which bounds every
-window here; documents of one size are spread over cells salted by a hash of id and text, as many as
-keep a cell at PART rows however many documents share a size.
+window here.  Rows that are equal in id, source and size are one row with a count, whatever their number;
+such rows of one size are spread over cells salted by a hash of the id, as many as keep a cell near PART rows.
 
 Edge cases: a null text has size 0, a null source is a source of its own, last in order; documents
 of size 0 are taken once and give no words; repeated rows count and are taken like others; an empty
@@ -33,7 +33,8 @@ from pyspark.sql.window import Window
 from lociform.llm.common import WORD, forget, materialise
 
 UNIT = 1 << 30
-#: Rows of one (source, size) are dealt by a hash to so many parts at least, and as many more as keep a part near PART rows.
+#: Distinct rows of one (source, size) are dealt by a hash to so many parts at least, and as many more as keep a part near
+#: PART rows; equal rows are handed out again in pieces of PART.
 SALTS, PART = 64, 100_000
 ROUNDS = 80
 
@@ -161,21 +162,29 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_
 
     weights repeat over the sources in order of code points.
     """
-    salts = max(SALTS, -(-df.count() // PART))
-    salt = F.pmod(F.xxhash64(id_col, text_col), F.lit(salts)).cast("int")
-    docs = materialise(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), sizes(df, text_col).alias("size"), salt.alias("salt")), "mix-sizes")
-    salted = materialise(docs.groupBy("source", "size", "salt").agg(F.count("*").alias("k")), "mix-cells")
+    docs = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), sizes(df, text_col).alias("size"))
+    docs = materialise(docs.groupBy("id", "source", "size").agg(F.count("*").alias("c")), "mix-sizes")
+    rows, largest = docs.agg(F.count("*"), F.max("c")).first()
+    docs = docs.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(max(SALTS, -(-rows // PART)))).cast("int"))
+    salted = materialise(docs.groupBy("source", "size", "salt").agg(F.sum("c").alias("k")), "mix-cells")
     cells = materialise(salted.groupBy("source", "size").agg(F.sum("k").alias("n")), "mix-cells")
     sources = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n_docs"))
     aims = targets(numbered(sources), weights, most)
     copies = quotas(cells, balance(cells, aims, most), most)
-    # a cell's copies are dealt to its salted parts by rounding a running sum again, then by rank within a part
+    # a cell's copies are dealt to its salted parts by rounding a running sum again, then in order within a part
     along = Window.partitionBy("source", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, 0)
     parts = matched(salted, copies, ["source", "size"])
     given = F.expr("((m % n) * cast(upto as decimal(20,0))) div n - ((m % n) * cast(upto - k as decimal(20,0))) div n")
     parts = parts.withColumn("upto", F.sum("k").over(along)).withColumn("each", F.expr("m div n")).withColumn("given", given.cast("long")).drop("upto", "n", "m", "k")
-    rank = F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy(F.xxhash64("id", F.lit(1)), "id"))
-    out = matched(docs.withColumn("rank", rank), parts, ["source", "size", "salt"])
-    copies_taken = (F.col("each") + (F.col("rank") <= F.col("given")).cast("long")).alias("copies")
-    out = out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies_taken)
-    return out.withColumn("taken", F.col("copies") * F.col("size"))
+    order = Window.partitionBy("source", "size", "salt").orderBy(F.xxhash64("id", F.lit(1)), "id").rowsBetween(Window.unboundedPreceding, 0)
+    out = matched(docs.withColumn("upto", F.sum("c").over(order)), parts, ["source", "size", "salt"])
+    # of equal rows so many get one copy more
+    more = F.greatest(F.lit(0), F.least(F.col("c"), F.col("given") - (F.col("upto") - F.col("c")))).cast("long")
+    kinds = F.array(F.struct((F.col("each") + 1).alias("copies"), F.col("more").alias("times")), F.struct(F.col("each").alias("copies"), (F.col("c") - F.col("more")).alias("times")))
+    out = out.withColumn("more", more).select("id", "source", "size", "source_size", "target", F.explode(F.filter(kinds, lambda k: k["times"] > 0)).alias("kind"))
+    out = out.select("*", "kind.copies", "kind.times").drop("kind")
+    if (largest or 0) > PART:
+        piece = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / PART)))
+        out = out.withColumn("piece", piece).withColumn("times", F.least(F.lit(PART), F.col("times") - F.col("piece") * PART)).repartition().drop("piece")
+    out = out.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("col", "times")
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))

@@ -223,3 +223,54 @@ def test_columns_of_any_name_stay(spark, tmp_path):
         for r in out.collect():
             assert all(r[c] == f"own {c}" for c in CLASHES), name
     assert out.columns[len(docs.columns) :] == ["size_", "source_size", "target_", "copies_", "taken"]
+
+
+# ---- 1 mixing: rates of the dual's solution, and many equal rows
+
+
+def rates_by_hand(sizes, target, most=3):
+    """Copies that entropy balancing gives to each size on average: min(most, exp(lambda * size / mean))."""
+    mean = sum(sizes) / len(sizes)
+    low, high = -60.0, 60.0
+    rate = lambda lam, s: min(most, math.exp(min(30.0, lam * s / mean)))
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if sum(rate(middle, s) * s for s in sizes) < target else (low, middle)
+    return lambda s: rate(low, s)
+
+
+def test_copies_follow_the_rates_of_the_dual(spark):
+    rng = random.Random(51)
+    docs = [(k, " ".join(["w"] * rng.choice([1, 2, 5, 9, 20, 50, 120, 300])), f"s{k % 3}") for k in range(1500)]
+    df = spark.createDataFrame([(k, t, "en", s, 1) for k, t, s in docs], "doc_id long, text string, lang string, source string, n_chars int")
+    got = mixing.mix(df).collect()
+    off = total = 0
+    for source in ("s0", "s1", "s2"):
+        own = [r for r in got if r.source == source]
+        rate = rates_by_hand([r["size"] for r in own], own[0].target)
+        for s in {r["size"] for r in own}:
+            copies = [r.copies for r in own if r["size"] == s]
+            total += 1
+            off += abs(sum(copies) - len(copies) * rate(s)) > 1.01
+            assert max(copies) - min(copies) <= 1
+    # only the smallest documents of a source take up what rounding leaves
+    assert off <= 3 and total == 24
+
+
+def test_many_equal_rows_are_dealt_by_count(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PART", 700)
+    equal = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("s0").alias("source"))
+    other = spark.range(2000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x "), (F.col("id") % 7).cast("int")).alias("text"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"))
+    mixed = mixing.mix(equal.unionByName(other))
+    # no task of the last step holds more than a few pieces of the equal rows
+    sizes = mixed.withColumn("p", F.spark_partition_id()).groupBy("p").count().agg(F.max("count")).first()[0]
+    assert sizes < 11_000
+    got = Counter((r.doc_id, r.source, r["size"], r.copies) for r in mixed.collect())
+    assert sum(got.values()) == 22_000 and sum(n for k, n in got.items() if k[0] is None) == 20_000
+    assert len({k[3] for k in got if k[0] is None}) <= 2
+    again = Counter((r.doc_id, r.source, r["size"], r.copies) for r in mixing.mix(other.unionByName(equal).repartition(5)).collect())
+    assert got == again
+    by = {}
+    for r in mixed.groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect():
+        by[r.source] = abs(r.taken - r.target) / r.target
+    assert max(by.values()) < 0.01
