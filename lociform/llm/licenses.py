@@ -40,7 +40,26 @@ _MIT_GRANT = "Permission is hereby granted, free of charge, to any person obtain
 _BSD_2 = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
 _BSD_3 = _BSD_2 + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
 _ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
-#: Notices, headers and short licences by which texts declare a licence.
+#: Licences that one line declares, by their identifiers, and other identifiers and names of the same.
+IDENTIFIERS = {
+    "AGPL-3.0": ("AGPL-3.0-only", "AGPL-3.0-or-later", "AGPLv3"), "Apache-2.0": ("Apache 2.0", "Apache License 2.0", "Apache License Version 2.0"), "BSD-2-Clause": ("BSD 2-Clause License",),
+    "BSD-3-Clause": ("BSD 3-Clause License", "BSD-3-Clause-Clear"), "BSL-1.0": ("Boost Software License 1.0",), "CC-BY-4.0": (), "CC-BY-NC-4.0": (), "CC-BY-NC-ND-4.0": (), "CC-BY-NC-SA-4.0": (), "CC-BY-ND-4.0": (), "CC-BY-SA-4.0": (),
+    "CC0-1.0": (), "EPL-1.0": ("Eclipse Public License 1.0", "Eclipse Public License v1.0"), "EPL-2.0": ("Eclipse Public License 2.0", "Eclipse Public License v2.0"), "EUPL-1.2": ("European Union Public Licence 1.2", "EUPL v1.2"),
+    "GPL-2.0": ("GPL-2.0-only", "GPL-2.0-or-later", "GPLv2", "GNU GPLv2"), "GPL-3.0": ("GPL-3.0-only", "GPL-3.0-or-later", "GPLv3", "GNU GPLv3"), "ISC": ("ISC License",), "LGPL-2.1": ("LGPL-2.1-only", "LGPL-2.1-or-later", "LGPLv2.1"),
+    "LGPL-3.0": ("LGPL-3.0-only", "LGPL-3.0-or-later", "LGPLv3"), "MIT": ("MIT License",), "MPL-2.0": ("Mozilla Public License 2.0",), "Unlicense": (), "Zlib": ("zlib License",),
+}
+_CC = {"BY-NC-ND": "Attribution-NonCommercial-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-ND": "Attribution-NoDerivatives"}
+
+
+def _lines() -> tuple:
+    """Lines by which a licence is declared: its identifier after the tag for it, and its names after "licensed under"."""
+    tags = [(name, f"SPDX-License-Identifier: {i}") for name, others in IDENTIFIERS.items() for i in (name, *(o for o in others if o.startswith(name)))]
+    told = [(name, f"Licensed under {the}{o}") for name, others in IDENTIFIERS.items() for o in others if not o.startswith(name + "-") for the in ("", "the ")]
+    commons = [(f"CC-{k}-4.0", text) for k, long in _CC.items() for text in (f"Licensed under CC {k} 4.0.", f"This work is licensed under a Creative Commons {long} 4.0 International License.")]
+    return tuple(dict.fromkeys(tags + told + commons))
+
+
+#: Notices, headers and short licences by which texts declare a licence; the lines above come with them.
 TEMPLATES = (
     ("AGPL-3.0", _GPL_SHORT.format("Affero General Public License", 3)),
     ("AGPL-3.0", _GPL.format("Affero General Public License", 3, "Affero General Public License")),
@@ -83,6 +102,10 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("EPL-1.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"),
+    ("EUPL-1.2", "Licensed under the EUPL, Version 1.2 or - as soon they will be approved by the European Commission - subsequent versions of the EUPL (the \"Licence\");"),
+    *_lines(),
 )
 
 LOWER = {c: c + 32 for c in range(65, 91)}
