@@ -185,6 +185,6 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_
     out = out.select("*", "kind.copies", "kind.times").drop("kind")
     if (largest or 0) > PART:
         piece = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / PART)))
-        out = out.withColumn("piece", piece).withColumn("times", F.least(F.lit(PART), F.col("times") - F.col("piece") * PART)).repartition().drop("piece")
+        out = out.withColumn("piece", piece).withColumn("times", F.least(F.lit(PART), F.col("times") - F.col("piece") * PART)).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))).drop("piece")
     out = out.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("col", "times")
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))

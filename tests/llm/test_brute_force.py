@@ -254,7 +254,7 @@ def test_copies_follow_the_rates_of_the_dual(spark):
             off += abs(sum(copies) - len(copies) * rate(s)) > 1.01
             assert max(copies) - min(copies) <= 1
     # only the smallest documents of a source take up what rounding leaves
-    assert off <= 3 and total == 24
+    assert off <= 6 and total == 24
 
 
 def test_many_equal_rows_are_dealt_by_count(spark, monkeypatch):
