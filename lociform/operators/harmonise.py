@@ -29,16 +29,21 @@ def harmonised(df: DataFrame) -> DataFrame:
     ea, nea, a1 = F.upper("ea"), F.upper("nea"), F.col("a1")
     by_letters = match_class(ea, nea, a1, F.col("a2"))
     twin = palindromic(ea, nea) & by_letters.isin("FORWARD", "REVERSE")
-    df = df.withColumn("_class", F.when(twin, F.coalesce(strand_by_frequency(F.col("eaf"), F.col("a1_freq")), F.lit("UNCLEAR"))).otherwise(by_letters))
-    kind = F.col("_class")
-    out, turned, other = kind.isin("NONE", "UNCLEAR"), kind.isin("REVERSE", "REVERSE_COMPLEMENT"), kind.isin("COMPLEMENT", "REVERSE_COMPLEMENT")
-    action = (
-        F.when(kind == "NONE", "dropped").when(kind == "UNCLEAR", "dropped_palindromic").when(turned & other, "complement_flipped")
-        .when(turned, "flipped").when(other, "complemented").otherwise("kept")
-    )
-    first, second = F.when(other & ~out, complement(ea)).otherwise(ea), F.when(other & ~out, complement(nea)).otherwise(nea)
+    cls = F.when(twin, F.coalesce(strand_by_frequency(F.col("eaf"), F.col("a1_freq")), F.lit("UNCLEAR"))).otherwise(by_letters)
     odds = F.col("odds")
-    return df.withColumns({
-        "action": action, "ea": F.when(turned, second).otherwise(first), "nea": F.when(turned, first).otherwise(second),
-        "beta": F.when(turned, -F.col("beta")).otherwise(F.col("beta")), "odds": F.when(turned & (odds != 0), F.lit(1.0) / odds).otherwise(odds),
-    }).drop("_class")
+
+    def results(kind: Column) -> Column:
+        out, turned, other = kind.isin("NONE", "UNCLEAR"), kind.isin("REVERSE", "REVERSE_COMPLEMENT"), kind.isin("COMPLEMENT", "REVERSE_COMPLEMENT")
+        action = (
+            F.when(kind == "NONE", "dropped").when(kind == "UNCLEAR", "dropped_palindromic").when(turned & other, "complement_flipped")
+            .when(turned, "flipped").when(other, "complemented").otherwise("kept")
+        )
+        first, second = F.when(other & ~out, complement(ea)).otherwise(ea), F.when(other & ~out, complement(nea)).otherwise(nea)
+        return F.struct(
+            action.alias("action"), F.when(turned, second).otherwise(first).alias("ea"), F.when(turned, first).otherwise(second).alias("nea"),
+            F.when(turned, -F.col("beta")).otherwise(F.col("beta")).alias("beta"), F.when(turned & (odds != 0), F.lit(1.0) / odds).otherwise(odds).alias("odds"),
+        )
+
+    # the class is computed once for each row: a column of it would be put in for each of its uses
+    done = df.withColumn("_done", F.transform(F.array(cls), results)[0])
+    return done.withColumns({c: F.col(f"_done.{c}") for c in ("action", "ea", "nea", "beta", "odds")}).drop("_done")

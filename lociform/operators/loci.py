@@ -74,16 +74,28 @@ def best_dataset(by_dataset: DataFrame) -> DataFrame:
 def shared_pairs(members: DataFrame, item: str, group: str, k: int, least: int = 2) -> DataFrame:
     """The k pairs of items that share most groups (a top-k report): (a, b, n), ties by a, then b.
 
-    Items of equal sets of groups form classes, of which only the first k + 1 items can be in the report.
-    Classes meet on the groups that they share, and only pairs of classes that share as many groups as the
-    k-th pair does are joined to their items.  So pairs of items within a group are never all made.
+    Items of equal sets of groups form classes, of which only the first k + 1 items can be in the report.  A
+    class of c items makes c (c - 1) / 2 pairs that share all their groups; so many pairs of the largest sets
+    bound the k-th best count from below, and smaller sets are left out.  Two sets that share as many groups as
+    that have one in common among the rarest of each, so that only those are where classes meet.
     """
     sets = members.select(F.col(item).alias("item"), F.col(group).alias("g")).groupBy("item").agg(F.array_sort(F.collect_set("g")).alias("mask"))
-    classes = sets.groupBy("mask").agg(F.count("*").alias("c")).select("mask", "c", F.explode("mask").alias("g"))
-    x, y = classes.select("g", F.col("mask").alias("ma"), F.col("c").alias("ca")), classes.select("g", F.col("mask").alias("mb"), F.col("c").alias("cb"))
-    both = x.join(y, "g").where(F.col("ma") <= F.col("mb")).groupBy("ma", "mb").agg(F.count("*").alias("n"), F.first("ca").alias("ca"), F.first("cb").alias("cb")).where(F.col("n") >= least)
-    made = F.when(F.col("ma") == F.col("mb"), F.col("ca") * (F.col("ca") - 1) / 2).otherwise(F.col("ca").cast("double") * F.col("cb"))
+    classes = sets.groupBy("mask").agg(F.count("*").alias("c")).withColumn("size", F.size("mask"))
     level, seen = least, 0.0
+    within = classes.where("c > 1").groupBy("size").agg(F.sum(F.col("c").cast("double") * (F.col("c") - 1) / 2).alias("pairs"))
+    for r in within.orderBy(F.desc("size")).collect():  # as many rows as groups
+        seen += r.pairs
+        if seen >= k:
+            level = max(least, r["size"])
+            break
+    able = classes.where(F.col("size") >= level)
+    often = able.select(F.explode("mask").alias("g"), "c").groupBy("g").agg(F.sum("c").alias("often"))
+    rarest = able.select("mask", "c", "size", F.explode("mask").alias("g")).join(often, "g").groupBy("mask", "c", "size").agg(F.array_sort(F.collect_list(F.struct("often", "g"))).alias("l"))
+    prefix = rarest.select("mask", "c", F.explode(F.slice("l", 1, F.col("size") - level + 1)).alias("x")).select("mask", "c", F.col("x.g").alias("g"))
+    x, y = prefix.select("g", F.col("mask").alias("ma"), F.col("c").alias("ca")), prefix.select("g", F.col("mask").alias("mb"), F.col("c").alias("cb"))
+    both = x.join(y, "g").where(F.col("ma") <= F.col("mb")).select("ma", "mb", "ca", "cb").distinct().withColumn("n", F.size(F.array_intersect("ma", "mb"))).where(F.col("n") >= level)
+    made = F.when(F.col("ma") == F.col("mb"), F.col("ca") * (F.col("ca") - 1) / 2).otherwise(F.col("ca").cast("double") * F.col("cb"))
+    seen = 0.0
     for r in both.groupBy("n").agg(F.sum(made).alias("pairs")).orderBy(F.desc("n")).collect():  # as many rows as groups
         level, seen = r.n, seen + r.pairs
         if seen >= k:
@@ -98,20 +110,51 @@ def shared_pairs(members: DataFrame, item: str, group: str, k: int, least: int =
 def distance_pruned(positions: DataFrame, gap: int) -> DataFrame:
     """Positions of each chromosome kept in order, each at least gap after the last one kept.
 
-    The choice runs along a chromosome; what meets in one task is its distinct positions, bounded by its
-    length, not by the number of rows.
+    The choice runs along a chromosome, but a bin of it hands on only its last kept position, which depends on
+    where the first one stands: at most gap after the bin's start, or the first position at all.  So every bin
+    tells its last kept position for each place where the choice may enter it (those of one end are one row);
+    these few rows are followed along the chromosome, and then every bin makes its choice on its own.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, last = [], None
-        for x in pdf["pos"].sort_values():
+    width = max(BIN, 4 * gap)
+    kind = positions.schema["chr"].dataType.simpleString()
+    rows = positions.select("chr", F.col("pos").cast("long").alias("pos")).distinct().withColumn("bin", F.floor(F.col("pos") / width).cast("long"))
+
+    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
+        pos, start = np.sort(pdf["pos"].to_numpy(np.int64)), int(pdf["bin"].iloc[0]) * width
+        follow = np.searchsorted(pos, pos + gap, "left")
+        last = pos.copy()
+        for k in range(len(pos) - 1, -1, -1):
+            if follow[k] < len(pos):
+                last[k] = last[follow[k]]
+        # enter at the first position from `least` on; after the gap the first one is always taken
+        entries = int(np.searchsorted(pos, start + gap, "left")) + 1
+        first = [k for k in range(min(entries, len(pos))) if k == min(entries, len(pos)) - 1 or last[k] != last[k + 1]]
+        return pd.DataFrame({"chr": pdf["chr"].iloc[0], "bin": pdf["bin"].iloc[0], "upto": pos[first], "last": last[first]})
+
+    def along(pdf: pd.DataFrame) -> pd.DataFrame:
+        before, out = None, []
+        for number, own in pdf.sort_values(["bin", "upto"]).groupby("bin", sort=True):
+            out.append((number, before))
+            least = -1 if before is None else before + gap
+            at = int(np.searchsorted(own["upto"].to_numpy(), least, "left"))
+            if at < len(own):
+                before = int(own["last"].iloc[at])
+        frame = pd.DataFrame(out, columns=["bin", "before"])
+        frame["before"] = frame["before"].astype("Int64")
+        return frame.assign(chr=pdf["chr"].iloc[0])[["chr", "bin", "before"]]
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        kept, last = [], pdf["before"].iloc[0]
+        last = None if pd.isna(last) else int(last)
+        for x in np.sort(pdf["pos"].to_numpy(np.int64)).tolist():
             if last is None or x >= last + gap:
                 kept.append(x)
                 last = x
-        return pd.DataFrame({"chr": pdf["chr"].iloc[0], "pos": kept})
+        return pd.DataFrame({"chr": pdf["chr"].iloc[0], "pos": np.array(kept, np.int64)})
 
-    kind = positions.schema["chr"].dataType.simpleString()
-    return positions.select("chr", F.col("pos").cast("long")).distinct().groupBy("chr").applyInPandas(run, f"chr {kind}, pos long")
+    told = rows.groupBy("chr", "bin").applyInPandas(ends, f"chr {kind}, bin long, upto long, last long")
+    entered = told.groupBy("chr").applyInPandas(along, f"chr {kind}, bin long, before long")
+    return rows.join(entered, ["chr", "bin"]).groupBy("chr", "bin").applyInPandas(choose, f"chr {kind}, pos long")
 
 
 def clumped(best: DataFrame, reach: int) -> DataFrame:

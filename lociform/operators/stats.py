@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -134,9 +138,44 @@ def benjamini_hochberg(df: DataFrame, keys: list[str], p: str) -> DataFrame:
     return out.drop("_bin", "_before", "_m", "_q", "_after")
 
 
+def pair_moments(df: DataFrame, key: str, group: str, value: str) -> DataFrame:
+    """(a, b, n, x, y, xx, yy, xy) of each two groups a < b over the keys that both have: counts, sums and sums of products.
+
+    A key's values come together as one list, no longer than there are groups, and each task multiplies its
+    keys by groups matrix with itself: what is shuffled after that is a row for each pair and task, not for each pair and key.
+    """
+    kind = df.schema[group].dataType.simpleString()
+    lists = df.where(F.col(value).isNotNull()).groupBy(key).agg(F.collect_list(F.struct(F.col(group).alias("g"), F.col(value).cast("double").alias("v"))).alias("l"))
+    names = ("n", "x", "y", "xx", "yy", "xy")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number: dict = {}
+        sums = {c: np.zeros((0, 0)) for c in names}
+        for pdf in batches:
+            for at in range(0, len(pdf), 1024):
+                own = pdf["l"].iloc[at : at + 1024]
+                rows = [(k, number.setdefault(x["g"], len(number)), x["v"]) for k, one in enumerate(own) for x in one]
+                size = len(number)
+                sums = {c: np.pad(m, ((0, size - len(m)), (0, size - len(m)))) for c, m in sums.items()}
+                v, has = np.zeros((len(own), size)), np.zeros((len(own), size))
+                k, g, x = zip(*rows)
+                v[k, g], has[k, g] = x, 1.0
+                square = v * v
+                for c, m in zip(names, (has.T @ has, v.T @ has, has.T @ v, square.T @ has, has.T @ square, v.T @ v)):
+                    sums[c] += m
+        told = list(number)
+        i, j = np.nonzero(sums["n"] > 0) if told else (np.empty(0, int), np.empty(0, int))
+        keep = [k for k in range(len(i)) if told[i[k]] < told[j[k]]]
+        i, j = i[keep], j[keep]
+        yield pd.DataFrame({"a": [told[k] for k in i], "b": [told[k] for k in j]} | {c: sums[c][i, j] for c in names})
+
+    each = lists.select("l").mapInPandas(run, f"a {kind}, b {kind}, " + ", ".join(f"{c} double" for c in names))
+    return each.groupBy("a", "b").agg(F.sum("n").cast("long").alias("n"), *(F.sum(c).alias(c) for c in names[1:]))
+
+
 def pair_correlation(df: DataFrame, key: str, group: str, value: str, least: int = 2) -> DataFrame:
-    """Pearson correlation of value between each two groups over their shared keys, at least least of them."""
-    a = df.select(key, F.col(group).alias("a"), F.col(value).alias("x"))
-    b = df.select(key, F.col(group).alias("b"), F.col(value).alias("y"))
-    pairs = a.join(b, key).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("x", "y").alias("r"))
-    return pairs.where(F.col("n") >= least)
+    """(a, b, n, r): Pearson correlation of value between each two groups a < b over their shared keys, at least least of them."""
+    n, x, y, xx, yy, xy = (F.col(c) for c in ("n", "x", "y", "xx", "yy", "xy"))
+    spread = (xx - x * x / n) * (yy - y * y / n)
+    moments = pair_moments(df, key, group, value).where(n >= least)
+    return moments.select("a", "b", "n", F.when(spread > 0, (xy - x * y / n) / F.sqrt(spread)).alias("r"))

@@ -381,9 +381,9 @@ def a17(spark: SparkSession, d: str) -> DataFrame:
   SELECT a.ds AS a, b.ds AS b, round(1e0 - sum(a.t * b.t) / sqrt(CAST(max(na.n) AS DOUBLE) * CAST(max(nb.n) AS DOUBLE)), 6) AS distance FROM t a JOIN t b ON a.chr = b.chr AND a.pos = b.pos AND a.ds < b.ds JOIN n na ON na.ds = a.ds JOIN n nb ON nb.ds = b.ds GROUP BY 1, 2""", "v")
 def a19(spark: SparkSession, d: str) -> DataFrame:
     """Cosine distance of the datasets' tiers over positions; a position has one row for each dataset at most."""
-    t = variants(spark, d).groupBy("ds", "chr", "pos").agg(F.max("z").alias("z")).select("ds", "chr", "pos", S.tier(F.col("z")).alias("t"))
+    t = variants(spark, d).groupBy("ds", "chr", "pos").agg(F.max("z").alias("z")).select("ds", F.struct("chr", "pos").alias("at"), S.tier(F.col("z")).alias("t"))
     norms = t.groupBy("ds").agg(F.sum(F.col("t") * F.col("t")).cast("double").alias("n"))
-    pairs = t.alias("a").join(t.alias("b"), ["chr", "pos"]).where("a.ds < b.ds").groupBy(F.col("a.ds").alias("a"), F.col("b.ds").alias("b")).agg(F.sum(F.col("a.t") * F.col("b.t")).alias("dot"))
+    pairs = stats.pair_moments(t, "at", "ds", "t").select("a", "b", F.col("xy").alias("dot"))
     na, nb = norms.select(F.col("ds").alias("a"), F.col("n").alias("na")), norms.select(F.col("ds").alias("b"), F.col("n").alias("nb"))
     return pairs.join(na, "a").join(nb, "b").select("a", "b", F.round(1 - F.col("dot") / F.sqrt(F.col("na") * F.col("nb")), 6).alias("distance"))
 
@@ -416,9 +416,9 @@ def w02(spark: SparkSession, d: str) -> DataFrame:
   SELECT eid, chr, min("start") AS "start", max("end") AS "end", count(*) AS n FROM i GROUP BY eid, chr, isl""", "k")
 def w05(spark: SparkSession, d: str) -> DataFrame:
     """Elements of each cell type merged where they overlap; those that only touch stay apart."""
-    k = peaks(spark, d).withColumn("chr", F.col("chr") * 100 + F.col("eid"))  # a cell type's chromosome is its own
+    k = peaks(spark, d).withColumn("chr", F.struct("chr", "eid"))  # a cell type's chromosome is its own
     merged = loci.islands(k, -1).groupBy("chr", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"))
-    return merged.select((F.col("chr") % 100).cast("int").alias("eid"), F.floor(F.col("chr") / 100).cast("int").alias("chr"), "start", "end", "n")
+    return merged.select("chr.eid", "chr.chr", "start", "end", "n")
 
 
 @query("w10_credible_sets", """, inl AS (SELECT l.locus, v.ds, v.vid, v.beta, v.se FROM v JOIN loci l ON v.chr = l.chr AND v.pos BETWEEN l."start" AND l."end"),
@@ -489,13 +489,13 @@ def u04(spark: SparkSession, d: str) -> DataFrame:
 @query("j10_nearest_peak", """SELECT chr, pos, eid, min(greatest(0, k."start" - s.pos, s.pos - k."end")) AS distance FROM (SELECT DISTINCT chr, pos FROM v WHERE z > 5.4513e0) s JOIN k USING (chr) GROUP BY chr, pos, eid""", "v k")
 def j10(spark: SparkSession, d: str) -> DataFrame:
     """The distance to the nearest element of every cell type: cell types are told apart as chromosomes are."""
-    own = lambda eid: (F.col("chr") * 100 + eid).alias("chr")
+    own = F.struct("chr", "eid").alias("chr")
     k = peaks(spark, d)
     v = variants(spark, d).where(F.col("z") > loci.GENOME_WIDE).select("chr", "pos").distinct()
     kinds = k.select("eid").distinct()  # a row for each cell type
-    v = v.crossJoin(F.broadcast(kinds)).select(own(F.col("eid")), "pos")
-    near = ranges.nearest(v, k.select(own(F.col("eid")), "start", "end", "peak"), "peak").where("distance is not null")
-    return near.select(F.floor(F.col("chr") / 100).cast("int").alias("chr"), "pos", (F.col("chr") % 100).cast("int").alias("eid"), "distance")
+    v = v.crossJoin(F.broadcast(kinds)).select(own, "pos")
+    near = ranges.nearest(v, k.select(own, "start", "end", "peak"), "peak").where("distance is not null")
+    return near.select("chr.chr", "pos", "chr.eid", "distance")
 
 
 @query("t06_top_targets", """, i AS (SELECT l.locus, g.gid, g.size FROM loci l JOIN g ON g.chr = l.chr AND g."start" <= l."end" + 100000 AND g."end" >= l."start" - 100000),

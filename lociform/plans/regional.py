@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lociform.functions import scalar as S
+from lociform.operators import genes as gene_programs
 from lociform.operators import liftover, loci, permutation, programs, ranges, regional
 from lociform.plans.queries import query
 from lociform.plans.regions import SPANS, a36, spans
@@ -122,8 +125,8 @@ def p14(spark: SparkSession, d: str) -> DataFrame:
 @query("a31_gene_tests")
 def a31(spark: SparkSession, d: str) -> DataFrame:
     """Linked variants of windows of ten tested together."""
-    out = regional.gene_tests(simulated(spark, d, 10), "locus")
-    return out.select("locus", "n_variants", F.round("mean_chi2", 6).alias("mean_chi2"), F.round(S.neglog10(F.col("p")), 5).alias("neglog10p"))
+    out = gene_programs.gene_tests(simulated(spark, d, 10).withColumnsRenamed({"locus": "gene", "variant": "pos"}))
+    return out.select(F.col("gene").alias("locus"), "n_variants", F.round(F.col("statistic") / F.col("n_variants"), 6).alias("mean_chi2"), F.round(-F.col("log_p") / math.log(10), 5).alias("neglog10p"))
 
 
 @query("p13_gene_sets", """, s AS (SELECT g.gid, g.brand, round(max(c.mlogp), 6) AS s FROM c JOIN g ON c.chr = g.chr AND c.pos BETWEEN g."start" AND g."end" GROUP BY 1, 2), t AS (SELECT count(*) AS nn, sum(s) AS t, sum(s * s) AS tq FROM s), o AS (SELECT brand, count(*) AS n, sum(s) AS a FROM s GROUP BY brand),

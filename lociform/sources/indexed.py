@@ -107,10 +107,10 @@ def blocks(f, first: int, last: int) -> Iterator[tuple[int, bytes]]:
 
 
 class Chunk(InputPartition):
-    """Rows between two virtual offsets."""
+    """Rows between two virtual offsets; where a chunk was cut, a line that begins at or runs over the cut is the first part's."""
 
-    def __init__(self, begin: int, end: int) -> None:
-        self.begin, self.end = begin, end
+    def __init__(self, begin: int, end: int, cut_before: bool, cut_after: bool) -> None:
+        self.begin, self.end, self.cut_before, self.cut_after = begin, end, cut_before, cut_after
 
 
 class IndexedText(DataSource):
@@ -143,7 +143,7 @@ class IndexedReader(DataSourceReader):
                 out[-1] = (out[-1][0], max(out[-1][1], b))
             else:
                 out.append((a, b))
-        return [Chunk(*c) for one in out for c in self.cut(*one)]
+        return [Chunk(a, b, a != one[0], b != one[1]) for one in out for a, b in self.cut(*one)]
 
     def cut(self, begin: int, end: int) -> Iterator[tuple[int, int]]:
         """A long chunk is cut where blocks begin, found by their sizes alone."""
@@ -163,34 +163,30 @@ class IndexedReader(DataSourceReader):
                     start = at << 16
             yield start, end
 
-    def read(self, partition: Chunk) -> Iterator[tuple[str]]:
+    def read(self, partition: Chunk | None) -> Iterator[tuple[str]]:
+        if partition is None:  # Spark asks so where there are no partitions
+            return
         where, name = _opened(self.path)
-        begin, end = partition.begin, partition.end
+        begin, end, last = partition.begin, partition.end, partition.end >> 16
         with where.open_input_file(name) as f:
-            rest, skipping = b"", False
+            rest, skipping = b"", partition.cut_before
             for at, text in blocks(f, begin >> 16, f.size()):
                 first = begin & 0xFFFF if at == begin >> 16 else 0
-                if first == 0 and begin & 0xFFFF == 0 and at == begin >> 16 and at:
-                    skipping = True  # a cut may lie within a line, which belongs to the task before
-                done = at >= end >> 16
-                stop = (end & 0xFFFF) if at == end >> 16 else 0
-                if done and not rest and stop <= first:
-                    return
+                # beyond the last block only a line that began before it counts
+                stop = (end & 0xFFFF if at == last else 0) if at >= last else len(text) + 1
+                over = lambda position: position > stop if partition.cut_after and at == last else position >= stop  # noqa: B023, E731
+                position = first - len(rest)  # where the next line begins, in this block
                 lines = (rest + text[first:]).split(b"\n")
-                used = len(rest) + first
                 rest = lines.pop()
-                position = first - (used - first)
                 for line in lines:
-                    if skipping:
-                        skipping = False
-                        position += len(line) + 1
-                        continue
-                    if done and position >= stop:
-                        return
+                    if not skipping:
+                        if over(position):
+                            return
+                        if (row := self.row(line)) is not None:
+                            yield (row,)
+                    skipping = False
                     position += len(line) + 1
-                    if (row := self.row(line)) is not None:
-                        yield (row,)
-                if done and position >= stop and not rest:
+                if at >= last and not skipping and over(position):
                     return
             if rest and not skipping and (row := self.row(rest)) is not None:
                 yield (row,)

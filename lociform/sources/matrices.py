@@ -104,7 +104,9 @@ class MatrixReader(DataSourceReader):
                 out += [Entries(path, os.path.basename(path).removesuffix(".npz"), at, min(at + step, len(data))) for at in range(0, len(data), step)]
         return out
 
-    def read(self, partition: Entries) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Entries | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # Spark asks so where there are no partitions
+            return
         where, _ = _opened(self.path)
         with where.open_input_file(partition.path) as f, zipfile.ZipFile(f) as archive:
             span = (partition.first, partition.last)
@@ -170,7 +172,9 @@ class ListReader(DataSourceReader):
         held = [name] if where.get_file_info(name).type == fs.FileType.File else sorted(f.path for f in where.get_file_info(fs.FileSelector(name)) if f.path.endswith(".gz"))
         return [Entries(path, os.path.basename(path).removesuffix(".gz"), 0, 0) for path in held]
 
-    def read(self, partition: Entries) -> Iterator[tuple]:
+    def read(self, partition: Entries | None) -> Iterator[tuple]:
+        if partition is None:
+            return
         where, _ = _opened(self.path)
         with where.open_input_stream(partition.path, compression="gzip") as stream:
             rest, head, k = b"", None, 0

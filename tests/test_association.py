@@ -114,3 +114,86 @@ def test_shared_pairs_against_brute_force(spark):
     every = sorted(((-len(sets[a] & sets[b]), a, b) for a in range(60) for b in range(a + 1, 60) if len(sets[a] & sets[b]) >= 2))[:40]
     got = loci.shared_pairs(spark.createDataFrame(rows + rows[:5], "i long, g int"), "i", "g", 40).collect()
     assert [(-r.n, r.a, r.b) for r in got] == every
+
+
+# ---- quantiles, ranks, pairs and pruning
+
+
+def test_one_strong_signal_does_not_widen_the_bins(spark):
+    """A chi-square of 10,000 among many small ones: no bin holds more than a thousandth of the rows."""
+    df = spark.range(200_000).select((F.randn(3) * F.randn(3)).alias("x"), F.lit(1).alias("k")).withColumn("v", F.col("x") * F.col("x"))
+    df = df.select("k", "v").unionByName(spark.createDataFrame([(1, 1e4), (1, None), (1, float("nan"))], "k int, v double"))
+    largest = df.where("v is not null and not isnan(v)").groupBy(stats.order_bin(F.col("v"))).count().agg(F.max("count")).first()[0]
+    assert largest <= 200
+    values = sorted(r.v for r in df.collect() if r.v is not None and r.v == r.v)
+    (r,) = stats.medians(df, ["k"], "v").collect()
+    assert r.n == 200_001 and r.median == values[100_000] and r["mean"] == pytest.approx(sum(values) / len(values))
+
+
+def test_values_at_any_rank(spark):
+    rng = random.Random(4)
+    rows = [(k, float(rng.choice([-1e300, -5.0, -1e-9, 0.0, 0.0, 1e-300, 1.0, 1.0000001, 2.5, 1e9]) * rng.choice([1, 1, 1.5]))) for k in (1, 2) for _ in range(60)] + [(3, 4.0)]
+    got = {r.k: r for r in stats.values_at(spark.createDataFrame(rows, "k int, v double"), ["k"], "v", {"a": F.lit(0), "b": F.floor(F.col("n") / 3), "c": F.col("n") - 1}).collect()}
+    for k in (1, 2, 3):
+        own = sorted(v for j, v in rows if j == k)
+        assert (got[k].n, got[k].a, got[k].b, got[k].c) == (len(own), own[0], own[len(own) // 3], own[-1])
+
+
+def test_pair_moments_against_loops(spark):
+    rng = random.Random(5)
+    rows = [(k, g, rng.uniform(-3, 3)) for k in range(3000) for g in "abcd" if rng.random() < 0.6] + [(9999, "a", None)]
+    got = {(r.a, r.b): r for r in stats.pair_moments(spark.createDataFrame(rows, "k int, g string, v double").repartition(3), "k", "g", "v").collect()}
+    of = {(k, g): v for k, g, v in rows if v is not None}
+    assert set(got) == {(a, b) for a in "abcd" for b in "abcd" if a < b}
+    for (a, b), r in got.items():
+        pairs = [(of[k, a], of[k, b]) for k in range(3000) if (k, a) in of and (k, b) in of]
+        want = [len(pairs), *(sum(f(x, y) for x, y in pairs) for f in (lambda x, y: x, lambda x, y: y, lambda x, y: x * x, lambda x, y: y * y, lambda x, y: x * y))]
+        assert list(r[2:]) == pytest.approx(want)
+
+
+def test_distance_pruning_by_bins(spark):
+    rng = random.Random(6)
+    for gap, most in ((250_000, 9_000_000), (1000, 3_000_000), (400_000, 30_000_000)):
+        rows = [(c, rng.randint(1, most)) for c in (1, 2) for _ in range(700)] + [(3, 5), (4, 999_999), (4, 1_000_000), (4, 1_249_999)]
+        want = []
+        for c in {c for c, _ in rows}:
+            last = None
+            for p in sorted({p for d, p in rows if d == c}):
+                if last is None or p >= last + gap:
+                    want.append((c, p))
+                    last = p
+        got = loci.distance_pruned(spark.createDataFrame(rows, "chr int, pos long"), gap)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_shared_pairs_against_all_pairs(spark):
+    rng = random.Random(7)
+    rows = [(i, g) for i in range(60) for g in range(12) if rng.random() < 0.1 + (i % 7) / 10] + [(i, g) for i in (70, 71, 72) for g in range(9)]
+    sets = {i: {g for j, g in rows if j == i} for i, _ in rows}
+    want = sorted(((-len(sets[a] & sets[b]), a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 2))
+    for k in (1, 5, 40, 5000):
+        got = loci.shared_pairs(spark.createDataFrame(rows, "i int, g int"), "i", "g", k).collect()
+        assert [(-r.n, r.a, r.b) for r in got] == want[:k]
+
+
+def test_cell_types_beyond_a_hundred_keep_their_own_regions(spark):
+    k = spark.createDataFrame([(1, 127, 10, 20), (2, 27, 15, 30), (1, 127, 18, 25), (1, 27, 10, 12)], "chr int, eid int, start long, end long").withColumn("chr", F.struct("chr", "eid"))
+    got = loci.islands(k, -1).groupBy("chr", "island").agg(F.min("start").alias("a"), F.max("end").alias("b"))
+    assert sorted((r.chr.chr, r.chr.eid, r.a, r.b) for r in got.collect()) == [(1, 27, 10, 12), (1, 127, 10, 25), (2, 27, 15, 30)]
+
+
+def test_exact_test_of_large_tables():
+    """Against sums of exact fractions, and at once for margins of millions."""
+    from math import comb
+
+    rng = random.Random(8)
+    for _ in range(200):
+        a, b, c, d = (rng.randint(0, rng.choice([3, 30, 200])) for _ in range(4))
+        rows, column, total = a + b, a + c, a + b + c + d
+        weights = [comb(rows, x) * comb(total - rows, column - x) for x in range(max(0, rows + column - total), min(rows, column) + 1)]
+        own = comb(rows, a) * comb(total - rows, column - a)
+        want = sum(w for w in weights if w <= own * (1 + 1e-9)) / sum(weights)
+        assert scalar.fisher_p(a, b, c, d) == pytest.approx(want, rel=1e-6)
+    assert scalar.fisher_p(180_942, 2_000_000, 20_000_000, 269_015_376) == pytest.approx(0.0, abs=1e-12)
+    assert 0.5 < scalar.fisher_p(1_000_000, 2_000_000, 2_000_000, 4_000_000) <= 1
+    assert scalar.fisher_p(5000, 5200, 5100, 5000) == pytest.approx(0.036, abs=3e-3)

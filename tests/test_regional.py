@@ -93,26 +93,13 @@ def test_local_heritability_is_recovered():
     assert 40 in regional.misfits(z, r)
 
 
-def test_gene_p():
-    for a, x in ((0.5, 1.9207), (0.5, 15.0), (3.0, 2.0), (20.0, 31.0)):
-        steps = np.linspace(0, 1, 2_000_001)[1:]
-        t = x / steps  # the tail by substitution
-        tail = np.trapezoid(np.exp((a - 1) * np.log(t) - t - math.lgamma(a)) * x / steps**2, steps)
-        assert regional.gamma_upper(a, x) == pytest.approx(tail, rel=1e-3)
-    assert regional.gene_p(np.array([1.959964]), np.eye(1)) == pytest.approx(0.05, rel=1e-4)
-    # wholly linked variants are one
-    assert regional.gene_p(np.full(5, 1.959964), np.ones((5, 5))) == pytest.approx(0.05, rel=1e-4)
-
-
 def test_regions_spread_and_empty(spark):
     rng = np.random.default_rng(1)
     rows = [(k, i, float(rng.normal() + 9 * (i == 3)), [float(x) for x in rng.normal(size=40)]) for k in range(3) for i in range(8)]
     df = spark.createDataFrame(rows, "locus int, variant long, z double, dosages array<double>").withColumn("spare", F.lit(1))
     assert {(r.locus, r.variant) for r in regional.independent_signals(df, "locus", 5000).collect()} >= {(k, 3) for k in range(3)}
-    assert regional.gene_tests(df, "locus").count() == 3
     assert regional.heritability_by_region(df, "locus", 1000.0).count() == 0
     assert regional.heritability_by_region(df, "locus", 1000.0, least=5).count() == 3
-    assert regional.gene_tests(df.limit(0), "locus").count() == 0
 
 
 def test_disequilibrium(spark):
@@ -205,3 +192,33 @@ def test_two_step_regression_recovers(spark):
 def test_liability():
     # half of both: the threshold is 0, where the density is 1 / sqrt(2 pi)
     assert regional.liability(0.2, 0.5, 0.5) == pytest.approx(0.2 * 0.25 * 2 * math.pi)
+
+
+def haplotypes_by_hand(x, y):
+    """The likeliest frequency by a fine grid over the likelihood of the genotypes."""
+    n, pa, pb = 2 * len(x), x.sum() / 2 / len(x), y.sum() / 2 / len(y)
+    both = (x == 1) & (y == 1)
+    k = [np.where(both, 0, v).sum() for v in (x * y / 2, x * (2 - y) / 2, (2 - x) * y / 2, (2 - x) * (2 - y) / 2)]
+    p = np.linspace(max(0, pa + pb - 1), min(pa, pb), 400_001)[1:-1]
+    h = [p, pa - p, pb - p, 1 - pa - pb + p]
+    log = sum(c * np.log(v) for c, v in zip(k, h)) + both.sum() * np.log(h[0] * h[3] + h[1] * h[2])
+    assert n > 0
+    return p[log.argmax()], pa, pb
+
+
+def test_haplotypes_against_the_likelihood(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(40):
+        first = rng.random((60, 2)) < rng.uniform(0.1, 0.9)
+        second = np.where(rng.random((60, 2)) < rng.uniform(0, 1), first if k % 3 else ~first, rng.random((60, 2)) < rng.uniform(0.2, 0.8))
+        rows.append((k, first.sum(axis=1).tolist(), second.sum(axis=1).tolist()))
+    rows += [(100, [0, 1, 2, None, 1], [0, 1, 2, 1, 1]), (101, [1, 1, 1], [0, 1, 2]), (102, [2, 2], [1, 0]), (103, [], [])]
+    df = spark.createDataFrame(rows, "k int, a array<int>, b array<int>")
+    got = {r.k: r.h for r in df.select("k", regional.haplotype_disequilibrium("a", "b").alias("h")).collect()}
+    for k, a, b in rows[:40]:
+        p, pa, pb = haplotypes_by_hand(np.array(a), np.array(b))
+        d = p - pa * pb
+        limit = min(pa * (1 - pb), (1 - pa) * pb) if d >= 0 else min(pa * pb, (1 - pa) * (1 - pb))
+        assert got[k].p == pytest.approx(p, abs=2e-3) and got[k].d_prime == pytest.approx(min(1.0, abs(d) / limit), abs=2e-2)
+    assert got[100].d_prime == pytest.approx(1.0, abs=1e-6) and got[102] is None and got[103] is None
