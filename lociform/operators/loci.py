@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lociform.functions.scalar import normal_chr
 from lociform.operators.ranges import points_in
 
 GENOME_WIDE = 5.4513
@@ -49,6 +50,29 @@ def seed_loci(variants: DataFrame, gap: int = 250_000, least_z: float = GENOME_W
     return merged.where(F.col("n_seeds") >= least_members).select(number.alias("locus"), "chr", "start", "end", "n_seeds", "top_z")
 
 
+#: Lengths of the chromosomes of build 38 in genome order.
+LENGTHS = {
+    "1": 248956422, "2": 242193529, "3": 198295559, "4": 190214555, "5": 181538259, "6": 170805979, "7": 159345973, "8": 145138636, "9": 138394717, "10": 133797422,
+    "11": 135086622, "12": 133275309, "13": 114364328, "14": 107043718, "15": 101991189, "16": 90338345, "17": 83257441, "18": 80373285, "19": 58617616, "20": 64444167,
+    "21": 46709983, "22": 50818468, "X": 156040895,
+}
+
+
+def skyline(rows: DataFrame, value: str, lengths: dict[str, int] = LENGTHS, bins: int = 3000) -> DataFrame:
+    """(bin, top, n): the largest value in each bin of a genome laid end to end, from chr, pos and value; bins whose largest is positive.
+
+    A bin is as wide as the genome over bins, rounded up; chromosomes that lengths does not name are left out.
+    """
+    starts, total = {}, 0
+    for name, length in lengths.items():
+        starts[name], total = total, total + length
+    offset = F.element_at(F.create_map(*(F.lit(x) for k, v in starts.items() for x in (k, v))), normal_chr(F.col("chr").cast("string")))
+    place = F.floor((offset + F.col("pos")) / -(-total // bins))
+    # least() would pass over the null place of an unknown chromosome
+    known = rows.withColumn("_bin", F.when(place >= bins, bins - 1).otherwise(place).cast("long")).where(F.col("_bin").isNotNull() & F.col(value).isNotNull() & ~F.isnan(value))
+    return known.groupBy(F.col("_bin").alias("bin")).agg(F.max(value).alias("top"), F.count("*").alias("n")).where("top > 0")
+
+
 def lead_by_locus(variants: DataFrame, loci: DataFrame) -> DataFrame:
     """The strongest variant row of each locus and the number of rows in it."""
     order = F.struct((-F.round("z", 9)).alias("s"), F.col("pos"), F.col("vid"))

@@ -16,6 +16,8 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
+from lociform.operators.ranges import points_in
+
 # ---- linkage ----------------------------------------------------------------------------------
 
 
@@ -325,3 +327,37 @@ def split_checks(parts: DataFrame, key: str, gap: int = 250_000) -> DataFrame:
     w = parts.withColumn("_gap", F.col("start") - before).withColumn("_over", F.col("start") < before)
     ok = F.bool_and(F.col("start") <= F.col("end")) & F.coalesce(F.min("_gap") >= gap, F.lit(True))
     return w.groupBy(key).agg(F.count("*").alias("parts"), F.min("_gap").alias("least_gap"), F.coalesce(F.bool_or("_over"), F.lit(False)).alias("overlaps"), ok.alias("valid"))
+
+
+def split_linkage(parts: DataFrame, panel: DataFrame, key: str, least_r2: float = 0.2, most: int = 10) -> DataFrame:
+    """(key, part_a, part_b, pos_a, pos_b, r2): pairs of variants in different parts of a locus that are linked above least_r2.
+
+    parts: key, chr, start, end, numbered from 0 by start within their key.  panel: chr, pos, dosages.  Of each part
+    most variants are taken, drawn by a hash of their place, so that a locus of a few parts has a few hundred
+    pairs at most; a variant that does not vary is linked with none, one inside two parts not with itself.
+    """
+    number = F.row_number().over(Window.partitionBy(key).orderBy("start", "end")) - 1
+    named = parts.withColumn("_part", number).select(key, "_part", "chr", "start", "end")
+    inside = points_in(panel.select("chr", "pos", "dosages"), named).select(key, "_part", "chr", "pos", "dosages")
+    drawn = F.row_number().over(Window.partitionBy(key, "_part").orderBy(F.md5(F.concat_ws(":", F.col("chr").cast("string"), F.col("pos").cast("string"))), "pos"))
+    taken = centred(inside.withColumn("_k", drawn).where(F.col("_k") <= most), "dosages").where(F.col("dosages").isNotNull())
+    side = lambda s: taken.select(key, F.col("_part").cast("int").alias(f"part_{s}"), F.col("pos").alias(f"pos_{s}"), F.col("dosages").alias(f"_{s}"))
+    r = F.aggregate(F.zip_with("_a", "_b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    pairs = side("a").join(side("b"), key).where((F.col("part_a") < F.col("part_b")) & (F.col("pos_a") != F.col("pos_b"))).withColumn("r2", r * r)
+    return pairs.where(F.round("r2", 9) > least_r2).select(key, "part_a", "part_b", "pos_a", "pos_b", "r2")
+
+
+def split_verdicts(parts: DataFrame, panel: DataFrame, key: str, gap: int = 250_000, least_r2: float = 0.2, most: int = 10) -> DataFrame:
+    """split_checks() with n_linked, the linked pairs across parts, and top_r2; a split with any is not valid."""
+    linked = split_linkage(parts, panel, key, least_r2, most).groupBy(key).agg(F.count("*").alias("n_linked"), F.max("r2").alias("top_r2"))
+    both = split_checks(parts, key, gap).join(linked, key, "left").withColumn("n_linked", F.coalesce("n_linked", F.lit(0)).cast("long"))
+    return both.withColumn("valid", F.col("valid") & (F.col("n_linked") == 0))
+
+
+def allele_frequencies(panel: DataFrame, dosages: str = "dosages") -> DataFrame:
+    """panel with freq of the first allele, the sum of known dosages over twice their number, maf and n_known; null where none is known."""
+    known = F.filter(dosages, lambda x: x.isNotNull())
+    total = bound(known, lambda k: F.struct(F.aggregate(k, F.lit(0.0), lambda a, x: a + x).alias("s"), F.size(k).alias("n")))
+    out = panel.withColumn("_t", total)
+    freq = F.when(F.col("_t.n") > 0, F.col("_t.s") / (2 * F.col("_t.n")))
+    return out.withColumn("freq", freq).withColumn("maf", F.least(F.col("freq"), F.lit(1.0) - F.col("freq"))).withColumn("n_known", F.coalesce("_t.n", F.lit(0))).drop("_t")

@@ -82,13 +82,11 @@ def genomic_inflation(df: DataFrame, keys: list[str], z_col: str = "z") -> DataF
     return out.withColumn("inflated", F.col("lambda_gc") > 1.1)
 
 
-def one_way_anova(df: DataFrame, keys: list[str], group: str, value: str) -> DataFrame:
-    """F of the groups' means for each key, from counts, sums and sums of squares; degenerate cases as limits.
+def anova_of_sums(per: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n_groups, n and F from a row for each group: _n values, their sum _s and sum of squares _q; degenerate cases as limits.
 
     Null f with fewer than two groups or no more values than groups.
     """
-    v = F.col(value)
-    per = df.where(v.isNotNull()).groupBy(*keys, group).agg(F.count("*").alias("_n"), F.sum(v).alias("_s"), F.sum(v * v).alias("_q"))
     out = per.groupBy(*keys).agg(F.count("*").alias("n_groups"), F.sum("_n").alias("n"), F.sum("_s").alias("_s"), F.sum("_q").alias("_q"), F.sum(F.col("_s") * F.col("_s") / F.col("_n")).alias("_b"))
     k, n = F.col("n_groups"), F.col("n")
     between, inside = F.col("_b") - F.col("_s") * F.col("_s") / n, F.greatest(F.lit(0.0), F.col("_q") - F.col("_b"))
@@ -96,6 +94,49 @@ def one_way_anova(df: DataFrame, keys: list[str], group: str, value: str) -> Dat
     return out.select(*keys, "n_groups", "n", F.when((k >= 2) & (n > k), f).alias("f"))
 
 
+def one_way_anova(df: DataFrame, keys: list[str], group: str, value: str) -> DataFrame:
+    """F of the groups' means for each key, from counts, sums and sums of squares."""
+    v = F.col(value)
+    return anova_of_sums(df.where(v.isNotNull()).groupBy(*keys, group).agg(F.count("*").alias("_n"), F.sum(v).alias("_s"), F.sum(v * v).alias("_q")), keys)
+
+
+def nested_anova(df: DataFrame, keys: list[str], disease: str, dataset: str, scales: dict[str, Column]) -> DataFrame:
+    """keys, scale, disease, n_groups, n and f: between diseases (disease null) and within each between its datasets, on each scale.
+
+    One pass over the rows sums by dataset; diseases are sums of these.  Null and NaN values do not count, nor
+    do rows without a disease.
+    """
+    values = F.array(*(F.struct(F.lit(k).alias("scale"), c.cast("double").alias("v")) for k, c in scales.items()))
+    each = df.where(F.col(disease).isNotNull()).select(*keys, disease, dataset, F.explode(values).alias("_x")).select(*keys, disease, dataset, "_x.scale", F.col("_x.v").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    per = each.groupBy(*keys, "scale", disease, dataset).agg(F.count("*").alias("_n"), F.sum("_v").alias("_s"), F.sum(F.col("_v") * F.col("_v")).alias("_q"))
+    whole = per.groupBy(*keys, "scale", disease).agg(*(F.sum(c).alias(c) for c in ("_n", "_s", "_q")))
+    between = anova_of_sums(whole, [*keys, "scale"]).withColumn(disease, F.lit(None).cast(df.schema[disease].dataType))
+    return anova_of_sums(per, [*keys, "scale", disease]).unionByName(between)
+
+
+def level_cohesion(distances: DataFrame, labels: DataFrame) -> DataFrame:
+    """(level, n, cohesion, separation): one less the mean distance within a level, and the mean distance to other levels.
+
+    distances: (a, b, distance) once for each pair of items; a pair that is not there shares nothing, so its distance
+    is one.  labels: (item, level), items without a level are left out.  Null cohesion of a single item,
+    null separation of a single level.  Absent pairs are counted, not made.
+    """
+    known = labels.where("level is not null")
+    la, lb = known.select(F.col("item").alias("a"), F.col("level").alias("_la")), known.select(F.col("item").alias("b"), F.col("level").alias("_lb"))
+    pairs = distances.where("a <> b").join(la, "a").join(lb, "b")
+    sides = F.when(F.col("_la") == F.col("_lb"), F.array("_la")).otherwise(F.array("_la", "_lb"))
+    each = pairs.select(F.explode(sides).alias("level"), (F.col("_la") == F.col("_lb")).alias("_in"), "distance")
+    inside, outside = F.col("_in"), ~F.col("_in")
+    sums = each.groupBy("level").agg(
+        F.sum(F.when(inside, F.col("distance"))).alias("_si"), F.count_if(inside).alias("_ci"), F.sum(F.when(outside, F.col("distance"))).alias("_so"), F.count_if(outside).alias("_co")
+    )
+    sizes = known.groupBy("level").agg(F.count("*").alias("n"))
+    out = sizes.join(sums, "level", "left").join(F.broadcast(sizes.agg(F.sum("n").alias("_all"))))
+    ni, no = F.col("n") * (F.col("n") - 1) / 2, F.col("n") * (F.col("_all") - F.col("n"))
+    mean = lambda s, c, m: F.when(m > 0, (F.coalesce(s, F.lit(0.0)) + (m - F.coalesce(c, F.lit(0)))) / m)
+    return out.select("level", "n", (F.lit(1.0) - mean("_si", "_ci", ni)).alias("cohesion"), mean("_so", "_co", no).alias("separation"))
+
+
 def average_ranks(df: DataFrame, keys: list[str], value: str, name: str = "avg_rank") -> DataFrame:
     """df with the rank of value within its key, ties sharing their mean; ranks come from counts of distinct values."""
     counts = cumulated(df.groupBy(*keys, value).agg(F.count("*").alias("_c")), keys, value, "_c", "_upto")
