@@ -15,13 +15,14 @@ from lociform.sources.tables import genes, panel, variants
 
 def cohort_rows(spark: SparkSession, d: str) -> DataFrame:
     """One row of each dataset and position; every other dataset names the alleles the other way round."""
-    row = F.min_by(F.struct("ea", "nea", "beta", "se"), "vid").alias("r")
-    one = variants(spark, d).groupBy("chr", "pos", "ds").agg(row).select("chr", "pos", "ds", "r.*")
+    # rows of one dataset and position may share their id
+    row = F.min(F.struct("vid", "beta", "se", "ea", "nea")).alias("r")
+    one = variants(spark, d).groupBy("chr", "pos", "ds").agg(row).select("chr", "pos", "ds", "r.*").drop("vid")
     turned = F.col("ds") % 2 == 1
     return one.select("chr", "pos", "ds", F.when(turned, F.col("nea")).otherwise(F.col("ea")).alias("ea"), F.when(turned, F.col("ea")).otherwise(F.col("nea")).alias("nea"), "beta", "se")
 
 
-VIEW["co"] = f"""co0 AS (SELECT chr, pos, ds, arg_min(ea, vid) AS a, arg_min(nea, vid) AS b, arg_min(beta, vid) AS beta, arg_min(se, vid) AS se FROM v GROUP BY 1, 2, 3),
+VIEW["co"] = f"""co0 AS (SELECT chr, pos, ds, arg_min(ea, (vid, beta, se)) AS a, arg_min(nea, (vid, beta, se)) AS b, arg_min(beta, (vid, beta, se)) AS beta, arg_min(se, (vid, beta, se)) AS se FROM v GROUP BY 1, 2, 3),
 gc AS (SELECT ds, quantile_cont((beta / se) * (beta / se), 0.5) / {S.MEDIAN_CHI2}e0 AS spread FROM co0 GROUP BY ds),
 co1 AS (SELECT chr, pos, ds, CASE WHEN ds % 2 = 1 THEN b ELSE a END AS ea, CASE WHEN ds % 2 = 1 THEN a ELSE b END AS nea, beta, se * sqrt(greatest(1e0, spread)) AS se FROM co0 JOIN gc USING (ds)),
 co AS (SELECT c.chr, c.pos, c.ds, f.ea, f.nea, CASE WHEN c.ea = f.ea THEN c.beta ELSE -c.beta END AS b, 1e0 / (c.se * c.se) AS w FROM co1 c JOIN (SELECT chr, pos, arg_min(ea, ds) AS ea, arg_min(nea, ds) AS nea FROM co1 GROUP BY 1, 2) f USING (chr, pos))"""
@@ -115,14 +116,14 @@ def asked_rows(spark: SparkSession, d: str) -> DataFrame:
     v = variants(spark, d).where("ds in (3, 4)")
     turned, wrong = F.col("vid") % 3 == 1, (F.col("vid") % F.when(F.col("ds") == 3, 3).otherwise(30)) == 2
     ea, nea = F.when(turned, F.col("nea")).otherwise(F.col("ea")), F.when(turned, F.col("ea")).otherwise(F.col("nea"))
-    return v.select("vid", "ds", "chr", "pos", F.when(wrong, F.lit("G")).otherwise(ea).alias("ea"), F.when(wrong, F.lit("C")).otherwise(nea).alias("nea"))
+    return v.select("vid", "ds", "chr", "pos", F.when(wrong, F.lit("G")).otherwise(ea).alias("ea"), F.when(wrong, F.lit("C")).otherwise(nea).alias("nea")).distinct()
 
 
 VIEW["idm"] = """kn AS (SELECT chr, pos, ea AS ref, CASE WHEN vid % 4 = 1 THEN [nea, translate(nea, 'ACGT', 'TGCA')] ELSE [nea] END AS alts, 'rs' || vid AS rsid, CASE WHEN vid % 7 > 2 THEN 150 + vid % 3 END AS build, vid AS line FROM v WHERE ds = 0),
-ask AS (SELECT vid, ds, chr, pos, CASE WHEN wrong THEN 'G' WHEN turned THEN nea ELSE ea END AS ea, CASE WHEN wrong THEN 'C' WHEN turned THEN ea ELSE nea END AS nea FROM (SELECT *, vid % 3 = 1 AS turned, vid % (CASE WHEN ds = 3 THEN 3 ELSE 30 END) = 2 AS wrong FROM v WHERE ds IN (3, 4))),
-idp AS (SELECT a.*, k.rsid, k.build, k.line, CASE WHEN k.rsid IS NULL THEN 3 WHEN a.nea = k.ref AND list_contains(k.alts, a.ea) THEN 0 WHEN a.ea = k.ref AND list_contains(k.alts, a.nea) THEN 1 ELSE 2 END AS kind, count(k.rsid) OVER (PARTITION BY a.vid) AS n_candidates FROM ask a LEFT JOIN kn k ON k.chr = a.chr AND k.pos = a.pos),
-ido AS (SELECT *, min(kind) OVER (PARTITION BY vid) AS best, row_number() OVER (PARTITION BY vid ORDER BY kind, build DESC NULLS LAST, CASE WHEN build IS NULL THEN -line ELSE line END) AS k,
-  row_number() OVER (PARTITION BY vid ORDER BY build DESC NULLS LAST, CASE WHEN build IS NULL THEN -line ELSE line END) AS any_k FROM idp),
+ask AS (SELECT DISTINCT vid, ds, chr, pos, CASE WHEN wrong THEN 'G' WHEN turned THEN nea ELSE ea END AS ea, CASE WHEN wrong THEN 'C' WHEN turned THEN ea ELSE nea END AS nea FROM (SELECT *, vid % 3 = 1 AS turned, vid % (CASE WHEN ds = 3 THEN 3 ELSE 30 END) = 2 AS wrong FROM v WHERE ds IN (3, 4))),
+idp AS (SELECT a.*, k.rsid, k.build, k.line, CASE WHEN k.rsid IS NULL THEN 3 WHEN a.nea = k.ref AND list_contains(k.alts, a.ea) THEN 0 WHEN a.ea = k.ref AND list_contains(k.alts, a.nea) THEN 1 ELSE 2 END AS kind, count(k.rsid) OVER (PARTITION BY a.vid, a.ds) AS n_candidates FROM ask a LEFT JOIN kn k ON k.chr = a.chr AND k.pos = a.pos),
+ido AS (SELECT *, min(kind) OVER (PARTITION BY vid, ds) AS best, row_number() OVER (PARTITION BY vid, ds ORDER BY kind, build DESC NULLS LAST, CASE WHEN build IS NULL THEN -line ELSE line END) AS k,
+  row_number() OVER (PARTITION BY vid, ds ORDER BY build DESC NULLS LAST, CASE WHEN build IS NULL THEN -line ELSE line END) AS any_k FROM idp),
 idm AS (SELECT vid, ds, chr, pos, ea, nea, CASE WHEN best < 2 THEN max(rsid) FILTER (k = 1) END AS rsid, ['matched_forward', 'matched_reverse', 'pos_only_allele_mismatch', 'no_pos'][best + 1] AS reason, CASE WHEN best = 2 THEN max(rsid) FILTER (any_k = 1) END AS candidate, n_candidates
   FROM ido GROUP BY vid, ds, chr, pos, ea, nea, best, n_candidates)"""
 
