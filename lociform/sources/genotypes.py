@@ -112,6 +112,15 @@ def read_scores(spark: SparkSession, path: str) -> DataFrame:
     return out.groupBy("chr", "pos").agg(F.min_by(F.struct("l2", "maf"), F.struct("l2", "maf")).alias("s")).select("chr", "pos", "s.l2", "s.maf")
 
 
+def read_score_total(spark: SparkSession, path: str) -> float:
+    """The number of variants behind linkage scores: the sum over count files, a number each (or one for each annotation); a word that is no number is an error."""
+    words = spark.read.text(path).select(F.explode(F.split(F.trim("value"), r"\s+")).alias("w")).where("w <> ''")
+    total, n, bad = words.agg(F.sum(F.col("w").try_cast("double")), F.count("*"), F.first(F.when(F.col("w").try_cast("double").isNull(), F.col("w")), ignorenulls=True)).first()
+    if bad is not None or not n:
+        raise ValueError(f"{path} has no counts" if not n else f"{path} has {bad} in place of a count")
+    return float(total)
+
+
 def read_deleteriousness(spark: SparkSession, path: str) -> DataFrame:
     """chr, pos, ref, alt, raw and phred of a tab-separated score file with # comments."""
     cell = F.split("value", "\t")

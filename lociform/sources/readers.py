@@ -46,20 +46,43 @@ def read_overrides(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("locus is not null and snp is not null").groupBy("locus").agg(F.max_by("snp", "row").alias("snp"))
 
 
+def located(spark: SparkSession, path: str) -> str:
+    """The path, or the path with .gz where only that is there."""
+    return path if _exists(spark, path) or not _exists(spark, f"{path}.gz") else f"{path}.gz"
+
+
 def sniffed_separator(spark: SparkSession, path: str) -> str:
     """The separator that the first line has most often: tab, comma, semicolon, or any white space."""
     line = (spark.read.text(path).limit(1).collect() or [("",)])[0][0]
     best = max("\t,;", key=line.count)
-    return best if line.count(best) else r"\s+"
+    return best if line.count(best) else SPACES
+
 
+#: The separator of columns apart by any white space.
+SPACES = r"\s+"
 
-def read_text_table(spark: SparkSession, path: str, sep: str = "\t", header: bool = True) -> DataFrame:
-    return spark.read.csv(path, sep=sep, header=header, quote='"', escape='"', mode="PERMISSIVE")
 
+def read_text_table(spark: SparkSession, path: str, sep: str = "\t", header: bool = True, quote: str = '"') -> DataFrame:
+    """All columns as text.  Columns apart by white space have no quotes; short rows are filled with nulls, and what is beyond the header is left out."""
+    if sep != SPACES:
+        return spark.read.csv(path, sep=sep, header=header, quote=quote, escape=quote, mode="PERMISSIVE")
+    lines = spark.read.text(path).select(F.trim(F.regexp_replace("value", r"[\s\u00a0]+$", "")).alias("value")).where("value <> ''")
+    head = lines.limit(1).collect()
+    first = head[0][0].split() if head else []
+    names = first if header else [f"_c{k}" for k in range(len(first))]
+    part = F.split("value", SPACES)
+    # every file of a pattern has the header
+    rows = lines.where(F.col("value") != head[0][0]) if header and head else lines
+    return rows.select(*(F.get(part, F.lit(k)).alias(c) for k, c in enumerate(names)))
 
-def read_association(spark: SparkSession, path: str, mapping: Mapping, sep: str = "\t") -> DataFrame:
-    """Canonical association rows; file columns that no mapping names come along in the map extra."""
-    raw = read_text_table(spark, path, sep)
+
+def read_association(spark: SparkSession, path: str, mapping: Mapping, sep: str | None = None) -> DataFrame:
+    """Canonical association rows; file columns that no mapping names come along in the map extra.
+
+    sep: None looks at the first line.  Compressed files are read as they are, and in place of a plain one that is not there.
+    """
+    path = located(spark, path)
+    raw = read_text_table(spark, path, sniffed_separator(spark, path) if sep is None else sep)
     found = {k: F.col(f"`{_find(raw.columns, v)}`") for k, v in (mapping.required | mapping.optional).items()}
     if missing := [k for k in REQUIRED[:3] if k not in found]:
         raise ValueError(f"the mapping lacks {', '.join(missing)}")
@@ -95,29 +118,61 @@ def read_annotation(spark: SparkSession, path: str) -> DataFrame:
     ).where("start is not null and end is not null")
 
 
+def owned(children: DataFrame, parents: DataFrame) -> DataFrame:
+    """children (parent, ...) with owner, the id of parents that parent names: as it is, or else without its version."""
+    ids = parents.select(F.col("id").alias("_id")).distinct()
+    bare = F.regexp_extract("parent", r"^(.+)\.[^.]*$", 1)
+    own = children.withColumn("_bare", F.nullif(bare, F.lit("")))
+    exact, other = ids.withColumnRenamed("_id", "_exact"), ids.withColumnRenamed("_id", "_other")
+    met = own.join(exact, own.parent == exact._exact, "left").join(other, F.when(F.col("_exact").isNull(), F.col("_bare")) == other._other, "left")
+    return met.withColumn("owner", F.coalesce("_exact", "_other")).where("owner is not null").drop("_bare", "_exact", "_other")
+
+
 def genes_with_transcripts(features: DataFrame) -> DataFrame:
-    """Genes with their canonical transcript: protein-coding first, then the largest sum of exon lengths, then id."""
+    """Genes with their canonical transcript: protein-coding first, then the largest sum of exon lengths, then id.
+
+    A transcript whose parent is not there by its full id belongs to the gene of that id without its version.
+    """
     genes = features.where("kind = 'gene'").select("id", "chr", "start", "end", "strand", "name", "biotype")
-    transcripts = features.where("kind in ('mRNA', 'transcript')").select(F.col("id").alias("tid"), F.col("parent").alias("gene_id"), (F.col("biotype") == "protein_coding").alias("coding"))
+    transcripts = owned(features.where("kind in ('mRNA', 'transcript')").select(F.col("id").alias("tid"), "parent", (F.col("biotype") == "protein_coding").alias("coding")), genes).withColumnRenamed("owner", "gene_id")
     spans = features.where("kind = 'exon'").groupBy(F.col("parent").alias("tid")).agg(F.sum(F.col("end") - F.col("start")).alias("span"))
     best = transcripts.join(spans, "tid", "left").groupBy("gene_id").agg(F.min_by("tid", F.struct(~F.coalesce("coding", F.lit(False)), -F.coalesce("span", F.lit(0)), F.col("tid"))).alias("transcript"))
     return genes.join(best, genes.id == best.gene_id, "left").drop("gene_id")
 
 
-def read_panel(spark: SparkSession, path: str, first: bool = False) -> DataFrame:
-    """(chr, pos, id, a1, a2) of a reference panel's variant list, split at any white space.
+def read_panel(spark: SparkSession, path: str | list[str], first: bool = False, last: bool = False) -> DataFrame:
+    """(chr, pos, id, a1, a2) of a reference panel's variant list, split at tabs, or at any white space where tabs make fewer than four columns.
 
-    first: only the first line of each place counts, by file name and then by place in the file.
+    first, last: only the first or last line of each place counts, by file name and then by place in the file.
     """
-    part = F.split(F.trim("value"), r"\s+")
+    part = F.when(F.size(F.split("value", "\t")) >= 4, F.transform(F.split("value", "\t"), lambda x: F.trim(x))).otherwise(F.split(F.trim("value"), SPACES))
     at = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")]
-    lines = spark.read.text(path).select("value", F.struct(*at).alias("at")).where("trim(value) <> ''")
-    rows = lines.select(normal_chr(part[0]).alias("chr"), part[3].try_cast("long").alias("pos"), part[1].alias("id"), F.upper(part[4]).alias("a1"), F.upper(part[5]).alias("a2"), "at").where("pos is not null")
-    if first:
-        rows = rows.groupBy("chr", "pos").agg(F.min_by(F.struct("id", "a1", "a2"), "at").alias("x")).select("chr", "pos", "x.*", F.lit(None).alias("at"))
+    lines = spark.read.text(path).select(part.alias("p"), F.struct(*at).alias("at")).where(F.size("p") >= 4)
+    cell = lambda k: F.get("p", F.lit(k))
+    rows = lines.select(normal_chr(cell(0)).alias("chr"), cell(3).try_cast("long").alias("pos"), cell(1).alias("id"), F.upper(cell(4)).alias("a1"), F.upper(cell(5)).alias("a2"), "at").where("pos is not null")
+    if first or last:
+        one = (F.min_by if first else F.max_by)(F.struct("id", "a1", "a2"), "at")
+        rows = rows.groupBy("chr", "pos").agg(one.alias("x")).select("chr", "pos", "x.*", F.lit(None).alias("at"))
     return rows.drop("at")
 
 
+def read_panel_of(spark: SparkSession, prefix: str, chromosomes: list[str], first: bool = False, last: bool = False) -> DataFrame:
+    """The panel's variants of some chromosomes: of a chromosome's own file (prefix_chr1.bim) where it is there, else of prefix.bim.
+
+    Of either only the rows of the chromosome itself count; a panel without files has no rows.
+    """
+    own = {c: f"{prefix}_chr{c}.bim" for c in chromosomes if _exists(spark, f"{prefix}_chr{c}.bim")}
+    others = [c for c in chromosomes if c not in own]
+    name = lambda c: normal_chr(F.lit(c))
+    parts = [read_panel(spark, path, first, last).where(F.col("chr") == name(c)) for c, path in own.items()]
+    if others and _exists(spark, f"{prefix}.bim"):
+        parts.append(read_panel(spark, f"{prefix}.bim", first, last).where(F.col("chr").isin(*map(name, others))))
+    out = spark.createDataFrame([], "chr string, pos long, id string, a1 string, a2 string")
+    for x in parts:
+        out = out.unionByName(x)
+    return out
+
+
 # Headers of a column of gene symbols, the first that is there counts.
 GENE_HEADERS = ("gene", "gene_symbol", "symbol", "gene_name")
 
@@ -155,12 +210,39 @@ def read_peaks(spark: SparkSession, path: str) -> DataFrame:
     return found.where(F.size(part) >= 7).select(normal_chr(part[0]).alias("chr"), part[1].try_cast("long").alias("start"), part[2].try_cast("long").alias("end"), part[6].try_cast("double").alias("signal")).where("start is not null and end is not null")
 
 
+def first_of(c: Column) -> Column:
+    """The first of several values, which semicolons or an x between blanks keep apart; an X on its own is a chromosome."""
+    return F.trim(F.get(F.split(c, r"\s*;\s*|\s+[xX]\s+"), F.lit(0)))
+
+
+def _catalog(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    raw = read_text_table(spark, path, quote="")  # quotes are letters of names here
+    return raw.select(*(F.regexp_replace(F.col(f"`{_find(raw.columns, c)}`"), r"\r$", "").alias(f"c{k}") for k, c in enumerate(names)))
+
+
 def read_catalog(spark: SparkSession, path: str, chr_col: str = "CHR_ID", pos_col: str = "CHR_POS", id_col: str = "SNPS", trait_col: str = "DISEASE/TRAIT", mlogp_col: str = "PVALUE_MLOG") -> DataFrame:
-    """(chr, pos, rsids, trait, mlogp): the first of several places counts, ids stay a list."""
-    raw = read_text_table(spark, path)
-    first = lambda c: F.element_at(F.split(F.col(f"`{c}`"), r"\s*;\s*|\s+[xX]\s+"), 1)
-    out = raw.select(normal_chr(first(chr_col)).alias("chr"), first(pos_col).try_cast("long").alias("pos"), F.split(F.col(f"`{id_col}`"), r"\s*[;,]\s*|\s+[xX]\s+").alias("rsids"), F.col(f"`{trait_col}`").alias("trait"), optional_double(F.col(f"`{mlogp_col}`")).alias("mlogp"))
-    return out.where("pos is not null")
+    """(chr, pos, rsids, trait, mlogp): the first of several places counts, ids stay a list; rows without a place are left out.
+
+    Lines end with or without a carriage return.  catalog_counts() tells how many rows were left out.
+    """
+    c = _catalog(spark, path, [chr_col, pos_col, id_col, trait_col, mlogp_col])
+    ids = F.filter(F.split("c2", r"\s*[;,]\s*|\s+[xX]\s+"), lambda x: F.trim(x) != "")
+    out = c.select(normal_chr(first_of(F.col("c0"))).alias("chr"), first_of(F.col("c1")).try_cast("long").alias("pos"), ids.alias("rsids"), F.col("c3").alias("trait"), optional_double(F.col("c4")).alias("mlogp"))
+    return out.where("pos >= 0 and chr <> ''")
+
+
+def catalog_counts(spark: SparkSession, path: str, chr_col: str = "CHR_ID", pos_col: str = "CHR_POS", id_col: str = "SNPS") -> DataFrame:
+    """One row: n_rows, n_placed (rows that read_catalog() returns), n_unplaced, n_without_id and n_ids (different ids), in one scan."""
+    c = _catalog(spark, path, [chr_col, pos_col, id_col])
+    ids = F.filter(F.split(F.coalesce("c2", F.lit("")), r"\s*[;,]\s*|\s+[xX]\s+"), lambda x: F.trim(x) != "")
+    placed = F.coalesce((first_of(F.col("c1")).try_cast("long") >= 0) & (normal_chr(first_of(F.col("c0"))) != ""), F.lit(False))
+    # ids are counted once each, rows by the first of their ids
+    first = F.col("id").isNull() | (F.col("k") == 0)
+    each = c.select(placed.alias("placed"), F.posexplode_outer(ids).alias("k", "id"))
+    return each.agg(
+        F.count_if(first).alias("n_rows"), F.count_if(first & F.col("placed")).alias("n_placed"), F.count_if(first & ~F.col("placed")).alias("n_unplaced"),
+        F.count_if(F.col("id").isNull()).alias("n_without_id"), F.count_distinct("id").alias("n_ids"),
+    )
 
 
 def has_rsids(df: DataFrame, column: str, rows: int = 1000) -> Column | bool:
