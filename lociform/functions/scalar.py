@@ -67,6 +67,30 @@ def normal_chr(c: Column) -> Column:
     return F.upper(F.regexp_replace(F.trim(c), "^(chr|Chr|CHR)(?=.)", ""))
 
 
+def bare_chr(c: Column) -> Column:
+    """Chromosome label without its prefix in any case, otherwise as it is; null where nothing is left."""
+    return F.nullif(F.regexp_replace(F.trim(c), "^(?i:chr)", ""), F.lit(""))
+
+
+def prefixed_chr(c: Column) -> Column:
+    """Chromosome label with the prefix chr, which is added where it is not there in lower case."""
+    t = F.trim(c)
+    return F.when(F.startswith(t, F.lit("chr")), t).otherwise(F.concat(F.lit("chr"), t))
+
+
+def is_rsid(c: Column) -> Column:
+    """Whether a value is an rs number, in either case; false for null."""
+    return F.coalesce(c.rlike(r"(?i)^rs\d+$"), F.lit(False))
+
+
+def liability_scale(h2: Column, prevalence: Column, cases: Column) -> Column:
+    """Heritability on the liability scale from the observed one, for a population prevalence and a share of cases; null outside (0, 1)."""
+    t = qnorm(prevalence)
+    height = F.exp(-0.5 * t * t) / math.sqrt(2 * math.pi)
+    spread, sampled = prevalence * (F.lit(1.0) - prevalence), cases * (F.lit(1.0) - cases)
+    return F.when((prevalence > 0) & (prevalence < 1) & (sampled > 0), h2 * spread * spread / (height * height * sampled))
+
+
 def chr_order(c: Column) -> Column:
     """Sort key of a chromosome label: numbers, then X, Y, mitochondrial, unknown."""
     n = normal_chr(c)

@@ -103,12 +103,14 @@ def one_way_anova(df: DataFrame, keys: list[str], group: str, value: str) -> Dat
 def nested_anova(df: DataFrame, keys: list[str], disease: str, dataset: str, scales: dict[str, Column]) -> DataFrame:
     """keys, scale, disease, n_groups, n and f: between diseases (disease null) and within each between its datasets, on each scale.
 
-    One pass over the rows sums by dataset; diseases are sums of these.  Null and NaN values do not count, nor
-    do rows without a disease.
+    One pass over the rows sums all scales by dataset; diseases are sums of these.  Null and NaN values do not
+    count, nor do rows without a disease.
     """
-    values = F.array(*(F.struct(F.lit(k).alias("scale"), c.cast("double").alias("v")) for k, c in scales.items()))
-    each = df.where(F.col(disease).isNotNull()).select(*keys, disease, dataset, F.explode(values).alias("_x")).select(*keys, disease, dataset, "_x.scale", F.col("_x.v").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    per = each.groupBy(*keys, "scale", disease, dataset).agg(F.count("*").alias("_n"), F.sum("_v").alias("_s"), F.sum(F.col("_v") * F.col("_v")).alias("_q"))
+    known = df.where(F.col(disease).isNotNull()).select(*keys, disease, dataset, *(F.nanvl(c.cast("double"), F.lit(None)).alias(f"_v{k}") for k, c in enumerate(scales.values())))
+    sums = [f(c).alias(f"{n}{k}") for k in range(len(scales)) for n, f, c in (("_n", F.count, F.col(f"_v{k}")), ("_s", F.sum, F.col(f"_v{k}")), ("_q", F.sum, F.col(f"_v{k}") * F.col(f"_v{k}")))]
+    wide = known.groupBy(*keys, disease, dataset).agg(*sums)
+    each = F.array(*(F.struct(F.lit(name).alias("scale"), *(F.col(f"{n}{k}").alias(n) for n in ("_n", "_s", "_q"))) for k, name in enumerate(scales)))
+    per = wide.select(*keys, disease, dataset, F.inline(each)).where("_n > 0")
     whole = per.groupBy(*keys, "scale", disease).agg(*(F.sum(c).alias(c) for c in ("_n", "_s", "_q")))
     between = anova_of_sums(whole, [*keys, "scale"]).withColumn(disease, F.lit(None).cast(df.schema[disease].dataType))
     return anova_of_sums(per, [*keys, "scale", disease]).unionByName(between)

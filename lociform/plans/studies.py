@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from lociform.functions import scalar as S
 from lociform.operators import identifiers, loci, metaanalysis, programs, ranges, stats
-from lociform.plans.queries import VIEW, a19, erfc_sql, query
-from lociform.sources.tables import genes, panel, variants
+from lociform.plans.queries import VIEW, a19, erfc_sql, qnorm_sql, query
+from lociform.sources.tables import catalog, genes, panel, variants
 
 # ---- meta-analysis ----------------------------------------------------------------------------
 
@@ -68,9 +68,10 @@ def a12c(spark: SparkSession, d: str) -> DataFrame:
 
     Every third dataset tells odds ratios.  Genes with fewer than ten degrees of freedom within are left out.
     """
-    v = variants(spark, d).select("chr", "pos", "ds", (F.col("ds") % 2).alias("disease"), "z", F.when(F.col("ds") % 3 != 0, F.col("beta")).alias("beta"), F.when(F.col("ds") % 3 == 0, F.exp("beta")).alias("odds"))
+    beta, odds = F.when(F.col("ds") % 3 != 0, F.col("beta")), F.when(F.col("ds") % 3 == 0, F.exp("beta"))
+    v = variants(spark, d).select("chr", "pos", "ds", (F.col("ds") % 2).alias("disease"), S.neglog10(S.z_to_p(F.col("z"))).alias("logp"), S.effect_value(beta, odds).alias("effect"))
     inside = ranges.points_in(v, genes(spark, d).select("gid", "chr", "start", "end"))
-    out = stats.nested_anova(inside, ["gid"], "disease", "ds", {"neglog10_p": S.neglog10(S.z_to_p(F.col("z"))), "effect": S.effect_value(F.col("beta"), F.col("odds"))})
+    out = stats.nested_anova(inside, ["gid"], "disease", "ds", {"neglog10_p": F.col("logp"), "effect": F.col("effect")})
     return out.where("n_groups >= 2 and n >= n_groups + 10").select("gid", "scale", "disease", "n_groups", "n", F.round("f", 4).alias("f"))
 
 
@@ -187,3 +188,63 @@ def p28b(spark: SparkSession, d: str) -> DataFrame:
     """Frequency of the first allele of each variant of the panel, and of the rarer one."""
     out = programs.allele_frequencies(panel(spark, d).drop("freq"))
     return out.select("chr", "pos", "a1", F.round("freq", 6).alias("freq"), F.round("maf", 6).alias("maf"))
+
+
+# ---- labels and scales ------------------------------------------------------------------------
+
+
+@query("f01_display_ids", """SELECT vid, CASE WHEN vid % 3 = 0 THEN 'rs' || (vid % 1000) WHEN vid % 5 < 2 THEN 'v' || pos ELSE chr || ':' || pos END AS shown, least(ea, nea) || '/' || greatest(ea, nea) AS alleles FROM v""", "v")
+def f01(spark: SparkSession, d: str) -> DataFrame:
+    """The name that each row is shown by: rs number, else the file's own id, else the place; blanks and dots are no names."""
+    rsid = F.when(F.col("vid") % 3 == 0, named(F.col("vid") % 1000)).when(F.col("vid") % 3 == 1, ".").otherwise(" ")
+    own = F.when(F.col("vid") % 5 < 2, F.concat(F.lit("v"), F.col("pos").cast("string"))).otherwise("")
+    return variants(spark, d).select("vid", S.display_id(rsid, own, F.col("chr").cast("string"), F.col("pos").cast("string")).alias("shown"), F.concat_ws("/", F.least("ea", "nea"), F.greatest("ea", "nea")).alias("alleles"))
+
+
+@query("f02_parsed_numbers", """SELECT vid % 6 AS kind, count(*) AS n, count(CASE WHEN vid % 6 IN (0, 5) THEN 1 END) AS n_known, round(sum(CASE WHEN vid % 6 IN (0, 5) THEN pos END), 2) + 0e0 AS total FROM v GROUP BY 1""", "v")
+def f02(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers read from text: missing tokens and what does not parse are null."""
+    kind, text = F.col("vid") % 6, F.col("pos").cast("string")
+    cell = F.when(kind == 0, F.concat(F.lit(" "), text)).when(kind == 1, "NA").when(kind == 2, ".").when(kind == 3, "nan").when(kind == 4, F.concat(text, F.lit("x"))).otherwise(F.concat(text, F.lit("e0")))
+    read = variants(spark, d).select(kind.alias("kind"), S.optional_double(cell).alias("x"))
+    return read.groupBy("kind").agg(F.count("*").alias("n"), F.count("x").alias("n_known"), F.round(F.sum("x"), 2).alias("total"))
+
+
+@query("f19_ancestry_codes", """, t AS (SELECT gid % 4 AS kind, biotype, upper(split_part(biotype, ' ', 1)) AS code FROM g) SELECT CASE WHEN kind = 3 THEN '' ELSE code END AS code, count(*) AS n FROM t GROUP BY 1""", "g")
+def f19(spark: SparkSession, d: str) -> DataFrame:
+    """Codes of ancestry labels, here of types in four spellings: what follows a blank, bracket, comma or semicolon is left out."""
+    kind = F.col("gid") % 4
+    label = F.when(kind == 0, F.lower("biotype")).when(kind == 1, F.regexp_replace("biotype", " ", ";")).when(kind == 2, F.concat(F.lit(" "), F.regexp_replace("biotype", " ", "("))).otherwise(F.concat(F.lit(","), F.col("biotype")))
+    return genes(spark, d).select(S.ancestry_code(label).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+
+
+@query("x02_chromosome_names", """, t AS (SELECT CASE vid % 4 WHEN 0 THEN 'chr' || chr WHEN 1 THEN ' ' || chr WHEN 2 THEN 'CHR' || chr ELSE 'cHrx' END AS c, chr, vid % 4 AS kind FROM v)
+  SELECT c AS name, CASE kind WHEN 3 THEN 'CHRX' ELSE CAST(chr AS VARCHAR) END AS plain, CASE kind WHEN 3 THEN 'x' ELSE CAST(chr AS VARCHAR) END AS bare, CASE kind WHEN 2 THEN 'chrCHR' || chr WHEN 3 THEN 'chrcHrx' ELSE 'chr' || chr END AS prefixed, count(*) AS n FROM t GROUP BY 1, 2, 3, 4""", "v")
+def x02(spark: SparkSession, d: str) -> DataFrame:
+    """The three ways of naming a chromosome: upper case without three spellings of its prefix, without any spelling of it, and with it."""
+    kind, text = F.col("vid") % 4, F.col("chr").cast("string")
+    c = F.when(kind == 0, F.concat(F.lit("chr"), text)).when(kind == 1, F.concat(F.lit(" "), text)).when(kind == 2, F.concat(F.lit("CHR"), text)).otherwise("cHrx")
+    names = variants(spark, d).select(c.alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    return names.select("name", S.normal_chr(F.col("name")).alias("plain"), S.bare_chr(F.col("name")).alias("bare"), S.prefixed_chr(F.col("name")).alias("prefixed"), "n")
+
+
+@query("x04_identifier_shares", """SELECT trait, count(*) AS n, round(avg(CASE WHEN cid % 3 < 2 THEN 1e0 ELSE 0e0 END), 6) AS share, avg(CASE WHEN cid % 3 < 2 THEN 1e0 ELSE 0e0 END) >= 0.5e0 AS by_rsid FROM c GROUP BY trait""", "c")
+def x04(spark: SparkSession, d: str) -> DataFrame:
+    """Share of each trait's ids that are rs numbers, in either case, and whether they are at least half."""
+    shown = F.when(F.col("cid") % 3 == 0, F.col("rsid")).when(F.col("cid") % 3 == 1, F.upper("rsid")).otherwise(F.concat("rsid", F.lit("a")))
+    share = F.avg(S.is_rsid(shown).cast("double"))
+    return catalog(spark, d).groupBy("trait").agg(F.count("*").alias("n"), F.round(share, 6).alias("share"), (share >= 0.5).alias("by_rsid"))
+
+
+@query("x09_file_names", """SELECT gid, regexp_replace(gene || ' (' || biotype || ')/' || brand, '[^A-Za-z0-9._-]', '_', 'g') AS name FROM g""", "g")
+def x09(spark: SparkSession, d: str) -> DataFrame:
+    """Names of genes' files: all but letters, digits, dots, dashes and underscores replaced."""
+    return genes(spark, d).select("gid", S.file_safe(F.concat("gene", F.lit(" ("), "biotype", F.lit(")/"), "brand")).alias("name"))
+
+
+@query("m08_liability_scale", f"""SELECT ds, round(avg(h2), 6) AS observed, round(avg(h2) * k * k * (1 - k) * (1 - k) / (h * h * 0.25e0), 6) AS liability FROM (SELECT ds, z * z / (z * z + 10000e0) AS h2, (ds + 1) / 100e0 AS k FROM v), LATERAL (SELECT exp(-0.5e0 * t * t) / sqrt(2e0 * pi()) AS h FROM (SELECT {qnorm_sql('k')} AS t)) GROUP BY ds, k, h""", "v")
+def m08(spark: SparkSession, d: str) -> DataFrame:
+    """Mean share of variance explained by each dataset's rows on the observed and the liability scale, half of the sample being cases."""
+    chi2 = F.col("z") * F.col("z")
+    h2 = variants(spark, d).groupBy("ds").agg(F.avg(chi2 / (chi2 + 10_000.0)).alias("h2"))
+    return h2.select("ds", F.round("h2", 6).alias("observed"), F.round(S.liability_scale(F.col("h2"), (F.col("ds") + 1) / 100.0, F.lit(0.5)), 6).alias("liability"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lociform.functions import scalar as S
-from lociform.operators import identifiers, loci, metaanalysis, programs, stats
+from lociform.operators import identifiers, loci, metaanalysis, programs, regional, stats
 
 # ---- identifiers ------------------------------------------------------------------------------
 
@@ -192,3 +192,18 @@ def test_allele_frequencies(spark):
     df = spark.createDataFrame([(1, [0.0, 1.0, 2.0, 2.0]), (2, [None, 1.0]), (3, [None]), (4, []), (5, None)], "k int, dosages array<double>")
     got = {r.k: (r.freq, r.maf, r.n_known) for r in programs.allele_frequencies(df).collect()}
     assert got == {1: (0.625, 0.375, 4), 2: (0.5, 0.5, 1), 3: (None, None, 0), 4: (None, None, 0), 5: (None, None, 0)}
+
+
+# ---- labels and scales ------------------------------------------------------------------------
+
+
+def test_chromosome_names_identifiers_and_liability(spark):
+    names = [("chrX", "X", "X", "chrX"), (" CHRx ", "X", "x", "chrCHRx"), ("cHr7", "CHR7", "7", "chrcHr7"), ("mt", "MT", "mt", "chrmt"), ("chr", "CHR", None, "chr"), (None, None, None, None)]
+    df = spark.createDataFrame([(x[0],) for x in names], "c string")
+    c = F.col("c")
+    assert [tuple(r) for r in df.select("c", S.normal_chr(c), S.bare_chr(c), S.prefixed_chr(c)).collect()] == names
+    ids = spark.createDataFrame([("rs12", True), ("RS1", True), ("rs", False), ("xrs1", False), ("rs1a", False), (None, False)], "id string, want boolean")
+    assert all(r.got == r.want for r in ids.select(S.is_rsid(F.col("id")).alias("got"), "want").collect())
+    scale = spark.createDataFrame([(0.2, 0.01, 0.5), (0.1, 0.2, 0.1), (0.1, 0.0, 0.5), (0.1, 0.5, 1.0)], "h double, k double, p double")
+    got = [r.x for r in scale.select(S.liability_scale(F.col("h"), F.col("k"), F.col("p")).alias("x")).collect()]
+    assert got == [pytest.approx(regional.liability(0.2, 0.01, 0.5)), pytest.approx(regional.liability(0.1, 0.2, 0.1)), None, None]
