@@ -25,6 +25,15 @@ def _opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of the session's default file system where it names none, as tasks cannot ask for that; local paths as they are."""
+    if ":" in path.split("/")[0]:
+        return path
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    full = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(there).toString()
+    return path if full.startswith("file:") else full
+
+
 class Span(InputPartition):
     """Variants first to last, last not included."""
 
@@ -83,7 +92,7 @@ def read_genotypes(spark: SparkSession, path: str, people: int, first: int = 0,
     """variant (its row in the matrix) and calls (count of the first allele of each person, null where missing) of a range of variants."""
     spark.dataSource.register(PackedGenotypes)
     reader = spark.read.format("packed_genotypes").option("people", people).option("first", first)
-    return (reader if last is None else reader.option("last", last)).load(path)
+    return (reader if last is None else reader.option("last", last)).load(qualified(spark, path))
 
 
 def filled(df: DataFrame, calls: str = "calls") -> DataFrame:

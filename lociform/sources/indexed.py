@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from lociform.sources.genotypes import _opened
+from lociform.sources.genotypes import _opened, qualified
 
 #: Fixed values of the format: its first bytes, the number of the first bin of each level and how far a position is shifted there, and the shift of the linear index.
 INDEX_HEAD, LEVELS, LINEAR = b"TBI\x01", ((1, 26), (9, 23), (73, 20), (585, 17), (4681, 14)), 14
@@ -214,7 +214,7 @@ def read_region(spark: SparkSession, path: str, regions: list[str], index: str |
     """value: the rows of block-compressed text that lie in the regions; only the blocks that the index names are opened."""
     spark.dataSource.register(IndexedText)
     reader = spark.read.format("indexed_text").option("regions", ";".join(regions)).option("bytes", bytes_to_task)
-    return (reader if index is None else reader.option("index", index)).load(path)
+    return (reader if index is None else reader.option("index", qualified(spark, index))).load(qualified(spark, path))
 
 
 def read_variant_region(spark: SparkSession, path: str, regions: list[str], index: str | None = None) -> DataFrame:

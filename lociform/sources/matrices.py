@@ -22,7 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from lociform.functions.scalar import complement
-from lociform.sources.genotypes import _opened
+from lociform.sources.genotypes import _opened, qualified
 
 #: Entries read at once.
 PIECE = 1 << 18
@@ -139,7 +139,7 @@ def read_matrix(spark: SparkSession, path: str, chrom: str | None = None, start:
     reader = spark.read.format("matrix_windows").option("entries", entries)
     if chrom is not None:
         reader = reader.option("chr", str(chrom).removeprefix("chr")).option("start", start).option("end", end)
-    return reader.load(path)
+    return reader.load(qualified(spark, path))
 
 
 def read_window_variants(spark: SparkSession, path: str) -> DataFrame:
@@ -148,7 +148,7 @@ def read_window_variants(spark: SparkSession, path: str) -> DataFrame:
     A list is one compressed stream, so that one task reads it, in order.
     """
     spark.dataSource.register(WindowLists)
-    return spark.read.format("matrix_window_lists").load(path)
+    return spark.read.format("matrix_window_lists").load(qualified(spark, path))
 
 
 class WindowLists(DataSource):

@@ -76,3 +76,16 @@ def test_count_files_add_up(spark, tmp_path):
     (tmp_path / "8.l2.M").write_text("\n")
     with pytest.raises(ValueError, match="no counts"):
         genotypes.read_score_total(spark, f"{tmp_path}/8.l2.M")
+
+
+def test_paths_get_the_default_file_system(spark):
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    assert genotypes.qualified(spark, "/a/b c") == "/a/b c" and genotypes.qualified(spark, "s3://x/y") == "s3://x/y" and genotypes.qualified(spark, "file:/a") == "file:/a"
+    before = conf.get("fs.defaultFS")
+    try:
+        conf.set("fs.defaultFS", "viewfs://store/")
+        conf.set("fs.viewfs.mounttable.store.link./data", "file:///tmp")
+        assert genotypes.qualified(spark, "/data/b") == "viewfs://store/data/b"
+    finally:
+        conf.unset("fs.viewfs.mounttable.store.link./data")
+        conf.set("fs.defaultFS", before)
