@@ -138,7 +138,10 @@ def p13(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("difference", F.round("difference", 6)).withColumn("t", F.round("t", 6))
 
 
-@query("u02_shared_datasets")
+@query("u02_shared_datasets", """, sets AS (SELECT s, count(*) AS n FROM (SELECT list_sort(list(DISTINCT ds)) AS s FROM v GROUP BY chr, pos) GROUP BY s), ord AS (SELECT ds, row_number() OVER (ORDER BY round(max(z), 9) DESC, ds) AS k FROM v GROUP BY ds),
+  r(k, kept, least) AS (SELECT k, [ds], greatest(300e0, 0.1e0 * (SELECT sum(n) FROM sets WHERE list_contains(s, ds))) FROM ord WHERE k = 1
+    UNION ALL SELECT o.k, CASE WHEN (SELECT coalesce(sum(n), 0) FROM sets WHERE list_has_all(s, list_append(r.kept, o.ds))) >= r.least THEN list_append(r.kept, o.ds) ELSE r.kept END, r.least FROM r JOIN ord o ON o.k = r.k + 1)
+  SELECT CAST(step AS INT) AS step, kept[step] AS ds FROM (SELECT kept, unnest(range(1, len(kept) + 1)) AS step FROM r WHERE k = (SELECT max(k) FROM ord))""", "v")
 def u02(spark: SparkSession, d: str) -> DataFrame:
     """Datasets kept together, the strongest first, and their order."""
     v = variants(spark, d)
