@@ -1,10 +1,11 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Document frequencies of the benchmark's words, over all documents, give the idf weights.
-2. A randomised SVD of TF-IDF passages (all benchmark items and windows from a bounded sample of
-   documents) gives a latent space of ``rank`` dimensions.  The range finder's products with the
-   passage matrix run as Spark jobs over its rows; only words x rank matrices come back.  The space is
-   whitened: its leading directions, which all passages of a language share, count no more than others.
+2. A randomised SVD of TF-IDF passages (all benchmark items and all windows of all documents) gives a
+   latent space of ``rank`` dimensions.  Up to ``MOMENT_WORDS`` words, one Spark pass sums the words x words
+   moments of all passages, which give the range finder's products; with more words each product runs as a
+   Spark job over the passages, and only words x rank matrices come back.  The space is whitened: its
+   leading directions, which all passages of a language share, count no more than others.
 3. Every window of every document is projected and compared by cosine with every item; those that reach
    ``cosine`` are the candidates.  The items are the stated queries, in an index that is broadcast.  A
    benchmark of more than ``MAX_WORDS`` words is searched in blocks, an index each, one after the other, so
@@ -14,10 +15,10 @@
    most of whose words must stand in the window.
 
 Windows have the size of the items they are compared with: items go by classes of length, each with
-windows of one and a half times its longest item, a quarter apart.  Words are projected once, as sums over
-blocks of ``STEP`` words from which the windows of all classes are added up.  Before a candidate's subsequence
-is computed the words that it shares with the item are counted, which no subsequence exceeds; nothing that the
-word rule admits is lost there.  Items of under ``shortest`` words must be there in full.
+windows of one and a half times its longest item, a quarter apart; classes of equal windows are one.  Words are
+projected once, as sums over blocks of ``STEP`` words from which the windows of all classes are added up.  Before a
+candidate's subsequence is computed the words that it shares with the item are counted, those of the window and then
+those of the item, neither of which a subsequence exceeds; nothing that the word rule admits is lost there.  Items of under ``shortest`` words must be there in full.
 
 Edge cases: null and empty texts match nothing; null ids of documents and items are carried through and
 are each a row of their own; repeated rows each get their rows; items without words are skipped; equal
@@ -26,9 +27,10 @@ items each match; empty tables give an empty result.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
 from typing import Any
@@ -38,13 +40,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, StructField, StructType
 
-from lociform.llm.common import materialise, prepare
+from lociform.llm.common import forget, materialise, prepare
 
 #: A bound for what is broadcast: words of the items of a block together, a vector of at most RANK floats each (51 MB).
 MAX_WORDS = 100_000
 RANK = 128
+#: Up to so many distinct words the moments of all pairs of words fit a task and the driver (134 MB).
+MOMENT_WORDS = 4096
+#: Words of a document's passage.
+WINDOW = 48
 
 #: Upper case to lower case, punctuation to spaces; other bytes stay.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if chr(c) in ".,;:!?\"'()[]{}|*#$%&<>=~" else c for c in range(256))
@@ -74,6 +80,8 @@ class Index:
     vectors: np.ndarray = field(default_factory=lambda: np.zeros((1, 1), np.float32))
     items: list[Item] = field(default_factory=list)
     item_vectors: np.ndarray = field(default_factory=lambda: np.zeros((0, 1), np.float32))
+    #: numbered(documents), on which the index was fitted; not for tasks.
+    told: DataFrame | None = None
 
 
 def numbers(words: list[bytes], ids: dict[bytes, int]) -> np.ndarray:
@@ -116,35 +124,114 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[li
 # ---- latent space -----------------------------------------------------------------------------
 
 
-def frequencies(documents: DataFrame, ids: dict[bytes, int], text_col: str) -> tuple[np.ndarray, int]:
-    """In how many documents each known word occurs, and the number of documents."""
-    out = np.zeros(len(ids) + 1, np.int64)
+def number_kind(ids: dict[bytes, int]) -> type:
+    """Of the word numbers in the bytes of a text."""
+    return np.uint16 if len(ids) < 1 << 16 else np.int32
+
+
+def numbered(documents: DataFrame, ids: dict[bytes, int], id_col: str, text_col: str) -> DataFrame:
+    """(id, words) of each document, written once: the bytes of the numbers of all its words."""
+    kind = number_kind(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, rows = frozenset(ids), Counter(), 0
         for b in batches:
-            rows += len(b)
-            for t in b.column(0).cast(pa.binary()).to_pylist():
-                held.update(known.intersection(words_of(t)))
-        # word 0 stands for the documents themselves
-        numbered = [0, *(ids[w] for w in held)]
-        yield pa.RecordBatch.from_arrays([pa.array(numbered, pa.int64()), pa.array([rows, *held.values()], pa.int64())], ["word", "n"])
+            told = [numbers(words_of(t), ids).astype(kind).tobytes() for t in b.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(told, pa.binary())], ["id", "words"])
+
+    told = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return materialise(told.mapInArrow(run, StructType([told.schema["id"], StructField("words", BinaryType())])), "lsi-words")
+
 
-    for r in documents.select(text_col).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
+def frequencies(told: DataFrame, ids: dict[bytes, int]) -> tuple[np.ndarray, int]:
+    """In how many documents each known word occurs, and the number of documents."""
+    out, kind = np.zeros(len(ids) + 1, np.int64), number_kind(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # word 0 stands for the documents themselves
+        held = np.zeros(len(ids) + 1, np.int64)
+        for b in batches:
+            texts = [np.frombuffer(t, kind) for t in b.column(0).to_pylist()]
+            words = np.concatenate([np.zeros(0, kind), *texts]).astype(np.int64)
+            found = np.unique(np.repeat(np.arange(len(texts)), [len(t) for t in texts]) * len(held) + words) % len(held)
+            held += np.bincount(found[found > 0], minlength=len(held))
+            held[0] += len(texts)
+        used = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(held[used])], ["word", "n"])
+
+    for r in told.select("words").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
         out[r.word] = r.n
     return out, int(out[0])
 
 
-def latent(passages: DataFrame, n_words: int, idf: np.ndarray, rank: int, seed: int = 1, rounds: int = 2) -> np.ndarray:
-    """Word vectors (n_words, rank): leading right singular vectors of the TF-IDF passage matrix over their singular values.
+def windows_of(told: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The known words of many texts and the window of WINDOW words, counted through the texts, that each stands in."""
+    lengths = np.array([len(w) for w in told], np.int64)
+    count = -(-lengths // WINDOW)
+    place = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    window = np.repeat(np.cumsum(count) - count, lengths) + place // WINDOW
+    words = np.concatenate([np.zeros(0, np.int32), *told])
+    return words[words > 0], window[words > 0]
+
+
+def weighted(words: np.ndarray, passage: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(passage, word, TF-IDF value) of the distinct words of each passage, in order; a passage's values have norm 1."""
+    key, count = np.unique(passage.astype(np.int64) * len(idf) + words, return_counts=True)
+    passage, word = key // len(idf), key % len(idf)
+    value = idf[word].astype(np.float64) * count
+    return passage, word, value / np.sqrt(np.bincount(passage, value**2))[passage]
+
+
+def add_moments(total: np.ndarray, passage: np.ndarray, word: np.ndarray, value: np.ndarray) -> None:
+    """Adds the products of values of words a <= b of a passage to total, at a * n_words + b."""
+    n_words = math.isqrt(len(total))
+    for lag in range(len(word)):
+        pair = np.flatnonzero(passage[lag:] == passage[: len(passage) - lag])
+        if not len(pair):
+            break
+        np.add.at(total, word[pair] * n_words + word[pair + lag], value[pair] * value[pair + lag])
+
+
+def moments(told: DataFrame, ids: dict[bytes, int], idf: np.ndarray, items: list[Item]) -> np.ndarray:
+    """Sum over all items and all windows of all documents of value times value, for each two words: (n_words, n_words)."""
+    n_words, kind = len(idf), number_kind(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n_words * n_words)
+        for b in batches:
+            add_moments(total, *weighted(*windows_of([np.frombuffer(t, kind) for t in b.column(0).to_pylist()]), idf))
+        rows = total.reshape(n_words, n_words)
+        used = np.flatnonzero(rows.any(axis=1))
+        for a in range(0, len(used), 256):
+            some = used[a : a + 256]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([rows[k, k:].astype(np.float32).tobytes() for k in some], pa.binary())], ["word", "v"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for word, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                held[word] = held.get(word, 0.0) + np.frombuffer(v, np.float32).astype(np.float64)
+        for word, v in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([word]), pa.array([v.astype(np.float32).tobytes()], pa.binary())], ["word", "v"])
+
+    out = np.zeros((n_words, n_words))
+    add_moments(out.ravel(), *weighted(np.concatenate([it.words for it in items]), np.repeat(np.arange(len(items)), [len(it.words) for it in items]), idf))
+    for r in told.select("words").mapInArrow(run, "word long, v binary").repartition("word").mapInArrow(add, "word long, v binary").toLocalIterator():
+        out[r.word, r.word :] += np.frombuffer(r.v, np.float32)
+    for k in range(n_words):
+        out[k:, k] = out[k, k:]
+    return out
+
+
+def product_of(passages: DataFrame, idf: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """The product of the passages' moments with a words x rank block, as a Spark job row by row where the rows lie.
 
-    passages: (words array<int>, known word numbers of one passage).  Each round multiplies the matrix
-    and its transpose with a words x rank block, row by row where the rows lie.
+    passages: (words array<int>, known word numbers of one passage).
     """
-    rng = np.random.default_rng(seed)
-    basis = np.linalg.qr(rng.standard_normal((n_words, rank)))[0].astype(np.float32)
+    n_words = len(idf)
 
     def product(block: np.ndarray) -> np.ndarray:
+        rank = block.shape[1]
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((n_words, rank))
             for b in batches:
@@ -156,19 +243,30 @@ def latent(passages: DataFrame, n_words: int, idf: np.ndarray, rank: int, seed:
                         value = value / norm
                         total[w] += value[:, None] * (value @ block[w])
             used = np.flatnonzero(total.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(used // 256), pa.array(used), pa.array([total[k].tobytes() for k in used], pa.binary())], ["part", "word", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([total[k].tobytes() for k in used], pa.binary())], ["word", "v"])
 
-        def add(part: pa.Table) -> pa.Table:
-            word, at = np.unique(part.column("word").to_numpy(), return_inverse=True)
-            v = np.zeros((len(word), rank))
-            np.add.at(v, at, np.frombuffer(b"".join(part.column("v").to_pylist()), np.float64).reshape(-1, rank))
-            return pa.table({"word": word, "v": pa.array([x.tobytes() for x in v], pa.binary())})
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, np.ndarray] = {}
+            for b in batches:
+                for word, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    held[word] = held.get(word, 0.0) + np.frombuffer(v, np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.int64()), pa.array([v.tobytes() for v in held.values()], pa.binary())], ["word", "v"])
 
         out = np.zeros((n_words, rank))
-        for r in passages.mapInArrow(run, "part long, word long, v binary").groupBy("part").applyInArrow(add, "word long, v binary").collect():
+        for r in passages.mapInArrow(run, "word long, v binary").repartition("word").mapInArrow(add, "word long, v binary").collect():
             out[r.word] = np.frombuffer(r.v, np.float64)
         return out
 
+    return product
+
+
+def latent(product: Callable[[np.ndarray], np.ndarray], n_words: int, rank: int, seed: int = 1, rounds: int = 2) -> np.ndarray:
+    """Word vectors (n_words, rank): leading right singular vectors of the TF-IDF passage matrix over their singular values.
+
+    product: that of the matrix's transpose and the matrix with a words x rank block.
+    """
+    rng = np.random.default_rng(seed)
+    basis = np.linalg.qr(rng.standard_normal((n_words, rank)))[0].astype(np.float32)
     for _ in range(rounds):
         basis = np.linalg.qr(product(basis))[0].astype(np.float32)
     # Rayleigh-Ritz: rotate to the singular directions
@@ -178,9 +276,8 @@ def latent(passages: DataFrame, n_words: int, idf: np.ndarray, rank: int, seed:
     return (basis @ (turn[:, firm] / np.sqrt(values[firm]))).astype(np.float32)
 
 
-def fit(documents: DataFrame, items: list[tuple[Any, str]], text_col: str = "text", id_col: str = "doc_id", rank: int = RANK, sample_docs: int = 2000, window: int = 48) -> Index:
-    """The latent index of the items; sample_docs bounds the documents whose windows join the SVD."""
-    spark = documents.sparkSession
+def fit(documents: DataFrame, items: list[tuple[Any, str]], id_col: str = "doc_id", text_col: str = "text", rank: int = RANK) -> Index:
+    """The latent index of the items, its space that of all windows of all documents and of the items."""
     ids: dict[bytes, int] = {}
     listed = []
     for item_id, text in items:
@@ -190,28 +287,29 @@ def fit(documents: DataFrame, items: list[tuple[Any, str]], text_col: str = "tex
             listed.append(Item(item_id, known, numbers(words_of(answer_of(text).encode()), ids)))
     if not listed:
         return Index()
-    df, n_docs = frequencies(documents, ids, text_col)
+    told = numbered(documents, ids, id_col, text_col)
+    df, n_docs = frequencies(told, ids)
     df[0] = n_docs
     idf = np.log((n_docs + 1) / (df + 1)).astype(np.float32) + np.float32(0.1)
     idf[0] = 0
-    # by a hash of the row, which needs no sort of the documents; the limit only binds among equal rows
-    share = F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample_docs / max(1, n_docs)))
-    sampled = materialise(documents.where(share).select(F.coalesce(text_col, F.lit("")).alias("text")).limit(2 * sample_docs), "lsi-sample")
+    if len(idf) <= MOMENT_WORDS:
+        product = moments(told, ids, idf, listed).__matmul__
+    else:
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for t in b.column(0).cast(pa.binary()).to_pylist():
-                w = numbers(words_of(t), ids)
-                rows += [x[x > 0].tolist() for x in (w[a : a + window] for a in range(0, len(w), window))]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32()))], ["words"])
-
-    own = spark.createDataFrame([(it.words.tolist(),) for it in listed], "words array<int>")
-    passages = materialise(own.unionByName(sampled.repartition(8).select("text").mapInArrow(windows, "words array<int>")), "lsi-passages")
-    vectors = latent(passages, len(ids) + 1, idf, min(rank, len(ids) + 1)) * idf[:, None]
+        kind = number_kind(ids)
+
+        def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                words, window = windows_of([np.frombuffer(t, kind) for t in b.column(0).to_pylist()])
+                rows = np.split(words, np.flatnonzero(np.diff(window)) + 1)
+                yield pa.RecordBatch.from_arrays([pa.array([r.tolist() for r in rows], pa.list_(pa.int32()))], ["words"])
+
+        own_rows = documents.sparkSession.createDataFrame([(it.words.tolist(),) for it in listed], "words array<int>")
+        product = product_of(materialise(own_rows.unionByName(told.select("words").mapInArrow(windows, "words array<int>")), "lsi-passages"), idf)
+    vectors = latent(product, len(idf), min(rank, len(idf))) * idf[:, None]
     item_vectors = np.stack([vectors[it.words].sum(axis=0) for it in listed])
     item_vectors /= np.maximum(np.linalg.norm(item_vectors, axis=1, keepdims=True), 1e-12)
-    return Index(ids, idf, vectors, listed, item_vectors)
+    return Index(ids, idf, vectors, listed, item_vectors, told)
 
 
 # ---- search -----------------------------------------------------------------------------------
@@ -219,7 +317,7 @@ def fit(documents: DataFrame, items: list[tuple[Any, str]], text_col: str = "tex
 
 @dataclass(frozen=True)
 class Rules:
-    cosine: float = 0.27
+    cosine: float = 0.18
     copied: float = 0.7
     paraphrased: float = 0.5
     answered: float = 0.6
@@ -260,19 +358,21 @@ def slots_of(words: np.ndarray) -> np.ndarray:
 
 
 def length_classes(index: Index, rules: Rules) -> list[LengthClass]:
-    """Items by length, at most ITEMS_AT_ONCE to a class."""
+    """Items by length and so by their windows, at most ITEMS_AT_ONCE to a class."""
     lengths = np.array([len(it.words) for it in index.items], np.int64)
     which = np.floor(np.log(np.maximum(lengths, 1)) / np.log(rules.spread)).astype(int)
+    # classes of one stride have the same windows
+    longest = np.array([lengths[which == c].max() for c in which], np.int64)
+    strides = np.maximum(1, -(-longest // (4 * STEP)))
     out = []
-    for c in np.unique(which):
-        alike = np.flatnonzero(which == c)
-        longest = int(lengths[alike].max())
+    for stride in np.unique(strides):
+        alike = np.flatnonzero(strides == stride)
         for mine in np.split(alike, range(ITEMS_AT_ONCE, len(alike), ITEMS_AT_ONCE)):
-            slots = np.zeros((len(mine), longest), np.int64)
+            slots = np.zeros((len(mine), int(lengths[mine].max())), np.int64)
             for row, k in enumerate(mine):
                 slots[row, : lengths[k]] = slots_of(index.items[k].words)
             least = np.array([rules.least(int(n)) for n in lengths[mine]])
-            out.append(LengthClass(mine, index.item_vectors[mine], least, max(1, -(-longest // (4 * STEP))), slots))
+            out.append(LengthClass(mine, index.item_vectors[mine], least, int(stride), slots))
     return out
 
 
@@ -282,12 +382,13 @@ class Blocks:
 
     words: np.ndarray
     sums: np.ndarray
+    #: The slots of the words; the row after the last is zero, as it is in sums.
+    slots: np.ndarray
     #: The first block of each text, and the number of blocks.
     starts: np.ndarray
 
     @classmethod
-    def of(cls, texts: list[bytes | None], index: Index) -> Blocks:
-        told = [numbers(words_of(t), index.ids) for t in texts]
+    def of(cls, told: list[np.ndarray], index: Index) -> Blocks:
         counts = np.array([-(-len(w) // STEP) for w in told], np.int64)
         starts = np.concatenate([[0], np.cumsum(counts)])
         words = np.zeros((int(starts[-1]), STEP), np.int32)
@@ -301,7 +402,9 @@ class Blocks:
             into = sums[a : a + len(part)]
             for k in range(STEP):
                 into += index.vectors[part[:, k]]
-        return cls(words, sums, starts)
+        slots = np.zeros((len(words) + 1, STEP), np.int64)
+        slots[:-1] = slots_of(words)
+        return cls(words, sums, slots, starts)
 
     def strides(self, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, first block, end block) of each stride of each text, then PIECES - 1 empty ones before the next text."""
@@ -318,6 +421,9 @@ def candidates(blocks: Blocks, c: LengthClass, rules: Rules) -> Iterator[tuple[i
     """(text, first word, end word, item of the class, cosine) of the windows near an item that may have enough of its words."""
     text, first, end = blocks.strides(c.stride)
     last = len(blocks.sums) - 1
+    has = np.zeros((len(c.numbers), SLOTS), bool)
+    has[np.arange(len(has))[:, None], c.slots] = True
+    has[:, 0] = False
     # the last PIECES - 1 strides are empty, so every window is whole
     for lo in range(0, len(text) - PIECES + 1, AT_ONCE):
         hi = min(lo + AT_ONCE + PIECES - 1, len(text))
@@ -334,19 +440,27 @@ def candidates(blocks: Blocks, c: LengthClass, rules: Rules) -> Iterator[tuple[i
         cosines = window @ c.vectors.T
         cosines /= norm[:, None]
         near, items = np.nonzero(cosines >= rules.cosine)
-        for a in range(0, len(near), 8192):
-            k, i = near[a : a + 8192], items[a : a + 8192]
+        for a in range(0, len(near), 4096):
+            k, i = near[a : a + 4096], items[a : a + 4096]
+            # the words of the window that the item has, and then of the item that the window has, bound their common
+            # subsequence; slots can only add to them
+            begin = first[lo + k]
+            until = np.minimum(begin + PIECES * c.stride, blocks.starts[text[lo + k] + 1])
+            at = begin[:, None] + np.arange(PIECES * c.stride)
+            there = blocks.slots[np.where(at < until[:, None], at, last)].reshape(len(k), -1)
+            there += (i * SLOTS)[:, None]
+            may = np.take(has, there, mode="clip").sum(axis=1, dtype=np.int32) >= c.least[i]
+            k, i = k[may], i[may]
             some, place = np.unique(k, return_inverse=True)
             begin = first[lo + some]
             until = np.minimum(begin + PIECES * c.stride, blocks.starts[text[lo + some] + 1])
             for b in range(0, len(some), 1024):
-                # the words that item and window share bound their common subsequence; slots can only add to them
                 mine = (place >= b) & (place < b + 1024)
                 there = np.zeros((min(1024, len(some) - b), SLOTS), bool)
                 rows = np.arange(len(there))
                 for r in range(PIECES * c.stride):
                     inside = begin[b : b + 1024] + r < until[b : b + 1024]
-                    there[rows[inside, None], slots_of(blocks.words[begin[b : b + 1024][inside] + r])] = True
+                    there[rows[inside, None], blocks.slots[begin[b : b + 1024][inside] + r]] = True
                 there[:, 0] = False
                 good = np.flatnonzero(mine)[there[place[mine, None] - b, c.slots[i[mine]]].sum(axis=1) >= c.least[i[mine]]]
                 for j in good:
@@ -370,10 +484,10 @@ def verified(item: Item, words: list[int], rules: Rules) -> float:
     return covered if covered >= share - 1e-9 else 0.0
 
 
-def search(texts: list[bytes | None], index: Index, classes: list[LengthClass], rules: Rules) -> list[tuple[int, int, float, float]]:
-    """(text, item number, cosine, covered share) of the items found in many texts, the best window of each."""
+def search(told: list[np.ndarray], index: Index, classes: list[LengthClass], rules: Rules) -> list[tuple[int, int, float, float]]:
+    """(text, item number, cosine, covered share) of the items found in many texts of numbered words, the best window of each."""
     found: dict[tuple[int, int], tuple[float, float]] = {}
-    blocks = Blocks.of(texts, index)
+    blocks = Blocks.of(told, index)
     flat = blocks.words.ravel()
     for c in classes if len(flat) else ():
         for text, first, end, i, cosine in candidates(blocks, c, rules):
@@ -387,22 +501,27 @@ def search(texts: list[bytes | None], index: Index, classes: list[LengthClass],
 
 
 def searcher(documents: DataFrame, items: list[tuple[Any, str]], id_col: str, text_col: str, rules: Rules, rank: int):
-    """A function of texts, for use inside tasks, that gives (text, item id, cosine, covered share) of what is found of the items."""
+    """A function of texts, for use inside tasks, that gives (text, item id, cosine, covered share) of what is found of the items.
+
+    A text is its bytes or its word numbers.  Also numbered(documents), None where no item has words.
+    """
     prepare(documents.sparkSession)
-    index = fit(documents, items, text_col, id_col, rank)
+    index = fit(documents, items, id_col, text_col, rank)
     # words and vectors of a block of items
     shared = documents.sparkSession.sparkContext.broadcast((index.ids, index.idf, index.vectors, [(x.item_id, x.words, x.answer) for x in index.items], index.item_vectors))
     known: list = []
 
-    def look(texts: list[bytes | None]) -> list[tuple[int, Any, float, float]]:
+    def look(texts: list[bytes | np.ndarray | None]) -> list[tuple[int, Any, float, float]]:
         if not known:
             ids, idf, vectors, listed, item_vectors = shared.value
             known.append(Index(ids, idf, vectors, [Item(*x) for x in listed], item_vectors))
             known.append(length_classes(known[0], rules))
-        hits = (h for a in range(0, len(texts), 64) for h in ((a + k, *x) for k, *x in search(texts[a : a + 64], *known, rules)))
+        ids = known[0].ids
+        parts = ([t if isinstance(t, np.ndarray) else numbers(words_of(t), ids) for t in texts[a : a + 64]] for a in range(0, len(texts), 64))
+        hits = ((64 * n + k, *x) for n, part in enumerate(parts) for k, *x in search(part, *known, rules))
         return [(k, known[0].items[i].item_id, cosine, covered) for k, i, cosine, covered in hits]
 
-    return look
+    return look, index.told, number_kind(index.ids)
 
 
 def matches(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rules: Rules = Rules(), rank: int = RANK) -> DataFrame:
@@ -412,16 +531,16 @@ def matches(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     arrow_kind = to_arrow_type(item_kind)
 
     def found(items: list[tuple[Any, str]]) -> DataFrame:
-        look = searcher(documents, items, id_col, text_col, rules, rank)
+        look, told, number = searcher(documents, items, id_col, text_col, rules, rank)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                hits = look(b.column(1).cast(pa.binary()).to_pylist())
+                hits = look([np.frombuffer(t, number) for t in b.column(1).to_pylist()])
                 columns = [b.column(0).take(pa.array([h[0] for h in hits], pa.int64())), pa.array([h[1] for h in hits], arrow_kind)]
                 columns += [pa.array([h[k] for h in hits], pa.float64()) for k in (2, 3)]
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-        return documents.select(id_col, text_col).mapInArrow(run, schema)
+        return documents.sparkSession.createDataFrame([], schema) if told is None else told.mapInArrow(run, schema)
 
     out = None
     for items in item_blocks(benchmark, item_col, item_text):
@@ -435,7 +554,8 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
     def clean_of(docs: DataFrame, items: list[tuple[Any, str]]) -> DataFrame:
         # the space is fitted on all documents, whichever blocks came before
-        look = searcher(documents, items, id_col, text_col, rules, rank)
+        look, told, _ = searcher(documents, items, id_col, text_col, rules, rank)
+        forget(told)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
