@@ -11,7 +11,9 @@
    joined them yet.  A candidate component of up to ``chunk`` shingles meets in one place, to which each text
    goes once.  Of a larger component every key is a place of its own (keys of the same sets once), and a key
    of more than ``chunk`` shingles is dealt into cells, each two of which meet.
-5. Spanning edges of the links leave a place, never all pairs; star contraction joins them.
+5. Where ``fingerprint`` says so, the class of a set's SimHash fingerprints (linked at 4 bits, as ``simhash`` links
+   them) is one more key: texts that meet there are compared like others.
+6. Spanning edges of the links leave a place, never all pairs; star contraction joins them.
 
 Edge cases: a text of fewer words than a shingle is one shingle; null texts and texts without words have
 the empty set, which links with nothing, or with its like where ``empty`` says so.  A null id gets a row
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociform.llm.common import HOT, forget, free_name, joined, materialise, prepare
-from lociform.llm.simhash import components, named, unite
+from lociform.llm.simhash import components, links, named, simhash, unite
 
 BANDS, ROWS = 20, 4
 COORDINATES = BANDS * ROWS
@@ -90,19 +92,24 @@ def bands(own: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(raw[step * k : step * (k + 1)], k) for k in range(BANDS)], np.uint64).view(np.int64)
 
 
-def signed(df: DataFrame, width: int) -> DataFrame:
-    """(key, digest of the set, size of the set, its bands) for each row (key, text); the key is any column."""
+def signed(df: DataFrame, width: int, fingerprint: bool = False) -> DataFrame:
+    """(key, digest of the set, size of the set, its bands, fp) for each row (key, text); the key is any column.
+
+    fp: the text's SimHash fingerprint as a signed long, where it is asked for.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(t, width) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            texts = b.column(1).cast(pa.binary()).to_pylist()
+            sets = [shingles(t, width) for t in texts]
+            fps = np.array([simhash(t) for t in texts], np.uint64).view(np.int64) if fingerprint else [None] * len(texts)
             digests = pa.array([xxhash.xxh3_128_digest(s.tobytes(), SEED) for s in sets], pa.binary())
             keys = [bands(s) for s in sets]
             offsets = np.cumsum([0, *map(len, keys)])
             listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(keys or [np.empty(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([b.column(0), digests, pa.array([len(s) for s in sets], pa.int64()), listed], ["key", "digest", "size", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), digests, pa.array([len(s) for s in sets], pa.int64()), listed, pa.array(fps, pa.int64())], ["key", "digest", "size", "bands", "fp"])
 
-    return df.select("key", "text").mapInArrow(run, f"key {df.schema['key'].dataType.simpleString()}, digest binary, size long, bands array<long>")
+    return df.select("key", "text").mapInArrow(run, f"key {df.schema['key'].dataType.simpleString()}, digest binary, size long, bands array<long>, fp long")
 
 
 def linked(sets: list[np.ndarray], percent: int, keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -143,79 +150,97 @@ def linked(sets: list[np.ndarray], percent: int, keys: np.ndarray | None = None)
 
 
 def edges_in_order(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Edges over rows (place, digest, text) sorted by place, a whole place at a time."""
-    place, held = None, {}
+    """Edges over rows (place, digest, near, text) sorted by place, a whole place at a time; near is a key, if any."""
+    place, held, near = None, {}, {}
 
     def out() -> pa.RecordBatch:
         names, sets = list(held), list(held.values())
-        a, b = linked(sets, percent, np.array([bands(s) for s in sets]))
+        keys = [bands(s) if near[d] is None else np.append(bands(s), np.int64(near[d])) for d, s in held.items()]
+        a, b = linked(sets, percent, np.array(keys))
         pairs = [(names[i], names[j]) for i, j in zip(a.tolist(), b.tolist())]
         return pa.RecordBatch.from_arrays([pa.array([f(p) for p in pairs], pa.binary()) for f in (max, min)], ["a", "b"])
 
     for batch in batches:
-        texts = batch.column(2).cast(pa.binary())
-        for k, (p, digest) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+        texts = batch.column(3).cast(pa.binary())
+        for k, (p, digest, own) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
             if p != place:
                 if len(held) > 1:
                     yield out()
-                place, held = p, {}
+                place, held, near = p, {}, {}
             if digest not in held:
-                held[digest] = shingles(texts[k].as_py(), width)
+                held[digest], near[digest] = shingles(texts[k].as_py(), width), own
     if len(held) > 1:
         yield out()
 
 
 def by_key(members: DataFrame, chunk: int) -> DataFrame:
-    """(least, digest, place) for the members (least, digest, size, root, bands) of large components: key by key.
+    """(least, digest, near, place) for the members (least, digest, size, root, bands, near) of large components: key by key.
 
     Keys that the same sets share are one.  A key over chunk becomes cells; pairs of cells are places.
     """
-    each = members.select("least", "digest", "root", (F.col("size") + FIXED).alias("w"), F.explode("bands").alias("band"))
+    each = members.select("least", "digest", "near", "root", (F.col("size") + FIXED).alias("w"), F.explode("bands").alias("band"))
     keys = each.groupBy("band").agg(F.min("root").alias("root"), F.count("*").alias("n"), F.sum("w").alias("w"), F.sum(F.xxhash64("digest").cast("decimal(38,0)")).alias("who"))
     keys = materialise(keys.where("n > 1").groupBy("root", "n", "w", "who").agg(F.min("band").alias("band")), "minhash-keys")
     cells = F.ceil(F.col("w") * 2 / chunk).cast("int")
-    met = joined(each.select("least", "digest", "band"), keys.select("band", "n", F.when(F.col("w") > chunk, cells).otherwise(1).alias("cells")), "band", keys.agg(F.sum("n")).first()[0] or 0)
+    met = joined(each.select("least", "digest", "near", "band"), keys.select("band", "n", F.when(F.col("w") > chunk, cells).otherwise(1).alias("cells")), "band", keys.agg(F.sum("n")).first()[0] or 0)
     cell = F.pmod(F.xxhash64("digest"), F.col("cells")).cast("int")
     split = met.withColumn("cell", cell).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     pair = F.when(F.col("cells") == 1, F.col("band")).otherwise(F.xxhash64("band", F.least("cell", "other"), F.greatest("cell", "other")))
-    return split.select("least", "digest", pair.alias("place"))
+    return split.select("least", "digest", "near", pair.alias("place"))
 
 
 def meetings(reps: DataFrame, chunk: int) -> DataFrame:
-    """(least, digest, place): where each set that shares a key with another one is compared."""
+    """(least, digest, near, place): where each set that shares a key with another one is compared."""
     band = reps.select("digest", F.explode("bands").alias("band"))
     first = materialise(band.groupBy("band").agg(F.min("digest").alias("b"), F.count("*").alias("n")).where("n > 1"), "minhash-bands")
     star = joined(band, first, "band", first.agg(F.sum("n")).first()[0] or 0).where("digest > b").select(F.col("digest").alias("a"), "b").distinct()
     found = components(star).select(F.col("node").alias("digest"), "root")
     found = materialise(found.unionByName(found.select(F.col("root").alias("digest"), "root")).distinct(), "minhash-roots")
     forget(first)
-    members = materialise(found.join(reps.select("digest", "least", "size", "bands"), "digest"), "minhash-members")
+    members = materialise(found.join(reps.select("digest", "least", "size", "bands", "near"), "digest"), "minhash-members")
     forget(found)
     # large components are few: at most the weight of all sets / chunk
     large = materialise(members.groupBy("root").agg(F.sum(F.col("size") + FIXED).alias("w")).where(F.col("w") > chunk).select("root"), "minhash-large")
-    small = members.select("least", "digest", F.xxhash64("root").alias("place"))
+    small = members.select("least", "digest", "near", F.xxhash64("root").alias("place"))
     if large.isEmpty():
         return small
-    small = members.join(large, "root", "left_anti").select("least", "digest", F.xxhash64("root").alias("place"))
+    small = members.join(large, "root", "left_anti").select("least", "digest", "near", F.xxhash64("root").alias("place"))
     return small.unionByName(by_key(members.join(large, "root"), chunk))
 
 
-def classes(df: DataFrame, width: int = 5, percent: int = 85, chunk: int = 250_000, empty: bool = False) -> DataFrame:
+def with_fingerprints(reps: DataFrame, marked: DataFrame) -> DataFrame:
+    """reps with near, the class of the fingerprints of a set's texts, among their bands; sets without words have none.
+
+    Fingerprints are of one class where they link or are those of one set.
+    """
+    told = materialise(marked.where("size > 0").select("digest", "fp").distinct(), "minhash-fp")
+    least = told.groupBy("digest").agg(F.min("fp").alias("b"))
+    same = told.join(least, "digest").where("fp > b").select(F.col("fp").alias("a"), "b")
+    roots = components(links(told.select("fp").distinct()).unionByName(same))
+    near = least.join(roots, F.col("b") == roots.node, "left").select("digest", F.coalesce("root", "b").alias("near"))
+    out = reps.drop("near").join(near, "digest", "left")
+    return out.withColumn("bands", F.when(F.col("near").isNull(), F.col("bands")).otherwise(F.concat("bands", F.array("near"))))
+
+
+def classes(df: DataFrame, width: int = 5, percent: int = 85, chunk: int = 250_000, empty: bool = False, fingerprint: bool = False) -> DataFrame:
     """key, size (of its set) and component_id (the smallest key of its component) for each row (key, text).
 
     The key is any column that can be ordered; rows of equal keys have equal texts.  empty: whether empty sets
-    are equal, or each one is alone and has its own key for component_id.
+    are equal, or each one is alone and has its own key for component_id.  fingerprint: whether sets whose texts are
+    of one class of fingerprints are compared too.
     """
     prepare(df.sparkSession)
-    marked = materialise(signed(df, width), "minhash-sets")
+    marked = materialise(signed(df, width, fingerprint), "minhash-sets")
     reps = marked if empty else marked.where("size > 0")
-    reps = materialise(reps.groupBy("digest").agg(F.min("key").alias("least"), F.count("*").alias("n"), F.max("size").alias("size"), F.any_value("bands").alias("bands")), "minhash-reps")
+    reps = materialise(reps.groupBy("digest").agg(F.min("key").alias("least"), F.count("*").alias("n"), F.max("size").alias("size"), F.any_value("bands").alias("bands")).withColumn("near", F.lit(None).cast("long")), "minhash-reps")
+    if fingerprint:
+        reps = materialise(with_fingerprints(reps, marked), "minhash-reps")
     dealt = materialise(meetings(reps, chunk), "minhash-meetings")
     texts = df.select(F.col("key").alias("least"), "text")
     if not marked.groupBy("key").count().where(F.col("count") > HOT).isEmpty():
         # many equal rows: one of each leaves a task
         texts = texts.dropDuplicates(["least"])
-    meeting = texts.join(dealt.hint("shuffle_hash"), "least").select("place", "digest", "text").repartition("place").sortWithinPartitions("place")
+    meeting = texts.join(dealt.hint("shuffle_hash"), "least").select("place", "digest", "near", "text").repartition("place").sortWithinPartitions("place")
     edges = meeting.mapInArrow(lambda it: edges_in_order(it, width, percent), "a binary, b binary")
     found = named(reps.select("digest", "least", "n"), components(edges), "digest")
     forget(reps)
