@@ -210,3 +210,19 @@ def test_programs_of_the_library(spark):
     assert {1, 2} == {r.locus for r in sets if r.variant == 10 * r.locus} and all(r.set_coverage >= 0.95 - 1e-9 for r in sets)
     signals = plugins.run("joint_selection", df, "locus", {"n": 800}).collect()
     assert sorted({r.locus for r in signals if r.selected}) == [1, 2] and {r.reliability for r in signals} == {"ok"} and all(r.p_given is not None for r in signals)
+
+
+def test_genes_of_many_variants_need_no_rows_of_their_own(spark, monkeypatch):
+    """Runs of more variants than the bound: the same results as from a row for each gene and variant, which was an error."""
+    rng = np.random.default_rng(6)
+    g = genotypes(rng, 20, 300)
+    varies = g.std(axis=1) > 0
+    variants = spark.createDataFrame([(1, 10_000 * k, float(x)) for k, x in enumerate(rng.normal(size=300) * 2)], "chr int, pos long, z double")
+    panel = spark.createDataFrame([(1, 10_000 * k, x.tolist()) for k, x in enumerate(g)], "chr int, pos long, dosages array<int>")
+    spans = spark.createDataFrame([(k, 1, a, b) for k, (a, b) in enumerate([(0, 2_990_000), (5_000, 6_000), (15_000, 400_000), (1_000_000, 1_000_000), (700_000, 1_350_000), (2_000_000, 9_000_000)])], "gene int, chr int, start long, end long")
+    monkeypatch.setattr(genes, "MOST", 50)
+    got = {r.gene: r for r in genes.gene_range_tests(variants, panel, spans).collect()}
+    want = {r.gene: r for r in genes.gene_tests(genes.gene_rows(variants, panel, spans)).collect()}
+    assert got.keys() == want.keys() and got[0].n_variants == varies.sum() > 250 and 1 not in got
+    for k, r in want.items():
+        assert (got[k].n_variants, got[k].statistic, got[k].log_p) == (r.n_variants, pytest.approx(r.statistic, abs=1e-9), pytest.approx(r.log_p, abs=1e-8))
