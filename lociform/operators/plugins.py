@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociform.operators import signals
-from lociform.operators.regional import correlations
+from lociform.operators.regional import Linkage
 
 #: Types that a column may have, scopes, and kinds of parameters.
 TYPES = {"double": "double", "int": "bigint", "string": "string", "boolean": "boolean"}
@@ -185,10 +185,10 @@ def run(tool: str, df: DataFrame, group: str, parameters: dict | None = None) ->
 def _credible(pdf: pd.DataFrame, p: dict) -> pd.DataFrame:
     """Sum of single effects of one locus."""
     pdf = pdf.sort_values("variant").reset_index(drop=True)
-    r = correlations(pdf["dosages"])
+    r = Linkage.of_dosages(pdf["dosages"])
     keep, _, used = signals.checked(pdf["z"].to_numpy(np.float64)[:, None], r, p["shrink"])
-    plain, z = r[np.ix_(keep, keep)], pdf["z"].to_numpy(np.float64)[keep, None]
-    fit = signals.sum_of_effects(z, [(1 - used) * plain + used * np.eye(len(keep))], np.array([p["n"]]), effects=p["effects"])
+    plain, z = r.take(keep), pdf["z"].to_numpy(np.float64)[keep, None]
+    fit = signals.sum_of_effects(z, [plain.shrunk(used)], np.array([p["n"]]), effects=p["effects"])
     number, cover = np.full(len(pdf), np.nan), np.full(len(pdf), np.nan)
     for k, (e, members, _) in enumerate(signals.credible_sets(fit, [plain], p["coverage"]), 1):
         fresh = [keep[m] for m in members if np.isnan(number[keep[m]])]
@@ -201,13 +201,11 @@ def _credible(pdf: pd.DataFrame, p: dict) -> pd.DataFrame:
 def _selected(pdf: pd.DataFrame, p: dict) -> pd.DataFrame:
     """Stepwise signals of one locus with joint effects, all other variants given them."""
     pdf = pdf.sort_values("variant").reset_index(drop=True)
-    r = correlations(pdf["dosages"])
-    m = signals.joint_model(pdf["z"].to_numpy(np.float64), (1 - p["shrink"]) * r + p["shrink"] * np.eye(len(r)), p["n"], collinear=p["collinear"])
+    m = signals.joint_model(pdf["z"].to_numpy(np.float64), Linkage.of_dosages(pdf["dosages"]).shrunk(p["shrink"]), p["n"], collinear=p["collinear"])
     out = pd.DataFrame({"variant": pdf["variant"], "selected": False, "b_joint": np.nan, "p_joint": np.nan, "p_given": np.nan, "reliability": m["verdict"]})
     for c, e, q in zip(m["chosen"], m["effect"], m["p_joint"]):
         out.loc[c, ["selected", "b_joint", "p_joint", "p_given"]] = [True, e, q, q]
-    for c, q in zip(m["others"], m["p_given"]):
-        out.loc[c, "p_given"] = q
+    out.loc[m["others"], "p_given"] = m["p_given"]
     return out
 
 

@@ -249,3 +249,25 @@ def test_windows_stand_around_the_lead(spark):
     got = signals.windows(v, 250_000).orderBy("chr").select("chr", "start", "end").collect()
     assert [tuple(r) for r in got] == [(1, 350_000, 850_000), (2, 1, 250_100)]
     assert signals.windows(v.where(F.col("z") < 3)).count() == 0
+
+
+def test_loci_of_more_variants_than_people(spark, monkeypatch):
+    """A locus of more variants than the bound in a panel of few people was an error; its sets are those of the matrix of correlations."""
+    rng = np.random.default_rng(10)
+    g = genotypes(rng, 24, 300)
+    g = g[g.std(axis=1) > 0]
+    z = rng.normal(size=len(g)) + 8 * correlated(g)[100]
+    dense, factored = correlated(g), regional.Linkage.of_dosages(pd.Series(list(g)))
+    monkeypatch.setattr(signals, "MOST", 100)
+    told, panel = frames(spark, g, {0: z, 1: -z})
+    (one,) = signals.fine_mapped(told.where("trait = 0"), panel).collect()
+    keep, s, used = signals.checked(z[:, None], dense)
+    fit = signals.sum_of_effects(z[keep, None], [(1 - used) * dense[np.ix_(keep, keep)] + used * np.eye(len(keep))], np.array([1000.0]))
+    assert one.n_variants == len(g) > 250 and one.inconsistency == pytest.approx(s, abs=1e-5)
+    assert [v.pip for v in one.variants] == pytest.approx(fit.pip.tolist(), abs=1e-6)
+    assert factored.x.shape[1] == 24 and factored.block([3, 5], [5, 9]) == pytest.approx(dense[np.ix_([3, 5], [5, 9])])
+    assert signals.jointly_mapped(told, panel).count() == 1 and signals.cross_mapped(told, panel).count() == 1
+    assert signals.joint_models(told, panel).count() == 2
+    mean, variance = regional.given_others(z, factored.shrunk(0.1))
+    inverse = np.linalg.inv(0.9 * dense + 0.1 * np.eye(len(g)))
+    assert variance == pytest.approx(1 / np.diagonal(inverse)) and mean == pytest.approx(z - inverse @ z / np.diagonal(inverse))
