@@ -1,7 +1,12 @@
-"""Range and nearest joins by genomic bins: equality on (chr, bin), the range as a residual."""
+"""Range and nearest joins by genomic bins: equality on (chr, bin), the range as a residual.
+
+Sums and largest values over such pairs need no pairs: folded() and covered() find them from running sums within a bin.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -73,3 +78,115 @@ def nearest(points: DataFrame, intervals: DataFrame, id_col: str, width: int = W
     to_right = F.col("_r.start") - F.col("pos")
     take_left = F.col("_l").isNotNull() & (F.col("_r").isNull() | (to_left <= to_right))
     return seen.select("_row.*", F.when(take_left, -F.col("_l.n")).otherwise(F.col("_r.n")).alias("near"), F.when(take_left, to_left).otherwise(to_right).alias("distance"))
+
+
+# ---- aggregates of pairs ----------------------------------------------------------------------
+
+#: Width of the bins of aggregates: wider, since work within a bin does not grow with its pairs.
+WIDE = 1 << 20
+
+
+def _levels(n: int) -> int:
+    return max(1, n).bit_length()
+
+
+def _tops_of_runs(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The largest value of each run first to last (exclusive, not empty), from the largest of all runs of powers of two."""
+    out = np.empty(len(first))
+    level = np.frexp(last - first)[1] - 1
+    table = values
+    for k in range(_levels(len(values))):
+        own = level == k
+        out[own] = np.maximum(table[first[own]], table[last[own] - (1 << k)])
+        if len(table) <= 1 << k:
+            break
+        table = np.maximum(table[: -(1 << k)], table[1 << k :])
+    return out
+
+
+def _tops_of_covers(values: np.ndarray, first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
+    """The largest value of the runs that cover each of n places; -inf where none does."""
+    level = np.frexp(last - first)[1] - 1
+    table = np.full(n, -np.inf)
+    for k in range(_levels(n) - 1, -1, -1):
+        own = level == k
+        np.maximum.at(table, first[own], values[own])
+        np.maximum.at(table, last[own] - (1 << k), values[own])
+        if k:
+            # runs of 2^k places are two of half as many
+            half = 1 << (k - 1)
+            below = table.copy()
+            below[half:] = np.maximum(below[half:], np.where(np.arange(n - half) + (1 << k) <= n, table[: n - half], -np.inf))
+            table = below
+    return table
+
+
+def _running(values: pd.Series) -> np.ndarray:
+    """Sums of all first values, a null being 0; wider than a double, so that differences keep its precision."""
+    return np.concatenate([[0], np.cumsum(np.nan_to_num(values.to_numpy(np.float64)).astype(np.longdouble))])
+
+
+def _largest(values: pd.Series) -> np.ndarray:
+    return np.nan_to_num(values.to_numpy(np.float64), nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+
+
+def _met(a: DataFrame, b: DataFrame, keys: list[str], group: str | None, kind: DataFrame, sums: list[str], tops: list[str], program) -> DataFrame:
+    """program(a's rows, b's rows of one group) in each bin of a and b, which have _bin; it returns a's rows and n, sums and tops."""
+    names = [*keys, *([group] if group else []), "n", *sums, *tops]
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for value, own in (right.groupby("_group", sort=False, dropna=False) if group else [(None, right)]):
+            if len(left) and len(own):
+                rows, columns = program(left, own)
+                frame = left[keys].iloc[rows].reset_index(drop=True).assign(**columns)
+                out.append(frame.assign(**{group: value}) if group else frame)
+        return pd.concat(out)[names] if out else pd.DataFrame(columns=names)
+
+    typed = [(c, a.schema[c].dataType.simpleString()) for c in keys] + ([(group, kind.schema[group].dataType.simpleString())] if group else []) + [("n", "bigint")] + [(c, "double") for c in (*sums, *tops)]
+    other = b.withColumnsRenamed({"chr": "_chr", "_bin": "_at"} | ({group: "_group"} if group else {}))
+    out = a.groupBy("chr", "_bin").cogroup(other.groupBy("_chr", "_at")).applyInPandas(run, ", ".join(f"`{c}` {t}" for c, t in typed))
+    return out.select(*(F.when(F.col(c) > float("-inf"), F.col(c)).alias(c) if c in tops else F.col(c) for c in names))
+
+
+def folded(points: DataFrame, intervals: DataFrame, keys: list[str], sums: list[str] = (), tops: list[str] = (), group: str | None = None, width: int = WIDE) -> DataFrame:
+    """(keys, group, n, sums, tops): how many points (chr, pos, ...) an interval (chr, start, end, keys) holds, both ends
+    inclusive, their sums and largest values, by the points' group: what an aggregate of points_in() gives, without its pairs.
+
+    An interval has a row for each bin and group in which it holds points: sum and max over the keys make the whole.
+    Points of a position are one row first, so that a bin holds at most its width of them for each group.
+    """
+    at = ["chr", "pos", *([group] if group else [])]
+    rows = points.groupBy(*at).agg(F.count("*").alias("_n"), *(F.sum(F.col(c).cast("double")).alias(c) for c in sums), *(F.max(F.col(c).cast("double")).alias(c) for c in tops)).withColumn("_bin", _bin("pos", width))
+
+    def program(own: pd.DataFrame, held: pd.DataFrame) -> tuple[np.ndarray, dict]:
+        held = held.sort_values("pos")
+        pos = held["pos"].to_numpy(np.int64)
+        first, last = np.searchsorted(pos, own["start"].to_numpy(np.int64), "left"), np.searchsorted(pos, own["end"].to_numpy(np.int64), "right")
+        some = np.flatnonzero(last > first)
+        first, last = first[some], last[some]
+        count = np.concatenate([[0], np.cumsum(held["_n"].to_numpy(np.int64))])
+        running = {c: _running(held[c]) for c in sums}
+        return some, {"n": count[last] - count[first]} | {c: (t[last] - t[first]).astype(np.float64) for c, t in running.items()} | {c: _tops_of_runs(_largest(held[c]), first, last) for c in tops}
+
+    return _met(binned(intervals.select(*dict.fromkeys(["chr", "start", "end", *keys])), width), rows, keys, group, points, list(sums), list(tops), program)
+
+
+def covered(points: DataFrame, intervals: DataFrame, keys: list[str], sums: list[str] = (), tops: list[str] = (), group: str | None = None, width: int = WIDE) -> DataFrame:
+    """(keys, group, n, sums, tops): how many intervals hold a point (chr, pos, keys), their sums and largest values, by the
+    intervals' group: one row for each row of points and group that holds it.  Pairs are not made.
+    """
+
+    def program(own: pd.DataFrame, over: pd.DataFrame) -> tuple[np.ndarray, dict]:
+        place, at = np.unique(own["pos"].to_numpy(np.int64), return_inverse=True)
+        begun, ended = over.sort_values("start"), over.sort_values("end")
+        b, e = np.searchsorted(begun["start"].to_numpy(np.int64), place, "right"), np.searchsorted(ended["end"].to_numpy(np.int64), place, "left")
+        told = {"n": b - e} | {c: (_running(begun[c])[b] - _running(ended[c])[e]).astype(np.float64) for c in sums}
+        first, last = np.searchsorted(place, over["start"].to_numpy(np.int64), "left"), np.searchsorted(place, over["end"].to_numpy(np.int64), "right")
+        some = last > first
+        told |= {c: _tops_of_covers(_largest(over[c])[some], first[some], last[some], len(place)) for c in tops}
+        rows = np.flatnonzero(told["n"][at] > 0)
+        return rows, {c: v[at][rows] for c, v in told.items()}
+
+    spans = binned(intervals.select("chr", "start", "end", *([group] if group else []), *dict.fromkeys([*sums, *tops])), width)
+    return _met(points.select(*dict.fromkeys(["chr", "pos", *keys])).withColumn("_bin", _bin("pos", width)), spans, keys, group, intervals, list(sums), list(tops), program)

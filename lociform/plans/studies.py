@@ -70,8 +70,11 @@ def a12c(spark: SparkSession, d: str) -> DataFrame:
     """
     beta, odds = F.when(F.col("ds") % 3 != 0, F.col("beta")), F.when(F.col("ds") % 3 == 0, F.exp("beta"))
     v = variants(spark, d).select("chr", "pos", "ds", (F.col("ds") % 2).alias("disease"), S.neglog10(S.z_to_p(F.col("z"))).alias("logp"), S.effect_value(beta, odds).alias("effect"))
-    inside = ranges.points_in(v, genes(spark, d).select("gid", "chr", "start", "end"))
-    out = stats.nested_anova(inside, ["gid"], "disease", "ds", {"neglog10_p": F.col("logp"), "effect": F.col("effect")})
+    value = [F.nanvl(F.col(c), F.lit(None)) for c in ("logp", "effect")]
+    moments = {f"{name}{k}": c for k, x in enumerate(value) for name, c in (("_n", x.isNotNull().cast("double")), ("_s", x), ("_q", x * x))}
+    held = ranges.folded(v.select("chr", "pos", "ds", *(c.alias(n) for n, c in moments.items())), genes(spark, d), ["gid"], list(moments), group="ds")
+    sums = held.groupBy("gid", (F.col("ds") % 2).alias("disease"), "ds").agg(*(F.sum(c).cast("long" if c.startswith("_n") else "double").alias(c) for c in moments))
+    out = stats.nested_anova_of_sums(sums, ["gid"], "disease", "ds", ["neglog10_p", "effect"])
     return out.where("n_groups >= 2 and n >= n_groups + 10").select("gid", "scale", "disease", "n_groups", "n", F.round("f", 4).alias("f"))
 
 

@@ -216,3 +216,26 @@ def test_missing_input_is_named(spark, tmp_path):
     with pytest.raises(FileNotFoundError, match="nowhere"):
         manifests.reused(spark, f"file://{tmp_path}", "t", lambda: spark.range(1), inputs=[str(tmp_path / "nowhere")], version="1")
     assert manifests.history(spark, f"file://{tmp_path}", "t") == []
+
+
+def test_aggregates_of_pairs_without_pairs(spark):
+    """folded() and covered() against loops over all pairs, groups and several bins included, and 300 million pairs in seconds."""
+    import pandas as pd
+
+    from lociform.operators import ranges
+
+    rng = np.random.default_rng(0)
+    p = pd.DataFrame({"chr": rng.integers(1, 3, 400), "pos": rng.integers(0, 5000, 400), "g": rng.choice(["a", "b"], 400), "x": rng.normal(size=400), "y": rng.normal(size=400)})
+    i = pd.DataFrame({"id": range(90), "chr": rng.integers(1, 4, 90), "start": rng.integers(-50, 5000, 90), "g": rng.choice([1, 2], 90), "x": rng.normal(size=90), "y": rng.normal(size=90)})
+    i["end"] = i["start"] + rng.choice([-1, 0, 3, 40, 700, 4000], 90)
+    points, intervals = spark.createDataFrame(p), spark.createDataFrame(i)
+    got = ranges.folded(points, intervals, ["id"], ["x"], ["y"], "g", width=128).groupBy("id", "g").agg(F.sum("n").alias("n"), F.sum("x").alias("x"), F.max("y").alias("y")).collect()
+    inside = i[["id", "chr", "start", "end"]].merge(p, on="chr").query("start <= pos <= end").groupby(["id", "g"]).agg(n=("x", "size"), x=("x", "sum"), y=("y", "max"))
+    assert {(r.id, r.g): (r.n, round(r.x, 9) + 0.0, r.y) for r in got} == {k: (r.n, round(r.x, 9) + 0.0, r.y) for k, r in inside.iterrows()}
+    got = ranges.covered(points.withColumn("k", F.monotonically_increasing_id()), intervals, ["k", "pos"], ["x"], ["y"], "g", width=128).collect()
+    q = p[["chr", "pos"]].assign(k=points.select(F.monotonically_increasing_id()).toPandas().iloc[:, 0])
+    over = q.merge(i, on="chr").query("start <= pos <= end").groupby(["k", "g"]).agg(n=("x", "size"), x=("x", "sum"), y=("y", "max"))
+    assert {(r.k, r.g): (r.n, round(r.x, 9) + 0.0, r.y) for r in got} == {k: (r.n, round(r.x, 9) + 0.0, r.y) for k, r in over.iterrows()}
+    many = spark.range(20_000).select(F.lit(1).alias("chr"), F.col("id").alias("pos"))
+    wide = spark.range(20_000).select(F.lit(1).alias("chr"), "id", F.col("id").alias("start"), (F.col("id") + 20_000).alias("end"))
+    assert ranges.folded(many, wide, ["id"]).agg(F.sum("n")).first()[0] == 20_000 * 20_001 // 2
