@@ -322,9 +322,11 @@ def a09(spark: SparkSession, d: str) -> DataFrame:
 @query("a11_gene_rollup", """SELECT g.brand, count(*) AS n_total, count(*) FILTER (v.z > 4.0556e0) AS n_significant, round(avg(CASE WHEN v.beta > 0 THEN 1e0 ELSE 0e0 END), 6) AS risk_share, round(max(v.z), 6) AS top
   FROM v JOIN g ON v.chr = g.chr AND v.pos BETWEEN g."start" AND g."end" GROUP BY g.brand""", "v g")
 def a11(spark: SparkSession, d: str) -> DataFrame:
-    found = ranges.points_in(variants(spark, d), genes(spark, d).select("chr", "start", "end", "brand"))
+    up = F.col("beta") > 0
+    v = variants(spark, d).select("chr", "pos", "z", (F.col("z") > loci.SUGGESTIVE).cast("double").alias("significant"), up.cast("double").alias("up"), up.isNotNull().cast("double").alias("told"))
+    found = ranges.folded(v, genes(spark, d), ["brand"], ["significant", "up", "told"], ["z"])
     return found.groupBy("brand").agg(
-        F.count("*").alias("n_total"), F.count_if(F.col("z") > loci.SUGGESTIVE).alias("n_significant"), F.round(F.avg((F.col("beta") > 0).cast("double")), 6).alias("risk_share"), F.round(F.max("z"), 6).alias("top")
+        F.sum("n").alias("n_total"), F.sum("significant").cast("long").alias("n_significant"), F.round(F.sum("up") / F.sum("told"), 6).alias("risk_share"), F.round(F.max("z"), 6).alias("top")
     )
 
 
