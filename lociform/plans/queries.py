@@ -835,8 +835,12 @@ def j23(spark: SparkSession, d: str) -> DataFrame:
   WHERE v.z > 4.0556e0 GROUP BY 1, 2""", "v k g")
 def a24(spark: SparkSession, d: str) -> DataFrame:
     """Scores of genes in each cell type over its elements that hold suggestive rows."""
-    hits = ranges.points_in(variants(spark, d).where(F.col("z") > loci.SUGGESTIVE), peaks(spark, d).select("eid", "chr", "start", "end", "signal")).drop("start", "end")
-    return ranges.points_in(hits, genes(spark, d).select("gid", "chr", "start", "end")).groupBy("gid", "eid").agg(F.round(F.sum(F.col("z") * F.col("signal")), 4).alias("score"), F.round(F.max("signal"), 6).alias("top"), F.count("*").alias("n"))
+    hits = variants(spark, d).where(F.col("z") > loci.SUGGESTIVE).groupBy("chr", "pos").agg(F.sum("z").alias("z"), F.count("*").alias("rows")).select("chr", "pos", F.col("chr").alias("on"), F.col("pos").alias("at"), "z", "rows")
+    # all pairs of a position's rows and a cell type's elements over it: z times the sum of signals
+    over = ranges.covered(hits, peaks(spark, d).withColumn("top", F.col("signal")), ["on", "at", "z", "rows"], ["signal"], ["top"], "eid")
+    pairs = over.select(F.col("on").alias("chr"), F.col("at").alias("pos"), "eid", (F.col("z") * F.col("signal")).alias("score"), (F.col("rows") * F.col("n")).cast("double").alias("pairs"), "top")
+    found = ranges.folded(pairs, genes(spark, d), ["gid"], ["score", "pairs"], ["top"], "eid")
+    return found.groupBy("gid", "eid").agg(F.round(F.sum("score"), 4).alias("score"), F.round(F.max("top"), 6).alias("top"), F.sum("pairs").cast("long").alias("n"))
 
 
 @query("p23_merged_edit", """SELECT chr, "start", "end", row_number() OVER (ORDER BY chr, "start", "end") AS locus FROM (SELECT chr, "start", "end" FROM loci WHERE locus NOT IN (1, 2) UNION ALL SELECT chr, min("start"), max("end") FROM loci WHERE locus IN (1, 2) GROUP BY chr)""", "v loci")
