@@ -96,8 +96,11 @@ def f24(spark: SparkSession, d: str) -> DataFrame:
 @query("j11_elements_in_window", 'SELECT g.gid, count(*) AS n, round(max(k.signal), 6) AS top FROM g JOIN k ON k.chr = g.chr AND k."end" >= g."start" - 50000 AND k."start" <= g."end" + 50000 GROUP BY g.gid', "g k")
 def j11(spark: SparkSession, d: str) -> DataFrame:
     around = genes(spark, d).select("gid", "chr", (F.col("start") - 50_000).alias("start"), (F.col("end") + 50_000).alias("end"))
-    found = ranges.overlapping(around, peaks(spark, d).select("chr", "start", "end", "signal"))
-    return found.groupBy("gid").agg(F.count("*").alias("n"), F.round(F.max("signal_b"), 6).alias("top"))
+    k = peaks(spark, d).where("start <= end").select("chr", "start", "end", "signal")
+    # an element overlaps a window if it starts in it, or began before and holds its start
+    within = ranges.folded(k.withColumn("pos", F.col("start")), around, ["gid"], tops=["signal"])
+    begun = ranges.covered(around.where("start <= end").withColumn("pos", F.col("start")), k.withColumn("start", F.col("start") + 1), ["gid"], tops=["signal"])
+    return within.unionByName(begun).groupBy("gid").agg(F.sum("n").alias("n"), F.round(F.max("signal"), 6).alias("top"))
 
 
 @query("j15_panel_ids", """, p AS (SELECT chr, pos, max(vid) AS pid FROM v WHERE ds = 0 AND chr % 5 <> 0 GROUP BY chr, pos), o AS (SELECT DISTINCT chr FROM p)
