@@ -255,7 +255,7 @@ def a35(spark: SparkSession, d: str) -> DataFrame:
 @query("a36_locus_to_gene", 'SELECT g.gid, round(max(c.mlogp), 6) AS score, count(DISTINCT c.trait) AS n_studies FROM c JOIN g ON c.chr = g.chr AND c.pos BETWEEN g."start" AND g."end" GROUP BY g.gid', "c g")
 def a36(spark: SparkSession, d: str) -> DataFrame:
     """The best score of each gene and the number of studies that support it."""
-    found = ranges.points_in(catalog(spark, d), genes(spark, d).select("gid", "chr", "start", "end"))
+    found = ranges.folded(catalog(spark, d), genes(spark, d), ["gid"], tops=["mlogp"], group="trait")
     return found.groupBy("gid").agg(F.round(F.max("mlogp"), 6).alias("score"), F.count_distinct("trait").alias("n_studies"))
 
 
