@@ -222,3 +222,16 @@ def test_haplotypes_against_the_likelihood(spark):
         limit = min(pa * (1 - pb), (1 - pa) * pb) if d >= 0 else min(pa * pb, (1 - pa) * (1 - pb))
         assert got[k].p == pytest.approx(p, abs=2e-3) and got[k].d_prime == pytest.approx(min(1.0, abs(d) / limit), abs=2e-2)
     assert got[100].d_prime == pytest.approx(1.0, abs=1e-6) and got[102] is None and got[103] is None
+
+
+def test_haplotypes_of_a_stretch(spark):
+    """All pairs of a stretch in batches: those of the expression over rows of pairs."""
+    rng = np.random.default_rng(11)
+    g = rng.integers(0, 3, (30, 12)).tolist() + [[1] * 12, [2] * 12, [0] * 11 + [1]]
+    df = spark.createDataFrame([(k % 2, 10 * k, x) for k, x in enumerate(g)], "stretch int, pos long, dosages array<int>")
+    pairs = df.withColumnRenamed("pos", "pos_a").join(df.select("stretch", F.col("pos").alias("pos_b"), F.col("dosages").alias("other")), "stretch").where("pos_a < pos_b")
+    want = pairs.select("pos_a", "pos_b", regional.haplotype_disequilibrium("dosages", "other").alias("h")).where("h is not null")
+    want = {(r.pos_a, r.pos_b): (r.h.p, r.h.d_prime) for r in want.collect()}
+    got = {(r.pos_a, r.pos_b): (r.p, r.d_prime) for r in regional.haplotype_stretches(df, ["stretch"], rows=4).collect()}
+    assert got.keys() == want.keys() and len(got) > 200
+    assert all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
